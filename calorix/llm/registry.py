@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from calorix.llm import bpe, golomb_dedup, mixing
+from calorix.llm import bpe, golomb_dedup, langid, mixing, secrets, simhash
 
 QUERIES = {
+    "op2_secret_scan": secrets.query,
+    "op3_language_id": langid.query,
+    "op5_simhash_near_dedup": simhash.query,
     "op6_golomb_exact_dedup": golomb_dedup.query,
     "op8_mix_sources": mixing.query,
     "op10_bpe_encode_decode": bpe.query,
