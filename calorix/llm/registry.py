@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from calorix.llm import bpe, golomb_dedup, langid, mixing, secrets, simhash
+from calorix.llm import bpe, cover, golomb_dedup, langid, mixing, secrets, simhash
 
 QUERIES = {
+    "op1_cover_tree_near_vectors": cover.query,
     "op2_secret_scan": secrets.query,
     "op3_language_id": langid.query,
     "op5_simhash_near_dedup": simhash.query,
