@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from calorix.llm import bpe, cover, golomb_dedup, langid, mixing, pii, secrets, simhash
+from calorix.llm import bpe, cover, golomb_dedup, langid, mixing, pii, pitman_yor, secrets, simhash
 
 QUERIES = {
     "op1_cover_tree_near_vectors": cover.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_simhash_near_dedup": simhash.query,
     "op6_golomb_exact_dedup": golomb_dedup.query,
     "op8_mix_sources": mixing.query,
+    "op7_pitman_yor_lm": pitman_yor.query,
     "op9_pii_weak_supervision": pii.query,
     "op10_bpe_encode_decode": bpe.query,
 }
