@@ -48,9 +48,9 @@ def h_i_by_tilt(spark, sf_dir):
 
 
 def wall_fk_missing(spark, sf_dir):
-    """Wall ids of triangles that the wall table (every seventh wall taken out) lacks."""
+    """Wall ids of triangles that the table of opaque walls lacks."""
     w = Warehouse(spark, sf_dir)
-    return meshes.missing_keys(w.triangles(), w.layers().where("wall_id % 7 <> 0"), "wall_id")
+    return meshes.missing_keys(w.triangles(), w.layers().where("tau = 0"), "wall_id")
 
 
 def frames(w: Warehouse):
@@ -139,7 +139,7 @@ def upsert_catalogue(spark, sf_dir):
     """Walls after an upsert of a shifted table."""
     w = Warehouse(spark, sf_dir)
     base = w.layers().where("layer_idx = 0").select("wall_id", "e", "lam")
-    changes = base.where("wall_id % 3 = 0").select((F.col("wall_id") + 30).alias("wall_id"), (F.col("e") * 2.0).alias("e"), F.col("lam"))
+    changes = base.where("e > 0.15").select((F.col("wall_id") + 30).alias("wall_id"), (F.col("e") * 2.0).alias("e"), F.col("lam"))
     return walls.upserted(base, changes, "wall_id").select("wall_id", tidy("e").alias("e"), tidy("lam").alias("lam"))
 
 
@@ -180,7 +180,7 @@ ORACLES = {
         f"""WITH {GEOMETRY} SELECT mesh_id, tri_id, round(area, 5) + 0e0 AS area, round(cx_/len, 5) + 0e0 AS nx, round(cy_/len, 5) + 0e0 AS ny, round(cz_/len, 5) + 0e0 AS nz,
         round(tilt, 5) + 0e0 AS tilt, round(CASE WHEN az < 0 THEN az + 360e0 ELSE az END, 5) + 0e0 AS azimuth FROM t WHERE len >= 1e-12""", "v4"),
     "h_i_by_tilt": with_views(f"WITH {GEOMETRY} SELECT CASE WHEN round(tilt, 6) <= 60 THEN 10e0 WHEN round(tilt, 6) >= 120 THEN 5.9e0 ELSE 7.7e0 END AS h_i, count(*) AS n, round(sum(area), 3) + 0e0 AS area FROM t WHERE len >= 1e-12 GROUP BY 1", "v4"),
-    "wall_fk_missing": with_views("SELECT wall_id, count(*) AS n FROM v4 WHERE wall_id NOT IN (SELECT wall_id FROM v3 WHERE wall_id % 7 <> 0) GROUP BY wall_id", "v3", "v4"),
+    "wall_fk_missing": with_views("SELECT wall_id, count(*) AS n FROM v4 WHERE wall_id NOT IN (SELECT wall_id FROM v3 WHERE tau = 0) GROUP BY wall_id", "v3", "v4"),
     "frame_split": with_views(
         f"""WITH {GEOMETRY}, f AS (SELECT t.wall_id, area, EXISTS (SELECT 1 FROM v3 WHERE v3.wall_id = t.wall_id AND layer_idx = 0 AND v3.wall_id % 10 = 0) AS framed FROM t)
         SELECT wall_id, round(sum(CASE WHEN framed THEN 0.25e0 * 1.8e0 * area ELSE 0e0 END), 3) + 0e0 AS g_frame, round(sum(CASE WHEN framed THEN area * 0.75e0 ELSE area END), 3) + 0e0 AS area FROM f GROUP BY wall_id""", "v3", "v4"),
@@ -211,7 +211,7 @@ ORACLES = {
         s AS (SELECT *, CASE WHEN area < 1e-9 THEN 'degenerate' WHEN overlap <= 1e-9 THEN 'kept' WHEN overlap / (area + 48e0 - overlap) > 0.3e0 OR area - overlap < 1e0 THEN 'self' ELSE 'clipped' END AS status FROM o)
         SELECT cand_id, status, round(CASE WHEN status IN ('kept', 'clipped') THEN area - overlap ELSE 0e0 END, 6) + 0e0 AS outside FROM s""", "v5"),
     "upsert_catalogue": with_views(
-        """WITH b AS (SELECT wall_id, e, lam FROM v3 WHERE layer_idx = 0), c AS (SELECT wall_id + 30 AS wall_id, e * 2e0 AS e, lam FROM b WHERE wall_id % 3 = 0)
+        """WITH b AS (SELECT wall_id, e, lam FROM v3 WHERE layer_idx = 0), c AS (SELECT wall_id + 30 AS wall_id, e * 2e0 AS e, lam FROM b WHERE e > 0.15e0)
         SELECT wall_id, round(CASE WHEN c.wall_id IS NOT NULL THEN c.e ELSE b.e END, 6) + 0e0 AS e, round(CASE WHEN c.wall_id IS NOT NULL THEN c.lam ELSE b.lam END, 6) + 0e0 AS lam
         FROM b FULL OUTER JOIN c USING (wall_id)""", "v3"),
 }

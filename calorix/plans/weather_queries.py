@@ -64,10 +64,9 @@ def local_azimuth(spark, sf_dir):
 
 
 def weather_solar_hours(spark, sf_dir):
-    """Clean hours at one site with local sun position and film coefficient."""
-    w = Warehouse(spark, sf_dir)
-    one = sun(w).where("site_id = 1")
-    return one.select(
+    """Clean hours at every site with local sun position and film coefficient."""
+    return sun(Warehouse(spark, sf_dir)).select(
+        "site_id",
         "hour_index",
         *[tidy(c).alias(c) for c in ("t_ext", "e_dir", "e_dif", "wind_m_s")],
         tidy(solar.local_azimuth(F.col("azimuth"), F.col("north_offset_deg")), 5).alias("sun_azimuth"),
@@ -151,10 +150,10 @@ R6 = lambda *cols: ", ".join(f"round({c}, 6) + 0e0 AS {c}" for c in cols)  # noq
 QUERIES = {f.__name__: f for f in (weather_solar_hours, weather_assemble, weather_missing_count, tmy_hour_index, solar_position, local_azimuth, h_e_from_wind, boundary_combos, geo_project, geo_roundtrip, country_filter, bbox_search_topk, prefix_cap, source_fallback, base_altitude)}
 ORACLES = {
     "weather_solar_hours": with_views(
-        f"""WITH {CLAMPED_SQL}, s AS (SELECT * FROM v2 WHERE site_id = 1), {SUN_SQL},
+        f"""WITH {CLAMPED_SQL}, s AS (SELECT * FROM v2), {SUN_SQL},
         l AS (SELECT *, radians(azimuth) AS a, radians(north_offset_deg) AS t FROM z),
         m AS (SELECT *, degrees(atan2(sin(a)*cos(t) - cos(a)*sin(t), sin(a)*sin(t) + cos(a)*cos(t))) AS q FROM l)
-        SELECT hour_index, {R6('t_ext', 'e_dir', 'e_dif', 'wind_m_s')}, round(CASE WHEN q < 0 THEN q + 360e0 ELSE q END, 5) + 0e0 AS sun_azimuth,
+        SELECT site_id, hour_index, {R6('t_ext', 'e_dir', 'e_dif', 'wind_m_s')}, round(CASE WHEN q < 0 THEN q + 360e0 ELSE q END, 5) + 0e0 AS sun_azimuth,
         round(elevation, 5) + 0e0 AS sun_elevation, round(5.8e0 + 3.94e0 * greatest(round_even(wind_m_s, 0), 0e0), 6) * (CASE WHEN wind_m_s IS NULL THEN NULL ELSE 1e0 END) + 0e0 AS h_e FROM m""", "v1", "v2"),
     "weather_assemble": with_views(f"WITH {CLAMPED_SQL} SELECT hour_index, {R6('t_ext', 'e_dir', 'e_dif', 'wind_m_s')} FROM w", "v1"),
     "weather_missing_count": with_views(
