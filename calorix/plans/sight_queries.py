@@ -124,3 +124,21 @@ ORACLES = {
           UNION ALL SELECT 'panel', CAST(obj AS BIGINT), sqrt(cx*cx+cy*cy), 2 FROM v6),
         t AS (SELECT *, sum(n) OVER (ORDER BY dist, kind, item) AS s FROM u) SELECT kind, item, CAST(s - n AS BIGINT) AS n_offset FROM t WHERE s <= 20000""", "v5", "v6"),
 }
+
+
+def height_resolve(spark, sf_dir):
+    """Heights from free-text measures: the number, else storeys, else the default, and crown radii."""
+    from calorix.sources import readers
+
+    events = Warehouse(spark, sf_dir).table("events")
+    h = readers.first_number(F.col("props"))
+    height, rough = readers.height_of(h, F.col("user_id") % 7 + 0.0)
+    radius = readers.crown_radius(h, F.col("value"))
+    return events.select("event_id", tidy(height, 4).alias("height"), rough.alias("approx"), tidy(radius, 4).alias("radius"))
+
+
+QUERIES["height_resolve"] = height_resolve
+ORACLES["height_resolve"] = """WITH v AS (SELECT event_id, nullif(CAST(nullif(regexp_extract(props, '([-+]?\\d*\\.?\\d+)', 1), '') AS DOUBLE), 0e0) AS h,
+  nullif(CAST(user_id % 7 AS DOUBLE), 0e0) AS s, nullif(value, 0e0) AS c FROM events)
+SELECT event_id, round(coalesce(h, s * 3e0, 6e0), 4) + 0e0 AS height, h IS NULL AS approx,
+round(coalesce(h / 2e0, CASE WHEN c IS NOT NULL THEN greatest(1.5e0, least(8e0, c * 2.5e0)) END, 3e0), 4) + 0e0 AS radius FROM v"""

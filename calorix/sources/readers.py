@@ -130,7 +130,7 @@ def decimal(text: Column) -> Column:
 
 def delimited(spark: SparkSession, path: str, names: tuple[str, ...], required: int) -> DataFrame:
     """Lines of numbers, separated by semicolons if the line has one, else commas; lines that lack a required number are dropped."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
     parts = F.split("value", F.when(F.contains("value", F.lit(";")), ";").otherwise(","))
     rows = lines.withColumn("p", parts).select("line", *[decimal(F.get("p", F.lit(i))).alias(n) for i, n in enumerate(names)])
     kept = rows.dropna(subset=list(names[:required]))
@@ -157,7 +157,7 @@ def schedule_text(spark: SparkSession, path: str) -> DataFrame:
 
 def obj_triangles(spark: SparkSession, path: str) -> DataFrame:
     """Triangles of an OBJ file with the group in force; faces of more corners are cut into fans."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
     w = Window.orderBy("line")
     words = F.split(F.trim("value"), r"\s+")
     named = lines.select("line", words.alias("w")).withColumn("grp", F.last_value(F.when(F.col("w")[0].isin("g", "o"), F.get("w", F.lit(1))), F.lit(True)).over(w))
