@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from calorix.llm import bpe, cover, golomb_dedup, langid, mixing, pii, pitman_yor, secrets, simhash
+from calorix.llm import bpe, cover, golomb_dedup, langid, mixing, pii, pitman_yor, quality, secrets, simhash
 
 QUERIES = {
     "op1_cover_tree_near_vectors": cover.query,
     "op2_secret_scan": secrets.query,
     "op3_language_id": langid.query,
+    "op4_ordinal_quality": quality.query,
     "op5_simhash_near_dedup": simhash.query,
     "op6_golomb_exact_dedup": golomb_dedup.query,
     "op8_mix_sources": mixing.query,
