@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from calorix.llm import bpe, langid, mixing, pitman_yor, registry
+from calorix.llm import bpe, langid, mixing, pitman_yor, quality, registry, simhash
 from tests.llm.fixtures import awkward, empty
 
 SF = "/root/testdata/sf0.001"
@@ -23,6 +23,10 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+def print_of(text):
+    return simhash.fingerprint(text.translate(LOWER).encode())
+
+
 def crc(i, n):
     return zlib.crc32(str(i).encode()) % n
 
@@ -173,8 +177,9 @@ def test_every_latin_character_encodes_like_the_library():
 
 def test_forced_cuts_exist_and_are_certain():
     own = bpe.encoder(bpe.default_path())
-    text = "".join(random.Random(3).choice("abcdefqxzj") for _ in range(3000))
-    symbols = own.symbols(text, True)
+    rng = random.Random(3)
+    text = "".join(rng.choice("abqxéжλ中ñ") for _ in range(3000))
+    symbols = own.symbols("".join(own.bytes[b] for b in text.encode()), True)
     assert any((a, b) not in own.adjacent for a, b in zip(symbols, symbols[1:]))
     assert [i for w in own.encode(text) for i in w] == own.library.encode(text, add_special_tokens=False).ids
 
@@ -188,8 +193,40 @@ def test_bpe_digests(spark):
     assert bpe.token_digests(bpe.encode_texts(empty(spark), bpe.default_path())).count() == 0
 
 
+def test_quality_of_held_out_ratings(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rated = quality.graded_labels(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
+    model = quality.learn(docs, rated.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 0))
+    assert (np.diff(model.thresholds) > 0).all()
+    out = quality.grade(docs.select("doc_id", "text"), model).join(rated, "doc_id").toPandas()
+    assert ((out["tail_prob"] >= 0) & (out["expected_grade"] <= 2)).all()
+    held = out[out["doc_id"].map(lambda i: crc(i, 4) == 0)]
+    good, bad = held[held["grade"] == 2], held[held["grade"] < 2]
+    assert good["keep"].mean() > 0.9 and good["expected_grade"].mean() > bad["expected_grade"].mean() + 0.5
+
+
+def test_quality_edges(spark):
+    docs = awkward(spark)
+    none = spark.createDataFrame([], "doc_id long, grade int")
+    assert quality.grade(docs, quality.learn(docs, none)).where("keep and tail_prob is null").count() == docs.count()
+    one = spark.createDataFrame([(3, 1), (4, 1), (None, 0), (5, None)], "doc_id long, grade int")
+    assert quality.learn(docs, one) is None
+    two = spark.createDataFrame([(3, 0), (4, 1), (5, 1), (6, 0), (6, 0)], "doc_id long, grade int")
+    assert quality.grade(docs.withColumnRenamed("ids", "keep"), quality.learn(docs, two)).count() == docs.count()
+    assert quality.grade(empty(spark), quality.learn(empty(spark), two)).count() == 0
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [r["text"] for r in docs.where("length(text) > 2000").collect()]
+    # Near copies within the radius: whole texts without their last words.
+    near = [t.rsplit(" ", k)[0] for t in texts for k in (1, 2)]
+    far = lambda a, b: (print_of(a) ^ print_of(b)).bit_count()
+    near = [n for n, t in zip(near, [t for t in texts for _ in (1, 2)]) if 1 <= far(n, t) <= 2]
+    assert near
+    docs = docs.union(spark.createDataFrame([(5000 + i, t, "en", "src1", len(t)) for i, t in enumerate(near)], docs.schema))
+    docs.write.parquet(f"{tmp_path}/in/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/in/documents.parquet")
     columns, ids = docs.columns, [{r["doc_id"] for r in docs.select("doc_id").collect()}]
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
@@ -199,8 +236,8 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
         assert ids[-1] <= ids[-2]
         if name != corpus_pipeline.STAGES[-1][0]:
             assert docs.columns == columns
-    assert len(ids[3]) < len(ids[2]) <= len(ids[1])
-    assert corpus_pipeline.run(spark, SF).count() == docs.count()
+    assert len(ids[2]) < len(ids[1]) and ids[3] <= ids[2] - set(range(5000, 5000 + len(near)))
+    assert corpus_pipeline.run(spark, f"{tmp_path}/in").count() == docs.count()
 
 
 def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path):
