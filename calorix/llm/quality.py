@@ -163,11 +163,11 @@ def learn(docs: DataFrame, ratings: DataFrame) -> OrdinalModel | None:
 
 
 def grade(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
-    """docs with expected_grade, tail_prob (of the highest grade) and keep."""
-    added = ("expected_grade", "tail_prob", "keep")
+    """docs with expected_grade, tail_prob (of the highest grade) and kept."""
+    added = ("expected_grade", "tail_prob", "kept")
     spare = [c for c in docs.columns if c not in added]
     if model is None:
-        return docs.select(*spare, F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail_prob"), F.lit(True).alias("keep"))
+        return docs.select(*spare, F.lit(None).cast("double").alias("expected_grade"), F.lit(None).cast("double").alias("tail_prob"), F.lit(True).alias("kept"))
     spread = docs.sparkSession.sparkContext.broadcast(OrdinalModel(model.weights.astype(np.float32), model.thresholds))  # of fixed size
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def grade(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
 
     narrow = docs.select(*spare)
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in narrow.schema)
-    return narrow.mapInArrow(score, f"{schema}expected_grade double, tail_prob double, keep boolean")
+    return narrow.mapInArrow(score, f"{schema}expected_grade double, tail_prob double, kept boolean")
 
 
 def graded_labels(labels: DataFrame) -> DataFrame:

@@ -202,17 +202,17 @@ def test_quality_of_held_out_ratings(spark):
     assert ((out["tail_prob"] >= 0) & (out["expected_grade"] <= 2)).all()
     held = out[out["doc_id"].map(lambda i: crc(i, 4) == 0)]
     good, bad = held[held["grade"] == 2], held[held["grade"] < 2]
-    assert good["keep"].mean() > 0.9 and good["expected_grade"].mean() > bad["expected_grade"].mean() + 0.5
+    assert good["kept"].mean() > 0.9 and good["expected_grade"].mean() > bad["expected_grade"].mean() + 0.5
 
 
 def test_quality_edges(spark):
     docs = awkward(spark)
     none = spark.createDataFrame([], "doc_id long, grade int")
-    assert quality.grade(docs, quality.learn(docs, none)).where("keep and tail_prob is null").count() == docs.count()
+    assert quality.grade(docs, quality.learn(docs, none)).where("kept and tail_prob is null").count() == docs.count()
     one = spark.createDataFrame([(3, 1), (4, 1), (None, 0), (5, None)], "doc_id long, grade int")
     assert quality.learn(docs, one) is None
     two = spark.createDataFrame([(3, 0), (4, 1), (5, 1), (6, 0), (6, 0)], "doc_id long, grade int")
-    assert quality.grade(docs.withColumnRenamed("ids", "keep"), quality.learn(docs, two)).count() == docs.count()
+    assert quality.grade(docs.drop("kept").withColumnRenamed("ids", "tail_prob"), quality.learn(docs, two)).count() == docs.count()
     assert quality.grade(empty(spark), quality.learn(empty(spark), two)).count() == 0
 
 
