@@ -187,3 +187,28 @@ ORACLES = {
     "series_generators": """SELECT 'wave' AS series, CAST(i AS INT) AS seq, round(10e0 + 8e0 * sin(2e0 * pi() * (i % 24 - 9) / 24e0), 5) + 0e0 AS value FROM range(168) t(i)
         UNION ALL SELECT 'constant', CAST(i AS INT), 20e0 FROM range(168) t(i) UNION ALL SELECT 'schedule', CAST(i AS INT), CASE WHEN i >= 7 AND i < 19 THEN 90e0 ELSE 15e0 END FROM range(24) t(i)""",
 }
+
+
+def hour_calendar(spark, sf_dir):
+    """Kept hours by weekday and hour of day, with their mean temperature."""
+    from calorix.functions import display
+
+    _, weekday, hour = display.hour_parts(F.col("hour_index"), F.lit(0))
+    hours = weather_queries.assembled(Warehouse(spark, sf_dir))
+    return hours.groupBy(weekday.cast("int").alias("weekday"), hour.cast("int").alias("hour")).agg(F.count(F.lit(1)).alias("n"), tidy(F.avg("t_ext"), 4).alias("t_mean"))
+
+
+def closed_schedules(spark, sf_dir):
+    """The 24 slots of closed days with their ventilation conductance."""
+    from calorix.functions import display
+
+    slots = display.closed_schedule(Warehouse(spark, sf_dir).schedule())
+    return slots.select("slot", tidy("debit").alias("debit"), tidy("gains").alias("gains"), "shut", tidy(physics.ventilation_conductance(F.col("debit"), F.col("eta"))).alias("g_vent"))
+
+
+QUERIES |= {f.__name__: f for f in (hour_calendar, closed_schedules)}
+ORACLES |= {
+    "hour_calendar": with_views(
+        f"WITH {weather_queries.CLAMPED_SQL} SELECT CAST(CAST(floor(hour_index / 24e0) AS BIGINT) % 7 AS INT) AS weekday, CAST(hour_index % 24 AS INT) AS hour, count(*) AS n, round(avg(t_ext), 4) + 0e0 AS t_mean FROM w GROUP BY 1, 2", "v1"),
+    "closed_schedules": with_views("SELECT slot, round(debit * 0.15e0, 6) + 0e0 AS debit, 0e0 AS gains, shut, round(0.34e0 * (debit * 0.15e0) * (1e0 - eta), 6) + 0e0 AS g_vent FROM v8", "v8"),
+}

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from calorix.functions import display
 from calorix.operators import constraints, footprints, meshes
 
 RING = f"id int, ring array<{footprints.POINT}>, height double, base double"
@@ -56,3 +57,12 @@ def test_checks(spark):
     assert constraints.free_of_jobs(jobs, "sim").first()["free"] and not constraints.free_of_jobs(jobs).first()["free"]
     a, b = (constraints.content_version(faces.coalesce(n).withColumn("m", F.lit(1)), "m", ["v0", "v1", "v2"]).first()["version"] for n in (1, 2))
     assert a == b
+
+
+def test_display_values(spark):
+    r = spark.range(1).select(
+        *display.hour_parts(F.lit(-1), F.lit(0)), display.air_flow(F.lit(10.0), F.lit(0.125)), display.per_area(F.lit(4.0), F.lit(0.0)), display.ramp(F.lit(5.0), F.lit(0.0), F.lit(10.0), "#000000", "#ff8000"), display.ticks(F.lit(0.0), F.lit(1.0), 4)
+    ).first()
+    assert list(r)[:3] == [-1, 6, 23] and r[3] == 1.3 and r[4] is None and r[5] == "#804000" and r[6] == [0, 0.25, 0.5, 0.75, 1]
+    departments, users = display.sample_entities(spark)
+    assert departments.count() == users.count() == 3
