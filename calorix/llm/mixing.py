@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from calorix.llm.shared import BROADCAST_ROWS, materialise
+
 #: Weights by rank of the source, repeating.
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -56,8 +58,9 @@ def hashed_uniform(key):
 def plan_mix(docs: DataFrame) -> DataFrame:
     """docs with size, source_size, target and n_copies."""
     sized = docs.withColumn("size", word_count(F.col("text")))
-    shares = targets(sized.select("source", "size")).withColumnRenamed("source", "__source")
-    # Broadcast is left to the planner's own size check: one row per source.
+    shares = materialise(targets(sized.select("source", "size")), "targets").withColumnRenamed("source", "__source")
+    # One row per source: broadcast if they are few, so that texts aren't dealt out by a source that may hold most of them.
+    shares = F.broadcast(shares) if shares.count() <= BROADCAST_ROWS else shares
     planned = sized.join(shares, sized["source"].eqNullSafe(shares["__source"])).drop("__source")
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MAX_REPEAT)))).otherwise(0.0)
     whole = F.floor(rate)
