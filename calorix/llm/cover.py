@@ -29,7 +29,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +40,13 @@ THRESHOLD = 0.9
 #: Classes sampled for the coarsest level (by hash), and its centres.
 SAMPLE, CENTRES = 4096, 64
 #: Most classes of a block: a task holds two blocks.
-BLOCK = 4096
-#: Radii of the levels inside a block.
-RADII = (1.0, 0.5, 0.25, 0.125)
+BLOCK = 8192
+#: Radii of the levels inside a block: coarser ones than the link radius (0.447) would prune nothing there.
+RADII = (0.5, 0.25, 0.125, 0.0625)
 #: Node or point pairs compared at once.
 PAIRS_AT_ONCE = 1 << 18
 SLACK = 1e-6
+COARSE_SLACK = 1e-4
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -79,45 +79,52 @@ def cover(points: np.ndarray, radius: float) -> np.ndarray:
     return np.array(centres)
 
 
+def grow(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tree order of the points, and in that order each point's node on every level and whether it is that node's centre."""
+    order, runs = np.arange(len(points)), [(0, len(points))]
+    nodes, centres = np.zeros((len(points), len(RADII)), np.int32), np.zeros((len(points), len(RADII)), bool)
+    central = np.zeros((len(points), len(RADII)), bool)  # by row number
+    for level, radius in enumerate(RADII):
+        found = []
+        for a, b in runs:
+            rows = order[a:b]
+            if b - a == 1:
+                central[rows[0], level] = True
+                found.append((a, b))
+                continue
+            own = cover(points[rows], radius)
+            nearest = np.concatenate([distances(points[rows[i : i + 1024]], points[rows[own]]).argmin(1) for i in range(0, len(rows), 1024)])
+            nearest[own] = np.arange(len(own))  # a centre stays in its own node
+            central[rows[own], level] = True
+            order[a:b] = rows[np.argsort(nearest, kind="stable")]
+            ends = a + np.cumsum(np.bincount(nearest, minlength=len(own)))
+            found += zip([a, *ends[:-1].tolist()], ends.tolist())
+        runs = found
+        for n, (a, b) in enumerate(runs):
+            nodes[a:b, level] = n
+    centres = central[order]
+    return order, nodes, centres
+
+
 class CoverTree:
-    """Levels of nodes over a block's unit vectors: nodes are runs of the reordered rows."""
+    """Levels of nodes over a block's unit vectors, which are in tree order: a node is a run of rows."""
 
-    def __init__(self, points: np.ndarray):
-        order = np.arange(len(points))
-        runs = np.array([[0, len(points)]])
+    def __init__(self, points: np.ndarray, nodes: np.ndarray, centres: np.ndarray):
+        self.points = points
         #: per level: starts, ends, centre vectors, covering radii, and first child and number of children in the next level
         self.levels: list[dict[str, np.ndarray]] = []
-        for radius in RADII:
-            starts, ends, parents, centres = [], [], [], []
-            new_order = order.copy()
-            for p, (a, b) in enumerate(runs):
-                rows = order[a:b]
-                if b - a == 1:
-                    starts.append(a), ends.append(b), parents.append(p), centres.append(rows[0])
-                    continue
-                own = cover(points[rows], radius)
-                nearest = np.concatenate([distances(points[rows[i : i + 1024]], points[rows[own]]).argmin(1) for i in range(0, len(rows), 1024)])
-                by = np.argsort(nearest, kind="stable")
-                new_order[a:b] = rows[by]
-                counts = np.bincount(nearest, minlength=len(own))
-                ends_here = a + np.cumsum(counts)
-                there = counts > 0
-                starts += (ends_here - counts)[there].tolist()
-                ends += ends_here[there].tolist()
-                parents += [p] * int(there.sum())
-                centres += rows[own[there]].tolist()
-            order = new_order
-            runs = np.array([starts, ends]).T
-            if self.levels:
-                first = np.searchsorted(parents, np.arange(len(self.levels[-1]["start"])))
-                self.levels[-1] |= {"child": first, "children": np.bincount(parents, minlength=len(first))}
-            self.levels.append({"start": runs[:, 0], "end": runs[:, 1], "centre": points[centres]})
-        self.order, self.points = order, points[order]
-        for level in self.levels:
-            sizes = level["end"] - level["start"]
-            node = np.repeat(np.arange(len(sizes)), sizes)
-            far = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", self.points, level["centre"][node]), 0))
-            level["radius"] = np.maximum.reduceat(far, level["start"])
+        for level in range(len(RADII)):
+            start = np.flatnonzero(np.diff(nodes[:, level], prepend=-1))
+            end = np.append(start[1:], len(points))
+            at = np.flatnonzero(centres[:, level])
+            far = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", points, points[np.repeat(at, end - start)]), 0))
+            far[at] = 0
+            radius = np.maximum.reduceat(far, start)
+            self.levels.append({"start": start, "end": end, "centre": points[at], "radius": radius})
+            if level:
+                up = self.levels[level - 1]
+                first = np.searchsorted(start, up["start"])
+                up |= {"child": first, "children": np.diff(np.append(first, len(start)))}
 
 
 def expand(first: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,7 +181,7 @@ def traverse(a: CoverTree, b: CoverTree, offset: int, same: bool, threshold: flo
         if same:
             keep = left < right
             left, right = left[keep], right[keep]
-        links.add(a.order[left], b.order[right] + offset)
+        links.add(left, right + offset)
 
     def exact(left: np.ndarray, right: np.ndarray) -> None:
         for i in range(0, len(left), 1 << 15):
@@ -206,12 +213,19 @@ def traverse(a: CoverTree, b: CoverTree, offset: int, same: bool, threshold: flo
                 walk(depth + 1, below())
 
     def top() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        ca, cb = a.levels[0]["centre"], b.levels[0]["centre"]
-        step = max(1, PAIRS_AT_ONCE * 8 // max(1, len(cb)))
-        for at in range(0, len(ca), step):
-            d = distances(ca[at : at + step], cb)
-            i, j = np.nonzero(d <= r + a.levels[0]["radius"][at : at + step, None] + b.levels[0]["radius"] + SLACK)
-            yield i + at, j, d[i, j]
+        """Pairs of the coarsest nodes within reach: found in single precision with slack, then measured in double."""
+        ca, cb, ra, rb = a.levels[0]["centre"], b.levels[0]["centre"], a.levels[0]["radius"], b.levels[0]["radius"]
+        least = lambda reach: 1 - reach * reach / 2 - COARSE_SLACK
+        right, wide = cb.T.astype(np.float32), np.flatnonzero(rb > 0)
+        for at in range(0, len(ca), 1024):
+            own = ra[at : at + 1024]
+            cosine = ca[at : at + 1024].astype(np.float32) @ right
+            near = cosine >= np.float32(least(r))
+            near[:, wide] = cosine[:, wide] >= least(r + own[:, None] + rb[wide]).astype(np.float32)
+            for i in np.flatnonzero(own > 0):
+                near[i] = cosine[i] >= least(r + own[i] + rb).astype(np.float32)
+            i, j = np.nonzero(near)
+            yield i + at, j, np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", ca[i + at], cb[j]), 0))
 
     walk(0, top())
 
@@ -293,33 +307,60 @@ def placed(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return in_cells.join(F.broadcast(table), "cell").select("node", "times", "v", block.alias("block")), pairs  # at most CENTRES rows per length
 
 
+def grown(members: DataFrame) -> DataFrame:
+    """Members with their place in their block's tree: built once per block, however many blocks it meets."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema)
+    added = [("size", pa.int32()), ("place", pa.int32()), ("levels", pa.list_(pa.int32())), ("centres", pa.list_(pa.bool_()))]
+
+    def build(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        out = []
+        for at, rows in matrices(table.column("v").chunk(0)):
+            order, nodes, centres = grow(unit(rows))
+            sizes = pa.array(np.full(len(at), rows.shape[1]), pa.int32())
+            lists = [pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1), t.value_type), len(RADII)).cast(t) for x, (_, t) in ((nodes, added[2]), (centres, added[3]))]
+            part = table.take(pa.array(at[order]))
+            for (name, _), column in zip(added, [sizes, pa.array(np.arange(len(at)), pa.int32()), *lists]):
+                part = part.append_column(name, column)
+            out.append(part)
+        return pa.concat_tables(out)
+
+    return members.groupBy("block").applyInArrow(build, f"{fields}, size int, place int, levels array<int>, centres array<boolean>")
+
+
 def pair_links(members: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """(node, n, root) for every class with links in a pair of blocks."""
     sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        i, j = group["i"].iloc[0], group["j"].iloc[0]
-        out = []
-        for n, rows in group.groupby(group["v"].map(len)):
-            sides = [rows[rows.block == i], rows[rows.block == j]]
-            if i == j or len(sides[0]) and len(sides[1]):
-                both = sides[:1] if i == j else sides
-                ids = np.concatenate([s["node"].to_numpy() for s in both])
-                trees = [CoverTree(unit(np.stack(s["v"].to_list()).astype(float))) for s in both]
-                links = Links(np.concatenate([s["times"].to_numpy() for s in both]))
+    def compare(table: pa.Table) -> pa.Table:
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        table, found = table.combine_chunks(), []
+        of_block, size = table.column("block").to_numpy(), table.column("size").to_numpy()
+        for n in np.unique(size):
+            sides = []
+            for block in (i,) if i == j else (i, j):
+                rows = np.flatnonzero((of_block == block) & (size == n))
+                rows = rows[np.argsort(table.column("place").to_numpy()[rows])]
+                sides.append(table.take(pa.array(rows)).combine_chunks())
+            if all(len(s) for s in sides):
+                square = lambda c, w: c.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, w)
+                trees = [CoverTree(unit(square(s.column("v"), n).astype(float)), square(s.column("levels"), len(RADII)), square(s.column("centres"), len(RADII))) for s in sides]
+                ids, times = (np.concatenate([s.column(c).to_numpy() for s in sides]) for c in ("node", "times"))
+                links = Links(times)
                 traverse(trees[0], trees[-1], 0 if i == j else len(sides[0]), i == j, threshold, links)
                 hit = np.flatnonzero(links.count)
-                out.append(pd.DataFrame({"node": ids[hit], "n": links.count[hit], "root": ids[links.root(hit)]}))
-        return pd.concat(out) if out else pd.DataFrame({"node": [], "n": [], "root": []}).astype("int64")
+                found.append((ids[hit], links.count[hit], ids[links.root(hit)]))
+        columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(3)]
+        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("node", "n", "root"), columns)})
 
-    return members.join(sides, "block").groupBy("i", "j").applyInPandas(compare, "node long, n long, root long")
+    return members.join(sides, "block").groupBy("i", "j").applyInArrow(compare, "node long, n long, root long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
     classes = materialise(valid_classes(vectors), "classes")
     members, pairs = placed(classes)
-    links = materialise(pair_links(members, pairs, threshold), "vector-links")
+    links = materialise(pair_links(materialise(grown(members), "trees"), pairs, threshold), "vector-links")
     found = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     # Representatives are least ids of their classes, so a component's least node is its least vector.
     counts = links.groupBy("node").agg(F.sum("n").alias("n"))
