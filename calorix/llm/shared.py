@@ -47,6 +47,40 @@ def semi_or_anti(docs: DataFrame, keys: DataFrame, key: str, how: str, n_keys: i
     return docs.join(keys, docs[key].eqNullSafe(keys["__key"]), how)
 
 
+def text_digest() -> Column:
+    """XXH64 of the folded text: with doc_id it names a row's text where ids are null or repeated."""
+    return F.xxhash64(fold(F.col("text").cast("string"))).alias("digest")
+
+
+def one_of_each(docs: DataFrame, rows: DataFrame, group: str, best) -> DataFrame:
+    """The documents with one row of each group; ``rows`` has doc_id, digest and group of every one.
+
+    The row with the best (``F.min`` or ``F.max``) doc_id stays; a null id only
+    if all are null.  Of several with that id the one with the least digest stays,
+    of rows that repeat both the least one by its other columns.
+    """
+    # Ids of the wanted end sort first; a null id sorts after all others.
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), (F.col("doc_id") if best is F.min else F.bitwise_not("doc_id")).alias("at"), "digest", "doc_id")
+    keys = materialise(rows.groupBy(group, "doc_id", "digest").agg(F.count(F.lit(1)).alias("n")), "row-keys")
+    kept = keys.groupBy(group).agg(F.min(rank).alias("kept"), F.sum("n").alias("all")).where("all > 1")
+    shared = materialise(
+        keys.join(kept, group).select("doc_id", "digest", "n", (F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("digest") == F.col("kept.digest"))).alias("stays")),
+        "grouped-rows",
+    )
+    dropped, repeats = shared.where("not stays"), shared.where("stays and n > 1")
+
+    def met(part: DataFrame, keys: DataFrame, how: str, n: int) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__key"))
+        keys = F.broadcast(keys) if n <= BROADCAST_ROWS else keys
+        return part.join(keys, (part["__digest"] == keys["__key"]) & part["doc_id"].eqNullSafe(keys["__id"]), how)
+
+    marked = met(docs.withColumn("__digest", text_digest()), dropped, "left_anti", dropped.count())
+    if n := repeats.count():
+        once = met(marked, repeats, "left_semi", n).groupBy("doc_id", "__digest").agg(F.min(F.struct(*docs.columns)).alias("__row")).select("__row.*")
+        return met(marked, repeats, "left_anti", n).select(*docs.columns).unionByName(once)
+    return marked.select(*docs.columns)
+
+
 def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
     """Python strings of a text column, null as empty."""
     return pc.fill_null(column, "").to_pylist()

@@ -12,10 +12,20 @@ Defined results: a text without words (null, empty, blank) has fingerprint zero,
 linked like any other; equal fingerprints are one class; the component id is the
 least doc_id (null ids never count); repeated rows share their component; extra
 columns pass through the stage; an empty table gives an empty result.
+
+The pipeline's stage (``drop_similar``) goes by the texts instead: documents are
+linked whose sets of five-word shingles have a similarity (intersection over
+union) of 0.8 or more.  Candidates share a half-ball variant of one of several
+short SimHashes of independent bits; the number and length of these follow from
+the number of texts and the share of pairs to be found (``tables_for``).  In a
+bucket each text is compared with its neighbours in an order that the bucket
+shuffles and with the bucket's first, so that the pairs grow with the rows, not
+with the square of a bucket.  Each pair is then verified on both texts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,13 +36,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calorix.llm.components import components
-from calorix.llm.shared import folded, materialise, semi_or_anti
+from calorix.llm.shared import folded, materialise, one_of_each, semi_or_anti, text_digest
 
 SHINGLE = 3
 RADIUS = 2
 SEED = 42
 #: Shingles whose bits are counted at once, so that long texts need bounded memory.
 BITS_AT_ONCE = 65_536
+#: The stage's rule: words of a shingle and least similarity of near copies.
+STAGE_SHINGLE, SIMILARITY = 5, 0.8
+#: Share of the pairs of just that similarity that may not meet in any table.
+MISSED = 0.03
+#: Neighbours in a bucket with which a text is compared, besides the bucket's first.
+NEIGHBOURS = 6
+#: Standard deviations above the expected differing bits at which a pair is no candidate.
+SLACK = 3.5
 
 
 def fingerprint(text: bytes) -> int:
@@ -97,6 +115,131 @@ def drop_near(docs: DataFrame) -> DataFrame:
     return semi_or_anti(docs, dropped, "doc_id", "left_anti", dropped.count())
 
 
+def differing(similarity: float) -> float:
+    """The chance that a SimHash bit differs between two sets of equal size and this similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def most_bits(bits: int, similarity: float) -> int:
+    """Differing bits, of so many, that pairs of the similarity hardly ever exceed."""
+    p = differing(similarity)
+    return math.floor(bits * p + SLACK * math.sqrt(bits * p * (1 - p)))
+
+
+def tables_for(texts: int, similarity: float) -> tuple[int, int]:
+    """Number and bits of the short SimHashes: buckets hold about one unrelated text, and at most MISSED of the pairs meet in none."""
+    bits = min(30, max(16, math.ceil(math.log2(max(texts, 1))) + 4))
+    p = differing(similarity)
+    met = sum(math.comb(bits, n) * p**n * (1 - p) ** (bits - n) for n in range(3))
+    return math.ceil(math.log(MISSED) / math.log(1 - met)), bits
+
+
+def shingles(text: bytes, size: int) -> np.ndarray:
+    """The sorted distinct XXH64 of a lower-cased text's shingles; shorter texts are one shingle, blank ones none."""
+    words = text.split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = (np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
+    starts = [0, *(e + 1 for e in ends[:-size])]
+    return np.unique(np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])], np.uint64))
+
+
+def wide_print(hashes: np.ndarray, longs: int) -> np.ndarray:
+    """Majority bits (64 for each long) of the hashes, mixed anew for each long."""
+    ones, steps = np.zeros(64 * longs, np.int64), np.arange(1, longs + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), BITS_AT_ONCE // longs):
+        x = hashes[at : at + BITS_AT_ONCE // longs, None] + steps
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones += np.unpackbits(x.view(np.uint8).reshape(len(x), -1), axis=1).sum(0, dtype=np.int32)
+    return 2 * ones > len(hashes)
+
+
+def sketches(docs: DataFrame, size: int, tables: int, bits: int) -> DataFrame:
+    """doc_id, digest, node (32 SimHash bits before 32 of the set's hash), tables (the short SimHashes) and print (all bits) of every row."""
+    longs = -(-(32 + tables * bits) // 64)
+    weights = 1 << np.arange(bits, dtype=np.int64)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, short, prints = [], [], []
+            for text in folded(batch.column(2)):
+                hashes = shingles(text.as_buffer().to_pybytes(), size)
+                found = wide_print(hashes, longs)
+                prints.append(np.packbits(found).tobytes())
+                nodes.append(int.from_bytes(prints[-1][:4] + xxhash.xxh32_digest(hashes.tobytes(), SEED), "big", signed=True))
+                short.append((found[32 : 32 + tables * bits].reshape(tables, bits) @ weights).tolist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(nodes, pa.int64()), pa.array(short, pa.list_(pa.int64())), pa.array(prints, pa.binary())], ["doc_id", "digest", "node", "tables", "print"]
+            )
+
+    return docs.select(F.col("doc_id").cast("long"), text_digest(), F.col("text").cast("string")).mapInArrow(sketch, "doc_id long, digest long, node long, tables array<long>, print binary")
+
+
+def candidates(nodes: DataFrame, bits: int, similarity: float) -> DataFrame:
+    """Distinct (u, v) of nodes that meet in a bucket and whose prints differ in no more bits than similar texts' do."""
+    masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << b for b in range(bits))]])
+    short = nodes.select("node", F.posexplode("tables").alias("table", "short"))
+    rows = short.select("node", F.explode(F.transform(masks, lambda m: F.shiftleft(F.col("table").cast("long"), 32) + F.col("short").bitwiseXOR(m))).alias("bucket"))
+    order = Window.partitionBy("bucket").orderBy(F.col("node").bitwiseXOR(F.xxhash64("bucket")))
+    others = [F.lag("node", k).over(order) for k in range(1, NEIGHBOURS + 1)] + [F.first("node").over(order)]
+    near = lambda o: F.bit_count(F.shiftrightunsigned(o.bitwiseXOR(F.col("node")), 32)) <= most_bits(32, similarity)
+    met = rows.select("node", F.array(*others).alias("others")).select("node", F.explode(F.filter("others", lambda o: (o != F.col("node")) & near(o))).alias("other"))
+    return met.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs whose texts' sets of shingles are that similar."""
+
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (np.unpackbits(np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1) for i in (2, 3)) if batch.num_rows else (np.zeros((0, 1)),) * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array((a != b).sum(1) <= most_bits(a.shape[1], similarity)))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stays = []
+            for s, t in zip(folded(batch.column(2)), folded(batch.column(3))):
+                x, y = (shingles(z.as_buffer().to_pybytes(), size) for z in (s, t))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                stays.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(stays, pa.bool_()))
+
+    def beside(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+        for node in "uv":
+            pairs = pairs.join(values.select(F.col("node").alias(node), F.col(value).alias(f"{value}_{node}")), node)
+        return pairs.select("u", "v", f"{value}_u", f"{value}_v")
+
+    pairs = materialise(beside(pairs, nodes, "print").mapInArrow(alike, "u long, v long"), "near-pairs")
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    asked = materialise(nodes.join(asked, "node", "left_semi").select("node", "row.*"), "near-nodes")
+    texts = docs.select(F.col("doc_id").cast("long"), text_digest(), F.col("text").cast("string"))
+    same = texts["digest"].eqNullSafe(asked["digest"]) & texts["doc_id"].eqNullSafe(asked["doc_id"])
+    texts = materialise(texts.join(asked, same).groupBy("node").agg(F.min("text").alias("text")), "near-texts")
+    return beside(pairs, texts, "text").mapInArrow(exact, "u long, v long")
+
+
+def similar_groups(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, digest and component of every row: rows whose texts are that similar, by one or more steps, share it."""
+    tables, bits = tables_for(docs.count(), similarity)
+    known = materialise(sketches(docs, size, tables, bits), "sketches")
+    # Of rows with equal sets of shingles any will do: they are one node.
+    nodes = materialise(known.groupBy("node").agg(F.min(F.struct("digest", "doc_id")).alias("row"), F.min("tables").alias("tables"), F.min("print").alias("print")), "sketch-nodes")
+    pairs = materialise(candidates(nodes, bits, similarity), "candidates")
+    found = components(materialise(verified(pairs, nodes, docs, size, similarity), "near-links"))
+    placed = known.select("doc_id", "digest", "node").join(found, "node", "left")
+    return placed.select("doc_id", "digest", F.coalesce("component", "node").alias("component"))
+
+
+def drop_similar(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of similar texts stays: of the least doc_id (null comes last), then the least digest."""
+    return one_of_each(docs, materialise(similar_groups(docs, size, similarity), "near-groups"), "component", F.min)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: fingerprint and component of every document."""
     groups = near_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -10,6 +10,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from calorix.llm import cover, golomb_dedup, simhash
 from calorix.llm.components import components
 from tests.llm.fixtures import awkward, empty
@@ -162,3 +163,29 @@ def test_vector_edges(spark):
     assert cover.near_vectors(spark.createDataFrame([], schema)).count() == 0
     same = cover.near_vectors(spark.createDataFrame([(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "a"), (None, [1.0, 0.0], "b")], schema)).collect()
     assert sorted((r["vec_id"] or -1, r["n_links"], r["kept"]) for r in same) == [(-1, 0, False), (1, 1, True), (1, 1, True)]
+
+
+def similarity_by_hand(a, b):
+    sets = []
+    for text in (a, b):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text.translate(LOWER))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))})
+    return len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+
+
+def test_the_stage_drops_copies_of_similarity_at_least_0_8(spark):
+    rng = np.random.default_rng(5)
+    rows, near, far = [], [], []
+    for i in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 3000, 200)]
+        rows.append((i, " ".join(words)))
+        copy = list(words)
+        for at in rng.choice(200, 1 + i % 6, replace=False):
+            copy[at] = "edited"
+        rows.append((1000 + i, " ".join(copy)))
+        (near if similarity_by_hand(*(r[1] for r in rows[-2:])) >= 0.8 else far).append(1000 + i)
+    assert len(near) > 100 and len(far) > 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert left >= set(range(300)) | set(far)
+    assert len(left & set(near)) <= 0.04 * len(near)
