@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calorix.llm.shared import fold, folded, materialise, semi_or_anti
+from calorix.llm.shared import fold, folded, materialise, one_of_each, semi_or_anti
 
 #: Owners for each shuffle partition: more owners make smaller groups.
 OWNERS_PER_PARTITION = 2
@@ -128,8 +128,8 @@ def suspect_prints(sent: DataFrame, owners: int) -> DataFrame:
     return answered.mapInArrow(receive, "print long").distinct()
 
 
-def exact_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, print, keep_id, group_size, kept and text_sha256 of every row."""
     spark = docs.sparkSession
     owners = OWNERS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     known = materialise(digests(docs), "digests")
@@ -148,6 +148,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
     return known.join(classes, "text_sha256", "left").select(
         "doc_id",
+        "print",
         F.when(F.col("grouped"), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.when(F.col("grouped"), F.col("doc_id").eqNullSafe(F.col("keep_id"))).otherwise(True).alias("kept"),
@@ -155,10 +156,15 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
 
 
+def exact_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, keep_id, group_size, kept and text_sha256 of every row."""
+    return grouped(docs).drop("print")
+
+
 def drop_exact(docs: DataFrame) -> DataFrame:
-    """The documents without the copies that ``exact_groups`` drops."""
-    dropped = materialise(exact_groups(docs).where("not kept").select("doc_id"), "dropped")
-    return semi_or_anti(docs, dropped, "doc_id", "left_anti", dropped.count())
+    """One row of each text stays: of the largest doc_id (null comes last)."""
+    copies = grouped(docs).where("group_size > 1").select("doc_id", F.col("print").alias("digest"), "text_sha256")
+    return one_of_each(docs, copies, "text_sha256", F.max)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,11 +32,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calorix.llm.components import components
-from calorix.llm.shared import folded, materialise, one_of_each, semi_or_anti, text_digest
+from calorix.llm.shared import folded, materialise, one_of_each, text_digest
 
 SHINGLE = 3
 RADIUS = 2
@@ -70,15 +70,17 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(prints)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and print (the fingerprint as a long)."""
+def fingerprints(docs: DataFrame, *also: Column) -> DataFrame:
+    """doc_id and print (the fingerprint as a long), and other columns of longs."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *also)
+    names = ["doc_id", "print", *rows.columns[2:]]
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t.as_buffer().to_pybytes()) for t in folded(batch.column(1))], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "print"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(sketch, "doc_id long, print long")
+    return rows.mapInArrow(sketch, ", ".join(f"{n} long" for n in names))
 
 
 def half_ball(radius: int) -> list[int]:
@@ -98,21 +100,20 @@ def linked(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """doc_id, print and component_id of every row."""
-    known = materialise(fingerprints(docs), "prints")
+def near_groups(docs: DataFrame, radius: int = RADIUS, *also: Column) -> DataFrame:
+    """doc_id, print, other columns, component (its least print) and component_id of every row."""
+    known = materialise(fingerprints(docs, *also), "prints")
     distinct = materialise(known.groupBy("print").agg(F.min("doc_id").alias("least_id")), "distinct-prints")
     found = components(linked(distinct.select("print"), radius)).withColumnRenamed("node", "print")
     placed = distinct.join(found, "print", "left").withColumn("component", F.coalesce("component", "print"))
     ids = placed.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_print = placed.join(ids, "component").select("print", "component_id")
-    return known.join(of_print, "print").select("doc_id", "print", "component_id")
+    of_print = placed.join(ids, "component").select("print", "component", "component_id")
+    return known.join(of_print, "print").select(*known.columns, "component", "component_id")
 
 
 def drop_near(docs: DataFrame) -> DataFrame:
-    """One document of each group stays: the one with the least doc_id."""
-    dropped = materialise(near_groups(docs).where("doc_id <> component_id").select("doc_id"), "near-dropped")
-    return semi_or_anti(docs, dropped, "doc_id", "left_anti", dropped.count())
+    """One row of each group stays: of the least doc_id (null comes last), then the least digest."""
+    return one_of_each(docs, near_groups(docs, RADIUS, text_digest()), "component", F.min)
 
 
 def differing(similarity: float) -> float:

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 import corpus_pipeline
 from calorix.llm import cover, golomb_dedup, simhash
 from calorix.llm.components import components
+from calorix.llm.shared import text_digest
 from tests.llm.fixtures import awkward, empty
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -189,3 +190,20 @@ def test_the_stage_drops_copies_of_similarity_at_least_0_8(spark):
     left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
     assert left >= set(range(300)) | set(far)
     assert len(left & set(near)) <= 0.04 * len(near)
+
+
+@pytest.mark.parametrize("drop", [golomb_dedup.drop_exact, simhash.drop_near, simhash.drop_similar])
+def test_rows_drop_by_id_and_text(spark, drop):
+    texts = [" ".join(f"t{i}w{k}" for k in range(40)) for i in range(4)]
+    a, b, c, d = texts
+    # Null-id copy of a beside unique null-id b; ids 7 and 8 repeat, with other and with equal texts; nulls only have d.
+    rows = [(1, a), (None, a.upper()), (None, b), (7, a), (7, c), (8, "same row " * 9), (8, "same row " * 9), (None, d), (None, d)]
+    left = drop(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    best = 7 if drop is golomb_dedup.drop_exact else 1
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in left) == sorted([(best, a), (0, b), (7, c), (8, "same row " * 9), (0, d)])
+
+
+def test_digests_of_spark_and_python_agree(spark):
+    docs = spark.createDataFrame([(k, "Aé" * k) for k in range(70)] + [(None, None)], "doc_id long, text string")
+    there = {r["doc_id"]: r["digest"] for r in docs.select("doc_id", text_digest()).collect()}
+    assert there == {r["doc_id"]: r["print"] for r in golomb_dedup.digests(docs).collect()}
