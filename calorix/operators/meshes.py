@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -105,13 +108,61 @@ def _corner(t: Column, i: int) -> Column:
     return F.struct(*[t[f"{c}{i}"].alias(c) for c in "xyz"])
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written to the session's shared folder (a temporary one where it names none) and read back."""
+    there = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-mesh-', dir='/tmp')}"
+    path = f"{there}/mesh-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_pieces(triangles: DataFrame, digits: int = 5) -> DataFrame:
+    """Triangles with ``piece``: the least tri_id of those of the mesh that are reached over shared edges.
+
+    Corners are welded by rounding; an edge is its two corners in order, and one
+    without length joins nothing.  Components are found by star contractions, each
+    round written; only minima are gathered per edge or triangle.
+    """
+    place = lambda i: F.struct(*[F.floor(F.col(f"{c}{i}") * 10**digits + 0.5).alias(c) for c in "xyz"])
+    sides = F.array(*[F.struct(F.least(place(i), place(j)).alias("a"), F.greatest(place(i), place(j)).alias("b")) for i, j in ((0, 1), (1, 2), (2, 0))])
+    edges = triangles.select("mesh_id", "tri_id", F.explode(sides).alias("edge")).where("edge.a <> edge.b")
+    first = edges.groupBy("mesh_id", "edge").agg(F.min("tri_id").alias("v"), F.max("tri_id").alias("last")).where("v < last").drop("last")
+    links = written(edges.join(first, ["mesh_id", "edge"]).where("tri_id > v").select("mesh_id", F.col("tri_id").alias("u"), "v").distinct())
+
+    def to_least(pairs: DataFrame) -> DataFrame:
+        least = pairs.groupBy("mesh_id", "u").agg(F.min("v").alias("m")).select("mesh_id", "u", F.least("u", "m").alias("m"))
+        return pairs.join(least, ["mesh_id", "u"])
+
+    seen, state = None, links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("mesh_id", "u", "v").cast("decimal(38,0)"))).first()
+    while state[0] and state != seen:
+        seen, both = state, links.union(links.select("mesh_id", F.col("v").alias("u"), F.col("u").alias("v")))
+        met = to_least(to_least(both).where("v > u").select("mesh_id", F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        links = written(met.where("v <> m").select("mesh_id", F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("mesh_id", "u", F.col("m").alias("v"))).distinct())
+        state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("mesh_id", "u", "v").cast("decimal(38,0)"))).first()
+    found = links.select("mesh_id", F.col("u").alias("tri_id"), F.col("v").alias("__piece"))
+    return triangles.join(found, ["mesh_id", "tri_id"], "left").withColumn("piece", F.coalesce("__piece", "tri_id")).drop("__piece")
+
+
+def vertices_after(triangles: DataFrame, digits: int = 5) -> DataFrame:
+    """mesh_id and its vertices n after each piece's rounds: every round adds one on each edge, and edges double with three more in each triangle."""
+    place = lambda i: F.struct(*[F.floor(F.col(f"{c}{i}") * 10**digits + 0.5).alias(c) for c in "xyz"])
+    sides = F.array(*[F.struct(F.least(place(i), place(j)).alias("a"), F.greatest(place(i), place(j)).alias("b")) for i, j in ((0, 1), (1, 2), (2, 0))])
+    first = triangles.select("mesh_id", F.explode(F.array(*map(place, range(3)))).alias("at")).distinct().groupBy("mesh_id").agg(F.count(F.lit(1)).alias("first"))
+    edges = triangles.select("mesh_id", "piece", F.explode(sides).alias("edge")).distinct().groupBy("mesh_id", "piece").agg(F.count(F.lit(1)).alias("e"))
+    pieces = triangles.groupBy("mesh_id", "piece").agg(F.max("rounds").alias("rounds"), F.count(F.lit(1)).alias("t")).join(edges, ["mesh_id", "piece"])
+    two, four = (F.pow(F.lit(b), "rounds") - 1 for b in (2.0, 4.0))
+    return pieces.groupBy("mesh_id").agg(F.sum(two * F.col("e") + 1.5 * F.col("t") * (four / 3 - two)).alias("more")).join(first, "mesh_id").select("mesh_id", (F.col("first") + F.col("more")).alias("n"))
+
+
 def refined(triangles: DataFrame, longest: float, max_rounds: int = 20) -> DataFrame:
     """Triangles cut in four until no edge of the mesh is longer than given.
 
     A long edge marks its triangle, and marks spread over shared edges to the
     whole connected piece; a piece is cut as a whole, so its number of rounds
     follows from its longest edge alone: every round halves all its edges.
-    Needs (mesh_id, piece, tri_id, corners); pieces are connected components.
+    Needs (mesh_id, piece, tri_id, corners); pieces are connected components, as
+    ``with_pieces`` finds them.  As in the reference, edges that are too long after
+    ``max_rounds``, or a mesh of more than CAP vertices or triangles, are errors.
     """
     a, b, c = (geometry.corner(i) for i in range(3))
     edge = F.greatest(*[geometry.norm(geometry.minus(p, q)) for p, q in ((a, b), (b, c), (c, a))])
@@ -119,7 +170,20 @@ def refined(triangles: DataFrame, longest: float, max_rounds: int = 20) -> DataF
     rounds = F.greatest(F.lit(0), F.ceil(F.log2(longest_edge / longest))).cast("int")
     out = triangles.withColumn("rounds", rounds).withColumn("path", F.lit(""))
     kept = [c for c in triangles.columns if c[1:] not in ("0", "1", "2")]
-    most = min(max_rounds, out.agg(F.max("rounds")).first()[0] or 0)
+    # A round needs four times all triangles to be under the cap, cut or not.
+    last = F.max("rounds").over(Window.partitionBy("mesh_id"))
+    ahead = F.when(last > 0, 4 * F.pow(F.lit(4.0), F.least("rounds", last - 1))).otherwise(0.0)
+    alone = F.when(last > 0, (F.pow(F.lit(2.0), "rounds") + 1) * (F.pow(F.lit(2.0), "rounds") + 2) / 2).otherwise(0.0)
+    sums = out.select("mesh_id", "rounds", ahead.alias("n"), alone.alias("v")).groupBy("mesh_id").agg(F.max("rounds").alias("rounds"), F.sum("n").alias("n"), F.sum("v").alias("v"))
+    most, largest, corners = (x or 0 for x in sums.agg(F.max("rounds"), F.max("n"), F.max("v")).first())
+    if most >= max_rounds:
+        raise ValueError(f"edges are too long after {max_rounds} rounds")
+    if largest > CAP:
+        raise ValueError(f"refinement makes {largest:.0f} triangles of a mesh, more than {CAP}")
+    if corners > CAP:  # if no vertex were shared
+        largest = vertices_after(out.join(sums.where(F.col("v") > CAP).select("mesh_id"), "mesh_id", "left_semi")).agg(F.max("n")).first()[0]
+        if largest > CAP:
+            raise ValueError(f"refinement makes {largest:.0f} vertices of a mesh, more than {CAP}")
     for r in range(most):
         here = F.struct(*[f"{x}{i}" for i in range(3) for x in "xyz"])
         v = [_corner(here, i) for i in range(3)]

@@ -120,10 +120,9 @@ def terrain_mesh(spark, sf_dir):
 
 
 def refine_mesh(spark, sf_dir):
-    """Triangles and area of each mesh's pieces (here single triangles) after refinement to 4 m."""
+    """Triangles and area of each mesh's connected pieces after refinement to 4 m."""
     w = Warehouse(spark, sf_dir)
-    pieces = w.triangles().withColumn("piece", F.col("tri_id"))
-    out = meshes.with_geometry(meshes.refined(pieces, 4.0))
+    out = meshes.with_geometry(meshes.refined(meshes.with_pieces(w.triangles()), 4.0))
     return out.groupBy("mesh_id", "piece").agg(F.count(F.lit(1)).alias("n"), tidy(F.sum("area"), 4).alias("area"))
 
 

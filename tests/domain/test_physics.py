@@ -144,6 +144,26 @@ def test_refinement_keeps_area_and_bounds_edges(spark):
     assert fine.count() == 12 * 4**3
 
 
+def test_refinement_cuts_whole_pieces(spark):
+    corners = ", ".join(f"{c}{i} double" for i in range(3) for c in "xyz")
+    # Triangle 2 is long; 5 shares an edge with it, 6 one with 5; 9 has a corner of 2 only.
+    rows = [(1, 2, 0.0, 0.0, 0.0, 7.0, 0.0, 0.0, 0.0, 1.0, 0.0), (1, 5, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, -1.0, 0.0, 0.0), (1, 6, -1.0, 0.0, 0.0, 0.0, 1.0, 0.0, -1.0, 1.0, 0.0), (1, 9, 7.0, 0.0, 0.0, 8.0, 0.0, 0.0, 8.0, 1.0, 0.0), (2, 1, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0, 0.0)]
+    mesh = spark.createDataFrame(rows, f"mesh_id int, tri_id int, {corners}")
+    pieces = meshes.with_pieces(mesh)
+    assert {(r["mesh_id"], r["tri_id"]): r["piece"] for r in pieces.collect()} == {(1, 2): 2, (1, 5): 2, (1, 6): 2, (1, 9): 9, (2, 1): 1}
+    assert {(r[0], r[1]): r[2] for r in meshes.refined(pieces, 4.0).groupBy("mesh_id", "tri_id").count().collect()} == {(1, 2): 4, (1, 5): 4, (1, 6): 4, (1, 9): 1, (2, 1): 1}
+    for longest, message in ((1e-6, "rounds"), (0.01, "triangles")):
+        with pytest.raises(ValueError, match=message):
+            meshes.refined(pieces, longest)
+    # The long piece: 3 triangles of 5 vertices and 7 edges are 12 of 12, the other (1, 9) has 2 vertices more.
+    counted = meshes.vertices_after(pieces.where("mesh_id = 1").withColumn("rounds", F.expr("int(piece = 2)")))
+    assert [r["n"] for r in counted.collect()] == [14.0]
+    lone = pieces.where("tri_id = 2").join(spark.range(3400).selectExpr("id * 10.0 as dz"))
+    lone = lone.withColumns({f"z{i}": F.col("dz") for i in range(3)} | {"piece": F.col("dz"), "tri_id": F.col("dz")})
+    with pytest.raises(ValueError, match="20400 vertices"):
+        meshes.refined(lone, 4.0)
+
+
 def test_nearest_cell_wraps_and_ties_go_down(spark):
     r = spark.sql("select 359D a, 7.5D e").select(*visibility.nearest_cell(F.col("a"), F.col("e"))).first()
     assert (r[0], r[1]) == (0, 0)
