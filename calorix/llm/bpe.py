@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
-from calorix.llm.shared import strings
+from calorix.llm.shared import cut, strings, trimmed
 
-#: Words that a worker remembers; then it starts anew.
-CACHE_WORDS = 200_000
-#: Texts encoded at once, so that the ids of few texts are in memory.
-ROWS_AT_ONCE = 256
+#: Words and fragments that a worker remembers, of at most so many characters; then it starts anew.
+CACHE_WORDS, CACHE_CHARS = 100_000, 64
+#: Characters of the texts encoded at once, so that the ids of few texts are in memory.
+CHARS_AT_ONCE = 1 << 20
 #: Texts of these characters alone need no library call to be normalised: all of them are NFC and have one-to-one lower case.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-įı-ǃ‐-‧€]*")
 
@@ -55,18 +55,19 @@ class ForcedBoundaryEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        self.inner = models.BPE(vocab=model["vocab"], merges=merges)
-        self.final = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix) if self.suffix else self.inner
+        # Fragments with the word's end go to the file's own model, others to one that knows no end.
+        self.final = self.library.model
+        self.inner = models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0) if self.suffix else self.final
         self.adjacent = set()
         for token in model["vocab"]:
             symbols = self.symbols(token.removesuffix(self.suffix), token.endswith(self.suffix)) if self.suffix else [*token]
-            self.adjacent.update(zip(symbols, symbols[1:]))
+            self.adjacent.update(map("\0".join, zip(symbols, symbols[1:])))
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.at_special = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split)
         self.bytes = byte_symbols()
-        self.tokens = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
+        self.tokens = [self.library.id_to_token(i) for i in range(self.library.get_vocab_size(with_added_tokens=True))]
         self.known: dict[str, tuple[int, ...]] = {}
         self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
 
@@ -80,7 +81,7 @@ class ForcedBoundaryEncoder:
     def encode_word(self, word: str) -> tuple[int, ...]:
         """Ids of one pre-split word in byte symbols."""
         symbols = self.symbols(word, True)
-        cuts = [0, *(i for i in range(1, len(symbols)) if (symbols[i - 1], symbols[i]) not in self.adjacent), len(symbols)]
+        cuts = [0, *(i for i in range(1, len(symbols)) if f"{symbols[i - 1]}\0{symbols[i]}" not in self.adjacent), len(symbols)]
         ids: list[int] = []
         for a, b in zip(cuts, cuts[1:]):
             fragment = word[a:b], b == len(word)
@@ -89,7 +90,9 @@ class ForcedBoundaryEncoder:
                 if len(self.fragments) >= CACHE_WORDS:
                     self.fragments.clear()
                 model = self.final if fragment[1] else self.inner
-                found = self.fragments[fragment] = tuple(t.id for t in model.tokenize(fragment[0]))
+                found = tuple(t.id for t in model.tokenize(fragment[0]))
+                if b - a <= CACHE_CHARS:
+                    self.fragments[fragment] = found
             ids += found
         return tuple(ids)
 
@@ -107,7 +110,7 @@ class ForcedBoundaryEncoder:
             if ids is None:
                 symbols = w if in_bytes or w.isascii() else "".join(self.bytes[b] for b in w.encode())
                 ids = self.encode_word(symbols)
-                if not in_bytes:
+                if not in_bytes and len(w) <= CACHE_CHARS:
                     if len(known) >= CACHE_WORDS:
                         known.clear()
                     known[w] = ids
@@ -148,11 +151,11 @@ def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """docs with ``ids`` (array of int) and ``decoded`` (string)."""
     spare = [c for c in docs.columns if c not in ("ids", "decoded")]
 
+    @trimmed
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-                rows = batch.slice(start, ROWS_AT_ONCE)
+            for rows in cut(batch, text, CHARS_AT_ONCE):
                 flat, ends, decoded = [], [0], []
                 for t in strings(rows.column(text)):
                     ids = list(chain.from_iterable(own.encode(t)))

@@ -4,12 +4,19 @@ One model per language over the characters of words (padded at both ends),
 counted with Spark from a bounded sample of labelled documents.  The models of
 all languages are stored together: one sorted array of n-gram hashes per order,
 with a row of discounted probabilities and back-off weights over languages.  A
-document gets the language of the lowest cross-entropy per character.  A second,
-separate sample calibrates the score's temperature and, per language, the
-cross-entropy above which a text is rejected.
+document gets the language of the lowest cross-entropy per character.
+
+A second, separate sample calibrates, on whole documents and on pieces of 1, 2,
+4, ... words of them.  Per language and length (each power of two of its
+characters) it gives the cross-entropy that only REJECT_SHARE of the genuine ones
+exceed; as genuine texts of one length are few, the largest within SPAN powers of
+two counts.  That limit acts as one more language, ``und``: a text for which it has
+the lowest cross-entropy is rejected, and the score is the posterior among all of
+them, with a temperature fitted to the pieces.
 
 Fitting bounds: SAMPLE_DOCS documents a language (expected, drawn by hash) for
-the counts and CALIBRATION_DOCS for the calibration; scoring reads all texts.
+the counts and CALIBRATION_DOCS for the calibration, one piece of each length a
+document; scoring reads all texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0,
 rejected; ties go to the first language in order; without labelled documents
@@ -28,19 +35,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calorix.llm.shared import materialise, strings
+from calorix.llm.shared import materialise, strings, trimmed
 
 SAMPLE_DOCS = 1500
 CALIBRATION_DOCS = 400
 ORDER = 4
 START, END = "\x02", "\x03"
 LETTERS = re.compile(r"[^\W\d_]+")
-#: A text is rejected if its cross-entropy is above this many times the calibrated quantile of its language.
-REJECT_QUANTILE, REJECT_MARGIN = 0.995, 1.6
-#: Texts of fewer letters are too short to be rejected by cross-entropy.
-REJECT_LETTERS = 20
-ROWS_AT_ONCE = 512
-CACHE_WORDS = 200_000
+#: Share of the genuine texts of a language and length that its limit may reject.
+REJECT_SHARE = 0.001
+#: Powers of two that lengths are told apart by, and how many of them on each side share a limit.
+LENGTHS, SPAN = 32, 4
+ROWS_AT_ONCE = 256
+#: Words that a worker remembers; then it starts anew.
+CACHE_WORDS = 50_000
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -125,9 +133,10 @@ class Models:
 
     def __init__(self, langs: list[str], tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], temperature: float = 1.0, limits: np.ndarray | None = None):
         self.langs, self.tables, self.temperature = langs, tables, temperature
-        self.limits = np.full(len(langs), np.inf) if limits is None else limits
+        #: per language and power of two of the characters; without a calibration nothing is rejected
+        self.limits = np.full((len(langs), LENGTHS), 1e9) if limits is None else limits
         self.known: dict[str, int] = {}
-        self.scores = np.zeros((0, len(langs)))
+        self.scores = np.zeros((0, len(langs)), np.float32)
 
     @classmethod
     def learn(cls, sample: DataFrame) -> Models:
@@ -184,41 +193,60 @@ class Models:
     def evaluate(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy per character under each language and number of characters of every text."""
         if len(self.known) > CACHE_WORDS:
-            self.known, self.scores = {}, self.scores[:0]
+            self.known, self.scores = {}, np.zeros((0, len(self.langs)), np.float32)
         lists = [words_of(t) for t in texts]
         new = sorted(set().union(*lists) - self.known.keys())
         if new:
-            made = [self.word_scores(new[i : i + 20_000]) for i in range(0, len(new), 20_000)]
+            made = [self.word_scores(new[i : i + 5_000]).astype(np.float32) for i in range(0, len(new), 5_000)]
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             self.scores = np.concatenate([self.scores, *made])
         totals, chars = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
         for i, words in enumerate(lists):
             if words:
-                totals[i] = self.scores[list(map(self.known.__getitem__, words))].sum(0)
+                totals[i] = self.scores[list(map(self.known.__getitem__, words))].sum(0, dtype=float)
                 chars[i] = sum(map(len, words)) + len(words)
         return -totals / np.maximum(chars, 1)[:, None], chars
 
+    def limit(self, best: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """The cross-entropy above which texts of these languages and lengths are rejected."""
+        place = np.clip(np.log2(np.maximum(chars, 1)) - 0.5, 0, LENGTHS - 1.001)
+        low = place.astype(int)
+        return self.limits[best, low] * (low + 1 - place) + self.limits[best, low + 1] * (place - low)
+
     def posterior(self, entropy: np.ndarray, chars: np.ndarray) -> np.ndarray:
-        """Probabilities of the languages."""
-        logits = -self.temperature * entropy * np.sqrt(chars)[:, None]
+        """Probabilities of the languages and, last, of none of them."""
+        none = self.limit(entropy.argmin(1), chars)
+        logits = -self.temperature * np.column_stack([entropy, none]) * np.sqrt(chars)[:, None]
         odds = np.exp(logits - logits.max(1, keepdims=True))
         return odds / odds.sum(1, keepdims=True)
 
     def calibrate(self, langs: np.ndarray, entropy: np.ndarray, chars: np.ndarray) -> None:
-        """Fit temperature and rejection limits to texts of known language."""
+        """Fit limits and temperature to texts and pieces of known language."""
         if not len(langs):
             return
+        length = np.log2(chars).astype(int)
+        for i in range(len(self.langs)):
+            own = langs == i
+            there = np.unique(length[own])
+            if len(there):
+                found = np.interp(np.arange(LENGTHS), there, [np.quantile(entropy[own & (length == n), i], 1 - REJECT_SHARE) for n in there])
+                self.limits[i] = [found[max(n - SPAN, 0) : n + SPAN + 1].max() for n in range(LENGTHS)]
 
         def loss(t: float) -> float:
             self.temperature = t
             return -np.log(np.maximum(self.posterior(entropy, chars)[np.arange(len(langs)), langs], 1e-9)).mean()
 
         self.temperature = min((2.0**k for k in np.arange(-3, 5.01, 0.5)), key=loss)
-        best = entropy.argmin(1)
-        for i in range(len(self.langs)):
-            own = entropy[(best == i) & (langs == i) & (chars >= REJECT_LETTERS), i]
-            if len(own):
-                self.limits[i] = np.quantile(own, REJECT_QUANTILE) * REJECT_MARGIN
+
+
+def pieces_of(text: str, seed: int) -> list[str]:
+    """The words of a text, and one run of 1, 2, 4, ... of them for every number below the whole."""
+    words = words_of(text)
+    found = [" ".join(words)]
+    for size in range(len(words).bit_length() - 1):
+        at = (seed * 0x9E3779B1 >> 7) % (len(words) - 2**size + 1)
+        found.append(" ".join(words[at : at + 2**size]))
+    return found
 
 
 def fit(docs: DataFrame) -> Models:
@@ -231,13 +259,16 @@ def fit(docs: DataFrame) -> Models:
         def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = Models(*spread.value)
             for batch in batches:
-                entropy, chars = own.evaluate(strings(batch.column(1)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(entropy), pa.list_(pa.float64())), pa.array(chars)], ["lang", "entropy", "chars"])
+                pieces = [(lang, p) for lang, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))) for p in pieces_of(text, len(text))]
+                entropy, chars = own.evaluate([p[1] for p in pieces])
+                columns = [pa.array([p[0] for p in pieces], pa.string()), pa.array(list(entropy), pa.list_(pa.float64())), pa.array(chars)]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "entropy", "chars"])
 
+        # Bounded by CALIBRATION_DOCS and the logarithm of their lengths.
         rows = sample.where("part = 1").select("lang", "text").mapInArrow(evaluate, "lang string, entropy array<double>, chars double").where("chars > 0").toArrow()
-        known = [(models.langs.index(a), e, c) for a, e, c in zip(*(rows[k].to_pylist() for k in ("lang", "entropy", "chars"))) if a in models.langs]
+        known = [(models.langs.index(a), *x) for a, *x in zip(*(rows[k].to_pylist() for k in ("lang", "entropy", "chars"))) if a in models.langs]
         if known:
-            models.calibrate(np.array([k[0] for k in known]), np.array([k[1] for k in known]), np.array([k[2] for k in known]))
+            models.calibrate(*(np.array([k[i] for k in known]) for i in range(3)))
     return models
 
 
@@ -247,6 +278,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
     added = ("lang_pred", "score", "rejected")
     spare = [c for c in docs.columns if c not in added]
 
+    @trimmed
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Models(*spread.value)
         for batch in batches:
@@ -261,7 +293,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
                     for i in np.flatnonzero(chars):
                         if any(map(str.isalpha, texts[i])):
                             langs[i], scores[i] = own.langs[best[i]], odds[i, best[i]]
-                            rejected[i] = chars[i] >= REJECT_LETTERS and entropy[i, best[i]] > own.limits[best[i]]
+                            rejected[i] = odds[i, best[i]] < odds[i, -1]
                 yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in spare), pa.array(langs, pa.string()), pa.array(scores), pa.array(rejected)], [*spare, *added])
 
     narrow = docs.select(*spare)

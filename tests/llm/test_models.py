@@ -75,6 +75,56 @@ def test_character_models_are_distributions(spark):
     assert (np.exp(ends) < 1).all()
 
 
+def kneser_ney(words, order):
+    """P(next | up to order - 1 characters before) of a word list, by the textbook formula in plain dictionaries."""
+    grams = Counter("\x02" * (order - 1) + w + "\x03" for w in words)
+    counts = {order: Counter()}
+    for w, n in grams.items():
+        for i in range(len(w) - order + 1):
+            counts[order][w[i : i + order]] += n
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    discount = {}
+    for n, found in counts.items():
+        once, twice = (sum(c == k for c in found.values()) for k in (1, 2))
+        discount[n] = once / (once + 2 * twice) if once and twice else 0.5
+
+    def p(gram):
+        n = len(gram)
+        if n == 0:
+            return 1 / 1000
+        mine = {g: c for g, c in counts[n].items() if g[:-1] == gram[:-1]}
+        total = sum(mine.values())
+        if not total:
+            return p(gram[1:])
+        return max(mine.get(gram, 0) - discount[n], 0) / total + discount[n] * len(mine) / total * p(gram[1:])
+
+    return p
+
+
+def test_character_models_equal_the_textbook(spark):
+    rng = random.Random(5)
+    texts = {lang: ["".join(rng.choice(letters) for _ in range(rng.randint(1, 6))) for _ in range(60)] for lang, letters in (("en", "etaoin"), ("de", "enisrä"))}
+    sample = spark.createDataFrame([(lang, " ".join(words)) for lang, words in texts.items()], "lang string, text string")
+    models, asked = langid.Models.learn(sample), [*texts["en"][:10], *texts["de"][:10], "q", "eqä", "tea"]
+    found = models.word_scores(asked)
+    for i, lang in enumerate(models.langs):
+        p = kneser_ney(texts[lang], langid.ORDER)
+        for word, score in zip(asked, found[:, i]):
+            padded = "\x02" * (langid.ORDER - 1) + word + "\x03"
+            expected = sum(math.log(p(padded[k : k + langid.ORDER])) for k in range(len(word) + 1))
+            assert score == pytest.approx(expected, rel=1e-4), (lang, word)
+
+
+def test_noise_is_rejected_with_a_low_score(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    models = langid.fit(docs)
+    noise = spark.createDataFrame([(i, t) for i, t in enumerate(["zzzzqqqq xxkj wvvq qqzx kkwj", "你好世界", "qwrtp sdfgh jklzx cvbnm " * 20])], "doc_id long, text string")
+    assert all(r["rejected"] and r["score"] < 0.1 for r in langid.identify(noise, models).collect())
+    good = langid.identify(docs.where("text is not null"), models)
+    assert good.where("rejected").count() <= 2
+
+
 def lm_by_hand(rows):
     split = [(i, WORDS.findall((t or "").translate(LOWER)) + [None], crc(i, 5) == 1) for i, t in rows]
     counts = Counter(w for _, ws, held in split if not held for w in ws)
@@ -180,7 +230,7 @@ def test_forced_cuts_exist_and_are_certain():
     rng = random.Random(3)
     text = "".join(rng.choice("abqxéжλ中ñ") for _ in range(3000))
     symbols = own.symbols("".join(own.bytes[b] for b in text.encode()), True)
-    assert any((a, b) not in own.adjacent for a, b in zip(symbols, symbols[1:]))
+    assert any(f"{a}\0{b}" not in own.adjacent for a, b in zip(symbols, symbols[1:]))
     assert [i for w in own.encode(text) for i in w] == own.library.encode(text, add_special_tokens=False).ids
 
 
