@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 
 def tidy(x: Column | str, digits: int = 6) -> Column:
-    """A double rounded for output; adding 0.0 removes negative zero."""
-    return F.round(x, digits) + F.lit(0.0)
+    """A double rounded for output, ties away from zero, in binary arithmetic; adding 0.0 removes negative zero."""
+    x, scale = F.col(x).cast("double") if isinstance(x, str) else x.cast("double"), F.lit(10.0**digits)
+    return F.signum(x) * (F.floor(F.abs(x) * scale + 0.5) / scale) + F.lit(0.0)
 
 
 def half_even(x: Column | str, digits: int = 0) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Coefficients of the published 1971 Fourier series.
@@ -44,18 +44,44 @@ def hour_angle(ts: Column, lon: Column) -> Column:
     return (minutes + equation_of_time(day_angle(ts)) + lon * 4.0) / 4.0 - 180.0
 
 
+def hour_terms(ts: Column) -> dict[str, Column]:
+    """What the sun's position needs of an instant, wherever the site: declination (degrees) and solar minutes at longitude 0."""
+    angle = day_angle(ts)
+    return {"declination": declination(angle), "solar_minutes": F.hour(ts) * 60.0 + F.minute(ts) + F.second(ts) / 60.0 + equation_of_time(angle)}
+
+
 def degrees_of(east: Column, north: Column) -> Column:
     """Azimuth of a horizontal direction, 0 to 360."""
     return F.pmod(F.degrees(F.atan2(east, north)), F.lit(360.0))
 
 
+def position(dec: tuple[Column, Column], phi: tuple[Column, Column], hour_angle_deg: Column) -> tuple[Column, Column]:
+    """Azimuth and elevation from sine and cosine of declination and latitude, and the hour angle."""
+    h = F.radians(hour_angle_deg)
+    up = phi[0] * dec[0] + phi[1] * dec[1] * F.cos(h)
+    east = -dec[1] * F.sin(h)
+    north = dec[0] * phi[1] - dec[1] * phi[0] * F.cos(h)
+    return degrees_of(east, north), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), up))))
+
+
 def sun_position(ts: Column, lat: Column, lon: Column) -> tuple[Column, Column]:
     """Azimuth and elevation at a UTC instant."""
-    d, phi, h = F.radians(declination(day_angle(ts))), F.radians(lat), F.radians(hour_angle(ts, lon))
-    up = F.sin(phi) * F.sin(d) + F.cos(phi) * F.cos(d) * F.cos(h)
-    east = -F.cos(d) * F.sin(h)
-    north = F.sin(d) * F.cos(phi) - F.cos(d) * F.sin(phi) * F.cos(h)
-    return degrees_of(east, north), F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), up))))
+    d, phi = F.radians(declination(day_angle(ts))), F.radians(lat)
+    return position((F.sin(d), F.cos(d)), (F.sin(phi), F.cos(phi)), hour_angle(ts, lon))
+
+
+def positions(hours: DataFrame, sites: DataFrame, ts: str = "hour_ts") -> DataFrame:
+    """Every hour at every site with azimuth and elevation; the hours (of one series, a year at most) are broadcast.
+
+    Declination and equation of time are taken once per hour, the latitude's sine
+    and cosine once per site; only the hour angle is left for the pairs.
+    """
+    dec, phi = F.radians("declination"), F.radians("lat")
+    timed = hours.withColumns(hour_terms(F.col(ts))).withColumns({"__sd": F.sin(dec), "__cd": F.cos(dec)})
+    placed = sites.withColumns({"__sp": F.sin(phi), "__cp": F.cos(phi)})
+    angle = (F.col("solar_minutes") + F.col("lon") * 4.0) / 4.0 - 180.0
+    azimuth, elevation = position((F.col("__sd"), F.col("__cd")), (F.col("__sp"), F.col("__cp")), angle)
+    return placed.crossJoin(F.broadcast(timed)).withColumns({"azimuth": azimuth, "elevation": elevation}).drop("__sd", "__cd", "__sp", "__cp")
 
 
 def local_azimuth(azimuth: Column, offset: Column) -> Column:

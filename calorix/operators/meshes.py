@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calorix.functions import geometry
 from calorix.functions.rounding import half_up
 from calorix.functions.solar import degrees_of
+from calorix.sources.stage import written
 
 CAP = 20_000
 
@@ -108,14 +106,6 @@ def _corner(t: Column, i: int) -> Column:
     return F.struct(*[t[f"{c}{i}"].alias(c) for c in "xyz"])
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written to the session's shared folder (a temporary one where it names none) and read back."""
-    there = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-mesh-', dir='/tmp')}"
-    path = f"{there}/mesh-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def with_pieces(triangles: DataFrame, digits: int = 5) -> DataFrame:
     """Triangles with ``piece``: the least tri_id of those of the mesh that are reached over shared edges.
 

@@ -38,9 +38,21 @@ def nearest_accepted(pairs: DataFrame, accepted, k: int, by: tuple[str, ...], or
 
 
 def admitted(items: DataFrame, sizes: tuple[str, ...], caps: tuple[int, ...], order: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
-    """Items in order until a running total would pass its cap, with each one's offset: the totals before it."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = items.withColumns({f"__t{i}": F.sum(c).over(w) for i, c in enumerate(sizes)})
+    """Items in order until a running total would pass its cap, with each one's offset: the totals before it.
+
+    Sizes are at least 1 (smaller ones are an error), so no more items than the
+    least cap are admitted: only the first so many of each group, found by a
+    distributed top-k, get a running total.
+    """
+    most = min(caps)
+    w = Window.partitionBy(*by).orderBy(*order)
+    if by:
+        first = items.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
+    else:
+        first = items.orderBy(*order).limit(most)
+    first = first.withColumns({c: F.when(F.col(c) >= 1, F.col(c)).otherwise(F.raise_error(F.lit(f"{c} must be at least 1"))) for c in sizes})
+    w = w.rowsBetween(Window.unboundedPreceding, 0)
+    out = first.withColumns({f"__t{i}": F.sum(c).over(w) for i, c in enumerate(sizes)})
     keep = F.lit(True)
     for i, cap in enumerate(caps):
         keep = keep & (F.col(f"__t{i}") <= cap)
@@ -48,6 +60,31 @@ def admitted(items: DataFrame, sizes: tuple[str, ...], caps: tuple[int, ...], or
     return out.drop(*[f"__t{i}" for i in range(len(sizes))])
 
 
+def nearest(items: DataFrame, k: int, order: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """The k nearest items (of each group)."""
+    if not by:
+        return items.orderBy(*order).limit(k)
+    return items.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__n") <= k).drop("__n")
+
+
+def with_addition(base: DataFrame, addition: DataFrame, sizes: tuple[str, ...], caps: tuple[int, ...]) -> DataFrame:
+    """Both lists in one if their totals are within the caps, else the base alone: an addition goes in whole or not at all."""
+    totals = base.select(*sizes).unionByName(addition.select(*sizes)).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sizes]).first()
+    return base.unionByName(addition, allowMissingColumns=True) if all(t <= cap for t, cap in zip(totals, caps)) else base
+
+
+def accumulated(zones: DataFrame, trees: DataFrame, other_zones: DataFrame, in_country) -> DataFrame:
+    """Vegetation of all sources together; the second source's zones count abroad only."""
+    return zones.unionByName(trees, allowMissingColumns=True).unionByName(other_zones.where(~in_country), allowMissingColumns=True)
+
+
+def source_stats(items: DataFrame, status: str = "status", used: str = "used") -> DataFrame:
+    """One row: how many items there are, are used, are the study building itself, are clipped, and are skipped (all but used and self)."""
+    n = F.count(F.lit(1))
+    own, taken = F.count_if(F.col(status) == "self"), F.count_if(F.col(used))
+    return items.agg(n.alias("n_total"), taken.alias("n_used"), own.alias("n_self"), F.count_if((F.col(status) == "clipped") & F.col(used)).alias("n_clipped"), (n - taken - own).alias("n_skipped"))
+
+
 def base_altitudes(items: DataFrame, lookup: DataFrame, ground_ref: float, key: str) -> DataFrame:
     """Altitude over the reference: the item's own, else the looked-up one (only for items without their own), else 0."""
     missing = items.where(F.col("base_z").isNull()).select(key)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calorix.functions.rounding import clamp
+from calorix.sources.stage import written
 
 REQUIRED = ("t_ext_raw", "e_dir_raw", "e_dif_raw")
 MAX_HOURS = 8784
@@ -26,20 +27,69 @@ def clamped(hours: DataFrame) -> DataFrame:
     })
 
 
-def local_hour_index(hours: DataFrame, offset_s: int, series: tuple[str, ...] = ()) -> DataFrame:
-    """Hours since local midnight of the first kept row; whole missing days still count."""
-    local = F.col("hour_ts") + F.make_dt_interval(secs=F.lit(offset_s))
-    first = F.min(F.to_date(local)).over(Window.partitionBy(*series))
-    return hours.withColumn("hour_index", (F.datediff(F.to_date(local), first) * 24 + F.hour(local)).cast("int"))
+def year(raw: DataFrame) -> DataFrame:
+    """One series' rows, written and read back, so that later steps may broadcast them: none kept, or more than MAX_HOURS, is an error."""
+    hours = written(raw, "hours")
+    n = kept_hours(hours).count()
+    if not 0 < n <= MAX_HOURS:
+        raise ValueError(f"{n} usable hours: there must be some, and no more than {MAX_HOURS}")
+    return hours
+
+
+def beside(rows: DataFrame, few: DataFrame, series: tuple[str, ...]) -> DataFrame:
+    """Rows with the values of their series; without series ``few`` is one row and is broadcast."""
+    return rows.join(few, list(series)) if series else rows.crossJoin(F.broadcast(few))
+
+
+def local_hour_index(hours: DataFrame, offset_s: int | Column, series: tuple[str, ...] = ()) -> DataFrame:
+    """Hours since local midnight of the first kept row; whole missing days still count.
+
+    The offset is a number of seconds or a column of them (a null one counts as none).
+    """
+    offset = F.coalesce(offset_s, F.lit(0)) if isinstance(offset_s, Column) else F.lit(offset_s)
+    local = hours.withColumn("__local", F.col("hour_ts") + F.make_dt_interval(secs=offset))
+    first = local.groupBy(*series).agg(F.min(F.to_date("__local")).alias("__first"))
+    index = F.datediff(F.to_date("__local"), F.col("__first")) * 24 + F.hour("__local")
+    return beside(local, first, series).withColumn("hour_index", index.cast("int")).drop("__local", "__first")
 
 
 def change_hour_index(hours: DataFrame, order: str, series: tuple[str, ...] = ()) -> DataFrame:
-    """Typical-year index: days count by changes of (month, day) among kept rows, so a whole missing day doesn't count."""
-    w = Window.partitionBy(*series).orderBy(order)
-    day = F.date_format(order, "MMdd")
-    changed = F.when(F.lag(day).over(w).isNull() | (F.lag(day).over(w) != day), 1).otherwise(0)
-    stepped = hours.withColumn("__changed", changed)
-    return stepped.withColumn("hour_index", ((F.sum("__changed").over(w) - 1) * 24 + F.hour(order)).cast("int")).drop("__changed")
+    """Typical-year index: days count by changes of (month, day) among kept rows, so a whole missing day doesn't count.
+
+    Days are numbered on one row each, never on hours.
+    """
+    dated = hours.withColumn("__date", F.to_date(order))
+    days = dated.select(*series, "__date").distinct()
+    w = Window.partitionBy(*series).orderBy("__date")
+    month_day = F.date_format("__date", "MMdd")
+    changed = F.when(F.lag(month_day).over(w).isNull() | (F.lag(month_day).over(w) != month_day), 1).otherwise(0)
+    numbered = days.withColumn("__changed", changed).withColumn("__day", F.sum("__changed").over(w) - 1).drop("__changed")
+    return dated.join(numbered, [*series, "__date"]).withColumn("hour_index", (F.col("__day") * 24 + F.hour(order)).cast("int")).drop("__date", "__day")
+
+
+def with_offsets(rows: DataFrame, probes: DataFrame, key: str) -> DataFrame:
+    """Rows with ``utc_offset_s`` of their place; null where the probe has none."""
+    return rows.join(probes.select(key, F.col("utc_offset_seconds").cast("int").alias("utc_offset_s")), key, "left")
+
+
+def zipped(left: DataFrame, right: DataFrame, seq: str = "seq", strict: bool = False) -> DataFrame:
+    """Rows of both by position, the right one's values over the left's of the same name.
+
+    If the numbers of rows differ, the left stays as it is, or with ``strict`` it is an error.
+    """
+    n, m = left.count(), right.count()
+    if n != m:
+        if strict:
+            raise ValueError(f"{n} rows against {m}")
+        return left
+    return merged(left, right, [seq])
+
+
+def merged(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left joined with right by keys; of fields that both have the right one's value wins where it isn't null."""
+    both = [c for c in right.columns if c in left.columns and c not in keys]
+    joined = left.join(right.withColumnsRenamed({c: f"__{c}" for c in both}), keys, "left")
+    return joined.withColumns({c: F.coalesce(f"__{c}", c) for c in both}).drop(*[f"__{c}" for c in both])
 
 
 def missing_counts(raw: DataFrame) -> DataFrame:
@@ -67,8 +117,15 @@ def slot_of(hour_index: Column, start: Column, seq: Column) -> Column:
     return F.pmod(F.coalesce(hour_index, start + seq), F.lit(24)).cast("int")
 
 
-def with_schedule(hours: DataFrame, opened: DataFrame, closed: DataFrame | None = None) -> DataFrame:
-    """Hours with their slot's values; hours whose ``occupied`` is literally false take the closed schedule where there is one."""
+def with_schedule(hours: DataFrame, opened: DataFrame | None, closed: DataFrame | None = None) -> DataFrame:
+    """Hours with their slot's values; hours whose ``occupied`` is literally false take the closed schedule where there is one.
+
+    A closed schedule without an open one is an error; with none, hours stay as they are.
+    """
+    if opened is None:
+        if closed is not None:
+            raise ValueError("a closed schedule needs an open one")
+        return hours
     fields = [c for c in opened.columns if c != "slot"]
     joined = hours.join(opened, "slot", "left")
     if closed is None:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from calorix.functions import physics
+from calorix.functions import physics, solar
 from calorix.functions.rounding import half_even, half_up, tidy
-from calorix.operators import calendars, simulate, weather
+from calorix.operators import calendars, entities, simulate, weather
 from calorix.plans import weather_queries
+from calorix.sources.stage import written
 from calorix.sources.tables import Warehouse, with_views
 
 
@@ -20,8 +23,9 @@ def department_members(spark, sf_dir):
 def stale_cascade(spark, sf_dir):
     """Members of departments whose geometry changed (name after 'AS') become stale; others keep their flag."""
     w = Warehouse(spark, sf_dir)
-    changed = w.table("region").where("r_name > 'AS'").select(F.col("r_regionkey").alias("n_regionkey"), F.lit(True).alias("changed"))
-    return w.table("nation").join(changed, "n_regionkey", "left").select("n_nationkey", F.coalesce("changed", F.col("n_nationkey") % 2 == 0).alias("stale"))
+    changed = w.table("region").where("r_name > 'AS'").select(F.col("r_regionkey").alias("environment_id"))
+    members = w.table("nation").select("n_nationkey", F.col("n_regionkey").alias("environment_id"), (F.col("n_nationkey") % 2 == 0).alias("sun_visibility_stale"))
+    return entities.stale_after(members, changed).select("n_nationkey", F.col("sun_visibility_stale").alias("stale"))
 
 
 def holiday_ranges(spark, sf_dir):
@@ -46,13 +50,15 @@ def occupancy_setpoints(spark, sf_dir):
     return hours.groupBy(F.month("d").alias("month"), low.alias("t_min"), high.alias("t_max")).agg(F.count(F.lit(1)).alias("hours"))
 
 
+def slotted(w: Warehouse):
+    """Kept hours of the one series with films, sun terms and the 24-slot schedule; a year at most."""
+    hours = weather_queries.assembled(w).withColumn("slot", F.pmod("hour_index", F.lit(24))).withColumns(solar.hour_terms(F.col("hour_ts")))
+    return weather.with_schedule(hours, w.schedule()).withColumn("g_vent", physics.ventilation_conductance(F.col("debit"), F.col("eta")))
+
+
 def series_of(w: Warehouse):
-    """Kept hours as one ordered array with films and the 24-slot schedule."""
-    hours = weather_queries.assembled(w).withColumn("slot", F.pmod("hour_index", F.lit(24)))
-    joined = weather.with_schedule(hours, w.schedule()).select(
-        F.lit(1).alias("series"), "hour_index", "t_ext", (F.col("e_dir") * 0.3 + F.col("e_dif") * 0.5).alias("sun"),
-        physics.ventilation_conductance(F.col("debit"), F.col("eta")).alias("g_vent"), "gains",
-    )
+    """The series as one row: its ordered hours; ``weather.year`` has checked that they are a year at most."""
+    joined = slotted(w).select(F.lit(1).alias("series"), "hour_index", "t_ext", (F.col("e_dir") * 0.3 + F.col("e_dif") * 0.5).alias("sun"), "g_vent", "gains")
     return simulate.ordered_hours(joined, "hour_index", ("t_ext", "sun", "g_vent", "gains"), ("series",))
 
 
@@ -118,28 +124,72 @@ def series_generators(spark, sf_dir):
     return week.union(flat).union(day)
 
 
-SETTINGS = {"mode": "thermostat", "c_air": 1200.0 * 250.0, "t_init": 18.0, "t_int": 20.0, "t_min": 19.0, "t_max": 26.0, "t_ground": 12.0, "r_ground": 0.5, "g_frame": 2.0, "dx": 0.05}
+def wall_stacks(w: Warehouse):
+    """wall_id and its layers from outside to inside (at most four)."""
+    layer = F.struct("e", "lam", "rho", "c", "tau", "r", "alpha")
+    return w.layers().groupBy("wall_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("layer_idx", layer.alias("l")))), lambda s: s["l"]).alias("layers"))
+
+
+#: Surfaces of a sample building: area, normal, inner film, ground, sky share, shading, frame conductance.
+FACES = ((40.0, (0.0, -1.0, 0.0), 7.7, False, 0.5, "volet-roulant", 2.0), (30.0, (1.0, 0.0, 0.0), 7.7, False, 0.5, None, 0.0), (50.0, (0.0, 0.0, 1.0), 10.0, False, 1.0, None, 0.0), (50.0, (0.0, 0.0, -1.0), 5.9, True, 0.0, None, 0.0))
+
+
+def summary(results):
+    """The numbers of ``simulate``'s results, rounded."""
+    channels = [F.col(f"balance.{c}").alias(c) for c in ("envelope", "solar", "ventilation", "gains", "frames", "stored")]
+    flat = results.select("building_id", "t_mean", "heating", "cooling", *channels, F.col("balance.closure").alias("closure"), F.element_at("t_air", -1).alias("t_last"), F.array_max(F.transform("surfaces", lambda s: s["t_inner"])).alias("t_surface_max"))
+    return flat.select("building_id", *[tidy(c, 3).alias(c) for c in flat.columns if c not in ("building_id", "closure")], (F.abs("closure") < 1e-6).alias("closes"))
 
 
 def building_sim(spark, sf_dir):
-    """Energy balance of one building per site, its walls drawn from the wall table."""
+    """Energy balance of one building per site: four surfaces of walls from the whole wall table, with sun and shutters."""
     w = Warehouse(spark, sf_dir)
-    layer = F.struct("e", "lam", "rho", "c", "tau", "r", "alpha")
-    walls = w.layers().groupBy("wall_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("layer_idx", layer.alias("l")))), lambda s: s["l"]).alias("layers"))
-    n_walls = 500
-    picks = w.sites().select("site_id", F.posexplode(F.array(*[F.pmod(F.col("site_id") * a, F.lit(n_walls)) for a in (7, 11, 13)])).alias("class_id", "wall_id"))
-    classes = picks.join(walls, "wall_id").select(
-        F.col("site_id").alias("building_id"), "class_id", (20.0 + F.col("class_id") * 10).alias("area"), F.lit(7.7).alias("h_i"), (F.col("class_id") == 2).alias("ground"), "layers", F.array().cast("array<double>").alias("e")
-    )
-    hours = series_of(w).select(F.inline("hours")).select("hour_index", "t_ext", "g_vent", "gains", F.lit(25.0).alias("h_e"))
-    # A building's hours are its own input; the series is one year at most.
-    numbered = hours.withColumn("seq", F.col("hour_index")).drop("hour_index")
-    per_site = w.sites().select(F.col("site_id").alias("building_id")).crossJoin(F.broadcast(numbered))
-    out = simulate.balance(simulate.simulate(classes, per_site, SETTINGS))
-    return out.select("building_id", *[tidy(c, 3).alias(c) for c in ("t_mean", "heating", "cooling", "envelope", "ventilation", "gains", "frames", "stored")], (F.abs("closure") < 1e-6).alias("closes"))
-
-
-QUERIES = {f.__name__: f for f in (department_members, stale_cascade, holiday_ranges, occupancy_setpoints, wall_1d_two_node, air_node_free, air_node_thermostat, energy_balance, series_export, series_generators, building_sim)}
+    walls = written(wall_stacks(w), "walls")
+    n_walls = walls.count()
+    face = F.array(*[
+        F.struct(F.lit(i).cast("long").alias("class_id"), F.pmod(F.col("site_id") * p, F.lit(n_walls)).alias("wall_id"), F.lit(area).alias("area"), *[F.lit(v).alias(k) for k, v in zip(("nx", "ny", "nz"), normal)],
+                 F.lit(h_i).alias("h_i"), F.lit(ground).alias("ground"), F.lit(sky).alias("f_sky"), F.lit(shading).cast("string").alias("shading"), F.lit(g).alias("g_frame"))
+        for i, ((area, normal, h_i, ground, sky, shading, g), p) in enumerate(zip(FACES, (7, 11, 13, 17)))
+    ])
+    surfaces = w.sites().select(F.col("site_id").alias("building_id"), F.inline(face)).join(walls, "wall_id").drop("wall_id")
+    buildings = w.sites().select(F.col("site_id").alias("building_id"), "lat", "lon", "north_offset_deg")
+    hours = slotted(w).select(F.col("hour_index").alias("seq"), "t_ext", physics.film_coefficient(F.coalesce("wind_m_s", F.lit(0.0))).alias("h_e"), "g_vent", "gains", "e_dir", "e_dif", "declination", "solar_minutes", F.col("shut").alias("closed"))
+    return summary(simulate.simulate(surfaces, buildings, hours))
+
+
+def building_year(spark, sf_dir):
+    """One building of 338 triangles over the 8760 hours of a synthetic year with sun, shutters at night and a thermostat."""
+    w = Warehouse(spark, sf_dir)
+    walls = written(wall_stacks(w), "walls")
+    k = F.col("id")
+    turn = 2 * math.pi * k / 13.0
+    triangles = spark.range(338).select(
+        F.lit(1).cast("long").alias("building_id"), k.alias("class_id"), (k % 6).alias("wall_id"), (0.5 + k % 5).cast("double").alias("area"), F.sin(turn).alias("nx"), F.cos(turn).alias("ny"), F.lit(0.0).alias("nz"),
+        F.lit(7.7).alias("h_i"), (k % 6 == 5).alias("ground"), F.lit(0.5).alias("f_sky"), F.when(k % 6 == 0, "store-exterieur").alias("shading"), F.lit(0.1).alias("g_frame"),
+    )
+    ts = (F.timestamp_seconds(F.lit(1_672_531_200) + k * 3600)).cast("timestamp_ntz")
+    day = F.greatest(F.lit(0.0), F.sin(2 * math.pi * (k % 24 - 6) / 24.0))
+    hours = spark.range(8760).select(
+        k.alias("seq"), (10.0 - 8.0 * F.cos(2 * math.pi * k / 8760.0) + 4.0 * day).alias("t_ext"), physics.film_coefficient((k % 9).cast("double")).alias("h_e"), F.lit(30.0).alias("g_vent"), F.lit(200.0).alias("gains"),
+        (600.0 * day).alias("e_dir"), (120.0 * day).alias("e_dif"), *[c.alias(n) for n, c in solar.hour_terms(ts).items()], (k % 24 < 6).alias("closed"),
+    )
+    buildings = spark.range(1).select(F.lit(1).cast("long").alias("building_id"), F.lit(48.0).alias("lat"), F.lit(2.0).alias("lon"))
+    return summary(simulate.simulate(triangles.join(walls, "wall_id").drop("wall_id"), buildings, hours))
+
+
+def wall_layers_run(spark, sf_dir):
+    """Last temperatures at the layer borders of every wall of the table, with the air imposed and with it floating."""
+    w = Warehouse(spark, sf_dir)
+    stacks = written(wall_stacks(w), "walls")
+    hours = slotted(w).select(F.col("hour_index").alias("seq"), "t_ext", (F.col("e_dir") * 0.3 + F.col("e_dif") * 0.5).alias("incident"), (F.col("g_vent") / 50.0).alias("g_vent"))
+    out = None
+    for mode in ("imposed", "free"):
+        run = simulate.wall_run(stacks, hours, mode).select("wall_id", F.lit(mode).alias("mode"), tidy(F.element_at("t_air", -1), 4).alias("t_air"), F.transform(F.element_at("nodes", -1), lambda t: tidy(t, 4)).cast("string").alias("borders"))
+        out = run if out is None else out.union(run)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (department_members, stale_cascade, holiday_ranges, occupancy_setpoints, wall_1d_two_node, air_node_free, air_node_thermostat, energy_balance, series_export, series_generators, building_sim, building_year, wall_layers_run)}
 
 RANGES = {z: [x for s, e in calendars.HOLIDAYS["all"] + calendars.HOLIDAYS[z] for a, b in [(calendars.year_day(*s), calendars.year_day(*e))] for x in ([(a, b)] if a <= b else [(a, 365), (1, b)])] for z in "ABC"}
 IN_A = " OR ".join(f"day BETWEEN {a} AND {b}" for a, b in RANGES["A"])
@@ -195,7 +245,9 @@ def hour_calendar(spark, sf_dir):
 
     _, weekday, hour = display.hour_parts(F.col("hour_index"), F.lit(0))
     hours = weather_queries.assembled(Warehouse(spark, sf_dir))
-    return hours.groupBy(weekday.cast("int").alias("weekday"), hour.cast("int").alias("hour")).agg(F.count(F.lit(1)).alias("n"), tidy(F.avg("t_ext"), 4).alias("t_mean"))
+    # Sums of whole micro-degrees don't depend on the order of the rows.
+    micro = F.sum(half_up(F.col("t_ext") * 1e6).cast("long"))
+    return hours.groupBy(weekday.cast("int").alias("weekday"), hour.cast("int").alias("hour")).agg(F.count(F.lit(1)).alias("n"), tidy(micro / (F.count(F.lit(1)) * 1e6), 4).alias("t_mean"))
 
 
 def closed_schedules(spark, sf_dir):
@@ -209,6 +261,6 @@ def closed_schedules(spark, sf_dir):
 QUERIES |= {f.__name__: f for f in (hour_calendar, closed_schedules)}
 ORACLES |= {
     "hour_calendar": with_views(
-        f"WITH {weather_queries.CLAMPED_SQL} SELECT CAST(CAST(floor(hour_index / 24e0) AS BIGINT) % 7 AS INT) AS weekday, CAST(hour_index % 24 AS INT) AS hour, count(*) AS n, round(avg(t_ext), 4) + 0e0 AS t_mean FROM w GROUP BY 1, 2", "v1"),
+        f"WITH {weather_queries.CLAMPED_SQL} SELECT CAST(CAST(floor(hour_index / 24e0) AS BIGINT) % 7 AS INT) AS weekday, CAST(hour_index % 24 AS INT) AS hour, count(*) AS n, round(CAST(sum(CAST(floor(t_ext * 1e6 + 0.5e0) AS BIGINT)) AS DOUBLE) / (count(*) * 1e6), 4) + 0e0 AS t_mean FROM w GROUP BY 1, 2", "v1"),
     "closed_schedules": with_views("SELECT slot, round(debit * 0.15e0, 6) + 0e0 AS debit, 0e0 AS gains, shut, round(0.34e0 * (debit * 0.15e0) * (1e0 - eta), 6) + 0e0 AS g_vent FROM v8", "v8"),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from calorix.functions.rounding import tidy
 from calorix.operators import meshes, visibility
 from calorix.plans import weather_queries
+from calorix.sources.stage import written
 from calorix.sources.tables import Warehouse, with_views
 
 
@@ -24,7 +25,7 @@ KEY = ("src", "half", "az_idx", "el_idx")
 
 def grid_rays(w: Warehouse):
     surfaces = panels(w).select(F.col("obj").alias("src"), "half", "ox", "oy", "oz", "nx", "ny", "nz", "tilt")
-    return visibility.facing(surfaces, visibility.sun_grid(w.spark))
+    return written(visibility.facing(surfaces, visibility.sun_grid(w.spark)), "rays")  # read for the hits and again for the result
 
 
 def sun_grid_cull(spark, sf_dir):
@@ -34,19 +35,21 @@ def sun_grid_cull(spark, sf_dir):
     return seen.groupBy("az_idx", "el_idx").agg(F.count(F.lit(1)).alias("n"), tidy(F.sum("cos"), 2).alias("cos_sum"))
 
 
-def grid_hits(w: Warehouse):
-    return visibility.hits(grid_rays(w), panels(w), KEY, ("az_idx", "el_idx"), visibility.sun_grid(w.spark))
+def grid_hits(w: Warehouse, rays):
+    return visibility.hits(rays, panels(w), KEY, ("az_idx", "el_idx"), visibility.sun_grid(w.spark))
 
 
 def ray_occlusion(spark, sf_dir):
     """Rays of the sun grid that no opaque panel blocks."""
     w = Warehouse(spark, sf_dir)
-    blocked = grid_hits(w).where("k is null or k <= 0").select(*KEY).distinct()
-    return grid_rays(w).join(blocked, list(KEY), "left_anti").select(*KEY)
+    rays = grid_rays(w)
+    blocked = grid_hits(w, rays).where("k is null or k <= 0").select(*KEY).distinct()
+    return rays.join(blocked, list(KEY), "left_anti").select(*KEY)
 
 
 def visibility_cube(w: Warehouse):
-    return visibility.visible_fraction(grid_rays(w), grid_hits(w), KEY)
+    rays = grid_rays(w)
+    return visibility.visible_fraction(rays, grid_hits(w, rays), KEY)
 
 
 def vegetation_transmittance(spark, sf_dir):
@@ -59,7 +62,7 @@ def sky_view_factor(spark, sf_dir):
     w = Warehouse(spark, sf_dir)
     directions = visibility.sky_directions(spark)
     surfaces = panels(w).select(F.col("obj").alias("src"), "half", "ox", "oy", "oz", "nx", "ny", "nz", "tilt")
-    rays = visibility.facing(surfaces, directions, 1e-9)
+    rays = written(visibility.facing(surfaces, directions, 1e-9), "rays")
     met = visibility.hits(rays, panels(w), ("src", "half", "dir"), ("dir",), directions)
     open_ = visibility.visible_fraction(rays, met, ("src", "half", "dir"), None)
     return visibility.sky_factors(open_, ("src", "half")).select("src", "half", tidy("f_sky", 5).alias("f_sky"))
@@ -68,7 +71,7 @@ def sky_view_factor(spark, sf_dir):
 def visibility_lookup(spark, sf_dir):
     """Mean visible fraction per panel over all sunlit hours of all sites, by nearest grid cell."""
     w = Warehouse(spark, sf_dir)
-    az, el = visibility.nearest_cell(F.round("azimuth", 5), F.round("elevation", 5))
+    az, el = visibility.nearest_cell(tidy("azimuth", 5), tidy("elevation", 5))
     # The hours collapse to their grid cells before they meet the panels.
     cells = weather_queries.sun(w).where("elevation > 0").groupBy(az.alias("az_idx"), el.alias("el_idx")).agg(F.count(F.lit(1)).alias("hours"))
     cube = visibility_cube(w).join(cells, ["az_idx", "el_idx"])
@@ -94,21 +97,21 @@ oo AS (SELECT obj AS src, ph AS half, (x0+x1+x2)/3e0 AS ox, (y0+y1+y2)/3e0 AS oy
 GRID = """gg AS (SELECT CAST(i % 24 AS INT) AS az_idx, CAST(i // 24 AS INT) AS el_idx, sin(radians((i % 24)*15e0))*cos(radians((i // 24)*15e0)) AS sx,
   cos(radians((i % 24)*15e0))*cos(radians((i // 24)*15e0)) AS sy, sin(radians((i // 24)*15e0)) AS sz FROM range(168) t(i))"""
 # A level panel is met where the ray reaches its height inside the triangle.
-HITS = """hh AS (SELECT {key}, pn.obj, pn.k FROM r JOIN pn ON r.sz > 1e-12 AND (pn.z - r.oz)/r.sz > 1e-9
+HITS = """hh AS MATERIALIZED (SELECT {key}, pn.obj, pn.k FROM r JOIN pn ON r.sz > 1e-12 AND (pn.z - r.oz)/r.sz > 1e-9
   AND (pn.x1-pn.x0)*((r.oy + r.sy*(pn.z-r.oz)/r.sz)-pn.y0) - (pn.y1-pn.y0)*((r.ox + r.sx*(pn.z-r.oz)/r.sz)-pn.x0) >= 0
   AND (pn.x2-pn.x1)*((r.oy + r.sy*(pn.z-r.oz)/r.sz)-pn.y1) - (pn.y2-pn.y1)*((r.ox + r.sx*(pn.z-r.oz)/r.sz)-pn.x1) >= 0
   AND (pn.x0-pn.x2)*((r.oy + r.sy*(pn.z-r.oz)/r.sz)-pn.y2) - (pn.y0-pn.y2)*((r.ox + r.sx*(pn.z-r.oz)/r.sz)-pn.x2) >= 0),
 bb AS (SELECT {key}, obj, bool_or(k IS NULL) AS opaque, max(k) AS k FROM hh GROUP BY {key}, obj),
 ff AS (SELECT {key}, CASE WHEN bool_or(opaque) THEN 0e0 ELSE product(k) END AS frac FROM bb GROUP BY {key})"""
 K4 = "src, half, az_idx, el_idx"
-CUBE = f"""{PANELS}, {GRID}, r AS (SELECT oo.*, gg.* FROM oo CROSS JOIN gg WHERE sz > 1e-6), {HITS.format(key=K4)},
+CUBE = f"""{PANELS}, {GRID}, r AS MATERIALIZED (SELECT oo.*, gg.* FROM oo CROSS JOIN gg WHERE sz > 1e-6), {HITS.format(key=K4)},
 qq AS (SELECT r.src, r.half, r.az_idx, r.el_idx, round_even(coalesce(frac, 1e0), 3) AS frac FROM r LEFT JOIN ff USING (src, half, az_idx, el_idx))"""
 ORACLES = {
     "sun_grid_cull": with_views(
         f"""WITH c AS (SELECT (y1-y0)*(z2-z0)-(z1-z0)*(y2-y0) AS a, (z1-z0)*(x2-x0)-(x1-x0)*(z2-z0) AS b, (x1-x0)*(y2-y0)-(y1-y0)*(x2-x0) AS c FROM v4),
         n AS (SELECT a/sqrt(a*a+b*b+c*c) AS nx, b/sqrt(a*a+b*b+c*c) AS ny, c/sqrt(a*a+b*b+c*c) AS nz FROM c WHERE sqrt(a*a+b*b+c*c) >= 1e-12), {GRID}
         SELECT az_idx, el_idx, count(*) AS n, round(sum(nx*sx+ny*sy+nz*sz), 2) + 0e0 AS cos_sum FROM n CROSS JOIN gg WHERE nx*sx+ny*sy+nz*sz > 1e-3 GROUP BY 1, 2""", "v4"),
-    "ray_occlusion": with_views(f"WITH {CUBE} SELECT {K4} FROM r WHERE NOT EXISTS (SELECT 1 FROM hh WHERE k IS NULL AND hh.src = r.src AND hh.half = r.half AND hh.az_idx = r.az_idx AND hh.el_idx = r.el_idx)", "v6"),
+    "ray_occlusion": with_views(f"WITH {CUBE} SELECT {K4} FROM r ANTI JOIN (SELECT DISTINCT {K4} FROM hh WHERE k IS NULL) USING ({K4})", "v6"),
     "vegetation_transmittance": with_views(f"WITH {CUBE} SELECT {K4}, round(frac, 6) + 0e0 AS frac FROM qq", "v6"),
     "sky_view_factor": with_views(
         f"""WITH {PANELS}, d AS (SELECT CAST(i AS INT) AS dir, sqrt(greatest(0e0, 1e0-(1e0-2e0*i/127e0)*(1e0-2e0*i/127e0)))*cos(i*pi()*(3e0-sqrt(5e0))) AS sx, 1e0-2e0*i/127e0 AS sy,

@@ -25,7 +25,8 @@ z AS (SELECT *, CASE WHEN az < 0 THEN az + 360e0 ELSE az END AS azimuth FROM p)"
 
 
 def assembled(w: Warehouse):
-    return weather.local_hour_index(weather.clamped(weather.kept_hours(w.weather_raw())), OFFSET_S)
+    """A series' kept and clamped hours: a year at most, so they may be broadcast."""
+    return weather.local_hour_index(weather.clamped(weather.kept_hours(weather.year(w.weather_raw()))), OFFSET_S)
 
 
 def weather_assemble(spark, sf_dir):
@@ -40,16 +41,13 @@ def weather_missing_count(spark, sf_dir):
 
 def tmy_hour_index(spark, sf_dir):
     """Typical-year index over kept hours."""
-    hours = weather.kept_hours(Warehouse(spark, sf_dir).weather_raw()).withColumn("hour_ts", F.col("hour_ts").cast("timestamp"))
+    hours = weather.kept_hours(weather.year(Warehouse(spark, sf_dir).weather_raw())).withColumn("hour_ts", F.col("hour_ts").cast("timestamp"))
     return weather.change_hour_index(hours, "hour_ts").select("hour_index", tidy("t_ext_raw").alias("t_ext"))
 
 
 def sun(w: Warehouse):
     """Kept hours at every site with the sun's position."""
-    # Sites x hours is the result itself; each side is small against it.
-    pairs = assembled(w).crossJoin(w.sites())
-    azimuth, elevation = solar.sun_position(F.col("hour_ts"), F.col("lat"), F.col("lon"))
-    return pairs.withColumns({"azimuth": azimuth, "elevation": elevation})
+    return solar.positions(assembled(w), w.sites())
 
 
 def solar_position(spark, sf_dir):
