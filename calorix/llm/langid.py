@@ -46,7 +46,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 REJECT_SHARE = 0.001
 #: Powers of two that lengths are told apart by, and how many of them on each side share a limit.
 LENGTHS, SPAN = 32, 4
-ROWS_AT_ONCE = 256
+ROWS_AT_ONCE = 128
 #: Words that a worker remembers; then it starts anew.
 CACHE_WORDS = 50_000
 HASH_BASE = np.uint64(0x9E3779B97F4A7C15)

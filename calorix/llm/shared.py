@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import re
@@ -21,6 +22,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A list of row keys of at most this many rows may be broadcast (8 bytes each); longer ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Rows of an Arrow batch in steps that are written.
+TEXTS_AT_ONCE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,10 +40,23 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a step to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with few_rows_a_batch(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def few_rows_a_batch(spark: SparkSession) -> Iterator[None]:
+    """Whole texts go to Python TEXTS_AT_ONCE at a time, so that a task holds few of them; the session's setting comes back after."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), TEXTS_AT_ONCE) if int(before) > 0 else TEXTS_AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fold(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

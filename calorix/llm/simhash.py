@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calorix.llm.components import components
-from calorix.llm.shared import folded, materialise, one_of_each, text_digest
+from calorix.llm.shared import folded, materialise, one_of_each, text_digest, trimmed
 
 SHINGLE = 3
 RADIUS = 2
@@ -165,6 +165,7 @@ def sketches(docs: DataFrame, size: int, tables: int, bits: int) -> DataFrame:
     longs = -(-(32 + tables * bits) // 64)
     weights = 1 << np.arange(bits, dtype=np.int64)
 
+    @trimmed
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, short, prints = [], [], []
@@ -196,11 +197,13 @@ def candidates(nodes: DataFrame, bits: int, similarity: float) -> DataFrame:
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs whose texts' sets of shingles are that similar."""
 
+    @trimmed
     def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.unpackbits(np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1) for i in (2, 3)) if batch.num_rows else (np.zeros((0, 1)),) * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array((a != b).sum(1) <= most_bits(a.shape[1], similarity)))
 
+    @trimmed
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stays = []
