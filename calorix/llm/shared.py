@@ -46,11 +46,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextlib.contextmanager
-def few_rows_a_batch(spark: SparkSession) -> Iterator[None]:
-    """Whole texts go to Python TEXTS_AT_ONCE at a time, so that a task holds few of them; the session's setting comes back after."""
+def few_rows_a_batch(spark: SparkSession, rows: int = TEXTS_AT_ONCE) -> Iterator[None]:
+    """Rows go to Python so many at a time, so that a task holds few whole texts; the session's setting comes back after."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), TEXTS_AT_ONCE) if int(before) > 0 else TEXTS_AT_ONCE))
+    spark.conf.set(key, str(min(int(before), rows) if int(before) > 0 else rows))
     try:
         yield
     finally:

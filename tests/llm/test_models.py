@@ -133,9 +133,9 @@ def lm_by_hand(rows):
 
 
 def test_lm_base_and_quality(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(pitman_yor, "FREQUENT", 50)
+    monkeypatch.setattr(pitman_yor, "BLOCK_BYTES", 200_000)  # many blocks
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    odd = awkward(spark).select((F.col("doc_id") + 100_000).alias("doc_id"), "text").where("length(text) < 5000 or text is null")
+    odd = awkward(spark).select((F.col("doc_id") + 100_000).alias("doc_id"), "text")
     rows = {r["doc_id"]: r for r in pitman_yor.query(spark, save(docs.union(odd), tmp_path)).collect()}
     expected = lm_by_hand([(r["doc_id"], r["text"]) for r in docs.union(odd).collect()])
     assert len(rows) == len(expected)
@@ -147,11 +147,87 @@ def test_lm_base_and_quality(spark, tmp_path, monkeypatch):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_lm_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(i, "a b a c the the of " * 3 + f"w{i}") for i in range(30)], "doc_id long, text string")
-    model = pitman_yor.Model.learn(docs)
-    total = model.word_logs().agg(F.sum(F.pow(F.lit(10.0), "logp"))).first()[0] + 10**model.unknown
-    assert total == pytest.approx(1.0, abs=1e-3)
+def log_stirling(c, d):
+    found = np.zeros(1)
+    for n in range(2, c + 1):
+        found = np.append(np.logaddexp(found + np.log(n - 1 - d * np.arange(1, n)), np.append(-np.inf, found[:-1])), found[-1])
+    return found
+
+
+@pytest.mark.parametrize("customers, discount, strength, base, others", [(10, 0.5, 1, 0.1, 0), (50, 0.7, 1, 0.05, 20), (400, 0.7, 1, 0.3, 5), (2000, 0.5, 10, 0.001, 5000), (3000, 0.6, 1, 0.5, 40)])
+def test_gibbs_draws_follow_the_exact_posterior(customers, discount, strength, base, others):
+    rng = np.random.default_rng(8)
+    t = np.arange(1, customers + 1)
+    law = log_stirling(customers, discount) + t * np.log(base) + np.cumsum(np.log(strength + discount * (others + np.arange(customers))))
+    law = np.exp(law - law.max())
+    mean = (law * t).sum() / law.sum()
+    tables, seen = np.ones(5000), []
+    for sweep in range(14):
+        x = pitman_yor.draw_strength(others + tables, discount, strength, rng)
+        tables = pitman_yor.draw_tables(np.full(5000, customers), x * base, discount, rng)
+        if sweep > 5:
+            seen.append(tables.mean())
+    assert np.mean(seen) == pytest.approx(mean, rel=0.03)
+    assert pitman_yor.mean_tables(np.full(5000, customers), x * base, discount).mean() == pytest.approx(mean, rel=0.03)
+
+
+def test_lm_equals_a_model_in_plain_dictionaries(spark, monkeypatch):
+    """Pair counts, restaurants and scores by hand; only the drawn variables are taken from the fit."""
+    monkeypatch.setattr(pitman_yor, "BLOCK_BYTES", 400)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(20)]
+    texts = [" ".join(rng.choices(words, range(20, 0, -1), k=rng.randint(0, 30))) for _ in range(80)]
+    texts += [texts[3], "w1 unseen w2", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    teaches = lambda i: i % 4 != 1 and i < 81
+    model = pitman_yor.fit(docs, (F.col("doc_id") % 4 != 1) & (F.col("doc_id") < 81))
+    assert model.blocks.count() > 6
+    split = {i: [b"", *(t or "").encode().split(), b""] for i, t in enumerate(texts)}
+    pairs = Counter(p for i, w in split.items() if teaches(i) for p in zip(w, w[1:]))
+    after = Counter()
+    for (u, _), c in pairs.items():
+        after[u] += c
+    once, twice = (sum(c == k for c in pairs.values()) for k in (1, 2))
+    d = model.discount
+    assert d == pytest.approx(min(max(once / (once + 2 * twice), 0.1), 0.9))
+    # The last sweep's drawn x and parent's predictions by word, as blocks were given them.
+    drawn = {}
+    for r in model.blocks.join(model.drawn_with, "block").collect():
+        r = r.asDict()
+        for w, x, logp in zip(r["words"], pitman_yor.joined_values(r, "x", "<f4"), pitman_yor.joined_values(r, "logp", "<f4")):
+            drawn[bytes(w)] = (x, 10.0**logp)
+    tables = {p: float(pitman_yor.mean_tables(np.array([c]), np.array([drawn[p[0]][0] * drawn[p[1]][1]]), d)[0]) for p, c in pairs.items()}
+    t_of = Counter()
+    for (u, _), t in tables.items():
+        t_of[u] += t
+    lexicon = {bytes(r["word"]): r for r in model.lexicon.collect()}
+    parent = {w: 10 ** r["logp"] for w, r in lexicon.items()}
+    assert all(lexicon[w]["c"] == c for w, c in after.items()) and all(lexicon[u]["t"] == pytest.approx(t_of[u], rel=1e-5) for u in after)
+    unknown = 10**model.unknown
+    assert sum(parent.values()) + unknown == pytest.approx(1, abs=1e-6)
+
+    def p(u, w):
+        return (pairs[u, w] - d * tables.get((u, w), 0) + (1 + d * t_of[u]) * parent.get(w, unknown)) / (1 + after[u])
+
+    for u in [*after, b"unseen"]:
+        assert sum(p(u, w) for w in parent) + p(u, b"?") == pytest.approx(1, abs=1e-5)
+    found = {r["doc_id"]: r["score"] for r in pitman_yor.scored(model).collect()}
+    assert len(found) == len(texts)
+    for i, w in split.items():
+        assert found[i] == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(w, w[1:])), rel=1e-4, abs=1e-5)
+    shuffled = " ".join(reversed(texts[3].split()))
+    other = pitman_yor.fit(docs.union(spark.createDataFrame([(95, shuffled)], docs.schema)), F.col("doc_id") < 81)
+    ordered = {r["doc_id"]: r["score"] for r in pitman_yor.scored(other).collect()}
+    assert ordered[95] < ordered[3]
+
+
+def test_messages_carry_keys_and_counts():
+    rng = np.random.default_rng(2)
+    keys = np.sort(rng.integers(0, 2**47, 5000, dtype=np.uint64))
+    counts = rng.integers(0, 300, 5000)
+    rows = pitman_yor.coded(7, keys, 47, 5, counts)
+    back = np.concatenate([pitman_yor.golomb_decode(r[2], r[3], r[4], r[5]) + (np.uint64(r[1]) << np.uint64(42)) for r in rows])
+    assert (back == keys).all() and (np.concatenate([pitman_yor.unpacked(r[6], "<u4") for r in rows]) == counts).all()
 
 
 def test_spelling_predictions_sum_to_one():
@@ -159,15 +235,17 @@ def test_spelling_predictions_sum_to_one():
     tree = pitman_yor.SpellingTree(np.array([0, 0, 5, 9]), np.array([97, 98, 97, 32]), np.array([50, 1, 3, 1000]))
     mean, tables = tree.sample(np.full(256, 1 / 256), rng)
     assert np.allclose(mean.sum(1), 1) and tables.sum() >= 3
-    seats = pitman_yor.seat(np.array([1, 10, 100_000]), np.array([0.1, 0.1, 0.1]), np.array([5, 5, 5]), 0.7, 1.0, rng)
-    assert seats[0] == 1 and (seats >= 1).all() and (seats <= [1, 10, 100_000]).all()
 
 
 def test_lm_edges(spark):
-    assert pitman_yor.score_texts(empty(spark), pitman_yor.Model.learn(empty(spark))).count() == 0
-    model = pitman_yor.Model.learn(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string"))
-    assert model.n == 2 and model.types == 1
-    assert pitman_yor.score_texts(awkward(spark), model).where("score >= 0 or score is null").count() == 0
+    nobody = pitman_yor.fit(empty(spark), F.lit(True))
+    assert nobody.n == 0 and pitman_yor.scored(nobody).count() == 0
+    untaught = pitman_yor.fit(awkward(spark), F.lit(False))
+    assert untaught.n == 0 and pitman_yor.scored(untaught).where("score = 0 and base_score = 0 and n_known = 0").count() == awkward(spark).count()
+    blank = spark.createDataFrame([(1, None), (2, ""), (None, " ")], "doc_id long, text string")
+    model = pitman_yor.fit(blank, F.lit(True))
+    rows = pitman_yor.scored(model).collect()
+    assert model.n == 3 and model.types == 1 and len(rows) == 3 and len({r["score"] for r in rows}) == 1 and {r["n_tokens"] for r in rows} == {1}
 
 
 def test_oracles_agree(spark, tmp_path):
