@@ -3,9 +3,12 @@
 Vectors are scaled to unit length; a cosine of at least t is a distance of at
 most r = sqrt(2 - 2t).  Equal vectors become one class with a count first.
 
-Top levels: a bounded sample of classes gives the centres of the coarsest level;
-every class goes to its nearest centre, and each cell's covering radius is
-measured over all its members.  Cells are cut into blocks of bounded size.
+Top levels: a bounded sample of classes gives the centres.  From the root down, a
+cell with too many members for a block is cut by centres that halve its radius
+(at most CENTRES of them), until cells fit.  Every class goes to its nearest
+centre, and each cell's covering radius is measured over all its members.  Small
+cells share a block; only a cell that is narrower than the finest level, where no
+radius can prune, is dealt to several blocks by hash.
 
 Lower levels: each block is a cover tree of nested levels with halving radii,
 built where the block is.  Block pairs whose cells may hold links (distance of
@@ -19,9 +22,10 @@ and the least vector of its local component, never the pairs themselves.
 
 Defined results: null, empty, zero or non-finite vectors (or null components)
 link with nothing; vectors of different length never link; equal vectors link
-with each other; rows that repeat a vec_id count as vectors of their own and
-share their results; a null vec_id has a null component and is not kept; an
-empty table gives an empty result.
+with each other; rows that repeat a vec_id count as vectors of their own, each
+with the links of its own vector; rows without a vec_id count and link as others
+do, but never name a component (null if none of it has an id) and are not kept;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,11 +41,11 @@ from calorix.llm.components import components
 from calorix.llm.shared import materialise
 
 THRESHOLD = 0.9
-#: Classes sampled for the coarsest level (by hash), and its centres.
-SAMPLE, CENTRES = 4096, 64
-#: Most classes of a block: a task holds two blocks.
-BLOCK = 8192
-#: Radii of the levels inside a block: coarser ones than the link radius (0.447) would prune nothing there.
+#: Classes sampled for the top levels (by hash), and most centres that cut a cell.
+SAMPLE, CENTRES = 16_384, 64
+#: Most classes of a block and bytes of its vectors: a task holds two blocks.  There are BLOCKS of them at least, for the sake of small tables.
+BLOCK, BLOCK_BYTES, BLOCKS = 8192, 32 << 20, 8
+#: Radii of the levels inside a block: those above are the cells'.
 RADII = (0.5, 0.25, 0.125, 0.0625)
 #: Node or point pairs compared at once.
 PAIRS_AT_ONCE = 1 << 18
@@ -231,12 +235,13 @@ def traverse(a: CoverTree, b: CoverTree, offset: int, same: bool, threshold: flo
 
 
 def valid_classes(vectors: DataFrame) -> DataFrame:
-    """One row per distinct valid vector: least vec_id (``node``), number of rows, and the vector as stored."""
+    """One row per distinct valid vector: a number of its own (``node``), least vec_id, number of rows, and the vector as stored."""
     v = F.col("v")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").alias("v")).where(F.col("vec_id").isNotNull() & v.isNotNull() & finite & some)
-    return rows.groupBy("v").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("times"))
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").alias("v")).where(v.isNotNull() & finite & some)
+    grouped = rows.groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("times"))
+    return materialise(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")  # written, so that numbers stay
 
 
 def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -248,21 +253,47 @@ def matrices(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, values[starts[at][:, None] + np.arange(n)]
 
 
-def placed(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def block_size(length: int, classes: int) -> int:
+    """Most classes of a block of vectors of this length."""
+    return max(1, min(BLOCK, BLOCK_BYTES // (8 * length), -(-classes // BLOCKS)))
+
+
+def centres_of(points: np.ndarray, classes: float, size: int) -> np.ndarray:
+    """Centres of cells that hold about ``size`` of so many classes, of which the points are a sample: row numbers."""
+    found, open_ = [], [np.arange(len(points))]
+    while open_:
+        rows = open_.pop()
+        far = distances(points[rows], points[rows[:1]])[:, 0]
+        if len(rows) * classes <= size * len(points) or len(rows) < 2 or far.max() <= RADII[-1]:
+            found.append(rows[0])
+            continue
+        chosen, goal, nearest = [0], far.max() / 2, np.zeros(len(rows), int)
+        while len(chosen) < CENTRES and far.max() > goal:
+            new = int(far.argmax())
+            d = distances(points[rows], points[rows[new : new + 1]])[:, 0]
+            d[new] = 0
+            nearest[d < far] = len(chosen)
+            far = np.minimum(far, d)
+            chosen.append(new)
+        open_ += [np.concatenate([rows[c : c + 1], rows[(nearest == k) & (np.arange(len(rows)) != c)]]) for k, c in enumerate(chosen)]
+    return np.array(found)
+
+
+def placed(classes: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Classes with their block, and the pairs of blocks that may hold links."""
     spark = classes.sparkSession
+    total = classes.count()
     sample = classes.select("v").orderBy(F.xxhash64("node")).limit(SAMPLE).toPandas()["v"]  # bounded
     centres = {}
     for n in sorted({len(v) for v in sample}):
         points = unit(np.array([v for v in sample if len(v) == n]))
-        chosen, far = [0], np.full(len(points), np.inf)
-        while len(chosen) < min(CENTRES, len(points)):
-            far = np.minimum(far, distances(points, points[chosen[-1:]])[:, 0])
-            chosen.append(int(far.argmax()))
-        centres[n] = points[chosen]
-    offsets = dict(zip(centres, np.cumsum([0, *map(len, centres.values())])))
+        share = total * len(points) / len(sample)
+        centres[n] = points[centres_of(points, share, block_size(n, int(share)))]
+    offsets = dict(zip(centres, np.cumsum([0, *map(len, centres.values())]).tolist()))
+    spread = spark.sparkContext.broadcast((centres, offsets))  # at most SAMPLE vectors
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres, offsets = spread.value
         for batch in batches:
             cells, far = np.full(batch.num_rows, -1), np.full(batch.num_rows, 2.0)
             for at, rows in matrices(batch.column("v")):
@@ -276,35 +307,38 @@ def placed(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema)
     in_cells = materialise(classes.mapInArrow(assign, f"{fields}, cell long, far double"), "cells")
-    sizes = in_cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()  # one row per centre
-    # Small cells share a block; a cell that is too large for one is cut into hashed parts.
-    cells, used, room = [], 0, 0
+    sizes = in_cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()  # one row per centre or length
+    length_of = lambda cell: -cell if cell < 0 else max(n for n in centres if offsets[n] <= cell)
+    # Small cells share a block; a cell that is too large for one is dealt to several.
+    cells, used, room, last = [], 0, 0, None
     for s in sorted(sizes, key=lambda s: s["cell"]):
-        parts = -(-s["n"] // BLOCK)
-        if parts > 1 or s["n"] > room:
-            used, room = used + parts, BLOCK if parts == 1 else 0
-        room -= s["n"]
-        cells.append((s["cell"], used - parts, parts, s["radius"]))
-    every = [c for n in centres for c in centres[n]]
-    r = np.sqrt(2 - 2 * THRESHOLD)
-
-    def may_link(a: tuple, b: tuple) -> bool:
-        if a[0] < 0 or b[0] < 0 or len(every[a[0]]) != len(every[b[0]]):
-            return a[0] == b[0]
-        return distances(every[a[0]][None], every[b[0]][None])[0, 0] <= r + a[3] + b[3] + SLACK
-
-    near = [(*map(int, (a[1], a[2], b[1], b[2])),) for i, a in enumerate(cells) for b in cells[i:] if may_link(a, b)]
+        n = length_of(s["cell"])
+        size = block_size(n, total)
+        parts = -(-s["n"] // size)
+        if parts > 1 or s["n"] > room or n != last:
+            used, room = used + parts, size if parts == 1 else 0
+        room, last = room - s["n"], n
+        cells.append((s["cell"], used - parts, parts, s["radius"], n))
+    near, r = set(), np.sqrt(2 - 2 * threshold)
+    for n in {c[4] for c in cells}:
+        own = [c for c in cells if c[4] == n]
+        if n in centres:
+            at, radius = centres[n][[c[0] - offsets[n] for c in own]], np.array([c[3] for c in own])
+            reach = np.concatenate([distances(at[i : i + 1024], at) <= r + radius[i : i + 1024, None] + radius + SLACK for i in range(0, len(own), 1024)])
+        else:
+            reach = np.ones((len(own), len(own)), bool)
+        near |= {(*own[i][1:3], *own[j][1:3]) for i, j in zip(*np.nonzero(np.triu(reach)))}
     last = lambda first, parts: F.sequence(F.col(first), F.col(first) + F.col(parts) - 1)
     pairs = (
-        spark.createDataFrame(near, "f int, p int, g int, q int")
+        spark.createDataFrame([tuple(map(int, x)) for x in sorted(near)], "f int, p int, g int, q int")
         .select(F.explode(last("f", "p")).alias("i"), "g", "q")
         .select("i", F.explode(last("g", "q")).alias("j"))
         .select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
         .distinct()
     )
-    table = spark.createDataFrame([(int(c), int(f), int(p)) for c, f, p, _ in cells], "cell long, first int, parts int")
+    table = spark.createDataFrame([(int(c), int(f), int(p)) for c, f, p, *_ in cells], "cell long, first int, parts int")
     block = F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    return in_cells.join(F.broadcast(table), "cell").select("node", "times", "v", block.alias("block")), pairs  # at most CENTRES rows per length
+    return in_cells.join(F.broadcast(table), "cell").select("node", "times", "v", block.alias("block")), pairs  # at most SAMPLE rows, and one per other length
 
 
 def grown(members: DataFrame) -> DataFrame:
@@ -358,21 +392,22 @@ def pair_links(members: DataFrame, pairs: DataFrame, threshold: float) -> DataFr
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector."""
-    classes = materialise(valid_classes(vectors), "classes")
-    members, pairs = placed(classes)
+    classes = valid_classes(vectors)
+    members, pairs = placed(classes, threshold)
     links = materialise(pair_links(materialise(grown(members), "trees"), pairs, threshold), "vector-links")
     found = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    # Representatives are least ids of their classes, so a component's least node is its least vector.
     counts = links.groupBy("node").agg(F.sum("n").alias("n"))
-    known = classes.join(counts, "node", "left").join(found, "node", "left")
-    known = known.select("v", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n"), F.coalesce("component", "node").alias("component"))
+    of_class = classes.select("node", "least", "times", "v").join(counts, "node", "left").join(found, "node", "left")
+    of_class = materialise(of_class.select("least", "v", (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n"), F.coalesce("component", "node").alias("component")), "class-links")
+    names = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = of_class.join(names, "component").select("v", "n", "component_id")
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").alias("v"))
-    own = F.col("vec_id").isNotNull()
+    # A valid vector is in a class; others are components of their own.
     return rows.join(known, "v", "left").select(
         "vec_id",
-        F.when(own, F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
-        F.when(own, F.coalesce("component", "vec_id")).alias("component_id"),
-        F.coalesce(F.col("vec_id") == F.coalesce("component", "vec_id"), F.lit(False)).alias("kept"),
+        F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
+        F.when(F.col("n").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce(F.col("vec_id") == F.when(F.col("n").isNull(), F.col("vec_id")).otherwise(F.col("component_id")), F.lit(False)).alias("kept"),
     )
 
 

@@ -163,7 +163,35 @@ def test_vector_edges(spark):
     schema = "vec_id long, embedding array<float>, label string"
     assert cover.near_vectors(spark.createDataFrame([], schema)).count() == 0
     same = cover.near_vectors(spark.createDataFrame([(1, [1.0, 0.0], "a"), (1, [1.0, 0.0], "a"), (None, [1.0, 0.0], "b")], schema)).collect()
-    assert sorted((r["vec_id"] or -1, r["n_links"], r["kept"]) for r in same) == [(-1, 0, False), (1, 1, True), (1, 1, True)]
+    assert sorted((r["vec_id"] or -1, r["n_links"], r["component_id"], r["kept"]) for r in same) == [(-1, 2, 1, False), (1, 2, 1, True), (1, 2, 1, True)]
+
+
+def test_repeated_and_missing_vec_ids_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(cover, "BLOCK", 16)
+    rng = np.random.default_rng(7)
+    base = [rng.normal(size=5) for _ in range(9)]
+    rows = [(int(rng.integers(0, 30)) if rng.random() < 0.8 else None, (base[rng.integers(0, 9)] + rng.normal(size=5) * 0.12).tolist()) for _ in range(120)]
+    rows += rows[:10] + [(77, base[0].tolist()), (77, (-base[0]).tolist()), (None, (100 * base[0]).tolist()), (None, None)]
+    valid = [k for k, (_, v) in enumerate(rows) if v]
+    unit = np.array([np.array(rows[k][1]) / np.linalg.norm(rows[k][1]) for k in valid])
+    near = unit @ unit.T >= 0.9
+    label = classes(len(valid), [(a, b) for a in range(len(valid)) for b in range(a) if near[a, b]])
+    expected = [(None, 0, None, False)] * (len(rows) - len(valid))
+    for a, k in enumerate(valid):
+        ids = [rows[valid[b]][0] for b in range(len(valid)) if label[b] == label[a] and rows[valid[b]][0] is not None]
+        least = min(ids, default=None)
+        expected.append((rows[k][0], int(near[a].sum()) - 1, least, rows[k][0] is not None and rows[k][0] == least))
+    found = cover.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect()
+    assert sorted(map(repr, (tuple(r) for r in found))) == sorted(map(repr, expected))
+
+
+def test_cells_halve_and_blocks_are_bounded():
+    rng = np.random.default_rng(9)
+    points = cover.unit(np.concatenate([rng.normal(size=(600, 8)), rng.normal(size=8) + rng.normal(size=(900, 8)) * 0.2]))
+    chosen = cover.centres_of(points, 15_000, 500)
+    near = cover.distances(points, points[chosen]).argmin(1)
+    assert len(set(chosen)) == len(chosen) and np.bincount(near).max() * 10 <= 1000
+    assert cover.block_size(4096, 10**6) * 4096 * 8 <= cover.BLOCK_BYTES and cover.block_size(64, 10**6) == cover.BLOCK
 
 
 def similarity_by_hand(a, b):
