@@ -17,10 +17,13 @@ The pipeline's stage (``drop_similar``) goes by the texts instead: documents are
 linked whose sets of five-word shingles have a similarity (intersection over
 union) of 0.8 or more.  Candidates share a half-ball variant of one of several
 short SimHashes of independent bits; the number and length of these follow from
-the number of texts and the share of pairs to be found (``tables_for``).  In a
-bucket each text is compared with its neighbours in an order that the bucket
-shuffles and with the bucket's first, so that the pairs grow with the rows, not
-with the square of a bucket.  Each pair is then verified on both texts.
+the number of texts and the share of pairs to be found (``tables_for``).  Variants
+travel as messages: a block of texts sends each owner (a range of buckets) its
+sorted, Golomb-coded variants.  In a bucket each text meets its neighbours in the
+order of their bits and the bucket's first, so that the pairs grow with the rows,
+not with the square of a bucket.  Pairs whose long SimHashes are near are verified
+on both texts: first each text's nearest one, then those of the others that are
+not in one group by then, so that a large group of copies isn't compared within.
 """
 
 from __future__ import annotations
@@ -36,7 +39,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calorix.llm.components import components
-from calorix.llm.shared import folded, materialise, one_of_each, text_digest, trimmed
+from calorix.llm.golomb_dedup import golomb_decode, golomb_encode
+from calorix.llm.shared import BROADCAST_ROWS, folded, materialise, one_of_each, text_digest, trimmed
 
 SHINGLE = 3
 RADIUS = 2
@@ -47,6 +51,8 @@ BITS_AT_ONCE = 65_536
 STAGE_SHINGLE, SIMILARITY = 5, 0.8
 #: Share of the pairs of just that similarity that may not meet in any table.
 MISSED = 0.03
+#: Texts whose variants are sent together.
+NODES_AT_ONCE = 8192
 #: Neighbours in a bucket with which a text is compared, besides the bucket's first.
 NEIGHBOURS = 6
 #: Standard deviations above the expected differing bits at which a pair is no candidate.
@@ -182,49 +188,114 @@ def sketches(docs: DataFrame, size: int, tables: int, bits: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_digest(), F.col("text").cast("string")).mapInArrow(sketch, "doc_id long, digest long, node long, tables array<long>, print binary")
 
 
-def candidates(nodes: DataFrame, bits: int, similarity: float) -> DataFrame:
-    """Distinct (u, v) of nodes that meet in a bucket and whose prints differ in no more bits than similar texts' do."""
-    masks = F.array(*[F.lit(m).cast("long") for m in [0, *(1 << b for b in range(bits))]])
-    short = nodes.select("node", F.posexplode("tables").alias("table", "short"))
-    rows = short.select("node", F.explode(F.transform(masks, lambda m: F.shiftleft(F.col("table").cast("long"), 32) + F.col("short").bitwiseXOR(m))).alias("bucket"))
-    order = Window.partitionBy("bucket").orderBy(F.col("node").bitwiseXOR(F.xxhash64("bucket")))
-    others = [F.lag("node", k).over(order) for k in range(1, NEIGHBOURS + 1)] + [F.first("node").over(order)]
-    near = lambda o: F.bit_count(F.shiftrightunsigned(o.bitwiseXOR(F.col("node")), 32)) <= most_bits(32, similarity)
-    met = rows.select("node", F.array(*others).alias("others")).select("node", F.explode(F.filter("others", lambda o: (o != F.col("node")) & near(o))).alias("other"))
-    return met.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
+def bucket_messages(nodes: DataFrame, tables: int, bits: int, owner_bits: int) -> DataFrame:
+    """Each block's variants to the owners of their buckets: coded buckets, numbers of the texts in the block, and the block's first id and bits."""
+    masks = np.array([0, *(1 << b for b in range(bits))], np.int64)
+    width = (tables - 1).bit_length() + bits
 
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs whose texts' sets of shingles are that similar."""
+    @trimmed
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_numpy()
+            sketch = (batch.column("node").to_numpy().view(np.uint64) >> np.uint64(32)).astype("<u4")
+            short = batch.column("tables").flatten().to_numpy().reshape(-1, tables)
+            runs = np.flatnonzero(np.diff(ids) != 1) + 1  # a block's ids follow one another
+            edges = sorted({0, *runs.tolist(), *range(0, len(ids), NODES_AT_ONCE), len(ids)})
+            for a, b in zip(edges, edges[1:]):
+                buckets = (((np.arange(tables) << bits)[None, :, None] + (short[a:b, :, None] ^ masks)).reshape(b - a, -1)).astype(np.uint64)
+                places = np.repeat(np.arange(b - a, dtype="<u2"), buckets.shape[1])
+                order = np.argsort(buckets, axis=None, kind="stable")
+                keys, places = buckets.reshape(-1)[order], places[order]
+                owner = (keys >> np.uint64(max(width - owner_bits, 0))).astype(np.int64)
+                low = np.flatnonzero(np.diff(owner, prepend=-1))
+                rows = []
+                for x, y in zip(low, np.append(low[1:], len(keys))):
+                    start = int(owner[x]) << max(width - owner_bits, 0)
+                    k = max(1, (2 ** max(width - owner_bits, 0) // int(y - x)).bit_length())
+                    rows.append((int(owner[x]), int(ids[a]), start, int(y - x), k, *golomb_encode(keys[x:y] - np.uint64(start), k), places[x:y].tobytes(), sketch[a:b].tobytes()))
+                kinds = pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["owner", "first", "start", "n", "k", "quotients", "remainders", "places", "sketches"])
+
+    schema = "owner int, first long, start long, n int, k int, quotients binary, remainders binary, places binary, sketches binary"
+    return nodes.select("id", "node", "tables").mapInArrow(send, schema)
+
+
+def candidates(nodes: DataFrame, tables: int, bits: int, similarity: float) -> DataFrame:
+    """Distinct (u, v) of ids that meet in a bucket and whose first bits differ in no more places than similar texts' do."""
+    most = most_bits(32, similarity)
+    owner_bits = min((tables - 1).bit_length() + bits, (2 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+    def meet(table: pa.Table) -> pa.Table:
+        buckets, ids, sketches = [], [], []
+        for r in table.to_pylist():
+            places = np.frombuffer(r["places"], "<u2").astype(np.int64)
+            buckets.append(golomb_decode(r["n"], r["k"], r["quotients"], r["remainders"]) + np.uint64(r["start"]))
+            ids.append(places + r["first"])
+            sketches.append(np.frombuffer(r["sketches"], "<u4")[places])
+        buckets, ids, sketches = map(np.concatenate, (buckets, ids, sketches))
+        order = np.lexsort((ids, sketches, buckets))
+        buckets, ids, sketches = buckets[order], ids[order], sketches[order]
+        firsts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
+        first = np.repeat(firsts, np.diff(np.append(firsts, len(ids))))
+        here, found = np.arange(len(ids)), []
+        for other in (first, *(np.maximum(here - k, first) for k in range(1, NEIGHBOURS + 1))):
+            near = (other < here) & (np.bitwise_count(sketches ^ sketches[other]) <= most)
+            a, b = ids[near], ids[other[near]]
+            found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+    sent = bucket_messages(nodes, tables, bits, owner_bits)
+    return sent.groupBy("owner").applyInArrow(meet, "u long, v long").distinct()
+
+
+def beside(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """Pairs (u, v) with the value of both."""
+    rest = [c for c in pairs.columns if c not in "uv"]
+    for node in "uv":
+        pairs = pairs.join(values.select(F.col("id").alias(node), F.col(value).alias(f"{value}_{node}")), node)
+    return pairs.select("u", "v", *rest, f"{value}_u", f"{value}_v")
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, apart): the pairs whose prints differ in no more bits (apart) than those of similar texts do."""
 
     @trimmed
-    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.unpackbits(np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1), axis=1) for i in (2, 3)) if batch.num_rows else (np.zeros((0, 1)),) * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array((a != b).sum(1) <= most_bits(a.shape[1], similarity)))
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+                apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int32)
+                rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart)], ["u", "v", "apart"])
+                yield rows.filter(pa.array(apart <= most_bits(8 * a.shape[1], similarity)))
+
+    return beside(pairs, nodes, "print").mapInArrow(compare, "u long, v long, apart int")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs whose texts' sets of shingles are that similar."""
 
     @trimmed
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             stays = []
-            for s, t in zip(folded(batch.column(2)), folded(batch.column(3))):
-                x, y = (shingles(z.as_buffer().to_pybytes(), size) for z in (s, t))
+            for i in range(batch.num_rows):
+                x, y = (shingles(folded(batch.column(c).slice(i, 1))[0].as_buffer().to_pybytes(), size) for c in (2, 3))
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 stays.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(stays, pa.bool_()))
 
-    def beside(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
-        for node in "uv":
-            pairs = pairs.join(values.select(F.col("node").alias(node), F.col(value).alias(f"{value}_{node}")), node)
-        return pairs.select("u", "v", f"{value}_u", f"{value}_v")
+    return materialise(beside(pairs.select("u", "v"), texts, "text").mapInArrow(exact, "u long, v long"), "near-links")
+
 
-    pairs = materialise(beside(pairs, nodes, "print").mapInArrow(alike, "u long, v long"), "near-pairs")
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    asked = materialise(nodes.join(asked, "node", "left_semi").select("node", "row.*"), "near-nodes")
+def texts_of(nodes: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of all texts in some pair."""
+    asked = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
+    asked = materialise(nodes.join(asked, "id", "left_semi").select("id", "row.*"), "near-nodes").withColumnsRenamed({"digest": "__digest", "doc_id": "__id"})
+    few = F.broadcast(asked) if asked.count() <= BROADCAST_ROWS else asked
     texts = docs.select(F.col("doc_id").cast("long"), text_digest(), F.col("text").cast("string"))
-    same = texts["digest"].eqNullSafe(asked["digest"]) & texts["doc_id"].eqNullSafe(asked["doc_id"])
-    texts = materialise(texts.join(asked, same).groupBy("node").agg(F.min("text").alias("text")), "near-texts")
-    return beside(pairs, texts, "text").mapInArrow(exact, "u long, v long")
+    met = texts.join(few, (texts["digest"] == few["__digest"]) & texts["doc_id"].eqNullSafe(few["__id"]))
+    return materialise(met.select("id", "text").dropDuplicates(["id"]), "near-texts")  # rows that repeat id and text
 
 
 def similar_groups(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -232,11 +303,22 @@ def similar_groups(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float
     tables, bits = tables_for(docs.count(), similarity)
     known = materialise(sketches(docs, size, tables, bits), "sketches")
     # Of rows with equal sets of shingles any will do: they are one node.
-    nodes = materialise(known.groupBy("node").agg(F.min(F.struct("digest", "doc_id")).alias("row"), F.min("tables").alias("tables"), F.min("print").alias("print")), "sketch-nodes")
-    pairs = materialise(candidates(nodes, bits, similarity), "candidates")
-    found = components(materialise(verified(pairs, nodes, docs, size, similarity), "near-links"))
-    placed = known.select("doc_id", "digest", "node").join(found, "node", "left")
-    return placed.select("doc_id", "digest", F.coalesce("component", "node").alias("component"))
+    nodes = known.groupBy("node").agg(F.min(F.struct("digest", "doc_id")).alias("row"), F.min("tables").alias("tables"), F.min("print").alias("print"))
+    nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "sketch-nodes")
+    near = materialise(alike(materialise(candidates(nodes, tables, bits, similarity), "candidates"), nodes, similarity), "near-pairs")
+    texts = texts_of(nodes, near, docs)
+    both = near.select("u", "apart", F.col("v").alias("o")).union(near.select(F.col("v").alias("u"), "apart", F.col("u").alias("o")))
+    nearest = both.groupBy("u").agg(F.min(F.struct("apart", "o")).alias("n")).select(F.greatest("u", "n.o").alias("u"), F.least("u", "n.o").alias("v")).distinct()
+    links = verified(materialise(nearest, "nearest-pairs"), texts, size, similarity)
+    groups = materialise(components(links), "first-groups")
+    placed = near
+    for node in "uv":
+        own = groups.select(F.col("node").alias(node), F.col("component").alias(f"g{node}"))
+        placed = placed.join(own, node, "left").withColumn(f"g{node}", F.coalesce(f"g{node}", node))
+    rest = materialise(placed.where("gu <> gv").select("u", "v").join(nearest, ["u", "v"], "left_anti"), "other-pairs")
+    found = components(links.union(verified(rest, texts, size, similarity)))
+    of_node = nodes.select("node", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("component", "id").alias("component"))
+    return known.select("doc_id", "digest", "node").join(of_node, "node").select("doc_id", "digest", "component")
 
 
 def drop_similar(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
