@@ -39,6 +39,52 @@ def closed_schedule(opened: DataFrame) -> DataFrame:
     return opened.withColumns({"debit": F.col("debit") * CLOSED_FLOW, "gains": F.lit(0.0)})
 
 
+def suggested_flow(volume: Column, profile: int) -> tuple[Column, Column]:
+    """Air flow (m3/h) and heat recovery of a ventilation profile for a volume."""
+    changes, recovery = VENTILATION[profile]
+    return air_flow(volume, F.lit(changes)), F.lit(recovery)
+
+
+def days_ago(n: int, today: Column | None = None) -> Column:
+    """The date n days before today, as text."""
+    return F.date_format(F.date_sub(today if today is not None else F.current_date(), n), "yyyy-MM-dd")
+
+
+def default_name(lat: Column, lon: Column) -> Column:
+    """Label of a building without a name."""
+    return F.format_string("Bâtiment %.5f, %.5f", lat, lon)
+
+
+def stem(path: Column) -> Column:
+    """File name without a mesh extension."""
+    return F.regexp_replace(path, r"(?i)\.(obj|stl)$", "")
+
+
+def weather_message(hours: Column, source: Column, warning: Column, missing: Column) -> Column:
+    """What became of a weather request, in the words of the service."""
+    name = F.when(source == "pvgis-tmy", "PVGIS TMY").otherwise("Open-Meteo Archive")
+    base = F.format_string("%d heure(s) récupérée(s) (%s).", hours.cast("int"), name)
+    skipped = F.when(missing > 0, F.format_string("%d heure(s) ignorée(s), donnée manquante.", missing.cast("int")))
+    return F.concat_ws(" ", base, warning, skipped)
+
+
+def domain(low: Column, high: Column, share: float) -> tuple[Column, Column]:
+    """Ends of a chart's axis: the values' range widened by a share of it, by 1 where all are equal, 0 to 1 without values."""
+    spread = F.when(high > low, (high - low) * share).otherwise(F.lit(1.0 if share >= 0.1 else 1.0 + 2.0 * share))
+    return F.coalesce(low - spread, F.lit(0.0)), F.coalesce(high + spread, F.lit(1.0))
+
+
+def nearest_hour(x: Column, left: Column, width: Column, hours: Column) -> Column:
+    """The hour under a chart position, rounded half up; null outside the chart."""
+    hour = half_up((x - left) / width * hours)
+    return F.when(hour.between(0, hours), hour)
+
+
+def shared_groups(own: Column, required: Column) -> Column:
+    """Groups that two lists have in common, in order."""
+    return F.array_sort(F.array_intersect(own, required))
+
+
 def ramp(value: Column, low: Column, high: Column, start: str, end: str) -> Column:
     """Colour between two hex colours by a value's place between low and high."""
     share = F.when(high > low, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (value - low) / (high - low)))).otherwise(0.0)

@@ -35,6 +35,17 @@ def with_resistance(h: Column, resistance: Column) -> Column:
     return 1.0 / (1.0 / h + resistance)
 
 
+def surface_film(h_e: Column, boundary: Column, r_ground: Column, closed: Column, resistance: Column) -> Column:
+    """Outer film of a surface: the ground's own, else in series with the shading's resistance while it is closed."""
+    return F.when(boundary == "ground", ground_conductance(r_ground)).when(F.coalesce(closed, F.lit(False)) & (resistance > 0), with_resistance(h_e, resistance)).otherwise(h_e)
+
+
+def incident_on_wall(e_dir: Column, e_dif: Column, sun_height: Column, incidence_deg: Column, tilt_deg: Column) -> Column:
+    """Sun on a tilted wall: direct by its incidence while the sun is up and in front, diffuse by the free sky's share."""
+    cosine = F.cos(F.radians(incidence_deg))
+    return e_dir * F.when((sun_height > 0) & (cosine > 0), cosine).otherwise(0.0) + e_dif * sky_view(tilt_deg)
+
+
 def sky_view(tilt_deg: Column) -> Column:
     """View factor of the free sky."""
     return (1.0 + F.cos(F.radians(tilt_deg))) / 2.0

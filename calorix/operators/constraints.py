@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calorix.operators.entities import required_by_mode
+
 # Inclusive bounds of hourly weather, openings and schedules.
 WEATHER_BOUNDS = {"t_ext": (-60.0, 60.0), "sun_azimuth": (0.0, 360.0), "sun_elevation": (-90.0, 90.0), "e_dir": (0.0, 1400.0), "e_dif": (0.0, 600.0)}
 # Most unknowns, hours, real-time ray tests, boundary combinations, nodes of a wall, vertices and triangles of a mesh.
@@ -25,6 +27,16 @@ def within(bounds: dict[str, tuple[float, float]]) -> Column:
     return ok
 
 
+def weather_ok() -> Column:
+    """All channels of an hour are within their bounds."""
+    return within(WEATHER_BOUNDS)
+
+
+def mode_ok(mode: str = "mode") -> Column:
+    """The fields that a run's mode needs are there."""
+    return required_by_mode(mode, MODE_FIELDS)
+
+
 def ordered_setpoints(low: str = "t_min", high: str = "t_max") -> Column:
     return F.col(low) < F.col(high)
 

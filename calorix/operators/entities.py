@@ -72,6 +72,60 @@ def required_by_mode(mode: str, needs: dict[str, tuple[str, ...]]) -> Column:
     return ok
 
 
+#: Default order of each table.
+ORDERINGS = {"department": ("name",), "user": ("email",), "wall_model": ("name",), "building": ("name",), "environment": ("name",), "job": ("-created_at", "-id")}
+#: Fields of a mesh that a partial update may set; others are dropped.
+TRIANGLE_FIELDS = ("v", "group", "paroi_model_id", "boundary", "k", "obj")
+
+
+def listed(rows: DataFrame, kind: str) -> DataFrame:
+    """A table in its default order."""
+    return rows.orderBy(*[F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in ORDERINGS[kind]])
+
+
+def one(rows: DataFrame, key: str, value) -> DataFrame:
+    """The row with this key; it is an error if there is none."""
+    found = rows.where(F.col(key) == value).limit(1)
+    if not found.count():
+        raise LookupError(f"no row with {key} = {value}")
+    return found
+
+
+def with_environments(buildings: DataFrame, environments: DataFrame) -> DataFrame:
+    """Buildings, each with its environment's values as ``environment``; null where it has none."""
+    fields = [c for c in environments.columns if c != "id"]
+    own = environments.select(F.col("id").alias("environment_id"), F.struct(F.col("id"), *fields).alias("environment"))
+    return buildings.join(own, "environment_id", "left")
+
+
+def only_known(triangles: Column, fields: tuple[str, ...] = TRIANGLE_FIELDS) -> Column:
+    """An array of triangles with the known fields only."""
+    return F.transform(triangles, lambda t: F.struct(*[t[f].alias(f) for f in fields]))
+
+
+def set_where(rows: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
+    """Rows with new values where the condition holds; an unknown condition changes nothing."""
+    sure = F.coalesce(condition, F.lit(False))
+    return rows.withColumns({c: F.when(sure, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+def in_first_order(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """Distinct groups by their first appearance."""
+    return rows.groupBy(group).agg(F.min(order).alias("first_seen"), F.count(F.lit(1)).alias("n")).orderBy("first_seen")
+
+
+def saved(results: DataFrame, path: str) -> None:
+    """Results as typed Parquet (table) and as one JSON document per row (documents)."""
+    results.write.mode("overwrite").parquet(f"{path}/table")
+    results.select(F.to_json(F.struct(*results.columns)).alias("value")).write.mode("overwrite").text(f"{path}/documents")
+
+
+def exported(rows: DataFrame, path: str, order: str) -> None:
+    """Semicolon-separated text with a header and two decimals, in one ordered file: for what a person reads."""
+    text = rows.select(*[F.format_string("%.2f", c).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes])
+    text.orderBy(order).coalesce(1).write.mode("overwrite").option("header", True).option("sep", ";").csv(path)
+
+
 def newest_first(jobs: DataFrame) -> DataFrame:
     """Jobs by time, the newest first."""
     return jobs.orderBy(F.desc("created_at"), F.desc("id"))

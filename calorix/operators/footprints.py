@@ -126,7 +126,11 @@ def overlaps(candidates: DataFrame, study: list[tuple[float, float]]) -> DataFra
     """
     if not study:
         return candidates.withColumns({"area": F.abs(signed_area(F.col("ring"))), "overlap": F.lit(0.0)}).withColumns({"left": F.col("area"), "status": F.lit("kept")})
-    whole = abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(study, study[1:] + study[:1]))) / 2
+    turn = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(study, study[1:] + study[:1])) / 2
+    study, whole = study if turn > 0 else study[::-1], abs(turn)
+    corner = zip(study, study[1:] + study[:1], study[2:] + study[:2])
+    if any((b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0]) < -1e-9 for a, b, c in corner):
+        raise ValueError("the study ring is not convex: use polygons.resolved")
     out = candidates.withColumns({"area": F.abs(signed_area(F.col("ring"))), "__in": F.col("ring")})
     for a, b in zip(study, study[1:] + study[:1]):  # each cut in a column of its own, so that every ring is built once
         out = out.withColumn("__in", half_plane_cut(F.col("__in"), a, b))

@@ -102,6 +102,38 @@ def box_mesh(spark: SparkSession, length: float, width: float, height: float) ->
     return spark.createDataFrame(rows, "tri_id int, grp string, x0 double, y0 double, z0 double, x1 double, y1 double, z1 double, x2 double, y2 double, z2 double")
 
 
+def gable_box(spark: SparkSession, length: float, width: float, height: float, ridge: float | None = None) -> DataFrame:
+    """Outward triangles of a centred box: a flat roof, or with a ridge height two slopes and gables on the south and north walls."""
+    x, y = width / 2, length / 2
+    low, high = [(-x, -y, 0.0), (x, -y, 0.0), (x, y, 0.0), (-x, y, 0.0)], [(-x, -y, height), (x, -y, height), (x, y, height), (-x, y, height)]
+    faces = {"sol": [(low[0], low[3], low[2]), (low[0], low[2], low[1])]}
+    for name, a, b in (("mur_est", 1, 2), ("mur_ouest", 3, 0), ("mur_sud", 0, 1), ("mur_nord", 2, 3)):
+        faces[name] = [(low[a], low[b], high[b]), (low[a], high[b], high[a])]
+    if ridge is None:
+        faces["toiture"] = [(high[0], high[1], high[2]), (high[0], high[2], high[3])]
+    else:
+        south, north = ((0.0, s, height + max(ridge, 0.01)) for s in (-y, y))
+        faces["mur_sud"].append((high[0], high[1], south))
+        faces["mur_nord"].append((high[2], high[3], north))
+        faces["toiture_est"] = [(high[1], high[2], north), (high[1], north, south)]
+        faces["toiture_ouest"] = [(high[3], high[0], south), (high[3], south, north)]
+    rows = [(g, "ground" if g == "sol" else "exterior_air", *[v for p in t for v in p]) for g, ts in faces.items() for t in ts]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "tri_id int, grp string, boundary string, " + ", ".join(f"{c}{i} double" for i in range(3) for c in "xyz"))
+
+
+def floor_volume(triangles: DataFrame, by: tuple[str, ...], height: Column, floor: str = "sol") -> DataFrame:
+    """Floor area of each mesh and its volume, rounded half up to whole cubic metres."""
+    area = F.sum(F.when(F.col("grp") == floor, F.col("area")).otherwise(0.0))
+    return triangles.groupBy(*by).agg(area.alias("floor_area"), F.max(height).alias("__h")).withColumn("volume", half_up(F.col("floor_area") * F.col("__h"))).drop("__h")
+
+
+def joined_meshes(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Two meshes' faces (v0, v1, v2) in one list: the second's vertices follow the first's."""
+    n = first.agg(F.coalesce(F.max(F.greatest("v0", "v1", "v2")) + 1, F.lit(0)).alias("__n"))
+    moved = second.crossJoin(F.broadcast(n)).withColumns({v: F.col(v) + F.col("__n") for v in ("v0", "v1", "v2")}).drop("__n")  # n is one row
+    return first.unionByName(moved, allowMissingColumns=True)
+
+
 def _corner(t: Column, i: int) -> Column:
     return F.struct(*[t[f"{c}{i}"].alias(c) for c in "xyz"])
 

@@ -106,8 +106,9 @@ def geo_roundtrip(spark, sf_dir):
 
 
 def country_filter(spark, sf_dir):
-    """Candidates inside the country's boxes."""
-    return Warehouse(spark, sf_dir).candidates().where(geodesy.in_country(F.col("lat"), F.col("lon"))).select("cand_id", tidy("lat").alias("lat"), tidy("lon").alias("lon"))
+    """Candidates, drawn together around the country, inside its boxes."""
+    near = Warehouse(spark, sf_dir).candidates().withColumns({"lat": F.col("lat") / 10.0 + 46.0, "lon": F.col("lon") / 20.0 + 2.0})
+    return near.where(geodesy.in_country(F.col("lat"), F.col("lon"))).select("cand_id", tidy("lat").alias("lat"), tidy("lon").alias("lon"))
 
 
 def bbox_search_topk(spark, sf_dir):
@@ -176,7 +177,7 @@ ORACLES = {
         f"""WITH p AS (SELECT cand_id, {XY0} FROM v5) SELECT cand_id, round(x * cos(radians(30e0)) - y * sin(radians(30e0)), 3) + 0e0 AS x,
         round(x * sin(radians(30e0)) + y * cos(radians(30e0)), 3) + 0e0 AS y FROM p""", "v5"),
     "geo_roundtrip": with_views("SELECT cand_id, round(lat, 6) + 0e0 AS lat, round(lon, 6) + 0e0 AS lon FROM v5", "v5"),
-    "country_filter": with_views(f"SELECT cand_id, {R6('lat', 'lon')} FROM v5 WHERE {BOX_SQL}", "v5"),
+    "country_filter": with_views(f"WITH q AS (SELECT cand_id, lat / 10e0 + 46e0 AS lat, lon / 20e0 + 2e0 AS lon FROM v5) SELECT cand_id, {R6('lat', 'lon')} FROM q WHERE {BOX_SQL}", "v5"),
     "bbox_search_topk": with_views(
         """WITH p AS (SELECT site_id, cand_id, n_walls, sqrt(power(radians(c.lon - s.lon) * 6378137e0 * cos(radians(s.lat)), 2) + power(radians(c.lat - s.lat) * 6378137e0, 2)) AS dist
           FROM v2 s JOIN v5 c ON abs(c.lat - s.lat) <= degrees(110000e0 / 6378137e0) AND abs(c.lon - s.lon) <= degrees(110000e0 / (6378137e0 * cos(radians(s.lat))))),

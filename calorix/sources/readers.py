@@ -84,18 +84,37 @@ def features(spark: SparkSession, path: str) -> DataFrame:
     return out.where(F.size("ring") >= 3)
 
 
-def feature_buildings(spark: SparkSession, path: str, limit: int = 1000) -> DataFrame:
-    """Building footprints of a feature collection with height, estimate flag and centre."""
+BBox = tuple[float, float, float, float]
+
+
+def touches(ring: Column, bbox: BBox | None) -> Column:
+    """Whether a ring's own box meets (south, west, north, east); always, without one."""
+    if bbox is None:
+        return F.lit(True)
+    south, west, north, east = bbox
+    least = lambda n: F.array_min(F.transform(ring, lambda p: p[n]))
+    most = lambda n: F.array_max(F.transform(ring, lambda p: p[n]))
+    return (least("lat") <= north) & (most("lat") >= south) & (least("lon") <= east) & (most("lon") >= west)
+
+
+def within(lat: Column, lon: Column, bbox: BBox | None) -> Column:
+    """Whether a point is in (south, west, north, east); always, without one."""
+    return F.lit(True) if bbox is None else lat.between(bbox[0], bbox[2]) & lon.between(bbox[1], bbox[3])
+
+
+def feature_buildings(spark: SparkSession, path: str, limit: int = 1000, bbox: BBox | None = None) -> DataFrame:
+    """Building footprints of a feature collection, of a box if given, with height, estimate flag and centre."""
     height, rough = height_of(F.element_at("properties", "hauteur").try_cast("double"), F.element_at("properties", "nombre_d_etages").try_cast("double"))
     lat, lon = ring_centre(F.col("ring"))
-    return features(spark, path).orderBy("seq").limit(limit).select("seq", "ring", height.alias("height"), rough.alias("approx"), lat.alias("lat"), lon.alias("lon"))
+    rows = features(spark, path).where(touches(F.col("ring"), bbox)).orderBy("seq").limit(limit)
+    return rows.select("seq", "ring", height.alias("height"), rough.alias("approx"), lat.alias("lat"), lon.alias("lon"))
 
 
-def feature_vegetation(spark: SparkSession, path: str, limit: int = 1000) -> DataFrame:
-    """Vegetation zones with the profile of their kind."""
+def feature_vegetation(spark: SparkSession, path: str, limit: int = 1000, bbox: BBox | None = None) -> DataFrame:
+    """Vegetation zones, of a box if given, with the profile of their kind."""
     known = F.create_map(*[x for n, v in VEGETATION.items() if n for x in (F.lit(n), F.array(*map(F.lit, v)))])
     profile = F.coalesce(F.try_element_at(known, F.element_at("properties", "nature")), F.array(*map(F.lit, VEGETATION[None])))
-    rows = features(spark, path).orderBy("seq").limit(limit).withColumn("p", profile)
+    rows = features(spark, path).where(touches(F.col("ring"), bbox)).orderBy("seq").limit(limit).withColumn("p", profile)
     return rows.select("seq", "ring", F.col("p")[0].alias("height"), F.col("p")[1].alias("k"), F.col("p")[2].alias("k_bare"))
 
 
@@ -103,23 +122,23 @@ def element_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ELEMENTS).option("multiLine", True).json(path).select(F.posexplode("elements").alias("seq", "e")).select("seq", "e.*")
 
 
-def element_buildings(spark: SparkSession, path: str) -> DataFrame:
-    """Building footprints of tagged elements."""
-    rows = element_rows(spark, path).where(F.size("geometry") >= 3)
+def element_buildings(spark: SparkSession, path: str, bbox: BBox | None = None) -> DataFrame:
+    """Building footprints of tagged elements, of a box if given."""
+    rows = element_rows(spark, path).where((F.size("geometry") >= 3) & touches(F.col("geometry"), bbox))
     height, rough = height_of(first_number(F.element_at("tags", "height")), first_number(F.element_at("tags", "building:levels")))
     lat, lon = ring_centre(F.col("geometry"))
     return rows.select("seq", F.col("geometry").alias("ring"), height.alias("height"), rough.alias("approx"), lat.alias("lat"), lon.alias("lon"))
 
 
-def element_vegetation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Trees (nodes) and zones (with a ring) of tagged elements."""
+def element_vegetation(spark: SparkSession, path: str, bbox: BBox | None = None) -> tuple[DataFrame, DataFrame]:
+    """Trees (nodes) and zones (with a ring) of tagged elements, of a box if given."""
     rows = element_rows(spark, path)
     tag = lambda n: F.element_at("tags", n)
     profile = tree_profile(tag("leaf_type"))
-    trees = rows.where("type = 'node'").withColumn("p", profile).select(
+    trees = rows.where((F.col("type") == "node") & within(F.col("lat"), F.col("lon"), bbox)).withColumn("p", profile).select(
         "seq", "lat", "lon", F.coalesce(F.nullif(first_number(tag("height")), F.lit(0.0)), "p.height").alias("height"), crown_radius(first_number(tag("diameter_crown")), first_number(tag("circumference"))).alias("radius"), "p.k", "p.k_bare"
     )
-    zones = rows.where(F.size("geometry") >= 3).select("seq", F.col("geometry").alias("ring"), tag("natural").alias("natural"), tag("landuse").alias("landuse"))
+    zones = rows.where((F.size("geometry") >= 3) & touches(F.col("geometry"), bbox)).select("seq", F.col("geometry").alias("ring"), tag("natural").alias("natural"), tag("landuse").alias("landuse"))
     return trees, zones
 
 
@@ -130,11 +149,11 @@ def decimal(text: Column) -> Column:
 
 def delimited(spark: SparkSession, path: str, names: tuple[str, ...], required: int) -> DataFrame:
     """Lines of numbers, separated by semicolons if the line has one, else commas; lines that lack a required number are dropped."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
     parts = F.split("value", F.when(F.contains("value", F.lit(";")), ";").otherwise(","))
-    rows = lines.withColumn("p", parts).select("line", *[decimal(F.get("p", F.lit(i))).alias(n) for i, n in enumerate(names)])
+    rows = lines.withColumn("p", parts).select("file", "line", *[decimal(F.get("p", F.lit(i))).alias(n) for i, n in enumerate(names)])
     kept = rows.dropna(subset=list(names[:required]))
-    return kept.withColumn("seq", (F.row_number().over(Window.orderBy("line")) - 1).cast("int")).drop("line")
+    return kept.withColumn("seq", (F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1).cast("int")).drop("file", "line")
 
 
 def weather_text(spark: SparkSession, path: str) -> DataFrame:
@@ -156,19 +175,19 @@ def schedule_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def obj_triangles(spark: SparkSession, path: str) -> DataFrame:
-    """Triangles of an OBJ file with the group in force; faces of more corners are cut into fans."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
-    w = Window.orderBy("line")
+    """Triangles of OBJ files (each with vertices of its own) with the group in force; faces of more corners are cut into fans."""
+    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
+    w = Window.partitionBy("file").orderBy("line")
     words = F.split(F.trim("value"), r"\s+")
-    named = lines.select("line", words.alias("w")).withColumn("grp", F.last_value(F.when(F.col("w")[0].isin("g", "o"), F.get("w", F.lit(1))), F.lit(True)).over(w))
-    vertices = named.where("w[0] = 'v'").select((F.row_number().over(w)).alias("vid"), *[F.col("w")[i + 1].try_cast("double").alias(c) for i, c in enumerate("xyz")])
+    named = lines.select("file", "line", words.alias("w")).withColumn("grp", F.last_value(F.when(F.col("w")[0].isin("g", "o"), F.get("w", F.lit(1))), F.lit(True)).over(w))
+    vertices = named.where("w[0] = 'v'").select("file", (F.row_number().over(w)).alias("vid"), *[F.col("w")[i + 1].try_cast("double").alias(c) for i, c in enumerate("xyz")])
     index = lambda s: F.split(s, "/")[0].cast("int")
-    faces = named.where("w[0] = 'f'").select("line", "grp", F.transform(F.slice("w", 2, 1000), index).alias("v"))
-    fans = faces.select("line", "grp", F.posexplode(F.transform(F.sequence(F.lit(2), F.size("v") - 1), lambda i: F.struct(F.get("v", F.lit(0)).alias("a"), F.get("v", i - 1).alias("b"), F.get("v", i).alias("c")))).alias("fan", "t"))
-    out = fans.select((F.row_number().over(Window.orderBy("line", "fan")) - 1).alias("tri_id"), F.coalesce("grp", F.lit("groupe_1")).alias("grp"), "t.a", "t.b", "t.c")
+    faces = named.where("w[0] = 'f'").select("file", "line", "grp", F.transform(F.slice("w", 2, F.size("w")), index).alias("v"))
+    fans = faces.select("file", "line", "grp", F.posexplode(F.transform(F.sequence(F.lit(2), F.size("v") - 1), lambda i: F.struct(F.get("v", F.lit(0)).alias("a"), F.get("v", i - 1).alias("b"), F.get("v", i).alias("c")))).alias("fan", "t"))
+    out = fans.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("line", "fan")) - 1).alias("tri_id"), F.coalesce("grp", F.lit("groupe_1")).alias("grp"), "t.a", "t.b", "t.c")
     for i, c in enumerate("abc"):
-        out = out.join(vertices.select(F.col("vid").alias(c), *[F.col(x).alias(f"{x}{i}") for x in "xyz"]), c)
-    return out.drop("a", "b", "c")
+        out = out.join(vertices.select("file", F.col("vid").alias(c), *[F.col(x).alias(f"{x}{i}") for x in "xyz"]), ["file", c])
+    return out.drop("file", "a", "b", "c")
 
 
 STL_SCHEMA = "tri_id int, " + ", ".join(f"{x}{i} double" for i in range(3) for x in "xyz")
@@ -198,6 +217,19 @@ def mesh_file(spark: SparkSession, path: str) -> DataFrame:
     return MESH_READERS[kind](spark, path)
 
 
+def altitudes(points: DataFrame, primary: DataFrame, secondary: DataFrame | None, keys: tuple[str, ...], most: int = 60) -> DataFrame:
+    """Points in their own order with ``altitude`` and the number of the request each would go in (``most`` points apiece).
+
+    If the first source lacks any point, the second answers for all, as one whose
+    answer has another length than the question can't be trusted.
+    """
+    numbered = points.withColumn("batch", F.floor(F.col("seq") / most).cast("int"))
+    found = looked_up(numbered, primary, keys, "altitude")
+    if secondary is not None and found.where("altitude is null").limit(1).count():
+        return looked_up(numbered, secondary, keys, "altitude")
+    return found
+
+
 def looked_up(points: DataFrame, table: DataFrame, keys: tuple[str, ...], value: str) -> DataFrame:
     """Points in their own order with a looked-up value; null where the table has none (offsets, terrain heights)."""
     return points.join(table.select(*keys, value), list(keys), "left")
