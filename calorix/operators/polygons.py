@@ -178,6 +178,11 @@ def dissolved(shapes: list[Shape]) -> Shape:
     return shapes[0] if shapes else []
 
 
+def boxes_meet(a: Ring, b: Ring) -> bool:
+    """Whether the boxes around two sets of points have a place in common."""
+    return all(min(p[k] for p in a) <= max(p[k] for p in b) and min(p[k] for p in b) <= max(p[k] for p in a) for k in (0, 1))
+
+
 def against(ring: Ring, study: Shape | None) -> dict:
     """Status of an obstacle against the study polygon, the overlap and the parts that stay.
 
@@ -187,7 +192,7 @@ def against(ring: Ring, study: Shape | None) -> dict:
     whole = area_of(sweep([[ring]], all)) if len(ring) >= 3 else 0.0
     if whole < SAME:
         return {"status": "degenerate", "area": whole, "overlap": 0.0, "parts": []}
-    overlap = area_of(sweep([[ring], study], all)) if study else 0.0
+    overlap = area_of(sweep([[ring], study], all)) if study and boxes_meet(ring, [p for r in study for p in r]) else 0.0
     if overlap <= SAME:
         return {"status": "kept", "area": whole, "overlap": 0.0, "parts": combined([[ring]], all)}
     union = whole + area_of(sweep([study], all)) - overlap

@@ -23,7 +23,7 @@ MAX_HOURS = 8784
 #: Caps of one run: unknowns of a building, nodes of a wall.
 MAX_UNKNOWNS, MAX_NODES = 60_000, 300
 #: Buildings and walls that advance together in a task.
-BUILDINGS_AT_ONCE, WALLS_AT_ONCE = 64, 4096
+BUILDINGS_AT_ONCE, WALLS_AT_ONCE, RUNS_AT_ONCE = 64, 4096, 256
 # Added resistance and shares of direct and diffuse sun behind closed shading.
 SHADING = {"volet-roulant": (0.20, 0.0, 0.0), "store-exterieur": (0.08, 0.15, 0.40)}
 GRID_AZ, GRID_EL, GRID_STEP = 24, 7, 15.0
@@ -276,6 +276,11 @@ def hours_of(series: DataFrame, order: str = "seq") -> dict[str, np.ndarray]:
     return {c: rows[c].to_numpy() if c in have else np.full(rows.num_rows, blank.get(c, 0.0)) for c in HOUR_FIELDS}
 
 
+def spread_out(rows: DataFrame, key: str) -> DataFrame:
+    """Few small rows of much work each, dealt to all tasks: as many partitions as a shuffle has."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def simulate(surfaces: DataFrame, buildings: DataFrame, hours: DataFrame, dx: float = 0.05) -> DataFrame:
     """Results of every building over one series of hours, one row each.
 
@@ -313,7 +318,7 @@ def simulate(surfaces: DataFrame, buildings: DataFrame, hours: DataFrame, dx: fl
         if waiting:
             yield flush(waiting)
 
-    return rows.mapInArrow(run, RESULT_DDL)
+    return spread_out(rows, "building_id").mapInArrow(run, RESULT_DDL)
 
 
 def wall_run(walls: DataFrame, hours: DataFrame, mode: str = "imposed", dx: float = 0.02, settings: dict[str, float] | None = None) -> DataFrame:
@@ -332,18 +337,20 @@ def wall_run(walls: DataFrame, hours: DataFrame, mode: str = "imposed", dx: floa
         raise ValueError("no hour, or more hours than a leap year")
     series = {c: rows[c].to_numpy() if c in have else np.zeros(rows.num_rows) for c in ("t_ext", "incident", "g_vent")}
     spread = walls.sparkSession.sparkContext.broadcast(series)  # at most MAX_HOURS rows
-    schema = pa.schema([("wall_id", pa.int64()), ("t_air", pa.list_(pa.float64())), ("nodes", pa.list_(pa.list_(pa.float64())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = spread.value
         for batch in batches:
-            for start in range(0, batch.num_rows, BUILDINGS_AT_ONCE):
-                some = batch.slice(start, BUILDINGS_AT_ONCE).to_pylist()
+            for start in range(0, batch.num_rows, RUNS_AT_ONCE):
+                some = batch.slice(start, RUNS_AT_ONCE).to_pylist()
                 made = [WallClass([tuple(x.values()) for x in r["layers"]], dx) for r in some]
                 own, n = Walls(made), len(some)
                 t, t_air = np.full((n, own.n), p["t_init"]), np.full(n, p["t_int"] if mode == "imposed" else p["t_init"])
                 h_e, h_i = np.full(n, p["h_e"]), np.full(n, p["h_i"])
-                states, airs = [t], [t_air]
+                # Only nodes at layer borders are kept of every hour.
+                wall = np.repeat(own.rows, [len(w.borders) for w in made])
+                node = np.concatenate([own.outer[i] + np.array(w.borders) for i, w in enumerate(made)])
+                states, airs = [t[wall, node]], [t_air]
                 for k in range(len(s["t_ext"])):
                     load = own.sun * s["incident"][k]
                     load[own.rows, own.outer] += h_e * s["t_ext"][k]
@@ -352,9 +359,15 @@ def wall_run(walls: DataFrame, hours: DataFrame, mode: str = "imposed", dx: floa
                         cap, g = p["c_air"] / STEP_S, s["g_vent"][k]
                         t_air = (cap * t_air + g * s["t_ext"][k] + own.inside * s["incident"][k] + h_i * u[:, -1]) / (cap + g + h_i * (1 - w[:, -1]))
                     t = u + w * t_air[:, None]
-                    states.append(t)
+                    states.append(t[wall, node])
                     airs.append(t_air)
-                states, airs = np.array(states), np.array(airs)
-                yield pa.RecordBatch.from_pylist([{"wall_id": r["wall_id"], "t_air": airs[:, i], "nodes": list(states[:, i, own.outer[i] + np.array(made[i].borders)])} for i, r in enumerate(some)], schema)
-
-    return walls.select("wall_id", "layers").mapInArrow(run, "wall_id long, t_air array<double>, nodes array<array<double>>")
+                states, airs, steps = np.array(states), np.array(airs), len(airs)
+                per_wall = np.bincount(wall, minlength=n)
+                edges = np.append(0, np.cumsum(per_wall))
+                flat = np.concatenate([states[:, a:b].ravel() for a, b in zip(edges, edges[1:])])
+                inner = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.repeat(per_wall, steps))), pa.int32()), pa.array(flat))
+                by_hour = pa.array(np.arange(n + 1) * steps, pa.int32())
+                columns = [batch.column(0).slice(start, n), pa.ListArray.from_arrays(by_hour, pa.array(airs.T.ravel())), pa.ListArray.from_arrays(by_hour, inner)]
+                yield pa.RecordBatch.from_arrays(columns, ["wall_id", "t_air", "nodes"])
+
+    return spread_out(walls.select("wall_id", "layers"), "wall_id").mapInArrow(run, "wall_id long, t_air array<double>, nodes array<array<double>>")
