@@ -58,10 +58,11 @@ def hashed_uniform(key):
 def plan_mix(docs: DataFrame) -> DataFrame:
     """docs with size, source_size, target and n_copies."""
     sized = docs.withColumn("size", word_count(F.col("text")))
-    shares = materialise(targets(sized.select("source", "size")), "targets").withColumnRenamed("source", "__source")
+    named = next(n for n in map("__source{}".format, range(len(docs.columns) + 1)) if n not in docs.columns)
+    shares = materialise(targets(sized.select("source", "size")), "targets").withColumnRenamed("source", named)
     # One row per source: broadcast if they are few, so that texts aren't dealt out by a source that may hold most of them.
     shares = F.broadcast(shares) if shares.count() <= BROADCAST_ROWS else shares
-    planned = sized.join(shares, sized["source"].eqNullSafe(shares["__source"])).drop("__source")
+    planned = sized.join(shares, sized["source"].eqNullSafe(shares[named])).drop(named)
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MAX_REPEAT)))).otherwise(0.0)
     whole = F.floor(rate)
     extra = (hashed_uniform(F.col("doc_id")) < rate - whole).cast("long")

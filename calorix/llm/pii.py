@@ -3,9 +3,10 @@
 Candidates are all matches of the kinds' expressions.  Four labelers vote on
 each (+1, -1, or 0 for abstaining): the format test, a gazetteer, the words
 before it, and the characters around it.  Expectation-maximisation over counts
-of vote patterns (a table bounded by kinds x votes, not by documents) estimates
-each labeler's reliabilities and each kind's prior; its posteriors train a
-logistic classifier on votes and shape.  Spans of the base kinds that pass their
+of vote patterns (a table bounded by kinds x votes x shapes, not by documents)
+estimates the reliabilities of each labeler on each kind, drawn towards its
+reliabilities on all kinds, and each kind's prior; its posteriors train a logistic
+classifier on kind, votes, length, share of digits and what follows the span.  Spans of the base kinds that pass their
 format test always stay; candidates of the added kinds stay if the classifier
 gives them at least ACCEPT.
 
@@ -14,7 +15,8 @@ so no text is searched twice for one match.  Expressions use possessive runs and
 look-behind: they equal the plain base forms and take linear time on long runs.
 
 Defined results: null and empty texts have no spans; repeated rows get equal
-results; an empty table gives an empty result and an untrained classifier.
+results; an empty table gives an empty result and an untrained classifier; columns
+to be kept must not be named ``found`` or ``pii``, others are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +31,19 @@ from calorix.llm.shared import materialise
 
 ACCEPT = 0.5
 EM_ROUNDS = 40
+#: Candidates that a labeler's reliabilities on all kinds weigh on each kind.
+POOLED = 20.0
 CONTEXT = 40
 #: Elements that are summed one after the other; longer lists are summed in blocks of this size.
 SCAN_BLOCK = 256
 
+# Frequent given names in English, German, French and Spanish.
+GIVEN_NAMES = (
+    "James John Robert Michael William David Richard Joseph Thomas Charles Daniel Matthew Mark Paul Steven Andrew George Peter Edward Henry Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa "
+    "Anna Laura Emma Alice Hans Klaus Jürgen Wolfgang Heinz Dieter Uwe Stefan Andreas Markus Jens Monika Petra Sabine Ursula Renate Heike Claudia Katrin Julia Jean Pierre Michel Alain Philippe Jacques Nicolas Louis Luc "
+    "Marie Sophie Isabelle Nathalie Camille Claire Chloé Hélène Juan Carlos José Luis Miguel Javier Antonio Manuel Pablo Diego María Maria Carmen Lucía Elena Isabel Pilar Sofía Ana"
+).split()
+
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 
 
@@ -66,7 +77,7 @@ KINDS = (
     Kind("email_words", False, r"\b(?i:at|dot)\b|\[at\]|\(at\)", r"(?i)(?<![A-Za-z0-9._-])[A-Za-z0-9._-]++ (?:at|\[at\]|\(at\)) [A-Za-z0-9-]++ (?:dot|\[dot\]|\(dot\)) [A-Za-z]{2,12}(?![A-Za-z0-9])",
          r"(?i)[ \])](com|org|net|edu|gov|io|info|de|fr|es|uk|eu)$", r"(?i)^(look|looked|is|was|it)\b", r"mail|contact|write|reach", r"meet|arriv"),
     Kind("person", False, r"\b(Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\b", r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.? \p{Lu}\p{L}{1,20}(?: \p{Lu}\p{L}{1,20})?",
-         r" (James|Mary|John|Anna|Peter|Maria|Paul|Laura|Hans|Marie|Carlos|Jean|Pierre|Juan|Klaus|Sophie)\b", r" (The|And|Who|Pepper|Strange)\b", r"name|dear|contact|sign|by|liebe|estimad|cher", r"street|avenue|series"),
+         rf" ({'|'.join(GIVEN_NAMES)})\b", r" (The|And|Who|Pepper|Strange)\b", r"name|dear|contact|sign|by|liebe|estimad|cher", r"street|avenue|series"),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 VOTES = ("format", "gazetteer", "context", "edges")
@@ -90,7 +101,27 @@ def well_formed(kind: Column, value: Column) -> Column:
         F.when(kind == "ip", value.rlike(rf"^(?:{OCTET}\.){{3}}{OCTET}$"))
         .when(kind == "card", n.between(14, 19) & luhn(F.substring(digits, 1, 19)))
         .when(kind == "phone", n.between(10, 15))
-        .when(kind == "iban", n >= 8)
+        .when(kind == "iban", mod97(value))
+        .otherwise(True)
+    )
+
+
+def mod97(value: Column) -> Column:
+    """Whether an account number passes the mod-97 test: its first four characters go last, letters count from 10."""
+    turned = F.concat(F.substring(value, 5, 40), F.substring(value, 1, 4))
+    step = lambda rest, c: F.when(c < 65, rest * 10 + c - 48).otherwise(rest * 100 + c - 55) % 97
+    return F.aggregate(F.transform(F.filter(F.split(turned, ""), lambda c: c != ""), F.ascii), F.lit(0), step) == 1
+
+
+def strict(kind: Column, value: Column) -> Column:
+    """A narrower form than the kind's expression, where there is one."""
+    return (
+        F.when(kind == "email", value.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?<![.])@[A-Za-z0-9-]{1,63}(\.[A-Za-z0-9-]{1,63})*\.[A-Za-z]{2,24}$") & ~value.contains(".."))
+        .when(kind == "ip", ~value.rlike(r"(^|\.)0[0-9]"))
+        .when(kind == "phone", value.rlike(r"^\+[1-9]") & ~value.rlike(r"[().-]{2}"))
+        .when(kind == "ssn", value.rlike(r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)"))
+        .when(kind == "email_words", value.rlike(r"(?i) [\[(]?dot[\])]? [a-z]{2,6}$"))
+        .when(kind == "person", value.rlike(r"^\p{L}+\.? \p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+$"))
         .otherwise(True)
     )
 
@@ -157,11 +188,13 @@ def judged(c: Column) -> Column:
         c["end"].alias("end"),
         kind.alias("kind"),
         valid.alias("valid"),
-        vote(valid, ~valid).alias("format"),
+        F.when(~valid, -1).when(strict(kind, value), 1).otherwise(0).alias("format"),
         vote(by_kind("listed", value) & ~by_kind("unlisted", value), by_kind("unlisted", value)).alias("gazetteer"),
         vote(by_kind("before", c["before"]), by_kind("against", c["before"])).alias("context"),
         vote(~glued, glued).alias("edges"),
         F.least(F.floor(F.length(value) / 8), F.lit(3)).cast("int").alias("length"),
+        F.floor(4 * F.length(F.regexp_replace(value, "[^0-9]", "")) / (F.length(value) + 1)).cast("int").alias("digits"),
+        F.when(c["after"] == "", 0).when(c["after"].rlike(r"^\s"), 1).when(c["after"].rlike("^[.,;:!?)]"), 2).otherwise(3).alias("next"),
     )
 
 
@@ -169,7 +202,7 @@ def judged(c: Column) -> Column:
 class Labels:
     """Reliabilities by expectation-maximisation and the weights of the span classifier."""
 
-    reliability: dict[tuple[str, int, int], float]  #: (labeler, class, vote): probability
+    reliability: dict[tuple[str, str, int, int], float]  #: (labeler, kind, class, vote): probability
     prior: dict[str, float]
     weights: dict[tuple[str, object], float]
 
@@ -183,8 +216,8 @@ class Labels:
 
 
 def learn(found: DataFrame) -> Labels:
-    """Fit to the counts of vote and shape patterns of all candidates (at most kinds x 81 x 4 rows)."""
-    names = ("kind", *VOTES, "length")
+    """Fit to the counts of vote and shape patterns of all candidates (at most kinds x 81 x 4 x 4 x 4 rows)."""
+    names = ("kind", *VOTES, "length", "digits", "next")
     rows = found.select(F.explode("found").alias("c")).groupBy(*[F.col(f"c.{n}").alias(n) for n in names]).agg(F.count(F.lit(1)).alias("n")).collect()
     cells = sorted((tuple(r[n] for n in names), r["n"]) for r in rows)
     # Start from the majority of votes, then alternate reliabilities and posteriors.
@@ -194,15 +227,19 @@ def learn(found: DataFrame) -> Labels:
         for i, name in enumerate(VOTES, 1):
             for y in (0, 1):
                 mass = {v: 1.0 + 0.5 * (v == 2 * y - 1) for v in (-1, 0, 1)}
+                own = {k.name: dict.fromkeys(mass, 0.0) for k in KINDS}
                 for (key, n), b in zip(cells, belief):
                     mass[key[i]] += n * (b if y else 1 - b)
-                reliability |= {(name, y, v): m / sum(mass.values()) for v, m in mass.items()}
+                    own[key[0]][key[i]] += n * (b if y else 1 - b)
+                pooled = {v: m / sum(mass.values()) for v, m in mass.items()}
+                for kind, m in own.items():
+                    reliability |= {(name, kind, y, v): (m[v] + POOLED * pooled[v]) / (sum(m.values()) + POOLED) for v in pooled}
         for k in KINDS:
             own = [(n, b) for (key, n), b in zip(cells, belief) if key[0] == k.name]
             prior[k.name] = (1 + sum(n * b for n, b in own)) / (2 + sum(n for n, _ in own))
         for j, (key, _) in enumerate(cells):
             odds = math.log(prior[key[0]] / (1 - prior[key[0]]))
-            odds += sum(math.log(reliability[name, 1, key[i]] / reliability[name, 0, key[i]]) for i, name in enumerate(VOTES, 1))
+            odds += sum(math.log(reliability[name, key[0], 1, key[i]] / reliability[name, key[0], 0, key[i]]) for i, name in enumerate(VOTES, 1))
             belief[j] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
     return Labels(reliability, prior, logistic([dict(zip(names, key)) for key, _ in cells], [n for _, n in cells], belief))
 
@@ -228,7 +265,8 @@ def find_pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and ``pii``: spans with kind, score and whether they are of the base, by start and kind."""
     found = materialise(candidates(docs, keep), "pii-candidates")
     labels = learn(found)
-    scored = F.transform("found", lambda c: F.struct(c["start"], c["rank"], c["end"], c["kind"], labels.score(c).alias("score"), (c["kind"].isin(*BASE) & c["valid"]).alias("base")))
+    # A match that fails its kind's test (octets, Luhn, digits, mod 97) is out whatever the votes.
+    scored = F.transform(F.filter("found", lambda c: c["valid"]), lambda c: F.struct(c["start"], c["rank"], c["end"], c["kind"], labels.score(c).alias("score"), c["kind"].isin(*BASE).alias("base")))
     stays = F.filter(scored, lambda s: s["base"] | (~s["kind"].isin(*BASE) & (s["score"] >= ACCEPT)))
     return found.select(*keep, F.array_sort(stays).alias("pii"))
 

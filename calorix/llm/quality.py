@@ -12,8 +12,9 @@ each weighed back to its grade's share.  Scoring reads all texts.
 
 Defined results: null and empty texts have the length feature only; without
 ratings the expected grade is null, the tail probability is null and everything
-is kept; of several ratings of one document all count; repeated rows get equal
-results; extra columns pass through.
+is kept; of several ratings of one document all count; texts of any length are read
+whole; repeated rows get equal results; an empty table gives an empty result; extra
+columns pass through, but those named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calorix.llm.shared import WORD, strings
+from calorix.llm.shared import BROADCAST_ROWS, WORD, strings
 
 BITS = 18
 SAMPLE_DOCS = 2000
@@ -141,7 +142,9 @@ def rated_sample(docs: DataFrame, ratings: DataFrame) -> DataFrame:
     share = F.least(F.lit(1.0), SAMPLE_DOCS / size)
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1_000_000)) / 1_000_000
     drawn = rated.withColumn("times", 1.0 / share).where(draw < share)
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").drop("doc_id")  # bounded by SAMPLE_DOCS a grade
+    # SAMPLE_DOCS a grade are expected, but all ratings of one document are drawn together: the size is checked.
+    drawn = F.broadcast(drawn) if drawn.count() <= BROADCAST_ROWS else drawn
+    return docs.select("doc_id", "text").join(drawn, "doc_id").drop("doc_id")
 
 
 def learn(docs: DataFrame, ratings: DataFrame) -> OrdinalModel | None:

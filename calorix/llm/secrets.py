@@ -1,9 +1,9 @@
 """Secret scan: Aho-Corasick prefilter, anchored expressions near hits, checks inside the match.
 
 One automaton pass over the ASCII-lower-cased text finds keywords; only at such a
-hit an anchored expression is tried.  Runs of hex digits have no keyword: their
-prefilter maps every hex digit to one symbol and searches 32 of it.  Matches of
-some kinds hold a check of their own (a CRC-32 in base 62, a decodable header),
+hit an anchored expression is tried.  Runs of hex digits have no keyword: for them
+every hex digit is mapped to one symbol, an automaton finds 32 of it in a row, and
+the expression is anchored there.  Matches of some kinds hold a check of their own (a CRC-32 in base 62, a decodable header),
 which must hold.
 
 Base kinds are ``assign``, ``access`` and ``hex``; the rest are added by the
@@ -25,6 +25,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ from calorix.llm.shared import strings
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem", "slack", "stripe")
 HEX_RUN = re.compile("[0-9a-f]{32,}")
 HEX_FOLD = bytes(ord("h") if chr(b) in "0123456789abcdef" else ord(".") for b in range(256))
+HEX_OF_BYTE = np.frombuffer(HEX_FOLD, np.uint8)
 HEX_KEY = b"h" * 32
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -85,6 +87,27 @@ def automaton() -> ahocorasick.Automaton:
     return found
 
 
+@functools.cache
+def hex_automaton() -> ahocorasick.Automaton:
+    """The keyword of hex runs in mapped text."""
+    found = ahocorasick.Automaton()
+    found.add_word(HEX_KEY.decode(), 0)
+    found.make_automaton()
+    return found
+
+
+def hex_spans(text: str) -> Iterator[tuple[str, int, int]]:
+    """Runs of hex digits: the expression is tried at the automaton's hits only."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    mapped = HEX_OF_BYTE[np.minimum(points, 255)].tobytes().decode()
+    used = 0
+    for last, _ in hex_automaton().iter(mapped):
+        start = last - len(HEX_KEY) + 1
+        if start >= used and (m := HEX_RUN.match(text, start)):
+            used = m.end()
+            yield "hex", start, used
+
+
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets of a text, by start and kind; code points."""
     raw = text.encode("utf-8", "surrogatepass")
@@ -98,7 +121,7 @@ def scan(text: str) -> list[tuple[str, int, int]]:
             if holds(m):
                 spans.append((kind, start, m.end()))
     if HEX_KEY in raw.translate(HEX_FOLD):
-        spans += [("hex", *m.span()) for m in HEX_RUN.finditer(text)]
+        spans += hex_spans(text)
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

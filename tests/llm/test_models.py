@@ -333,6 +333,37 @@ def test_quality_of_held_out_ratings(spark):
     assert good["kept"].mean() > 0.9 and good["expected_grade"].mean() > bad["expected_grade"].mean() + 0.5
 
 
+def test_quality_equals_a_plain_model(spark):
+    """Scores from the weights by the textbook formula, and weights at an optimum of the penalised likelihood."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ratings = quality.graded_labels(spark.read.parquet(f"{SF}/labels.parquet"))
+    model = quality.learn(docs, ratings)
+    own = quality.Features()
+    for r in quality.grade(docs.select("doc_id", "text"), model).limit(40).collect():
+        score = sum(float(np.float32(model.weights[k])) for k in own.of_text(r["text"] or ""))
+        tails = [1 - 1 / (1 + math.exp(-(t - score))) for t in model.thresholds]
+        assert r["expected_grade"] == pytest.approx(sum(tails), rel=1e-4) and r["tail_prob"] == pytest.approx(tails[-1], rel=1e-4, abs=1e-6)
+        assert r["kept"] == (r["tail_prob"] >= quality.KEEP_TAIL)
+    grades = {r["doc_id"]: r["grade"] for r in ratings.collect() if r["grade"] is not None}
+    rows = [(own.of_text(r["text"] or ""), grades[r["doc_id"]]) for r in docs.collect() if r["doc_id"] in grades]
+
+    def loss(weights, thresholds):
+        total = 0.0
+        for slots, g in rows:
+            s = weights[slots].sum()
+            below = [0.0, *(1 / (1 + math.exp(-(t - s))) for t in thresholds), 1.0]
+            total -= math.log(max(below[g + 1] - below[g], 1e-9))
+        return total / len(rows) + quality.PENALTY * np.abs(weights).sum()
+
+    best, rng = loss(model.weights, model.thresholds), np.random.default_rng(3)
+    used = np.flatnonzero(model.weights)
+    for _ in range(6):
+        other = model.weights.copy()
+        other[used] += rng.normal(size=len(used)) * 0.5
+        assert loss(other, model.thresholds) > best - 1e-3
+    assert loss(model.weights, model.thresholds + 1.0) > best - 1e-3 and loss(np.zeros_like(model.weights), model.thresholds) > best
+
+
 def test_quality_edges(spark):
     docs = awkward(spark)
     none = spark.createDataFrame([], "doc_id long, grade int")
@@ -369,7 +400,35 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
 
 
 def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path):
-    for k, docs in enumerate((awkward(spark), empty(spark))):
-        path = tmp_path / str(k)
-        docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{path}/documents.parquet")
-        assert corpus_pipeline.run(spark, str(path)).count() >= 0
+    """Stage by stage against what each should keep, with null and repeated ids beside unlike texts."""
+    docs = awkward(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    plain = " ".join(f"house{i} river" for i in range(60))
+    more = [(None, plain.upper(), "en", "s0", 1), (None, plain, "en", "s0", 1), (7, plain + " end", "en", "s1", 1), (7, "quite another text of some words", "en", "s1", 1)]
+    docs = docs.union(spark.createDataFrame(more, docs.schema))
+    docs.write.parquet(f"{tmp_path}/a/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/a/documents.parquet")
+    key = lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in df.select("doc_id", "text").collect())
+    identified = corpus_pipeline.language_id(spark, docs, "")
+    judged = langid.identify(docs, langid.fit(docs))
+    assert key(identified) == key(judged.where("not rejected"))
+    exact = corpus_pipeline.exact_dedup(spark, docs, "").collect()
+    best = {}
+    for r in docs.collect():
+        t = (r["text"] or "").translate(LOWER)
+        rank = (r["doc_id"] is not None, r["doc_id"] or 0)
+        best[t] = max(best.get(t, (False, 0)), rank)
+    assert sorted(((r["text"] or "").translate(LOWER), (r["doc_id"] is not None, r["doc_id"] or 0)) for r in exact) == sorted(best.items())
+    near = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    texts = [(r["text"] or "").translate(LOWER).split() for r in docs.collect()]
+    shingles = {tuple(t): frozenset(tuple(t[i : i + 5]) for i in range(max(len(t) - 4, 1))) if t else frozenset() for t in texts}
+    kept = {shingles[tuple((r["text"] or "").translate(LOWER).split())] for r in near}
+    alike = lambda a, b: (a == b) if not a or not b else len(a & b) >= 0.8 * len(a | b)
+    assert all(any(alike(s, k) for k in kept) for s in shingles.values()) and len(kept) == len(near)
+    mixed = corpus_pipeline.mix_sources(spark, docs, "")
+    plan = {(r["doc_id"], r["text"]): r["n_copies"] for r in mixing.plan_mix(docs).collect()}
+    assert Counter((r["doc_id"], r["text"]) for r in mixed.collect()) <= Counter({k: 4 * v for k, v in plan.items()})
+    encoded = corpus_pipeline.encode(spark, docs, "")
+    assert encoded.count() == docs.count()
+    assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() > 0
+    empty(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0

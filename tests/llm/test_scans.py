@@ -98,3 +98,47 @@ def test_votes_add_spans_of_other_kinds(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kinds = [{s["kind"] for s in r["pii"]} for r in pii.find_pii(docs).orderBy("doc_id").collect()]
     assert "ssn" in kinds[0] and "person" in kinds[1] and not kinds[2]
+
+
+def test_account_numbers_pass_mod_97(spark):
+    texts = ["iban DE89370400440532013000 x", "iban DE89370400440532013001 x", "account GB82WEST12345698765432.", "bank FR1420041010050500013M02606"]
+    numbers = [t.split()[1].rstrip(".") for t in texts]
+    expected = [int("".join(str(int(c, 36)) for c in n[4:] + n[:4])) % 97 == 1 for n in numbers]
+    rows = spark.createDataFrame(list(enumerate(numbers)), "i int, v string").orderBy("i").select(pii.mod97(pii.F.col("v"))).collect()
+    assert [r[0] for r in rows] == expected == [True, False, True, True]
+    docs = spark.createDataFrame(list(enumerate(texts * 6)), "doc_id long, text string")
+    kinds = [{s["kind"] for s in r["pii"]} for r in pii.find_pii(docs).orderBy("doc_id").collect()]
+    assert [("iban" in k) for k in kinds] == expected * 6
+
+
+def test_expectation_maximisation_equals_a_plain_one(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(with_planted(own_texts(spark), PRIVATE, seed=5))], "doc_id long, text string")
+    found = pii.candidates(docs)
+    labels = pii.learn(found)
+    names = ("kind", *pii.VOTES, "length", "digits", "next")
+    rows = [c.asDict() for r in found.collect() for c in r["found"]]
+    # The same model, row by row instead of by counted patterns.
+    belief = [1 / (1 + 2.718281828459045 ** -sum(c[v] for v in pii.VOTES)) for c in rows]
+    for _ in range(pii.EM_ROUNDS):
+        table, prior = {}, {}
+        for v in pii.VOTES:
+            for y in (0, 1):
+                mass = {x: 1.0 + 0.5 * (x == 2 * y - 1) for x in (-1, 0, 1)}
+                for c, b in zip(rows, belief):
+                    mass[c[v]] += b if y else 1 - b
+                whole = sum(mass.values())
+                for k in {c["kind"] for c in rows}:
+                    own = {x: sum((b if y else 1 - b) for c, b in zip(rows, belief) if c["kind"] == k and c[v] == x) for x in mass}
+                    for x in mass:
+                        table[v, k, y, x] = (own[x] + pii.POOLED * mass[x] / whole) / (sum(own.values()) + pii.POOLED)
+        for k in {c["kind"] for c in rows}:
+            own = [b for c, b in zip(rows, belief) if c["kind"] == k]
+            prior[k] = (1 + sum(own)) / (2 + len(own))
+        for j, c in enumerate(rows):
+            odds = prior[c["kind"]] / (1 - prior[c["kind"]])
+            for v in pii.VOTES:
+                odds *= table[v, c["kind"], 1, c[v]] / table[v, c["kind"], 0, c[v]]
+            belief[j] = odds / (1 + odds)
+    for key, value in table.items():
+        assert abs(labels.reliability[key] - value) < 1e-6, key
+    assert set(names) <= set(rows[0])
