@@ -414,3 +414,16 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1: links and components of all embeddings."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
+
+
+#: All pairs by hand: for small tables only.
+ORACLE = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+k AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.r AS a, b.r AS b FROM k a JOIN k b ON len(a.e) = len(b.e) AND a.r <> b.r WHERE list_cosine_similarity(a.e, b.e) >= 0.9e0),
+t AS (SELECT a, b FROM l UNION SELECT t.a, l.b FROM t JOIN l ON t.b = l.a),
+n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a),
+m AS (SELECT t.a, min(v.vec_id) AS least FROM t JOIN v ON v.r = t.b GROUP BY t.a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(m.least, vec_id)) AS component_id, vec_id <= coalesce(m.least, vec_id) AS kept
+FROM v LEFT JOIN n ON n.a = v.r LEFT JOIN m ON m.a = v.r
+"""

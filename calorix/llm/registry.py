@@ -17,6 +17,7 @@ QUERIES = {
     "op10_bpe_encode_decode": bpe.query,
 }
 ORACLES = {
+    "op1_cover_tree_near_vectors": cover.ORACLE,
     "op6_golomb_exact_dedup": golomb_dedup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
 }

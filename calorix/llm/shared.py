@@ -37,10 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a step to the shared folder and read it back: cuts lineage and survives lost executors."""
+def materialise(df: DataFrame, name: str, rows: int = TEXTS_AT_ONCE) -> DataFrame:
+    """Write a step to the shared folder and read it back: cuts lineage and survives lost executors; rows: of an Arrow batch."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    with few_rows_a_batch(df.sparkSession):
+    with few_rows_a_batch(df.sparkSession, rows):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

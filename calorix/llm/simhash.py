@@ -19,16 +19,18 @@ union) of 0.8 or more.  Candidates share a half-ball variant of one of several
 short SimHashes of independent bits; the number and length of these follow from
 the number of texts and the share of pairs to be found (``tables_for``).  Variants
 travel as messages: a block of texts sends each owner (a range of buckets) its
-sorted, Golomb-coded variants.  In a bucket each text meets its neighbours in the
-order of their bits and the bucket's first, so that the pairs grow with the rows,
-not with the square of a bucket.  Pairs whose long SimHashes are near are verified
-on both texts: first each text's nearest one, then those of the others that are
-not in one group by then, so that a large group of copies isn't compared within.
+sorted, Golomb-coded variants.  Pairs whose long SimHashes are near are verified on
+both texts, in two passes.  In the first a text meets the first of each of its
+buckets; links that hold make groups.  In the second it meets its neighbours in the
+order of their bits and the bucket's first, but only those of other groups, and a
+group has at most GROUP_IN_BUCKET members in a bucket.  So the pairs grow with the
+rows, not with the square of a bucket or group.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -53,6 +55,8 @@ STAGE_SHINGLE, SIMILARITY = 5, 0.8
 MISSED = 0.03
 #: Texts whose variants are sent together.
 NODES_AT_ONCE = 8192
+#: Members of a group that take part in a bucket once the group is found.
+GROUP_IN_BUCKET = 8
 #: Neighbours in a bucket with which a text is compared, besides the bucket's first.
 NEIGHBOURS = 6
 #: Standard deviations above the expected differing bits at which a pair is no candidate.
@@ -189,14 +193,14 @@ def sketches(docs: DataFrame, size: int, tables: int, bits: int) -> DataFrame:
 
 
 def bucket_messages(nodes: DataFrame, tables: int, bits: int, owner_bits: int) -> DataFrame:
-    """Each block's variants to the owners of their buckets: coded buckets, numbers of the texts in the block, and the block's first id and bits."""
+    """Each block's variants to the owners of their buckets: coded buckets, numbers of the texts in the block, and the block's first id, bits and groups."""
     masks = np.array([0, *(1 << b for b in range(bits))], np.int64)
     width = (tables - 1).bit_length() + bits
 
     @trimmed
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("id").to_numpy()
+            ids, groups = batch.column("id").to_numpy(), batch.column("group").to_numpy()
             sketch = (batch.column("node").to_numpy().view(np.uint64) >> np.uint64(32)).astype("<u4")
             short = batch.column("tables").flatten().to_numpy().reshape(-1, tables)
             runs = np.flatnonzero(np.diff(ids) != 1) + 1  # a block's ids follow one another
@@ -212,34 +216,41 @@ def bucket_messages(nodes: DataFrame, tables: int, bits: int, owner_bits: int) -
                 for x, y in zip(low, np.append(low[1:], len(keys))):
                     start = int(owner[x]) << max(width - owner_bits, 0)
                     k = max(1, (2 ** max(width - owner_bits, 0) // int(y - x)).bit_length())
-                    rows.append((int(owner[x]), int(ids[a]), start, int(y - x), k, *golomb_encode(keys[x:y] - np.uint64(start), k), places[x:y].tobytes(), sketch[a:b].tobytes()))
-                kinds = pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["owner", "first", "start", "n", "k", "quotients", "remainders", "places", "sketches"])
+                    rows.append((int(owner[x]), int(ids[a]), start, int(y - x), k, *golomb_encode(keys[x:y] - np.uint64(start), k), places[x:y].tobytes(), sketch[a:b].tobytes(), zlib.compress(groups[a:b].tobytes(), 1)))
+                kinds = pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["owner", "first", "start", "n", "k", "quotients", "remainders", "places", "sketches", "groups"])
 
-    schema = "owner int, first long, start long, n int, k int, quotients binary, remainders binary, places binary, sketches binary"
-    return nodes.select("id", "node", "tables").mapInArrow(send, schema)
+    schema = "owner int, first long, start long, n int, k int, quotients binary, remainders binary, places binary, sketches binary, groups binary"
+    return nodes.select("id", "node", "tables", "group").mapInArrow(send, schema)
 
 
-def candidates(nodes: DataFrame, tables: int, bits: int, similarity: float) -> DataFrame:
-    """Distinct (u, v) of ids that meet in a bucket and whose first bits differ in no more places than similar texts' do."""
+def candidates(nodes: DataFrame, tables: int, bits: int, similarity: float, neighbours: int) -> DataFrame:
+    """Distinct (u, v) of ids of other groups that meet in a bucket and whose first bits differ in no more places than similar texts' do."""
     most = most_bits(32, similarity)
     owner_bits = min((tables - 1).bit_length() + bits, (2 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
     def meet(table: pa.Table) -> pa.Table:
-        buckets, ids, sketches = [], [], []
+        buckets, ids, sketches, groups = [], [], [], []
         for r in table.to_pylist():
             places = np.frombuffer(r["places"], "<u2").astype(np.int64)
             buckets.append(golomb_decode(r["n"], r["k"], r["quotients"], r["remainders"]) + np.uint64(r["start"]))
             ids.append(places + r["first"])
             sketches.append(np.frombuffer(r["sketches"], "<u4")[places])
-        buckets, ids, sketches = map(np.concatenate, (buckets, ids, sketches))
-        order = np.lexsort((ids, sketches, buckets))
-        buckets, ids, sketches = buckets[order], ids[order], sketches[order]
+            groups.append(np.frombuffer(zlib.decompress(r["groups"]), np.int64)[places])
+        buckets, ids, sketches, groups = map(np.concatenate, (buckets, ids, sketches, groups))
+        if neighbours:  # the first members of each group in each bucket
+            order = np.lexsort((ids, groups, buckets))
+            b, g = buckets[order], groups[order]
+            runs = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (g[1:] != g[:-1])))
+            few = order[np.arange(len(b)) - np.repeat(runs, np.diff(np.append(runs, len(b)))) < GROUP_IN_BUCKET]
+            buckets, ids, sketches, groups = buckets[few], ids[few], sketches[few], groups[few]
+        order = np.lexsort((ids, sketches, buckets)) if neighbours else np.lexsort((ids, buckets))
+        buckets, ids, sketches, groups = buckets[order], ids[order], sketches[order], groups[order]
         firsts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
         first = np.repeat(firsts, np.diff(np.append(firsts, len(ids))))
         here, found = np.arange(len(ids)), []
-        for other in (first, *(np.maximum(here - k, first) for k in range(1, NEIGHBOURS + 1))):
-            near = (other < here) & (np.bitwise_count(sketches ^ sketches[other]) <= most)
+        for other in (first, *(np.maximum(here - k, first) for k in range(1, neighbours + 1))):
+            near = (other < here) & (groups != groups[other]) & (np.bitwise_count(sketches ^ sketches[other]) <= most)
             a, b = ids[near], ids[other[near]]
             found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1))
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -305,18 +316,16 @@ def similar_groups(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float
     # Of rows with equal sets of shingles any will do: they are one node.
     nodes = known.groupBy("node").agg(F.min(F.struct("digest", "doc_id")).alias("row"), F.min("tables").alias("tables"), F.min("print").alias("print"))
     nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "sketch-nodes")
-    near = materialise(alike(materialise(candidates(nodes, tables, bits, similarity), "candidates"), nodes, similarity), "near-pairs")
-    texts = texts_of(nodes, near, docs)
-    both = near.select("u", "apart", F.col("v").alias("o")).union(near.select(F.col("v").alias("u"), "apart", F.col("u").alias("o")))
-    nearest = both.groupBy("u").agg(F.min(F.struct("apart", "o")).alias("n")).select(F.greatest("u", "n.o").alias("u"), F.least("u", "n.o").alias("v")).distinct()
-    links = verified(materialise(nearest, "nearest-pairs"), texts, size, similarity)
-    groups = materialise(components(links), "first-groups")
-    placed = near
-    for node in "uv":
-        own = groups.select(F.col("node").alias(node), F.col("component").alias(f"g{node}"))
-        placed = placed.join(own, node, "left").withColumn(f"g{node}", F.coalesce(f"g{node}", node))
-    rest = materialise(placed.where("gu <> gv").select("u", "v").join(nearest, ["u", "v"], "left_anti"), "other-pairs")
-    found = components(links.union(verified(rest, texts, size, similarity)))
+
+    def linked_by(nodes: DataFrame, neighbours: int) -> DataFrame:
+        met = materialise(candidates(nodes, tables, bits, similarity, neighbours), "candidates", NODES_AT_ONCE)
+        near = materialise(alike(met, nodes, similarity), "near-pairs")
+        return verified(near, texts_of(nodes, near, docs), size, similarity)
+
+    first = linked_by(nodes.withColumn("group", F.col("id")), 0)
+    groups = components(first).select(F.col("node").alias("id"), F.col("component").alias("group"))
+    nodes = materialise(nodes.join(groups, "id", "left").withColumn("group", F.coalesce("group", "id")).repartitionByRange("id").sortWithinPartitions("id"), "grouped-nodes")
+    found = components(first.union(linked_by(nodes, NEIGHBOURS)))
     of_node = nodes.select("node", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("component", "id").alias("component"))
     return known.select("doc_id", "digest", "node").join(of_node, "node").select("doc_id", "digest", "component")
 

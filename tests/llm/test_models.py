@@ -252,6 +252,8 @@ def test_oracles_agree(spark, tmp_path):
     path = save(awkward(spark).union(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 1000", "text", "lang", "source", "n_chars", "'x'", "'y'", "'z'")), tmp_path)
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    spark.read.parquet(f"{SF}/embeddings.parquet").write.parquet(f"{path}/embeddings.parquet")
     for name, sql in registry.ORACLES.items():
         found, expected = registry.QUERIES[name](spark, path).toPandas(), con.sql(sql).df()
         columns = sorted(found.columns)
