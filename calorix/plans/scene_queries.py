@@ -145,7 +145,6 @@ RESOLVED = lambda overlap, whole: f"""{BOXES}, o AS (SELECT *, a * c AS area, {o
 s AS (SELECT *, CASE WHEN overlap <= 1e-9 THEN 'kept' WHEN overlap / (area + {whole}e0 - overlap) > 0.3e0 OR area - overlap < 1e-9 THEN 'self' ELSE 'clipped' END AS status FROM o)"""
 ELL_SQL = RESOLVED(f"({MEET(100, 0, 160, 40)} + {MEET(100, 40, 130, 90)} - {MEET(110, 10, 120, 20)})", 60 * 40 + 30 * 50 - 100)
 STRIP_SQL = RESOLVED(MEET(100, -10, 131, 4000), 31 * 4010)
-KEPT_K = "round(k, 6) + 0e0"
 ORACLES = {
     "study_overlap": with_views(f"WITH {ELL_SQL} SELECT item, status, area, overlap, CASE WHEN status = 'self' THEN 0e0 ELSE area - overlap END AS left_area FROM s", "v5"),
     "obstacle_admission": with_views(
