@@ -193,7 +193,7 @@ def sketches(docs: DataFrame, size: int, tables: int, bits: int) -> DataFrame:
 
 
 def bucket_messages(nodes: DataFrame, tables: int, bits: int, owner_bits: int) -> DataFrame:
-    """Each block's variants to the owners of their buckets: coded buckets, numbers of the texts in the block, and the block's first id, bits and groups."""
+    """Each block's variants to the owners of their buckets: coded buckets, numbers of the texts in the block, and the block's bits, ids and groups."""
     masks = np.array([0, *(1 << b for b in range(bits))], np.int64)
     width = (tables - 1).bit_length() + bits
 
@@ -203,8 +203,7 @@ def bucket_messages(nodes: DataFrame, tables: int, bits: int, owner_bits: int) -
             ids, groups = batch.column("id").to_numpy(), batch.column("group").to_numpy()
             sketch = (batch.column("node").to_numpy().view(np.uint64) >> np.uint64(32)).astype("<u4")
             short = batch.column("tables").flatten().to_numpy().reshape(-1, tables)
-            runs = np.flatnonzero(np.diff(ids) != 1) + 1  # a block's ids follow one another
-            edges = sorted({0, *runs.tolist(), *range(0, len(ids), NODES_AT_ONCE), len(ids)})
+            edges = sorted({*range(0, len(ids), NODES_AT_ONCE), len(ids)})
             for a, b in zip(edges, edges[1:]):
                 buckets = (((np.arange(tables) << bits)[None, :, None] + (short[a:b, :, None] ^ masks)).reshape(b - a, -1)).astype(np.uint64)
                 places = np.repeat(np.arange(b - a, dtype="<u2"), buckets.shape[1])
@@ -212,15 +211,15 @@ def bucket_messages(nodes: DataFrame, tables: int, bits: int, owner_bits: int) -
                 keys, places = buckets.reshape(-1)[order], places[order]
                 owner = (keys >> np.uint64(max(width - owner_bits, 0))).astype(np.int64)
                 low = np.flatnonzero(np.diff(owner, prepend=-1))
-                rows = []
+                rows, own = [], zlib.compress(np.stack([ids[a:b], groups[a:b]]).tobytes(), 1)
                 for x, y in zip(low, np.append(low[1:], len(keys))):
                     start = int(owner[x]) << max(width - owner_bits, 0)
                     k = max(1, (2 ** max(width - owner_bits, 0) // int(y - x)).bit_length())
-                    rows.append((int(owner[x]), int(ids[a]), start, int(y - x), k, *golomb_encode(keys[x:y] - np.uint64(start), k), places[x:y].tobytes(), sketch[a:b].tobytes(), zlib.compress(groups[a:b].tobytes(), 1)))
-                kinds = pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["owner", "first", "start", "n", "k", "quotients", "remainders", "places", "sketches", "groups"])
+                    rows.append((int(owner[x]), start, int(y - x), k, *golomb_encode(keys[x:y] - np.uint64(start), k), places[x:y].tobytes(), sketch[a:b].tobytes(), own))
+                kinds = pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["owner", "start", "n", "k", "quotients", "remainders", "places", "sketches", "groups"])
 
-    schema = "owner int, first long, start long, n int, k int, quotients binary, remainders binary, places binary, sketches binary, groups binary"
+    schema = "owner int, start long, n int, k int, quotients binary, remainders binary, places binary, sketches binary, groups binary"
     return nodes.select("id", "node", "tables", "group").mapInArrow(send, schema)
 
 
@@ -234,9 +233,10 @@ def candidates(nodes: DataFrame, tables: int, bits: int, similarity: float, neig
         for r in table.to_pylist():
             places = np.frombuffer(r["places"], "<u2").astype(np.int64)
             buckets.append(golomb_decode(r["n"], r["k"], r["quotients"], r["remainders"]) + np.uint64(r["start"]))
-            ids.append(places + r["first"])
+            own = np.frombuffer(zlib.decompress(r["groups"]), np.int64).reshape(2, -1)
+            ids.append(own[0][places])
             sketches.append(np.frombuffer(r["sketches"], "<u4")[places])
-            groups.append(np.frombuffer(zlib.decompress(r["groups"]), np.int64)[places])
+            groups.append(own[1][places])
         buckets, ids, sketches, groups = map(np.concatenate, (buckets, ids, sketches, groups))
         if neighbours:  # the first members of each group in each bucket
             order = np.lexsort((ids, groups, buckets))
