@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from calorix.functions import geometry
 from calorix.functions.rounding import half_up
 from calorix.functions.solar import degrees_of
+from calorix.operators.prefix import running
 from calorix.sources.stage import written
 
 CAP = 20_000
@@ -47,26 +48,21 @@ def glazed_shares(marked: DataFrame, by: tuple[str, ...]) -> DataFrame:
 
 
 def rebased(meshes: DataFrame, order: str, n_vertices: str) -> DataFrame:
-    """First vertex number of each mesh when all are put after one another.
+    """First vertex number of each mesh when all are put after one another."""
+    return running(meshes, (order,), (n_vertices,)).drop("place").withColumnRenamed(f"{n_vertices}_before", "vertex_offset")
 
-    Offsets are summed within ranges of meshes first, so that no task gets all
-    rows: only one row per range is summed in one place.
-    """
-    step = 4096
-    keyed = meshes.withColumn("__range", F.floor(F.col(order) / step))
-    upto = lambda *by: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = keyed.groupBy("__range").agg(F.sum(n_vertices).alias("__n"))
-    starts = totals.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    own = F.coalesce(F.sum(n_vertices).over(upto("__range")), F.lit(0))
-    return keyed.withColumn("__own", own).join(starts, "__range").withColumn("vertex_offset", (F.col("__own") + F.col("__start")).cast("long")).drop("__range", "__own", "__start")
+
+def _place(columns: tuple[str, str, str], digits: int) -> Column:
+    """Rounded place of a corner, by which corners are welded."""
+    return F.struct(*[F.floor(F.col(c) * 10**digits + 0.5).alias(n) for c, n in zip(columns, "xyz")])
 
 
 def welded(corners: DataFrame, mesh: str, order: str, digits: int = 5) -> DataFrame:
-    """Corners with ``vertex``: equal rounded places share an id, in order of first appearance within the mesh."""
-    key = [F.floor(F.col(c) * 10**digits + 0.5).alias(f"__{c}") for c in "xyz"]
-    rounded = corners.select("*", *key)
-    first = F.min(order).over(Window.partitionBy(mesh, "__x", "__y", "__z"))
-    return rounded.withColumn("__first", first).withColumn("vertex", (F.dense_rank().over(Window.partitionBy(mesh).orderBy("__first")) - 1).cast("int")).drop("__x", "__y", "__z", "__first")
+    """Corners with ``vertex``: equal rounded places share an id, in order of first appearance within the mesh, however large it is."""
+    placed = corners.withColumn("__at", _place(("x", "y", "z"), digits))
+    first = placed.groupBy(mesh, "__at").agg(F.min(order).alias("__first"))
+    ids = running(first.select(mesh, "__first").distinct(), ("__first",), by=(mesh,)).select(mesh, "__first", F.col("place").cast("int").alias("vertex"))
+    return placed.join(first.join(ids, [mesh, "__first"]).drop("__first"), [mesh, "__at"]).drop("__at")
 
 
 def terrain(spark: SparkSession, radius: float, step: float) -> tuple[DataFrame, DataFrame]:
@@ -176,27 +172,22 @@ def vertices_after(triangles: DataFrame, digits: int = 5) -> DataFrame:
     return pieces.groupBy("mesh_id").agg(F.sum(two * F.col("e") + 1.5 * F.col("t") * (four / 3 - two)).alias("more")).join(first, "mesh_id").select("mesh_id", (F.col("first") + F.col("more")).alias("n"))
 
 
-def refined(triangles: DataFrame, longest: float, max_rounds: int = 20) -> DataFrame:
-    """Triangles cut in four until no edge of the mesh is longer than given.
+def with_rounds(triangles: DataFrame, longest: float, max_rounds: int = 20) -> tuple[DataFrame, int]:
+    """Triangles with ``rounds``, the times their piece is halved until no edge is longer than given, and the most of all.
 
-    A long edge marks its triangle, and marks spread over shared edges to the
-    whole connected piece; a piece is cut as a whole, so its number of rounds
-    follows from its longest edge alone: every round halves all its edges.
-    Needs (mesh_id, piece, tri_id, corners); pieces are connected components, as
-    ``with_pieces`` finds them.  As in the reference, edges that are too long after
-    ``max_rounds``, or a mesh of more than CAP vertices or triangles, are errors.
+    As in the reference, edges that are too long after ``max_rounds``, or a mesh of
+    more than CAP vertices or triangles, are errors.
     """
     a, b, c = (geometry.corner(i) for i in range(3))
     edge = F.greatest(*[geometry.norm(geometry.minus(p, q)) for p, q in ((a, b), (b, c), (c, a))])
-    longest_edge = F.max(edge).over(Window.partitionBy("mesh_id", "piece"))
-    rounds = F.greatest(F.lit(0), F.ceil(F.log2(longest_edge / longest))).cast("int")
-    out = triangles.withColumn("rounds", rounds).withColumn("path", F.lit(""))
-    kept = [c for c in triangles.columns if c[1:] not in ("0", "1", "2")]
+    pieces = triangles.groupBy("mesh_id", "piece").agg(F.max(edge).alias("__edge"))
+    pieces = pieces.select("mesh_id", "piece", F.greatest(F.lit(0), F.ceil(F.log2(F.col("__edge") / longest))).cast("int").alias("rounds"))
+    out = triangles.join(pieces, ["mesh_id", "piece"])
     # A round needs four times all triangles to be under the cap, cut or not.
-    last = F.max("rounds").over(Window.partitionBy("mesh_id"))
-    ahead = F.when(last > 0, 4 * F.pow(F.lit(4.0), F.least("rounds", last - 1))).otherwise(0.0)
-    alone = F.when(last > 0, (F.pow(F.lit(2.0), "rounds") + 1) * (F.pow(F.lit(2.0), "rounds") + 2) / 2).otherwise(0.0)
-    sums = out.select("mesh_id", "rounds", ahead.alias("n"), alone.alias("v")).groupBy("mesh_id").agg(F.max("rounds").alias("rounds"), F.sum("n").alias("n"), F.sum("v").alias("v"))
+    last = out.groupBy("mesh_id").agg(F.max("rounds").alias("last"))
+    ahead = F.when(F.col("last") > 0, 4 * F.pow(F.lit(4.0), F.least("rounds", F.col("last") - 1))).otherwise(0.0)
+    alone = F.when(F.col("last") > 0, (F.pow(F.lit(2.0), "rounds") + 1) * (F.pow(F.lit(2.0), "rounds") + 2) / 2).otherwise(0.0)
+    sums = out.select("mesh_id", "rounds").join(last, "mesh_id").groupBy("mesh_id").agg(F.max("rounds").alias("rounds"), F.sum(ahead).alias("n"), F.sum(alone).alias("v"))
     most, largest, corners = (x or 0 for x in sums.agg(F.max("rounds"), F.max("n"), F.max("v")).first())
     if most >= max_rounds:
         raise ValueError(f"edges are too long after {max_rounds} rounds")
@@ -206,6 +197,87 @@ def refined(triangles: DataFrame, longest: float, max_rounds: int = 20) -> DataF
         largest = vertices_after(out.join(sums.where(F.col("v") > CAP).select("mesh_id"), "mesh_id", "left_semi")).agg(F.max("n")).first()[0]
         if largest > CAP:
             raise ValueError(f"refinement makes {largest:.0f} vertices of a mesh, more than {CAP}")
+    return out, most
+
+
+def indexed(triangles: DataFrame, digits: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Vertices (mesh_id, vertex, x, y, z) and faces of triangles with corners: face (a number within the mesh), v0, v1, v2 and the other columns.
+
+    Corners are welded by rounding; a vertex has the coordinates of one of its
+    corners.  Faces with two corners in one place are left out.
+    """
+    spare = [c for c in triangles.columns if c[1:] not in ("0", "1", "2") or c[0] not in "xyz"]
+    faces = running(triangles, ("tri_id",), by=("mesh_id",)).withColumnRenamed("place", "face")
+    corner = lambda i: F.struct(F.lit(i).alias("slot"), (F.col("face") * 3 + i).alias("seq"), *[F.col(f"{c}{i}").alias(c) for c in "xyz"])
+    corners = written(welded(faces.select("mesh_id", "face", F.inline(F.array(*map(corner, range(3))))), "mesh_id", "seq", digits), "corners")
+    vertices = corners.groupBy("mesh_id", "vertex").agg(F.min_by(F.struct("x", "y", "z"), "seq").alias("at")).select("mesh_id", "vertex", "at.*")
+    named = corners.groupBy("mesh_id", "face").agg(*[F.max(F.when(F.col("slot") == i, F.col("vertex"))).alias(f"v{i}") for i in range(3)])
+    whole = faces.select("face", *spare).join(named, ["mesh_id", "face"]).where("v0 <> v1 and v1 <> v2 and v2 <> v0")
+    return vertices, whole
+
+
+def refined_index(triangles: DataFrame, longest: float, max_rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Refinement to an indexed mesh: vertices (mesh_id, vertex, x, y, z) and faces (mesh_id, v0, v1, v2, the other columns).
+
+    Needs (mesh_id, piece, tri_id, corners).  Halving all edges of a triangle r times
+    makes a grid of 2^r steps on each side, so nothing is done round by round: each
+    edge has 2^r - 1 vertices of its own and each face those strictly inside.  An
+    edge's vertices are numbered once, by running totals over the mesh's edges, and
+    both faces that share it name them, so there is no crack.  New vertices follow
+    the mesh's own: first those of edges in the order of their ends, then those of faces.
+    """
+    out, most = with_rounds(triangles, longest, max_rounds)
+    vertices, faces = (written(df, n) for df, n in zip(indexed(out), ("vertices", "faces")))
+    steps = F.expr("shiftleft(1L, rounds)")
+    side = lambda i, j, slot: F.struct(F.lit(slot).alias("slot"), F.least(f"v{i}", f"v{j}").alias("lo"), F.greatest(f"v{i}", f"v{j}").alias("hi"))
+    sides = faces.select("mesh_id", "face", "rounds", F.inline(F.array(side(0, 1, 0), side(1, 2, 1), side(0, 2, 2))))
+    edges = sides.groupBy("mesh_id", "lo", "hi").agg(F.max("rounds").alias("rounds")).where("rounds > 0").withColumn("n", steps - 1)
+    edges = running(edges, ("lo", "hi"), ("n",), by=("mesh_id",))
+    grown = running(faces.withColumn("n", ((steps - 1) * (steps - 2) / 2).cast("long")), ("face",), ("n",), by=("mesh_id",))
+    first = vertices.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("own"))
+    base = first.join(edges.groupBy("mesh_id").agg(F.sum("n").alias("on_edges")), "mesh_id", "left").select("mesh_id", "own", (F.col("own") + F.coalesce("on_edges", F.lit(0))).alias("after_edges"))
+    edges = written(edges.join(base, "mesh_id").select("mesh_id", "lo", "hi", "rounds", (F.col("own") + F.col("n_before")).alias("start")), "edges")
+    starts = sides.join(edges.drop("rounds"), ["mesh_id", "lo", "hi"]).groupBy("mesh_id", "face").agg(*[F.max(F.when(F.col("slot") == i, F.col("start"))).alias(f"e{i}") for i in range(3)])
+    grown = written(grown.join(base, "mesh_id").withColumn("inner", F.col("after_edges") + F.col("n_before")).drop("place", "n", "n_before", "own", "after_edges").join(starts, ["mesh_id", "face"], "left"), "grown")
+
+    at = lambda v, name: vertices.select("mesh_id", F.col("vertex").alias(v), F.struct("x", "y", "z").alias(name))
+    between = lambda *parts: [sum((F.col(p)[c] * w for p, w in parts[1:]), F.col(parts[0][0])[c] * parts[0][1]).alias(c) for c in "xyz"]
+    ends = edges.join(at("lo", "p"), ["mesh_id", "lo"]).join(at("hi", "q"), ["mesh_id", "hi"]).withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), steps - 1)))
+    share = F.col("k") / steps
+    on_edges = ends.select("mesh_id", (F.col("start") + F.col("k") - 1).alias("vertex"), *between(("p", 1.0 - share), ("q", share)))
+    i, j = F.col("i"), F.col("j")
+    place = (j - 1) * (steps - 1) - F.floor((j - 1) * j / 2) + i - 1  # of an inner point, by rows
+    inner = grown.where("rounds > 1").withColumn("j", F.explode(F.sequence(F.lit(1).cast("long"), steps - 2))).withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), steps - 1 - j)))
+    corners = inner.join(at("v0", "p"), ["mesh_id", "v0"]).join(at("v1", "q"), ["mesh_id", "v1"]).join(at("v2", "s"), ["mesh_id", "v2"])
+    inside = corners.select("mesh_id", (F.col("inner") + place).alias("vertex"), *between(("p", 1.0 - (i + j) / steps), ("q", i / steps), ("s", j / steps)))
+
+    def named(i: Column, j: Column) -> Column:
+        """Vertex of the grid point i steps towards v1 and j towards v2."""
+        along = lambda e, a, b, k: F.col(f"e{e}") + F.when(F.col(f"v{a}") < F.col(f"v{b}"), k - 1).otherwise(steps - k - 1)
+        on_side = F.when(j == 0, along(0, 0, 1, i)).when(i == 0, along(2, 0, 2, j)).when(i + j == steps, along(1, 1, 2, j))
+        row = (j - 1) * (steps - 1) - F.floor((j - 1) * j / 2) + i - 1
+        return F.when((i == 0) & (j == 0), F.col("v0")).when(i == steps, F.col("v1")).when(j == steps, F.col("v2")).otherwise(F.coalesce(on_side, F.col("inner") + row)).cast("long")
+
+    cells = grown.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), steps - 1))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), steps - 1 - j)))
+    face = lambda a, b, c: F.struct(*[named(*p).alias(f"v{n}") for n, p in enumerate((a, b, c))])
+    up, down = face((i, j), (i + 1, j), (i, j + 1)), face((i + 1, j), (i + 1, j + 1), (i, j + 1))
+    cut = cells.withColumn("f", F.explode(F.when(i + j + 1 < steps, F.array(up, down)).otherwise(F.array(up))))
+    spare = [c for c in faces.columns if c not in ("v0", "v1", "v2", "face")]
+    return vertices.withColumn("vertex", F.col("vertex").cast("long")).unionByName(on_edges).unionByName(inside), cut.select(*spare, "f.*")
+
+
+def refined(triangles: DataFrame, longest: float, max_rounds: int = 20) -> DataFrame:
+    """Triangles cut in four until no edge of the mesh is longer than given, each with corners of its own.
+
+    A long edge marks its triangle, and marks spread over shared edges to the
+    whole connected piece; a piece is cut as a whole, so its number of rounds
+    follows from its longest edge alone: every round halves all its edges.
+    Needs (mesh_id, piece, tri_id, corners); pieces are connected components, as
+    ``with_pieces`` finds them.
+    """
+    out, most = with_rounds(triangles, longest, max_rounds)
+    out = out.withColumn("path", F.lit(""))
+    kept = [c for c in triangles.columns if c[1:] not in ("0", "1", "2")]
     for r in range(most):
         here = F.struct(*[f"{x}{i}" for i in range(3) for x in "xyz"])
         v = [_corner(here, i) for i in range(3)]

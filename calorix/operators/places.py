@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calorix.functions import geodesy
+from calorix.operators.prefix import running
 
 
 def in_boxes(sites: DataFrame, points: DataFrame, radius_m: float, cell_deg: float = 1.0) -> DataFrame:
@@ -40,24 +41,15 @@ def nearest_accepted(pairs: DataFrame, accepted, k: int, by: tuple[str, ...], or
 def admitted(items: DataFrame, sizes: tuple[str, ...], caps: tuple[int, ...], order: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """Items in order until a running total would pass its cap, with each one's offset: the totals before it.
 
-    Sizes are at least 1 (smaller ones are an error), so no more items than the
-    least cap are admitted: only the first so many of each group, found by a
-    distributed top-k, get a running total.
+    Sizes are at least 1; smaller ones are an error.  Totals only grow, so the
+    items within the caps are the first ones of each group, of whatever size.
     """
-    most = min(caps)
-    w = Window.partitionBy(*by).orderBy(*order)
-    if by:
-        first = items.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n")
-    else:
-        first = items.orderBy(*order).limit(most)
-    first = first.withColumns({c: F.when(F.col(c) >= 1, F.col(c)).otherwise(F.raise_error(F.lit(f"{c} must be at least 1"))) for c in sizes})
-    w = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = first.withColumns({f"__t{i}": F.sum(c).over(w) for i, c in enumerate(sizes)})
+    sized = items.withColumns({c: F.when(F.col(c) >= 1, F.col(c)).otherwise(F.raise_error(F.lit(f"{c} must be at least 1"))) for c in sizes})
     keep = F.lit(True)
-    for i, cap in enumerate(caps):
-        keep = keep & (F.col(f"__t{i}") <= cap)
-    out = out.where(keep).withColumns({f"{c}_offset": (F.col(f"__t{i}") - F.col(c)).cast("long") for i, c in enumerate(sizes)})
-    return out.drop(*[f"__t{i}" for i in range(len(sizes))])
+    for c, cap in zip(sizes, caps):
+        keep = keep & (F.col(f"{c}_before") + F.col(c) <= cap)
+    out = running(sized, order, sizes, by).where(keep)
+    return out.withColumnsRenamed({f"{c}_before": f"{c}_offset" for c in sizes}).drop("place")
 
 
 def nearest(items: DataFrame, k: int, order: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:

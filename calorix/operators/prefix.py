@@ -64,13 +64,13 @@ def running(rows: DataFrame, order: tuple[str | tuple[str, bool], ...], sizes: t
                 out.append(summed[:-1] - summed[np.maximum(first, 0)] + np.where(first < 0, total[i], 0))
                 total[i] = out[-1][-1] + step[-1]
             groups = int(group[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group == 0), *map(pa.array, out)], [*batch.schema.names, "__first", *sums])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group == 0), *map(pa.array, out)], [*batch.schema.names, "__head", *sums])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema), "__first boolean", *(f"`{s}` long" for s in sums)])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema), "__head boolean", *(f"`{s}` long" for s in sums)])
     placed = written(dealt.mapInArrow(add, schema), "placed").withColumn("__part", F.shiftright("__at", PART_BITS))
     key = F.struct(F.lit(0), *by)
     after = F.struct(*[F.col(s) + F.coalesce(F.col(c).cast("long"), F.lit(0)) if c else F.col(s) + 1 for s, c in zip(sums, [None, *sizes])])
-    ranges = placed.groupBy("__part").agg(F.min_by(key, "__at").alias("head"), F.max_by(key, "__at").alias("tail"), F.max_by(after, "__at").alias("after"), F.bool_and("__first").alias("single")).orderBy("__part").collect()  # one row per range
+    ranges = placed.groupBy("__part").agg(F.min_by(key, "__at").alias("head"), F.max_by(key, "__at").alias("tail"), F.max_by(after, "__at").alias("after"), F.bool_and("__head").alias("single")).orderBy("__part").collect()  # one row per range
     carried, tail, total = [], None, [0] * len(sums)
     for r in ranges:
         carry = total if tail == r["head"] else [0] * len(sums)
@@ -79,7 +79,7 @@ def running(rows: DataFrame, order: tuple[str | tuple[str, bool], ...], sizes: t
         tail = r["tail"]
     offsets = spark.createDataFrame(carried, "__part long, " + ", ".join(f"__c{i} long" for i in range(len(sums))))
     joined = placed.join(F.broadcast(offsets), "__part")  # as many rows as ranges
-    return joined.select(*columns, *[F.when(F.col("__first"), F.col(s) + F.col(f"__c{i}")).otherwise(F.col(s)).alias(s) for i, s in enumerate(sums)])
+    return joined.select(*columns, *[F.when(F.col("__head"), F.col(s) + F.col(f"__c{i}")).otherwise(F.col(s)).alias(s) for i, s in enumerate(sums)])
 
 
 def _directed(end: str | tuple[str, bool]) -> Column:

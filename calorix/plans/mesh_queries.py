@@ -126,6 +126,20 @@ def refine_mesh(spark, sf_dir):
     return out.groupBy("mesh_id", "piece").agg(F.count(F.lit(1)).alias("n"), tidy(F.sum("area"), 4).alias("area"))
 
 
+def refine_index(spark, sf_dir):
+    """Vertices, faces, distinct edges, borders (edges of one face) and area of every mesh that is refined to 4 m as an indexed mesh."""
+    whole = shapes(spark, sf_dir).where("not degenerate").drop("area", "tilt", "azimuth", "degenerate", "nx", "ny", "nz")
+    vertices, faces = meshes.refined_index(meshes.with_pieces(whole), 4.0)
+    at = lambda i: vertices.select("mesh_id", F.col("vertex").alias(f"v{i}"), *[F.col(c).alias(f"{c}{i}") for c in "xyz"])
+    placed = faces.select("mesh_id", "v0", "v1", "v2")
+    for i in range(3):
+        placed = placed.join(at(i), ["mesh_id", f"v{i}"])
+    areas = meshes.with_geometry(placed).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_faces"), tidy(F.sum("area"), 4).alias("area"))
+    sides = faces.select("mesh_id", F.explode(F.array(*[F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")) for a, b in (("v0", "v1"), ("v1", "v2"), ("v0", "v2"))])).alias("edge"))
+    edges = sides.groupBy("mesh_id", "edge").agg(F.count(F.lit(1)).alias("n")).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("n") == 1).alias("n_borders"))
+    return vertices.groupBy("mesh_id").agg(F.count_distinct("vertex").alias("n_vertices")).join(areas, "mesh_id").join(edges, "mesh_id").select("mesh_id", "n_vertices", "n_faces", "n_edges", "n_borders", "area")
+
+
 def clip_obstacles(spark, sf_dir):
     """Status and outside area of candidate boxes against a study box."""
     k = F.col("cand_id")
@@ -142,7 +156,7 @@ def upsert_catalogue(spark, sf_dir):
     return walls.upserted(base, changes, "wall_id").select("wall_id", tidy("e").alias("e"), tidy("lam").alias("lam"))
 
 
-QUERIES = {f.__name__: f for f in (wall_u_value, wall_mesh_nodes, solar_propagation, constraint_rejects, triangle_geometry, h_i_by_tilt, wall_fk_missing, frame_split, glazing_assign, glazing_share, group_counts, mesh_union_rebase, vertex_weld, terrain_mesh, refine_mesh, clip_obstacles, upsert_catalogue)}
+QUERIES = {f.__name__: f for f in (wall_u_value, wall_mesh_nodes, solar_propagation, constraint_rejects, triangle_geometry, h_i_by_tilt, wall_fk_missing, frame_split, glazing_assign, glazing_share, group_counts, mesh_union_rebase, vertex_weld, terrain_mesh, refine_mesh, refine_index, clip_obstacles, upsert_catalogue)}
 
 GEOMETRY = """c AS (SELECT *, (y1-y0)*(z2-z0)-(z1-z0)*(y2-y0) AS cx_, (z1-z0)*(x2-x0)-(x1-x0)*(z2-z0) AS cy_, (x1-x0)*(y2-y0)-(y1-y0)*(x2-x0) AS cz_ FROM v4),
 l AS (SELECT *, sqrt(cx_*cx_+cy_*cy_+cz_*cz_) AS len FROM c),
@@ -150,6 +164,17 @@ t AS (SELECT *, len/2e0 AS area, degrees(acos(greatest(-1e0, least(1e0, cz_/len)
 MARKED = f"""{GEOMETRY}, p AS (SELECT *, row_number() OVER (PARTITION BY mesh_id, grp ORDER BY tri_id, wall_id, x0, y0, z0, x1, y1) - 1 AS p FROM t),
 m AS (SELECT *, floor((p+1)*0.3e0+0.5e0) > floor(p*0.3e0+0.5e0) AS glazed FROM p)"""
 
+#: Connected pieces: triangles reach each other over edges between rounded corners; r has each triangle's piece and rounds.
+PIECES = """t3 AS (SELECT *, [[floor(x0*1e5+0.5e0), floor(y0*1e5+0.5e0), floor(z0*1e5+0.5e0)], [floor(x1*1e5+0.5e0), floor(y1*1e5+0.5e0), floor(z1*1e5+0.5e0)], [floor(x2*1e5+0.5e0), floor(y2*1e5+0.5e0), floor(z2*1e5+0.5e0)]] AS corners FROM t),
+q AS (SELECT *, [list_sort([corners[1], corners[2]]), list_sort([corners[2], corners[3]]), list_sort([corners[1], corners[3]])] AS edges FROM t3),
+u AS (SELECT DISTINCT mesh_id, tri_id, edge FROM (SELECT mesh_id, tri_id, unnest(edges) AS edge FROM q) WHERE edge[1] <> edge[2]),
+n AS (SELECT DISTINCT a.mesh_id, a.tri_id, b.tri_id AS other FROM u a JOIN u b ON a.mesh_id = b.mesh_id AND a.edge = b.edge AND a.tri_id <> b.tri_id),
+p AS (SELECT DISTINCT mesh_id, tri_id, tri_id AS piece FROM n UNION SELECT n.mesh_id, n.other, p.piece FROM p JOIN n ON n.mesh_id = p.mesh_id AND n.tri_id = p.tri_id),
+m AS (SELECT mesh_id, tri_id, min(piece) AS piece FROM p GROUP BY 1, 2),
+o AS (SELECT q.*, coalesce(m.piece, q.tri_id) AS piece, greatest(sqrt(power(x1-x0,2)+power(y1-y0,2)+power(z1-z0,2)), sqrt(power(x2-x1,2)+power(y2-y1,2)+power(z2-z1,2)), sqrt(power(x2-x0,2)+power(y2-y0,2)+power(z2-z0,2))) AS long_edge
+  FROM q LEFT JOIN m USING (mesh_id, tri_id)),
+r AS (SELECT *, greatest(0, ceil(log2(max(long_edge) OVER (PARTITION BY mesh_id, piece) / 4e0))) AS rounds FROM o)"""
+
 
 def ring_sql(ring: list[tuple[float, float]]) -> str:
     parts = []
@@ -201,9 +226,16 @@ ORACLES = {
         f AS (SELECT a AS v0, a + 1 AS v1, a + 12 AS v2 FROM a UNION ALL SELECT a, a + 12, a + 11 FROM a)
         SELECT v0, v1, v2, round(h0.z, 6) + 0e0 AS z0, round(h1.z, 6) + 0e0 AS z1, round(h2.z, 6) + 0e0 AS z2 FROM f JOIN h h0 ON h0.vid = v0 JOIN h h1 ON h1.vid = v1 JOIN h h2 ON h2.vid = v2""",
     "refine_mesh": with_views(
-        f"""WITH {GEOMETRY}, e AS (SELECT mesh_id, tri_id, area, greatest(sqrt(power(x1-x0,2)+power(y1-y0,2)+power(z1-z0,2)), sqrt(power(x2-x1,2)+power(y2-y1,2)+power(z2-z1,2)), sqrt(power(x2-x0,2)+power(y2-y0,2)+power(z2-z0,2))) AS edge FROM t),
-        w AS (SELECT *, max(edge) OVER (PARTITION BY mesh_id, tri_id) AS longest FROM e)
-        SELECT mesh_id, tri_id AS piece, CAST(sum(power(4, greatest(0, ceil(log2(longest / 4e0))))) AS BIGINT) AS n, round(sum(area), 4) + 0e0 AS area FROM w GROUP BY 1, 2""", "v4"),
+        f"""WITH {GEOMETRY}, {PIECES}
+        SELECT mesh_id, piece, CAST(sum(power(4, rounds)) AS BIGINT) AS n, round(sum(area), 4) + 0e0 AS area FROM r GROUP BY 1, 2""", "v4", recursive=True),
+    "refine_index": with_views(
+        f"""WITH {GEOMETRY.replace("FROM c)", "FROM c WHERE sqrt(cx_*cx_+cy_*cy_+cz_*cz_) >= 1e-9)")}, {PIECES},
+        f AS (SELECT mesh_id, count(*) AS faces, sum(power(4, rounds)) AS n_faces, sum((power(2, rounds) - 1) * (power(2, rounds) - 2) / 2) AS inner_v, sum(3 * power(2, rounds) * (power(2, rounds) - 1) / 2) AS inner_e, sum(area) AS area FROM r GROUP BY 1),
+        v AS (SELECT mesh_id, count(*) AS v FROM (SELECT DISTINCT mesh_id, unnest(corners) AS p FROM t3) GROUP BY 1),
+        s AS (SELECT mesh_id, edge, max(rounds) AS rounds, count(*) AS n FROM (SELECT mesh_id, rounds, unnest(edges) AS edge FROM r) GROUP BY 1, 2),
+        e AS (SELECT mesh_id, sum(power(2, rounds) - 1) AS new_v, sum(power(2, rounds)) AS n, sum(CASE WHEN n = 1 THEN power(2, rounds) ELSE 0 END) AS borders FROM s GROUP BY 1)
+        SELECT mesh_id, CAST(v + new_v + inner_v AS BIGINT) AS n_vertices, CAST(n_faces AS BIGINT) AS n_faces, CAST(n + inner_e AS BIGINT) AS n_edges, CAST(borders AS BIGINT) AS n_borders, round(area, 4) + 0e0 AS area
+        FROM f JOIN v USING (mesh_id) JOIN e USING (mesh_id)""", "v4", recursive=True),
     "clip_obstacles": with_views(
         """WITH b AS (SELECT cand_id, CAST(cand_id % 41 - 20 AS DOUBLE) AS x0, CAST(cand_id % 29 - 14 AS DOUBLE) AS y0, CAST(n_walls % 17 AS DOUBLE) AS w, CAST(n_walls % 13 AS DOUBLE) AS h FROM v5),
         o AS (SELECT *, w * h AS area, greatest(0e0, least(x0 + w, 3e0) - greatest(x0, -5e0)) * greatest(0e0, least(y0 + h, 2e0) - greatest(y0, -4e0)) AS overlap FROM b),
