@@ -12,13 +12,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from calorix.sources.boxed import scan
+
 CHANNELS = {"temperature_2m": "t_ext_raw", "direct_normal_irradiance": "e_dir_raw", "diffuse_radiation": "e_dif_raw", "wind_speed_10m": "wind_raw"}
 ARCHIVE = "hourly struct<time array<string>, " + ", ".join(f"{c} array<double>" for c in CHANNELS) + ">"
 TYPICAL = "outputs struct<tmy_hourly array<struct<`time(UTC)` string, T2m double, `Gb(n)` double, `Gd(h)` double, WS10m double>>>"
-FEATURES = "features array<struct<properties map<string,string>, geometry struct<type string, coordinates string>>>"
-ELEMENTS = "elements array<struct<type string, id long, lat double, lon double, tags map<string,string>, geometry array<struct<lat double, lon double>>>>"
-RING, POLYGON, PARTS = "array<array<double>>", "array<array<array<double>>>", "array<array<array<array<double>>>>"
 STOREY_M, DEFAULT_HEIGHT_M = 3.0, 6.0
+BBox = tuple[float, float, float, float]
 # Height (m), transmittance in leaf and bare, by kind of vegetation; None is the default.
 VEGETATION = {
     "Bois": (15.0, 0.15, 0.45), "Forêt fermée de feuillus": (20.0, 0.10, 0.40), "Forêt fermée de conifères": (20.0, 0.08, 0.10), "Forêt fermée mixte": (20.0, 0.10, 0.25),
@@ -65,80 +65,45 @@ def tree_profile(leaf_type: Column) -> Column:
     return F.when(F.lower(leaf_type) == "needleleaved", pick(14.0, 0.12, 0.15)).otherwise(pick(12.0, 0.20, 0.55))
 
 
-def exterior_ring(kind: Column, coordinates: Column) -> Column:
-    """Exterior ring of a polygon or of a multipolygon's first part, as (lat, lon) pairs without further dimensions."""
-    ring = F.when(kind == "Polygon", F.get(F.from_json(coordinates, POLYGON), F.lit(0))).when(kind == "MultiPolygon", F.get(F.get(F.from_json(coordinates, PARTS), F.lit(0)), F.lit(0)))
-    return F.transform(ring, lambda p: F.struct(p[1].alias("lat"), p[0].alias("lon")))
-
-
 def ring_centre(ring: Column) -> tuple[Column, Column]:
     """Mean of the ring's points, a repeated closing point included."""
     mean = lambda n: F.aggregate(ring, F.lit(0.0), lambda s, p: s + p[n]) / F.size(ring)
     return mean("lat"), mean("lon")
 
 
-def features(spark: SparkSession, path: str) -> DataFrame:
-    """Features with their exterior ring; rings of fewer than three points are dropped."""
-    rows = spark.read.schema(FEATURES).option("multiLine", True).json(path).select(F.posexplode("features").alias("seq", "f"))
-    out = rows.select("seq", F.col("f.properties").alias("properties"), exterior_ring(F.col("f.geometry.type"), F.col("f.geometry.coordinates")).alias("ring"))
-    return out.where(F.size("ring") >= 3)
-
-
-BBox = tuple[float, float, float, float]
-
-
-def touches(ring: Column, bbox: BBox | None) -> Column:
-    """Whether a ring's own box meets (south, west, north, east); always, without one."""
-    if bbox is None:
-        return F.lit(True)
-    south, west, north, east = bbox
-    least = lambda n: F.array_min(F.transform(ring, lambda p: p[n]))
-    most = lambda n: F.array_max(F.transform(ring, lambda p: p[n]))
-    return (least("lat") <= north) & (most("lat") >= south) & (least("lon") <= east) & (most("lon") >= west)
-
-
-def within(lat: Column, lon: Column, bbox: BBox | None) -> Column:
-    """Whether a point is in (south, west, north, east); always, without one."""
-    return F.lit(True) if bbox is None else lat.between(bbox[0], bbox[2]) & lon.between(bbox[1], bbox[3])
-
-
-def feature_buildings(spark: SparkSession, path: str, limit: int = 1000, bbox: BBox | None = None) -> DataFrame:
-    """Building footprints of a feature collection, of a box if given, with height, estimate flag and centre."""
-    height, rough = height_of(F.element_at("properties", "hauteur").try_cast("double"), F.element_at("properties", "nombre_d_etages").try_cast("double"))
+def feature_buildings(spark: SparkSession, path: str, limit: int | None = 1000, bbox: BBox | None = None) -> DataFrame:
+    """Building footprints of a feature collection, of a box if given, with height, estimate flag and centre; rings of fewer than three points are dropped."""
+    height, rough = height_of(F.element_at("tags", "hauteur").try_cast("double"), F.element_at("tags", "nombre_d_etages").try_cast("double"))
     lat, lon = ring_centre(F.col("ring"))
-    rows = features(spark, path).where(touches(F.col("ring"), bbox)).orderBy("seq").limit(limit)
-    return rows.select("seq", "ring", height.alias("height"), rough.alias("approx"), lat.alias("lat"), lon.alias("lon"))
+    rows = scan(spark, path, bbox, limit).where(F.size("ring") >= 3)
+    return rows.select("file", "at", "ring", height.alias("height"), rough.alias("approx"), lat.alias("lat"), lon.alias("lon"), F.element_at("tags", "altitude_minimale_sol").try_cast("double").alias("base_z"))
 
 
-def feature_vegetation(spark: SparkSession, path: str, limit: int = 1000, bbox: BBox | None = None) -> DataFrame:
+def feature_vegetation(spark: SparkSession, path: str, limit: int | None = 1000, bbox: BBox | None = None) -> DataFrame:
     """Vegetation zones, of a box if given, with the profile of their kind."""
     known = F.create_map(*[x for n, v in VEGETATION.items() if n for x in (F.lit(n), F.array(*map(F.lit, v)))])
-    profile = F.coalesce(F.try_element_at(known, F.element_at("properties", "nature")), F.array(*map(F.lit, VEGETATION[None])))
-    rows = features(spark, path).where(touches(F.col("ring"), bbox)).orderBy("seq").limit(limit).withColumn("p", profile)
-    return rows.select("seq", "ring", F.col("p")[0].alias("height"), F.col("p")[1].alias("k"), F.col("p")[2].alias("k_bare"))
-
-
-def element_rows(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ELEMENTS).option("multiLine", True).json(path).select(F.posexplode("elements").alias("seq", "e")).select("seq", "e.*")
+    profile = F.coalesce(F.try_element_at(known, F.element_at("tags", "nature")), F.array(*map(F.lit, VEGETATION[None])))
+    rows = scan(spark, path, bbox, limit).where(F.size("ring") >= 3).withColumn("p", profile)
+    return rows.select("file", "at", "ring", F.col("p")[0].alias("height"), F.col("p")[1].alias("k"), F.col("p")[2].alias("k_bare"))
 
 
 def element_buildings(spark: SparkSession, path: str, bbox: BBox | None = None) -> DataFrame:
     """Building footprints of tagged elements, of a box if given."""
-    rows = element_rows(spark, path).where((F.size("geometry") >= 3) & touches(F.col("geometry"), bbox))
+    rows = scan(spark, path, bbox).where(F.size("ring") >= 3)
     height, rough = height_of(first_number(F.element_at("tags", "height")), first_number(F.element_at("tags", "building:levels")))
-    lat, lon = ring_centre(F.col("geometry"))
-    return rows.select("seq", F.col("geometry").alias("ring"), height.alias("height"), rough.alias("approx"), lat.alias("lat"), lon.alias("lon"))
+    lat, lon = ring_centre(F.col("ring"))
+    return rows.select("file", "at", "ring", height.alias("height"), rough.alias("approx"), lat.alias("lat"), lon.alias("lon"))
 
 
 def element_vegetation(spark: SparkSession, path: str, bbox: BBox | None = None) -> tuple[DataFrame, DataFrame]:
     """Trees (nodes) and zones (with a ring) of tagged elements, of a box if given."""
-    rows = element_rows(spark, path)
+    rows = scan(spark, path, bbox)
     tag = lambda n: F.element_at("tags", n)
     profile = tree_profile(tag("leaf_type"))
-    trees = rows.where((F.col("type") == "node") & within(F.col("lat"), F.col("lon"), bbox)).withColumn("p", profile).select(
-        "seq", "lat", "lon", F.coalesce(F.nullif(first_number(tag("height")), F.lit(0.0)), "p.height").alias("height"), crown_radius(first_number(tag("diameter_crown")), first_number(tag("circumference"))).alias("radius"), "p.k", "p.k_bare"
+    trees = rows.where("kind = 'node'").withColumn("p", profile).select(
+        "file", "at", "lat", "lon", F.coalesce(F.nullif(first_number(tag("height")), F.lit(0.0)), "p.height").alias("height"), crown_radius(first_number(tag("diameter_crown")), first_number(tag("circumference"))).alias("radius"), "p.k", "p.k_bare"
     )
-    zones = rows.where((F.size("geometry") >= 3) & touches(F.col("geometry"), bbox)).select("seq", F.col("geometry").alias("ring"), tag("natural").alias("natural"), tag("landuse").alias("landuse"))
+    zones = rows.where(F.size("ring") >= 3).select("file", "at", "ring", tag("natural").alias("natural"), tag("landuse").alias("landuse"))
     return trees, zones
 
 

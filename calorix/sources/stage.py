@@ -6,18 +6,22 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """The rows, written where driver and executors share a folder; a temporary one only where all run on this machine."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str = "step") -> str:
+    """A new path where driver and executors share a folder; a temporary one only where all run on this machine."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = f"file://{tempfile.mkdtemp(prefix='spark-shared-', dir='/tmp')}"
         spark.conf.set("spark.checkpoint.dir", there)
-    path = f"{there}/{name}-{uuid.uuid4().hex}"
+    return f"{there}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str = "step") -> DataFrame:
+    """The rows, written to the shared folder and read back."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

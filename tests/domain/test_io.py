@@ -51,9 +51,9 @@ def test_buildings_and_vegetation(spark, tmp_path):
         {"properties": {}, "geometry": {"type": "Polygon", "coordinates": [ring[:2]]}},
     ]}
     path = put(tmp_path, "f.json", json.dumps(doc))
-    rows = readers.feature_buildings(spark, path).orderBy("seq").collect()
+    rows = readers.feature_buildings(spark, path).orderBy("at").collect()
     assert [(r["height"], r["approx"]) for r in rows] == [(6.0, True), (6.0, True)] and rows[0]["lat"] == pytest.approx(48.0333333)
-    assert [r["height"] for r in readers.feature_vegetation(spark, path).orderBy("seq").collect()] == [3.0, 10.0]
+    assert [r["height"] for r in readers.feature_vegetation(spark, path).orderBy("at").collect()] == [3.0, 10.0]
     doc = {"elements": [
         {"type": "way", "id": 1, "tags": {"height": "12,5 m", "building:levels": "3"}, "geometry": [{"lat": 1.0, "lon": 2.0}] * 3},
         {"type": "node", "id": 2, "lat": 1.0, "lon": 2.0, "tags": {"leaf_type": "needleleaved", "circumference": "0.2"}},
