@@ -24,7 +24,10 @@ both texts, in two passes.  In the first a text meets the first of each of its
 buckets; links that hold make groups.  In the second it meets its neighbours in the
 order of their bits and the bucket's first, but only those of other groups, and a
 group has at most GROUP_IN_BUCKET members in a bucket.  So the pairs grow with the
-rows, not with the square of a bucket or group.
+rows, not with the square of a bucket or group.  Then, until nothing new is found,
+each text that is nearly like a linked one of another group is verified against
+that one's hub: the linked text with the most links.  So copies of one text that
+are edited apart are found though they aren't like each other.
 """
 
 from __future__ import annotations
@@ -193,7 +196,11 @@ def sketches(docs: DataFrame, size: int, tables: int, bits: int) -> DataFrame:
 
 
 def bucket_messages(nodes: DataFrame, tables: int, bits: int, owner_bits: int) -> DataFrame:
-    """Each block's variants to the owners of their buckets: coded buckets, numbers of the texts in the block, and the block's bits, ids and groups."""
+    """Each block's variants to the owners of their buckets: coded buckets, numbers of the texts, and the bits, ids and groups of the texts that occur.
+
+    A text's variants that differ in low bits share an owner, so that it occurs in
+    about 1 + owner_bits messages a table, not in those of all owners.
+    """
     masks = np.array([0, *(1 << b for b in range(bits))], np.int64)
     width = (tables - 1).bit_length() + bits
 
@@ -211,11 +218,14 @@ def bucket_messages(nodes: DataFrame, tables: int, bits: int, owner_bits: int) -
                 keys, places = buckets.reshape(-1)[order], places[order]
                 owner = (keys >> np.uint64(max(width - owner_bits, 0))).astype(np.int64)
                 low = np.flatnonzero(np.diff(owner, prepend=-1))
-                rows, own = [], zlib.compress(np.stack([ids[a:b], groups[a:b]]).tobytes(), 1)
+                rows = []
                 for x, y in zip(low, np.append(low[1:], len(keys))):
+                    # The texts of this message alone, numbered anew.
+                    own, place = np.unique(places[x:y], return_inverse=True)
+                    known = zlib.compress(np.stack([np.diff(ids[a:b][own], prepend=0), groups[a:b][own] - ids[a:b][own]]).tobytes(), 1)
                     start = int(owner[x]) << max(width - owner_bits, 0)
                     k = max(1, (2 ** max(width - owner_bits, 0) // int(y - x)).bit_length())
-                    rows.append((int(owner[x]), start, int(y - x), k, *golomb_encode(keys[x:y] - np.uint64(start), k), places[x:y].tobytes(), sketch[a:b].tobytes(), own))
+                    rows.append((int(owner[x]), start, int(y - x), k, *golomb_encode(keys[x:y] - np.uint64(start), k), place.astype("<u2").tobytes(), sketch[a:b][own].tobytes(), known))
                 kinds = pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["owner", "start", "n", "k", "quotients", "remainders", "places", "sketches", "groups"])
 
@@ -233,10 +243,11 @@ def candidates(nodes: DataFrame, tables: int, bits: int, similarity: float, neig
         for r in table.to_pylist():
             places = np.frombuffer(r["places"], "<u2").astype(np.int64)
             buckets.append(golomb_decode(r["n"], r["k"], r["quotients"], r["remainders"]) + np.uint64(r["start"]))
-            own = np.frombuffer(zlib.decompress(r["groups"]), np.int64).reshape(2, -1)
-            ids.append(own[0][places])
+            known = np.frombuffer(zlib.decompress(r["groups"]), np.int64).reshape(2, -1)
+            own = np.cumsum(known[0])
+            ids.append(own[places])
             sketches.append(np.frombuffer(r["sketches"], "<u4")[places])
-            groups.append(own[1][places])
+            groups.append((own + known[1])[places])
         buckets, ids, sketches, groups = map(np.concatenate, (buckets, ids, sketches, groups))
         if neighbours:  # the first members of each group in each bucket
             order = np.lexsort((ids, groups, buckets))
@@ -309,6 +320,23 @@ def texts_of(nodes: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return materialise(met.select("id", "text").dropDuplicates(["id"]), "near-texts")  # rows that repeat id and text
 
 
+def through_hubs(near: DataFrame, links: DataFrame, groups: DataFrame, tested: DataFrame) -> DataFrame:
+    """Pairs (u, v) of other groups yet to be tested: a text and the hub of one that it is nearly like.
+
+    Copies of one text that are edited apart are like that text but not each other; they
+    meet each other in buckets, and one whose link is known leads the others to it.
+    A text's hub is its linked text with the most links.
+    """
+    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    degrees = both.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    hubs = both.join(degrees, "v").groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("hub"))
+    crossed = near.select("u", "v").union(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).join(hubs, "u")
+    pairs = crossed.where("v <> hub").select(F.greatest("v", "hub").alias("u"), F.least("v", "hub").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
+    for c in "uv":
+        pairs = pairs.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"group_{c}")), c, "left")
+    return pairs.where(~F.coalesce("group_u", "u").eqNullSafe(F.coalesce("group_v", "v"))).select("u", "v")
+
+
 def similar_groups(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, digest and component of every row: rows whose texts are that similar, by one or more steps, share it."""
     tables, bits = tables_for(docs.count(), similarity)
@@ -317,15 +345,29 @@ def similar_groups(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float
     nodes = known.groupBy("node").agg(F.min(F.struct("digest", "doc_id")).alias("row"), F.min("tables").alias("tables"), F.min("print").alias("print"))
     nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "sketch-nodes")
 
-    def linked_by(nodes: DataFrame, neighbours: int) -> DataFrame:
-        met = materialise(candidates(nodes, tables, bits, similarity, neighbours), "candidates", NODES_AT_ONCE)
+    def linked_by(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Of the pairs those with near prints, and of these those with similar texts."""
         near = materialise(alike(met, nodes, similarity), "near-pairs")
-        return verified(near, texts_of(nodes, near, docs), size, similarity)
-
-    first = linked_by(nodes.withColumn("group", F.col("id")), 0)
-    groups = components(first).select(F.col("node").alias("id"), F.col("component").alias("group"))
-    nodes = materialise(nodes.join(groups, "id", "left").withColumn("group", F.coalesce("group", "id")).repartitionByRange("id").sortWithinPartitions("id"), "grouped-nodes")
-    found = components(first.union(linked_by(nodes, NEIGHBOURS)))
+        return near.select("u", "v"), verified(near, texts_of(nodes, near, docs), size, similarity)
+
+    def met_by(nodes: DataFrame, neighbours: int) -> DataFrame:
+        return materialise(candidates(nodes, tables, bits, similarity, neighbours), "candidates", NODES_AT_ONCE)
+
+    near, links = linked_by(met_by(nodes.withColumn("group", F.col("id")), 0))
+    groups = components(links).select(F.col("node").alias("id"), F.col("component").alias("group"))
+    grouped = materialise(nodes.join(groups, "id", "left").withColumn("group", F.coalesce("group", "id")).repartitionByRange("id").sortWithinPartitions("id"), "grouped-nodes")
+    more, second = linked_by(met_by(grouped, NEIGHBOURS))
+    near, links = near.union(more), links.union(second)
+    tested = near
+    while True:
+        found = components(links)
+        met = materialise(through_hubs(near, links, found, tested), "hub-pairs")
+        if met.isEmpty():
+            break
+        more, new = linked_by(met)
+        near, links, tested = near.union(more), links.union(new), tested.union(met)
+        if new.isEmpty():
+            break
     of_node = nodes.select("node", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("component", "id").alias("component"))
     return known.select("doc_id", "digest", "node").join(of_node, "node").select("doc_id", "digest", "component")
 

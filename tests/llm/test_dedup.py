@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -220,6 +221,35 @@ def test_the_stage_drops_copies_of_similarity_at_least_0_8(spark):
     assert len(left & set(near)) <= 0.04 * len(near)
 
 
+def test_the_stage_finds_copies_that_are_alike_through_one_text_only(spark):
+    rng = np.random.default_rng(6)
+    rows, texts = [], []
+    for hub in range(2):
+        words = [f"h{hub}w{x}" for x in rng.integers(0, 3000, 200)]
+        texts.append((hub * 10_000 + 5, " ".join(words)))
+        for i in range(400 - 300 * hub):
+            copy = list(words)
+            for at in rng.choice(200, 3, replace=False):
+                copy[at] = f"edited{rng.integers(0, 10**9)}"
+            texts.append((hub * 10_000 + 10 + i, " ".join(copy)))
+    rows = [(10**6 + i, " ".join(f"u{x}" for x in rng.integers(0, 3000, 120))) for i in range(200)]
+    assert min(similarity_by_hand(texts[0][1], t) for _, t in texts[1:401]) >= 0.8 > similarity_by_hand(texts[1][1], texts[2][1])
+    docs = spark.createDataFrame(texts + rows, "doc_id long, text string").repartition(7)
+    left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert left == {5, 10_005, *(r[0] for r in rows)}
+
+
+def test_messages_carry_their_own_texts_only(spark):
+    """What a text costs hardly grows with the number of owners."""
+    rng = np.random.default_rng(7)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 9000, 60))) for i in range(2000)], "doc_id long, text string").coalesce(1)
+    tables, bits = simhash.tables_for(2000, 0.8)
+    nodes = simhash.sketches(docs, 5, tables, bits).coalesce(1).withColumn("id", F.monotonically_increasing_id()).withColumn("group", F.col("id"))
+    size = lambda owners: simhash.bucket_messages(nodes, tables, bits, owners).agg(F.sum(sum(F.length(c) for c in ("quotients", "remainders", "places", "sketches", "groups")))).first()[0]
+    few, many = size(3), size(9)
+    assert many < 2 * few, (few, many)
+
+
 @pytest.mark.parametrize("drop", [golomb_dedup.drop_exact, simhash.drop_near, simhash.drop_similar])
 def test_rows_drop_by_id_and_text(spark, drop):
     texts = [" ".join(f"t{i}w{k}" for k in range(40)) for i in range(4)]
