@@ -32,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calorix.llm.shared import materialise, strings, trimmed
+from calorix.llm.shared import BROADCAST_ROWS, materialise, strings, trimmed
 
 SAMPLE_DOCS = 1500
 CALIBRATION_DOCS = 400
@@ -63,17 +63,29 @@ def words_of(text: str) -> list[str]:
 
 
 def samples(docs: DataFrame) -> DataFrame:
-    """Labelled documents to learn from, with ``part``: 0 for counts, 1 for calibration."""
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per language
+    """Labelled documents to learn from, with ``part``: 0 for counts, 1 for calibration.
+
+    Of each language the first so many by a hash of (doc_id, text), so that rows with
+    null or repeated ids are drawn as others are and no more than SAMPLE_DOCS and
+    CALIBRATION_DOCS are; rows that repeat both are drawn once.
+    """
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    labelled = labelled.select("doc_id", F.xxhash64("text").alias("digest"), "lang", "text")
+    keys = labelled.groupBy("lang", "doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).drop("n")
+    keys = materialise(keys.withColumn("draw", F.xxhash64("doc_id", "digest", F.lit("langid"))), "labelled")
+    sizes = {r["lang"]: r["n"] for r in keys.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     if not sizes:
-        return labelled.where("false").withColumn("part", F.lit(0))
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1_000_000)) / 1_000_000
-    size = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(float(r["n"])))])[F.col("lang")]
+        return labelled.where("false").select("doc_id", "text", "lang", F.lit(0).alias("part"))
+    size = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(n))])[F.col("lang")]
     # Where few documents are labelled, a fifth of them calibrates.
-    count = F.least(F.lit(float(SAMPLE_DOCS)), size * 0.8) / size
-    both = count + F.least(F.lit(float(CALIBRATION_DOCS)), size * 0.2) / size
-    return labelled.withColumn("part", F.when(draw < count, 0).when(draw < both, 1)).where("part is not null")
+    count = F.least(F.lit(SAMPLE_DOCS), F.ceil(size * 0.8))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))  # Spark drops later ones before it shuffles
+    first = keys.withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS + CALIBRATION_DOCS)
+    drawn = first.withColumn("part", F.when(F.col("place") <= count, 0).when(F.col("place") <= count + F.least(F.lit(CALIBRATION_DOCS), F.ceil(size * 0.2)), 1)).where("part is not null")
+    drawn = materialise(drawn.select(F.col("lang").alias("__lang"), F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "part"), "drawn")
+    few = F.broadcast(drawn) if drawn.count() <= BROADCAST_ROWS else drawn
+    met = labelled.join(few, (F.col("digest") == F.col("__digest")) & (F.col("lang") == F.col("__lang")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    return met.groupBy("lang", "doc_id", "digest", "part").agg(F.first("text").alias("text")).select("doc_id", "text", "lang", "part")
 
 
 def word_counts(sample: DataFrame) -> DataFrame:
