@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calorix.llm.shared import BROADCAST_ROWS, WORD, strings
+from calorix.llm.shared import BROADCAST_ROWS, WORD, materialise, strings
 
 BITS = 18
 SAMPLE_DOCS = 2000
@@ -133,18 +133,22 @@ class OrdinalModel:
 
 
 def rated_sample(docs: DataFrame, ratings: DataFrame) -> DataFrame:
-    """(text, grade, times) of a bounded sample of rated documents."""
-    rated = ratings.where("grade is not null and doc_id is not null").select("doc_id", F.col("grade").cast("int").alias("grade"))
+    """(text, grade, times) of at most SAMPLE_DOCS rated documents a grade; ``times`` is how many each stands for.
+
+    Of each grade the first so many ids by their hash; an id that repeats is drawn
+    once, and where several texts have it the one of the least hash is read.
+    """
+    rated = ratings.where("grade is not null and doc_id is not null").select("doc_id", F.col("grade").cast("int").alias("grade")).distinct()
+    place = F.row_number().over(Window.partitionBy("grade").orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id"))  # Spark drops later ones before it shuffles
     sizes = {r["grade"]: r["n"] for r in rated.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per grade
     if not sizes:
         return docs.select("text").where("false").selectExpr("text", "0 as grade", "1D as times")
     size = F.create_map(*[x for g, n in sizes.items() for x in (F.lit(g), F.lit(float(n)))])[F.col("grade")]
-    share = F.least(F.lit(1.0), SAMPLE_DOCS / size)
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1_000_000)) / 1_000_000
-    drawn = rated.withColumn("times", 1.0 / share).where(draw < share)
-    # SAMPLE_DOCS a grade are expected, but all ratings of one document are drawn together: the size is checked.
+    drawn = rated.withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS).select("doc_id", "grade", F.greatest(F.lit(1.0), size / SAMPLE_DOCS).alias("times"))
+    drawn = materialise(drawn, "drawn")
     drawn = F.broadcast(drawn) if drawn.count() <= BROADCAST_ROWS else drawn
-    return docs.select("doc_id", "text").join(drawn, "doc_id").drop("doc_id")
+    met = docs.select("doc_id", "text").join(drawn, "doc_id")
+    return met.groupBy("doc_id", "grade", "times").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "grade", "times")
 
 
 def learn(docs: DataFrame, ratings: DataFrame) -> OrdinalModel | None:
