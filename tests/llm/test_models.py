@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -252,13 +253,15 @@ def test_oracles_agree(spark, tmp_path):
     path = save(awkward(spark).union(spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id + 1000", "text", "lang", "source", "n_chars", "'x'", "'y'", "'z'")), tmp_path)
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
-    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
-    spark.read.parquet(f"{SF}/embeddings.parquet").write.parquet(f"{path}/embeddings.parquet")
+    for name in ("embeddings", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
     for name, sql in registry.ORACLES.items():
         found, expected = registry.QUERIES[name](spark, path).toPandas(), con.sql(sql).df()
         columns = sorted(found.columns)
         assert columns == sorted(expected.columns)
-        key = lambda df: sorted(map(repr, df[columns].astype(object).itertuples(index=False, name=None)))  # noqa: B023, E731
+        plain = lambda v: None if v is None or v != v or v is pd.NA else int(v) if isinstance(v, float) and v.is_integer() else v
+        key = lambda df: sorted(repr([plain(v) for v in r]) for r in df[columns].astype(object).where(df[columns].notna(), None).itertuples(index=False, name=None))  # noqa: B023, E731
         assert key(found) == key(expected), name
 
 
@@ -275,6 +278,22 @@ def test_mix_meets_targets_and_caps(spark):
     assert mixing.mix(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("ids", ["null in one source", "every second null", "one id", "equal rows"])
+def test_mix_meets_targets_whatever_the_ids(spark, ids):
+    rng = random.Random(5)
+    rows = []
+    for i in range(6000):
+        source = f"s{i % 3}"
+        text = "same words in all of them" if ids == "equal rows" and source == "s0" else " ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.randint(1, 19)))
+        null = ids == "null in one source" and source == "s0" or ids == "every second null" and i % 2
+        rows.append((None if null else 7 if ids == "one id" or ids == "equal rows" and source == "s0" else i, text, source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = lambda df: sorted(tuple(r) for r in mixing.plan_mix(df).groupBy("source").agg(F.sum(F.col("size") * F.col("n_copies")).alias("n"), F.first("target").alias("t")).collect())
+    found = taken(docs.repartition(7))
+    assert all(abs(n / t - 1) < 0.05 for _, n, t in found), found
+    assert [r[:2] for r in taken(docs.repartition(3))] == [r[:2] for r in found], "reruns agree, however the rows are dealt"
+
+
 def test_mix_edges(spark):
     assert mixing.mix(empty(spark)).count() == 0
     blank = spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id long, text string, source string")
@@ -283,6 +302,22 @@ def test_mix_edges(spark):
     assert mixing.mix(clash).columns == clash.columns
 
 
+def test_samples_are_drawn_by_row(spark, monkeypatch):
+    """Null and repeated ids are drawn as others are; no sample is above its bound."""
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 60)
+    monkeypatch.setattr(langid, "CALIBRATION_DOCS", 30)
+    rows = [(None, f"ein wort {i}", "de") for i in range(300)] + [(8, f"a word {i}", "en") for i in range(300)] + [(i, f"un mot {i}", "fr") for i in range(300)] + [(9, "same row", "xx")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = Counter((r["lang"], r["part"]) for r in langid.samples(docs).collect())
+    assert found == {("de", 0): 60, ("de", 1): 30, ("en", 0): 60, ("en", 1): 30, ("fr", 0): 60, ("fr", 1): 30, ("xx", 0): 1}
+    monkeypatch.setattr(quality, "SAMPLE_DOCS", 50)
+    docs = spark.createDataFrame([(5, f"text {i}") for i in range(400)] + [(100 + i, f"other {i}") for i in range(400)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(5, 1)] * 300 + [(100 + i, i % 2) for i in range(400)] + [(None, 1)], "doc_id long, grade int")
+    sample = quality.rated_sample(docs, ratings).collect()
+    assert Counter(r["grade"] for r in sample) == {0: 50, 1: 50} and {round(r["times"], 2) for r in sample} == {4.0, 4.02}
+    assert sum(r["text"].startswith("text") for r in sample) <= 1
+
+
 def test_bpe_equals_the_library(spark):
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     library.no_truncation()
@@ -427,8 +462,10 @@ def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path):
     alike = lambda a, b: (a == b) if not a or not b else len(a & b) >= 0.8 * len(a | b)
     assert all(any(alike(s, k) for k in kept) for s in shingles.values()) and len(kept) == len(near)
     mixed = corpus_pipeline.mix_sources(spark, docs, "")
-    plan = {(r["doc_id"], r["text"]): r["n_copies"] for r in mixing.plan_mix(docs).collect()}
-    assert Counter((r["doc_id"], r["text"]) for r in mixed.collect()) <= Counter({k: 4 * v for k, v in plan.items()})
+    plan = Counter()
+    for r in mixing.plan_mix(docs).collect():
+        plan[r["doc_id"], r["row"]["text"]] += r["n_copies"]
+    assert Counter((r["doc_id"], r["text"]) for r in mixed.collect()) == +plan and sum(plan.values()) > 0
     encoded = corpus_pipeline.encode(spark, docs, "")
     assert encoded.count() == docs.count()
     assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() > 0
