@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from calorix.functions.rounding import tidy
-from calorix.operators import site_weather, weather
+from calorix.operators import box_join, site_weather, weather
 from calorix.plans.weather_queries import SUN_SQL
 from calorix.sources.tables import Warehouse, with_views
 
@@ -57,7 +57,35 @@ def site_slot_means(spark, sf_dir):
     return slots.groupBy("site_id", "slot").agg(F.count(F.lit(1)).alias("n_hours"), tidy(F.avg("t_ext")).alias("t_ext"))
 
 
-QUERIES = {f.__name__: f for f in (site_weather_hours, site_weather_report, site_slot_means)}
+
+#: Half a side of the boxes in metres; points wanted in a leaf of the clustered query.
+RADIUS_M, LEAF_POINTS = 60_000.0, 50
+
+
+def clustered(w: Warehouse):
+    """Candidates of which every second is in a town of a tenth of a degree."""
+    k = F.col("cand_id")
+    town = k % 2 == 0
+    lat = F.when(town, 48.8 + (k * 7919 % 1000) / 10000.0).otherwise(F.col("lat"))
+    lon = F.when(town, 2.3 + (k * 104729 % 1000) / 10000.0).otherwise(F.col("lon"))
+    return w.candidates().select("cand_id", lat.alias("lat"), lon.alias("lon"))
+
+
+def clustered_sites(w: Warehouse):
+    """Sites, every tenth of them in the town."""
+    k = F.col("site_id")
+    town = k % 10 == 0
+    return w.sites().select("site_id", F.when(town, 48.81 + k / 100000.0).otherwise(F.col("lat")).alias("lat"), F.when(town, 2.31 + k / 100000.0).otherwise(F.col("lon")).alias("lon"))
+
+
+def dense_box_search(spark, sf_dir):
+    """Points in each site's box where half of all points are in one town: how many, their least and mean distance."""
+    w = Warehouse(spark, sf_dir)
+    pairs = box_join.in_boxes(clustered_sites(w), clustered(w), RADIUS_M, LEAF_POINTS)
+    return pairs.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"), tidy(F.min("dist"), 3).alias("nearest"), tidy(F.avg("dist"), 3).alias("mean_dist"))
+
+
+QUERIES = {f.__name__: f for f in (site_weather_hours, site_weather_report, site_slot_means, dense_box_search)}
 SERIES_SQL = """o AS (SELECT *, CASE WHEN site_id % 7 > 0 THEN CAST(floor((lon + 7.5e0) / 15e0) * 3600 AS INT) END AS off FROM v2),
 a AS (SELECT user_id % (SELECT max(site_id) + 1 FROM v2) AS site_id, date_trunc('hour', ts) AS hour_ts, round(avg(value) - 20e0, 6) AS t, CASE WHEN min(event_id) % 10 > 0 THEN round(sum(value) * 8e0, 6) END AS d,
   round(avg(value) * 4e0, 6) AS f, round(avg(CASE WHEN event_type <> 'error' THEN value END) / 10e0, 6) AS w FROM events GROUP BY 1, 2),
@@ -81,4 +109,10 @@ ORACLES = {
           round(CASE WHEN q < 0 THEN q + 360e0 ELSE q END, 5) + 0e0 AS sun_azimuth, round(elevation, 5) + 0e0 AS sun_elevation FROM q""", "v2"),
     "site_weather_report": with_views(f"WITH {SERIES_SQL} SELECT site_id, source, CAST(n_hours AS BIGINT) AS n_hours, CAST(n_missing AS BIGINT) AS n_missing, warning FROM c", "v2"),
     "site_slot_means": with_views(f"WITH {SERIES_SQL} SELECT site_id, CAST(((hour_index % 24) + 24) % 24 AS INT) AS slot, count(*) AS n_hours, round(avg(t_ext), 6) + 0e0 AS t_ext FROM w GROUP BY 1, 2", "v2"),
+    "dense_box_search": with_views(
+        """WITH c AS (SELECT cand_id, CASE WHEN cand_id % 2 = 0 THEN 48.8e0 + (cand_id * 7919 % 1000) / 10000e0 ELSE lat END AS lat, CASE WHEN cand_id % 2 = 0 THEN 2.3e0 + (cand_id * 104729 % 1000) / 10000e0 ELSE lon END AS lon FROM v5),
+        s AS (SELECT site_id, CASE WHEN site_id % 10 = 0 THEN 48.81e0 + site_id / 100000e0 ELSE lat END AS slat, CASE WHEN site_id % 10 = 0 THEN 2.31e0 + site_id / 100000e0 ELSE lon END AS slon FROM v2),
+        b AS (SELECT *, degrees(60000e0 / 6378137e0) AS dlat, degrees(60000e0 / (6378137e0 * cos(radians(slat)))) AS dlon FROM s),
+        p AS (SELECT site_id, sqrt(power(radians(lon - slon) * 6378137e0 * cos(radians(slat)), 2) + power(radians(lat - slat) * 6378137e0, 2)) AS dist FROM b JOIN c ON lat BETWEEN slat - dlat AND slat + dlat AND lon BETWEEN slon - dlon AND slon + dlon)
+        SELECT site_id, count(*) AS n, round(min(dist), 3) + 0e0 AS nearest, round(avg(dist), 3) + 0e0 AS mean_dist FROM p GROUP BY 1""", "v2", "v5"),
 }
