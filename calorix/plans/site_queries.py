@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from calorix.functions.rounding import tidy
-from calorix.operators import box_join, site_weather, weather
+from calorix.operators import box_join, rings, site_weather, weather
 from calorix.plans.weather_queries import SUN_SQL
 from calorix.sources.tables import Warehouse, with_views
 
@@ -85,7 +87,26 @@ def dense_box_search(spark, sf_dir):
     return pairs.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"), tidy(F.min("dist"), 3).alias("nearest"), tidy(F.avg("dist"), 3).alias("mean_dist"))
 
 
-QUERIES = {f.__name__: f for f in (site_weather_hours, site_weather_report, site_slot_means, dense_box_search)}
+
+def ground_plans(w: Warehouse):
+    """A ring of 5 to 8 corners around each site, 8 to 20 metres from it."""
+    k, i = F.col("site_id"), F.col("i")
+    n = 5 + k % 4
+    far, turn = 8 + (k * 7 + i * 5) % 13, 2 * math.pi * i / n
+    corner = F.struct(i.alias("i"), F.round(far * F.cos(turn), 6).alias("x"), F.round(far * F.sin(turn), 6).alias("y"))
+    return w.sites().withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).groupBy("site_id").agg(F.array_sort(F.collect_list(corner)).alias("ring"))  # at most 8 corners
+
+
+def site_terrain(spark, sf_dir):
+    """Heights of every site's grid of 25 m around it, flat under the site's own footprint."""
+    w = Warehouse(spark, sf_dir)
+    points = rings.grid(w.sites().select("site_id", "lat"), 25.0, 2.5)
+    altitude = F.col("lat") + F.col("x") * 0.1 + F.col("y") * F.col("y") * 0.01
+    found = rings.terrain_heights(points, ground_plans(w), ("site_id",), altitude, F.col("lat"))
+    return found.select("site_id", "vid", "inside", tidy("z").alias("z"))
+
+
+QUERIES = {f.__name__: f for f in (site_weather_hours, site_weather_report, site_slot_means, dense_box_search, site_terrain)}
 SERIES_SQL = """o AS (SELECT *, CASE WHEN site_id % 7 > 0 THEN CAST(floor((lon + 7.5e0) / 15e0) * 3600 AS INT) END AS off FROM v2),
 a AS (SELECT user_id % (SELECT max(site_id) + 1 FROM v2) AS site_id, date_trunc('hour', ts) AS hour_ts, round(avg(value) - 20e0, 6) AS t, CASE WHEN min(event_id) % 10 > 0 THEN round(sum(value) * 8e0, 6) END AS d,
   round(avg(value) * 4e0, 6) AS f, round(avg(CASE WHEN event_type <> 'error' THEN value END) / 10e0, 6) AS w FROM events GROUP BY 1, 2),
@@ -115,4 +136,11 @@ ORACLES = {
         b AS (SELECT *, degrees(60000e0 / 6378137e0) AS dlat, degrees(60000e0 / (6378137e0 * cos(radians(slat)))) AS dlon FROM s),
         p AS (SELECT site_id, sqrt(power(radians(lon - slon) * 6378137e0 * cos(radians(slat)), 2) + power(radians(lat - slat) * 6378137e0, 2)) AS dist FROM b JOIN c ON lat BETWEEN slat - dlat AND slat + dlat AND lon BETWEEN slon - dlon AND slon + dlon)
         SELECT site_id, count(*) AS n, round(min(dist), 3) + 0e0 AS nearest, round(avg(dist), 3) + 0e0 AS mean_dist FROM p GROUP BY 1""", "v2", "v5"),
+    "site_terrain": with_views(
+        """WITH c AS (SELECT site_id, i, 5 + site_id % 4 AS n, round((8 + (site_id * 7 + i * 5) % 13) * cos(2e0 * pi() * i / (5 + site_id % 4)), 6) AS x, round((8 + (site_id * 7 + i * 5) % 13) * sin(2e0 * pi() * i / (5 + site_id % 4)), 6) AS y
+          FROM v2, range(8) r(i) WHERE i < 5 + site_id % 4),
+        e AS (SELECT a.site_id, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM c a JOIN c b ON a.site_id = b.site_id AND b.i = (a.i + 1) % a.n),
+        p AS (SELECT site_id, lat, CAST(i AS INT) AS vid, -25e0 + (i % 21) * 2.5e0 AS x, -25e0 + (i // 21) * 2.5e0 AS y FROM v2, range(441) r(i)),
+        k AS (SELECT p.site_id, vid, count(*) AS n FROM p JOIN e ON e.site_id = p.site_id AND y >= least(y0, y1) AND y < greatest(y0, y1) AND x < x0 + (y - y0) * ((x1 - x0) / (y1 - y0)) GROUP BY 1, 2)
+        SELECT p.site_id, p.vid, coalesce(k.n, 0) % 2 = 1 AS inside, round(CASE WHEN coalesce(k.n, 0) % 2 = 1 THEN 0e0 ELSE (lat + x * 0.1e0 + y * y * 0.01e0) - lat END, 6) + 0e0 AS z FROM p LEFT JOIN k USING (site_id, vid)""", "v2"),
 }
