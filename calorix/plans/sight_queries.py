@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from calorix.functions.rounding import tidy
-from calorix.operators import meshes, visibility
+from calorix.functions.solar import direction
+from calorix.operators import meshes, packed_scene, visibility
 from calorix.plans import weather_queries
 from calorix.sources.stage import written
 from calorix.sources.tables import Warehouse, with_views
@@ -89,7 +90,32 @@ def obstacle_union(spark, sf_dir):
     return kept.select("kind", "item", "n_offset")
 
 
-QUERIES = {f.__name__: f for f in (sun_grid_cull, ray_occlusion, vegetation_transmittance, sky_view_factor, visibility_lookup, obstacle_union)}
+
+#: Places in the city of meshes: columns, and the size of a tile; the sun's three directions (azimuth, elevation).
+TILES, TILE_X, TILE_Y = 128, 64.0, 16.0
+SUNS = ((40.0, 50.0), (160.0, 65.0), (275.0, 55.0))
+
+
+def city(w: Warehouse):
+    """All triangles that have an area, each mesh on a tile of its own."""
+    column, row = (F.col("mesh_id") % TILES) * TILE_X, F.floor(F.col("mesh_id") / TILES) * TILE_Y
+    moved = w.triangles().withColumns({**{f"x{i}": F.col(f"x{i}") + column for i in range(3)}, **{f"y{i}": F.col(f"y{i}") + row for i in range(3)}})
+    return meshes.with_geometry(moved).where("not degenerate").withColumns({"obj": F.col("mesh_id"), "k": F.lit(None).cast("double")})
+
+
+def city_occlusion(spark, sf_dir):
+    """Of a scene of all triangles: each mesh's rays towards three suns, how many meet a triangle, and the mean distance to the first."""
+    faces = written(city(Warehouse(spark, sf_dir)), "city")
+    suns = spark.createDataFrame([(i, *map(float, a)) for i, a in enumerate(SUNS)], "sun int, az double, el double")
+    suns = suns.select("sun", *[c.alias(n) for c, n in zip(direction(F.col("az"), F.col("el")), ("sx", "sy", "sz"))])
+    surfaces = visibility.with_origins(faces).withColumn("src", F.monotonically_increasing_id()).select("src", "mesh_id", "ox", "oy", "oz", "nx", "ny", "nz")
+    rays = written(visibility.facing(surfaces, suns, 1e-3), "rays")
+    first = packed_scene.PackedScene(faces).hits(rays, ("src", "sun")).groupBy("src", "sun").agg(F.min("distance").alias("first"))
+    seen = rays.join(first, ["src", "sun"], "left")
+    return seen.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_rays"), F.count("first").alias("n_blocked"), tidy(F.avg("first"), 4).alias("mean_distance"))
+
+
+QUERIES = {f.__name__: f for f in (sun_grid_cull, ray_occlusion, vegetation_transmittance, sky_view_factor, visibility_lookup, obstacle_union, city_occlusion)}
 
 PANELS = """pn AS (SELECT obj, k, 0 AS ph, cx-2e0 AS x0, cy-2e0 AS y0, cx+2e0 AS x1, cy-2e0 AS y1, cx+2e0 AS x2, cy+2e0 AS y2, cz AS z FROM v6
   UNION ALL SELECT obj, k, 1, cx-2e0, cy-2e0, cx+2e0, cy+2e0, cx-2e0, cy+2e0, cz FROM v6),
@@ -97,16 +123,32 @@ oo AS (SELECT obj AS src, ph AS half, (x0+x1+x2)/3e0 AS ox, (y0+y1+y2)/3e0 AS oy
 GRID = """gg AS (SELECT CAST(i % 24 AS INT) AS az_idx, CAST(i // 24 AS INT) AS el_idx, sin(radians((i % 24)*15e0))*cos(radians((i // 24)*15e0)) AS sx,
   cos(radians((i % 24)*15e0))*cos(radians((i // 24)*15e0)) AS sy, sin(radians((i // 24)*15e0)) AS sz FROM range(168) t(i))"""
 # A level panel is met where the ray reaches its height inside the triangle.
-HITS = """hh AS MATERIALIZED (SELECT {key}, pn.obj, pn.k FROM r JOIN pn ON r.sz > 1e-12 AND (pn.z - r.oz)/r.sz > 1e-9
+HITS = """hh AS (SELECT {key}, pn.obj, pn.k FROM r JOIN pn ON r.sz > 1e-12 AND (pn.z - r.oz)/r.sz > 1e-9
   AND (pn.x1-pn.x0)*((r.oy + r.sy*(pn.z-r.oz)/r.sz)-pn.y0) - (pn.y1-pn.y0)*((r.ox + r.sx*(pn.z-r.oz)/r.sz)-pn.x0) >= 0
   AND (pn.x2-pn.x1)*((r.oy + r.sy*(pn.z-r.oz)/r.sz)-pn.y1) - (pn.y2-pn.y1)*((r.ox + r.sx*(pn.z-r.oz)/r.sz)-pn.x1) >= 0
   AND (pn.x0-pn.x2)*((r.oy + r.sy*(pn.z-r.oz)/r.sz)-pn.y2) - (pn.y0-pn.y2)*((r.ox + r.sx*(pn.z-r.oz)/r.sz)-pn.x2) >= 0),
 bb AS (SELECT {key}, obj, bool_or(k IS NULL) AS opaque, max(k) AS k FROM hh GROUP BY {key}, obj),
 ff AS (SELECT {key}, CASE WHEN bool_or(opaque) THEN 0e0 ELSE product(k) END AS frac FROM bb GROUP BY {key})"""
 K4 = "src, half, az_idx, el_idx"
-CUBE = f"""{PANELS}, {GRID}, r AS MATERIALIZED (SELECT oo.*, gg.* FROM oo CROSS JOIN gg WHERE sz > 1e-6), {HITS.format(key=K4)},
+CUBE = f"""{PANELS}, {GRID}, r AS (SELECT oo.*, gg.* FROM oo CROSS JOIN gg WHERE sz > 1e-6), {HITS.format(key=K4)},
 qq AS (SELECT r.src, r.half, r.az_idx, r.el_idx, round_even(coalesce(frac, 1e0), 3) AS frac FROM r LEFT JOIN ff USING (src, half, az_idx, el_idx))"""
+# No ray leaves the height of the scene (under 14 m) before it is past the next tile.
+CITY = f"""ct AS (SELECT mesh_id, mesh_id % {TILES} AS ci, mesh_id // {TILES} AS cj, x0 + (mesh_id % {TILES}) * {TILE_X}e0 AS x0, x1 + (mesh_id % {TILES}) * {TILE_X}e0 AS x1, x2 + (mesh_id % {TILES}) * {TILE_X}e0 AS x2,
+  y0 + (mesh_id // {TILES}) * {TILE_Y}e0 AS y0, y1 + (mesh_id // {TILES}) * {TILE_Y}e0 AS y1, y2 + (mesh_id // {TILES}) * {TILE_Y}e0 AS y2, z0, z1, z2 FROM v4),
+cn AS (SELECT *, (y1-y0)*(z2-z0)-(z1-z0)*(y2-y0) AS cx_, (z1-z0)*(x2-x0)-(x1-x0)*(z2-z0) AS cy_, (x1-x0)*(y2-y0)-(y1-y0)*(x2-x0) AS cz_ FROM ct),
+cl AS (SELECT *, sqrt(cx_*cx_+cy_*cy_+cz_*cz_) AS len FROM cn),
+cf AS (SELECT *, row_number() OVER () AS src, (x0+x1+x2)/3e0 + 1e-3 * (cx_/len) AS ox, (y0+y1+y2)/3e0 + 1e-3 * (cy_/len) AS oy, (z0+z1+z2)/3e0 + 1e-3 * (cz_/len) AS oz FROM cl WHERE len >= 1e-12),
+su AS (SELECT sun, sin(radians(az))*cos(radians(el)) AS sx, cos(radians(az))*cos(radians(el)) AS sy, sin(radians(el)) AS sz FROM (VALUES {", ".join(f"({i}, {a}e0, {e}e0)" for i, (a, e) in enumerate(SUNS))}) t(sun, az, el)),
+cr AS (SELECT src, sun, mesh_id, ci, cj, ox, oy, oz, sx, sy, sz FROM cf CROSS JOIN su WHERE (cx_/len)*sx + (cy_/len)*sy + (cz_/len)*sz > 1e-3),
+nb AS (SELECT a.i AS di, b.i AS dj FROM range(-1, 2) a(i), range(-1, 2) b(i)),
+cd AS (SELECT r.src, r.sun, f.x0, f.y0, f.z0, f.x1-f.x0 AS ax, f.y1-f.y0 AS ay, f.z1-f.z0 AS az, f.x2-f.x0 AS bx, f.y2-f.y0 AS by_, f.z2-f.z0 AS bz, r.ox-f.x0 AS tx, r.oy-f.y0 AS ty, r.oz-f.z0 AS tz, sx, sy, sz
+  FROM cr r CROSS JOIN nb JOIN cf f ON f.ci = r.ci + nb.di AND f.cj = r.cj + nb.dj),
+cp AS (SELECT *, sy*bz - sz*by_ AS px, sz*bx - sx*bz AS py, sx*by_ - sy*bx AS pz, ty*az - tz*ay AS qx, tz*ax - tx*az AS qy, tx*ay - ty*ax AS qz FROM cd),
+ce AS (SELECT *, ax*px + ay*py + az*pz AS det FROM cp),
+ch AS (SELECT src, sun, min((bx*qx + by_*qy + bz*qz)/det) AS first FROM ce WHERE abs(det) > 1e-12 AND (tx*px + ty*py + tz*pz)/det >= 0 AND (sx*qx + sy*qy + sz*qz)/det >= 0
+  AND (tx*px + ty*py + tz*pz)/det + (sx*qx + sy*qy + sz*qz)/det <= 1 AND (bx*qx + by_*qy + bz*qz)/det > 1e-9 GROUP BY 1, 2)"""
 ORACLES = {
+    "city_occlusion": with_views(f"WITH {CITY} SELECT mesh_id, count(*) AS n_rays, count(first) AS n_blocked, round(avg(first), 4) + 0e0 AS mean_distance FROM cr LEFT JOIN ch USING (src, sun) GROUP BY 1", "v4"),
     "sun_grid_cull": with_views(
         f"""WITH c AS (SELECT (y1-y0)*(z2-z0)-(z1-z0)*(y2-y0) AS a, (z1-z0)*(x2-x0)-(x1-x0)*(z2-z0) AS b, (x1-x0)*(y2-y0)-(y1-y0)*(x2-x0) AS c FROM v4),
         n AS (SELECT a/sqrt(a*a+b*b+c*c) AS nx, b/sqrt(a*a+b*b+c*c) AS ny, c/sqrt(a*a+b*b+c*c) AS nz FROM c WHERE sqrt(a*a+b*b+c*c) >= 1e-12), {GRID}

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +22,18 @@ def folder(spark: SparkSession, name: str = "step") -> str:
     return f"{there}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def short_methods(spark: SparkSession) -> Iterator[None]:
+    """Plans run meanwhile leave generated methods that the JVM would not compile (of over 8000 bytes): long formulas then run in several short ones."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     """The rows, written to the shared folder and read back."""
     path = folder(df.sparkSession, name)
