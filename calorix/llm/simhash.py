@@ -330,11 +330,15 @@ def through_hubs(near: DataFrame, links: DataFrame, groups: DataFrame, tested: D
     both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     degrees = both.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     hubs = both.join(degrees, "v").groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("hub"))
-    crossed = near.select("u", "v").union(near.select(F.col("v").alias("u"), F.col("u").alias("v"))).join(hubs, "u")
-    pairs = crossed.where("v <> hub").select(F.greatest("v", "hub").alias("u"), F.least("v", "hub").alias("v")).distinct().join(tested, ["u", "v"], "left_anti")
+    # Only pairs whose texts were not similar and that no other links brought together.
+    failed = near.select("u", "v").join(links.select("u", "v"), ["u", "v"], "left_anti")
     for c in "uv":
-        pairs = pairs.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"group_{c}")), c, "left")
-    return pairs.where(~F.coalesce("group_u", "u").eqNullSafe(F.coalesce("group_v", "v"))).select("u", "v")
+        failed = failed.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"group_{c}")), c, "left")
+    apart = failed.where(~F.coalesce("group_u", "u").eqNullSafe(F.coalesce("group_v", "v"))).select("u", "v")
+    crossed = apart.union(apart.select(F.col("v").alias("u"), F.col("u").alias("v"))).join(hubs, "u")
+    # A hub is in the group of the text that leads to it, so that v is in another.
+    pairs = crossed.select(F.greatest("v", "hub").alias("u"), F.least("v", "hub").alias("v")).distinct()
+    return pairs.join(tested, ["u", "v"], "left_anti")
 
 
 def similar_groups(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
