@@ -79,8 +79,10 @@ def samples(docs: DataFrame) -> DataFrame:
     size = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(n))])[F.col("lang")]
     # Where few documents are labelled, a fifth of them calibrates.
     count = F.least(F.lit(SAMPLE_DOCS), F.ceil(size * 0.8))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "doc_id"))  # Spark drops later ones before it shuffles
-    first = keys.withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS + CALIBRATION_DOCS)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("draw", F.lit(1_000_000)), "draw", "doc_id"))
+    # The hash is even, so that about twice as many as wanted are left to be ranked, whatever the language's size.
+    least = F.pmod("draw", F.lit(1_000_000)) * size < 2_000_000 * (SAMPLE_DOCS + CALIBRATION_DOCS)
+    first = keys.where(least).withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS + CALIBRATION_DOCS)
     drawn = first.withColumn("part", F.when(F.col("place") <= count, 0).when(F.col("place") <= count + F.least(F.lit(CALIBRATION_DOCS), F.ceil(size * 0.2)), 1)).where("part is not null")
     drawn = materialise(drawn.select(F.col("lang").alias("__lang"), F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "part"), "drawn")
     few = F.broadcast(drawn) if drawn.count() <= BROADCAST_ROWS else drawn

@@ -139,12 +139,14 @@ def rated_sample(docs: DataFrame, ratings: DataFrame) -> DataFrame:
     once, and where several texts have it the one of the least hash is read.
     """
     rated = ratings.where("grade is not null and doc_id is not null").select("doc_id", F.col("grade").cast("int").alias("grade")).distinct()
-    place = F.row_number().over(Window.partitionBy("grade").orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id"))  # Spark drops later ones before it shuffles
+    draw = F.pmod(F.xxhash64("doc_id", F.lit("quality")), F.lit(1_000_000))
+    place = F.row_number().over(Window.partitionBy("grade").orderBy(draw, "doc_id"))
     sizes = {r["grade"]: r["n"] for r in rated.groupBy("grade").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per grade
     if not sizes:
         return docs.select("text").where("false").selectExpr("text", "0 as grade", "1D as times")
     size = F.create_map(*[x for g, n in sizes.items() for x in (F.lit(g), F.lit(float(n)))])[F.col("grade")]
-    drawn = rated.withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS).select("doc_id", "grade", F.greatest(F.lit(1.0), size / SAMPLE_DOCS).alias("times"))
+    # The hash is even, so that about twice as many as wanted are left to be ranked, whatever the grade's size.
+    drawn = rated.where(draw * size < 2_000_000 * SAMPLE_DOCS).withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS).select("doc_id", "grade", F.greatest(F.lit(1.0), size / SAMPLE_DOCS).alias("times"))
     drawn = materialise(drawn, "drawn")
     drawn = F.broadcast(drawn) if drawn.count() <= BROADCAST_ROWS else drawn
     met = docs.select("doc_id", "text").join(drawn, "doc_id")
