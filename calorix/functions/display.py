@@ -50,9 +50,14 @@ def days_ago(n: int, today: Column | None = None) -> Column:
     return F.date_format(F.date_sub(today if today is not None else F.current_date(), n), "yyyy-MM-dd")
 
 
+# The service's own texts, in its language.
+NAME_PATTERN = "Bâtiment %.5f, %.5f"
+HOURS_READ, HOURS_SKIPPED = "%d heure(s) récupérée(s) (%s).", "%d heure(s) ignorée(s), donnée manquante."
+
+
 def default_name(lat: Column, lon: Column) -> Column:
     """Label of a building without a name."""
-    return F.format_string("Bâtiment %.5f, %.5f", lat, lon)
+    return F.format_string(NAME_PATTERN, lat, lon)
 
 
 def stem(path: Column) -> Column:
@@ -63,8 +68,8 @@ def stem(path: Column) -> Column:
 def weather_message(hours: Column, source: Column, warning: Column, missing: Column) -> Column:
     """What became of a weather request, in the words of the service."""
     name = F.when(source == "pvgis-tmy", "PVGIS TMY").otherwise("Open-Meteo Archive")
-    base = F.format_string("%d heure(s) récupérée(s) (%s).", hours.cast("int"), name)
-    skipped = F.when(missing > 0, F.format_string("%d heure(s) ignorée(s), donnée manquante.", missing.cast("int")))
+    base = F.format_string(HOURS_READ, hours.cast("int"), name)
+    skipped = F.when(missing > 0, F.format_string(HOURS_SKIPPED, missing.cast("int")))
     return F.concat_ws(" ", base, warning, skipped)
 
 

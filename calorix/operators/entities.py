@@ -120,8 +120,14 @@ def saved(results: DataFrame, path: str) -> None:
     results.select(F.to_json(F.struct(*results.columns)).alias("value")).write.mode("overwrite").text(f"{path}/documents")
 
 
+#: Rows that one file for a person may have.
+EXPORT_ROWS = 1_000_000
+
+
 def exported(rows: DataFrame, path: str, order: str) -> None:
-    """Semicolon-separated text with a header and two decimals, in one ordered file: for what a person reads."""
+    """Semicolon-separated text with a header and two decimals, in one ordered file: for what a person reads; more than EXPORT_ROWS rows are an error."""
+    if rows.limit(EXPORT_ROWS + 1).count() > EXPORT_ROWS:
+        raise ValueError(f"more than {EXPORT_ROWS} rows: write them as a table")
     text = rows.select(*[F.format_string("%.2f", c).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes])
     text.orderBy(order).coalesce(1).write.mode("overwrite").option("header", True).option("sep", ";").csv(path)
 

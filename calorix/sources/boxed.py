@@ -10,6 +10,7 @@ start with another key than ``type`` are read as one range.
 
 from __future__ import annotations
 
+import fnmatch
 import json
 import operator
 import re
@@ -41,6 +42,18 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if re.match(r"[a-z0-9+.-]+:/", path) else (fs.LocalFileSystem(), path)
 
 
+def files_of(path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of a file, or of all files of a folder or of a pattern in a folder's names, in order."""
+    folder, _, last = path.rpartition("/")
+    pattern = last if re.search(r"[*?\[]", last) else None
+    system, name = opened(folder if pattern else path)
+    info = system.get_file_info(name)
+    files = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(name, recursive=pattern is None))
+    scheme = path[: path.index(":") + 3] if system.type_name != "local" else ""
+    taken = [f for f in files if f.type == fs.FileType.File and (pattern is None and not f.base_name.startswith(("_", ".")) or pattern is not None and fnmatch.fnmatch(f.base_name, pattern))]
+    return [(scheme + f.path, f.size) for f in sorted(taken, key=lambda f: f.path)]
+
+
 class Range(ds.InputPartition):
     """Bytes of one file; objects that start in them."""
 
@@ -135,15 +148,7 @@ class BoxedReader(ds.DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Range]:
-        out = []
-        for path in self.paths:
-            system, name = opened(path)
-            info = system.get_file_info(name)
-            files = [info] if info.type == fs.FileType.File else [f for f in system.get_file_info(fs.FileSelector(name, recursive=True)) if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
-            scheme = path[: path.index(":") + 3] if system.type_name != "local" else ""
-            for f in sorted(files, key=lambda f: f.path):
-                out += [Range(scheme + f.path, a, min(a + self.split, f.size), f.size) for a in range(0, f.size, self.split)]
-        return out
+        return [Range(name, a, min(a + self.split, size), size) for path in self.paths for name, size in files_of(path) for a in range(0, size, self.split)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         rows, taken = [], 0

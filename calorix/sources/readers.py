@@ -5,13 +5,10 @@ Schemas are declared, never inferred.  All readers take paths that Spark reads.
 
 from __future__ import annotations
 
-import struct
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from calorix.sources import stl
 from calorix.sources.boxed import scan
 
 CHANNELS = {"temperature_2m": "t_ext_raw", "direct_normal_irradiance": "e_dir_raw", "diffuse_radiation": "e_dif_raw", "wind_speed_10m": "wind_raw"}
@@ -71,6 +68,16 @@ def ring_centre(ring: Column) -> tuple[Column, Column]:
     return mean("lat"), mean("lon")
 
 
+def touches(ring: Column, bbox: BBox | None) -> Column:
+    """Whether a ring's own box meets (south, west, north, east), as scans decide it; always, without one."""
+    if bbox is None:
+        return F.lit(True)
+    south, west, north, east = bbox
+    least = lambda n: F.array_min(F.transform(ring, lambda p: p[n]))
+    most = lambda n: F.array_max(F.transform(ring, lambda p: p[n]))
+    return (least("lat") <= north) & (most("lat") >= south) & (least("lon") <= east) & (most("lon") >= west)
+
+
 def feature_buildings(spark: SparkSession, path: str, limit: int | None = 1000, bbox: BBox | None = None) -> DataFrame:
     """Building footprints of a feature collection, of a box if given, with height, estimate flag and centre; rings of fewer than three points are dropped."""
     height, rough = height_of(F.element_at("tags", "hauteur").try_cast("double"), F.element_at("tags", "nombre_d_etages").try_cast("double"))
@@ -140,7 +147,7 @@ def schedule_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def obj_triangles(spark: SparkSession, path: str) -> DataFrame:
-    """Triangles of OBJ files (each with vertices of its own) with the group in force; faces of more corners are cut into fans."""
+    """Triangles of OBJ files (each with vertices of its own; tri_id counts within the file) with the group in force; faces of more corners are cut into fans."""
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "value"))
     w = Window.partitionBy("file").orderBy("line")
     words = F.split(F.trim("value"), r"\s+")
@@ -152,26 +159,10 @@ def obj_triangles(spark: SparkSession, path: str) -> DataFrame:
     out = fans.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("line", "fan")) - 1).alias("tri_id"), F.coalesce("grp", F.lit("groupe_1")).alias("grp"), "t.a", "t.b", "t.c")
     for i, c in enumerate("abc"):
         out = out.join(vertices.select("file", F.col("vid").alias(c), *[F.col(x).alias(f"{x}{i}") for x in "xyz"]), ["file", c])
-    return out.drop("file", "a", "b", "c")
-
-
-STL_SCHEMA = "tri_id int, " + ", ".join(f"{x}{i} double" for i in range(3) for x in "xyz")
-
-
-def stl_triangles(spark: SparkSession, path: str) -> DataFrame:
-    """Triangles of binary STL files: 50-byte records after an 84-byte head; a file without whole records gives none."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in STL_SCHEMA.split(", ")]
-        for batch in batches:
-            for content in batch["content"]:
-                n = min(struct.unpack_from("<I", content, 80)[0], (len(content) - 84) // 50) if len(content) >= 84 else 0
-                yield pd.DataFrame([(i, *map(float, struct.unpack_from("<9f", content, 84 + 50 * i + 12))) for i in range(n)], columns=names)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, STL_SCHEMA)
+    return out.drop("a", "b", "c")
 
 
-MESH_READERS = {"obj": obj_triangles, "stl": stl_triangles}
+MESH_READERS = {"obj": obj_triangles, "stl": stl.triangles}
 
 
 def mesh_file(spark: SparkSession, path: str) -> DataFrame:
