@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from calorix.functions.rounding import tidy
-from calorix.operators import box_join, rings, site_weather, weather
+from calorix.operators import box_join, lookups, rings, site_weather, weather
 from calorix.plans.weather_queries import SUN_SQL
 from calorix.sources.tables import Warehouse, with_views
 
@@ -106,7 +106,29 @@ def site_terrain(spark, sf_dir):
     return found.select("site_id", "vid", "inside", tidy("z").alias("z"))
 
 
-QUERIES = {f.__name__: f for f in (site_weather_hours, site_weather_report, site_slot_means, dense_box_search, site_terrain)}
+
+def short_service(lats, lons):
+    """A service of heights that answers one value less where the first point's tenth of a degree divides by 7."""
+    values = [lat * 10.0 + lon for lat, lon in zip(lats, lons)]
+    return values[:-1] if int(math.floor(lats[0] * 10.0)) % 7 == 0 else values
+
+
+def plain_service(lats, lons):
+    """A service of heights everywhere, but for the far south."""
+    if min(lats) < -55.0:
+        raise ValueError("no data")
+    return [lat - lon for lat, lon in zip(lats, lons)]
+
+
+def batched_heights(spark, sf_dir):
+    """Heights of every site's grid from two services: the second where the first is not for the site or answers short, none where both fail."""
+    points = rings.grid(Warehouse(spark, sf_dir).sites().select("site_id", F.col("lat").alias("lat0"), F.col("lon").alias("lon0")), 25.0, 5.0)
+    placed = points.select("site_id", "vid", (F.col("lat0") + F.floor("vid") * 0.01).alias("lat"), (F.col("lon0") + F.col("x") * 0.01).alias("lon"), (F.col("site_id") % 3 > 0).alias("suited"))
+    found = lookups.looked_up(placed, short_service, plain_service, ("site_id",), ("vid",), "suited")
+    return found.select("site_id", "vid", tidy("value", 4).alias("value"), "service", "failed")
+
+
+QUERIES = {f.__name__: f for f in (site_weather_hours, site_weather_report, site_slot_means, dense_box_search, site_terrain, batched_heights)}
 SERIES_SQL = """o AS (SELECT *, CASE WHEN site_id % 7 > 0 THEN CAST(floor((lon + 7.5e0) / 15e0) * 3600 AS INT) END AS off FROM v2),
 a AS (SELECT user_id % (SELECT max(site_id) + 1 FROM v2) AS site_id, date_trunc('hour', ts) AS hour_ts, round(avg(value) - 20e0, 6) AS t, CASE WHEN min(event_id) % 10 > 0 THEN round(sum(value) * 8e0, 6) END AS d,
   round(avg(value) * 4e0, 6) AS f, round(avg(CASE WHEN event_type <> 'error' THEN value END) / 10e0, 6) AS w FROM events GROUP BY 1, 2),
@@ -143,4 +165,13 @@ ORACLES = {
         p AS (SELECT site_id, lat, CAST(i AS INT) AS vid, -25e0 + (i % 21) * 2.5e0 AS x, -25e0 + (i // 21) * 2.5e0 AS y FROM v2, range(441) r(i)),
         k AS (SELECT p.site_id, vid, count(*) AS n FROM p JOIN e ON e.site_id = p.site_id AND y >= least(y0, y1) AND y < greatest(y0, y1) AND x < x0 + (y - y0) * ((x1 - x0) / (y1 - y0)) GROUP BY 1, 2)
         SELECT p.site_id, p.vid, coalesce(k.n, 0) % 2 = 1 AS inside, round(CASE WHEN coalesce(k.n, 0) % 2 = 1 THEN 0e0 ELSE (lat + x * 0.1e0 + y * y * 0.01e0) - lat END, 6) + 0e0 AS z FROM p LEFT JOIN k USING (site_id, vid)""", "v2"),
+    "batched_heights": with_views(
+        """WITH p AS (SELECT site_id, CAST(i AS INT) AS vid, lat + i * 0.01e0 AS lat, lon + (-25e0 + (i % 11) * 5e0) * 0.01e0 AS lon FROM v2, range(121) r(i)),
+        a AS (SELECT site_id, vid // 60 AS b, min_by(lat, vid) AS lat0, count(*) AS n FROM p WHERE site_id % 3 > 0 GROUP BY 1, 2),
+        f AS (SELECT site_id, max((n - 1) || ' values for ' || n || ' points') FILTER (WHERE CAST(floor(lat0 * 10e0) AS INT) % 7 = 0) AS why FROM a GROUP BY 1),
+        g AS (SELECT site_id, max(CASE WHEN lat < -55e0 THEN 'ValueError: no data' END) AS wrong FROM p GROUP BY 1)
+        SELECT site_id, vid, CASE WHEN site_id % 3 > 0 AND why IS NULL THEN 'first' WHEN wrong IS NULL THEN 'second' END AS service,
+          round(CASE WHEN site_id % 3 > 0 AND why IS NULL THEN lat * 10e0 + lon WHEN wrong IS NULL THEN lat - lon END, 4) + 0e0 AS value,
+          CASE WHEN site_id % 3 > 0 AND why IS NULL OR wrong IS NULL THEN NULL ELSE concat_ws('; ', why, wrong) END AS failed
+        FROM p LEFT JOIN f USING (site_id) JOIN g USING (site_id)""", "v2"),
 }
