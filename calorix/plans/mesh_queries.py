@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from calorix.functions import physics
 from calorix.functions.rounding import tidy
-from calorix.operators import meshes, walls
+from calorix.operators import meshes, refresh, walls
+from calorix.sources.stage import folder
 from calorix.sources.tables import Warehouse, with_views
 
 
@@ -140,6 +141,17 @@ def refine_index(spark, sf_dir):
     return vertices.groupBy("mesh_id").agg(F.count_distinct("vertex").alias("n_vertices")).join(areas, "mesh_id").join(edges, "mesh_id").select("mesh_id", "n_vertices", "n_faces", "n_edges", "n_borders", "area")
 
 
+def refreshed_areas(spark, sf_dir):
+    """Area of every mesh after a first run over all and a second after every fiftieth has changed; which the second computed."""
+    items, path = Warehouse(spark, sf_dir).triangles(), folder(spark, "areas")
+    area = lambda rows: meshes.with_geometry(rows).groupBy("mesh_id").agg(F.sum("area").alias("area"))
+    refresh.refresh(items, "mesh_id", area, path)
+    moved = items.withColumn("z0", F.when(F.col("mesh_id") % 50 == 0, F.col("z0") + 1.0).otherwise(F.col("z0")))
+    result, computed = refresh.refresh(moved, "mesh_id", area, path)
+    again = computed.withColumn("computed", F.lit(True))
+    return result.join(again, "mesh_id", "left").select("mesh_id", tidy("area", 4).alias("area"), F.coalesce("computed", F.lit(False)).alias("computed"))
+
+
 def clip_obstacles(spark, sf_dir):
     """Status and outside area of candidate boxes against a study box."""
     k = F.col("cand_id")
@@ -156,7 +168,7 @@ def upsert_catalogue(spark, sf_dir):
     return walls.upserted(base, changes, "wall_id").select("wall_id", tidy("e").alias("e"), tidy("lam").alias("lam"))
 
 
-QUERIES = {f.__name__: f for f in (wall_u_value, wall_mesh_nodes, solar_propagation, constraint_rejects, triangle_geometry, h_i_by_tilt, wall_fk_missing, frame_split, glazing_assign, glazing_share, group_counts, mesh_union_rebase, vertex_weld, terrain_mesh, refine_mesh, refine_index, clip_obstacles, upsert_catalogue)}
+QUERIES = {f.__name__: f for f in (wall_u_value, wall_mesh_nodes, solar_propagation, constraint_rejects, triangle_geometry, h_i_by_tilt, wall_fk_missing, frame_split, glazing_assign, glazing_share, group_counts, mesh_union_rebase, vertex_weld, terrain_mesh, refine_mesh, refine_index, refreshed_areas, clip_obstacles, upsert_catalogue)}
 
 GEOMETRY = """c AS (SELECT *, (y1-y0)*(z2-z0)-(z1-z0)*(y2-y0) AS cx_, (z1-z0)*(x2-x0)-(x1-x0)*(z2-z0) AS cy_, (x1-x0)*(y2-y0)-(y1-y0)*(x2-x0) AS cz_ FROM v4),
 l AS (SELECT *, sqrt(cx_*cx_+cy_*cy_+cz_*cz_) AS len FROM c),
@@ -236,6 +248,10 @@ ORACLES = {
         e AS (SELECT mesh_id, sum(power(2, rounds) - 1) AS new_v, sum(power(2, rounds)) AS n, sum(CASE WHEN n = 1 THEN power(2, rounds) ELSE 0 END) AS borders FROM s GROUP BY 1)
         SELECT mesh_id, CAST(v + new_v + inner_v AS BIGINT) AS n_vertices, CAST(n_faces AS BIGINT) AS n_faces, CAST(n + inner_e AS BIGINT) AS n_edges, CAST(borders AS BIGINT) AS n_borders, round(area, 4) + 0e0 AS area
         FROM f JOIN v USING (mesh_id) JOIN e USING (mesh_id)""", "v4", recursive=True),
+    "refreshed_areas": with_views(
+        """WITH m AS (SELECT mesh_id, CASE WHEN mesh_id % 50 = 0 THEN z0 + 1e0 ELSE z0 END AS z0, z1, z2, x0, x1, x2, y0, y1, y2 FROM v4),
+        a AS (SELECT mesh_id, sqrt(power((y1-y0)*(z2-z0)-(z1-z0)*(y2-y0), 2) + power((z1-z0)*(x2-x0)-(x1-x0)*(z2-z0), 2) + power((x1-x0)*(y2-y0)-(y1-y0)*(x2-x0), 2)) / 2e0 AS area FROM m)
+        SELECT mesh_id, round(sum(area), 4) + 0e0 AS area, mesh_id % 50 = 0 AS computed FROM a GROUP BY mesh_id""", "v4"),
     "clip_obstacles": with_views(
         """WITH b AS (SELECT cand_id, CAST(cand_id % 41 - 20 AS DOUBLE) AS x0, CAST(cand_id % 29 - 14 AS DOUBLE) AS y0, CAST(n_walls % 17 AS DOUBLE) AS w, CAST(n_walls % 13 AS DOUBLE) AS h FROM v5),
         o AS (SELECT *, w * h AS area, greatest(0e0, least(x0 + w, 3e0) - greatest(x0, -5e0)) * greatest(0e0, least(y0 + h, 2e0) - greatest(y0, -4e0)) AS overlap FROM b),
