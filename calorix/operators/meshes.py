@@ -217,7 +217,7 @@ def indexed(triangles: DataFrame, digits: int = 5) -> tuple[DataFrame, DataFrame
 
 
 def refined_index(triangles: DataFrame, longest: float, max_rounds: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Refinement to an indexed mesh: vertices (mesh_id, vertex, x, y, z) and faces (mesh_id, v0, v1, v2, the other columns).
+    """Refinement to an indexed mesh: vertices (mesh_id, vertex, x, y, z) and faces (mesh_id, face: the one they are part of, v0, v1, v2, the other columns).
 
     Needs (mesh_id, piece, tri_id, corners).  Halving all edges of a triangle r times
     makes a grid of 2^r steps on each side, so nothing is done round by round: each
@@ -262,7 +262,7 @@ def refined_index(triangles: DataFrame, longest: float, max_rounds: int = 20) ->
     face = lambda a, b, c: F.struct(*[named(*p).alias(f"v{n}") for n, p in enumerate((a, b, c))])
     up, down = face((i, j), (i + 1, j), (i, j + 1)), face((i + 1, j), (i + 1, j + 1), (i, j + 1))
     cut = cells.withColumn("f", F.explode(F.when(i + j + 1 < steps, F.array(up, down)).otherwise(F.array(up))))
-    spare = [c for c in faces.columns if c not in ("v0", "v1", "v2", "face")]
+    spare = [c for c in faces.columns if c not in ("v0", "v1", "v2")]
     return vertices.withColumn("vertex", F.col("vertex").cast("long")).unionByName(on_edges).unionByName(inside), cut.select(*spare, "f.*")
 
 

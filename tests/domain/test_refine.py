@@ -2,9 +2,12 @@
 
 import itertools
 
+import duckdb
+
 from pyspark.sql import functions as F
 
 from calorix.operators import meshes, places
+from calorix.plans import mesh_queries
 
 CORNERS = "mesh_id long, tri_id long, grp string, " + ", ".join(f"{c}{i} double" for i in range(3) for c in "xyz")
 
@@ -51,3 +54,16 @@ def test_admitted_by_group_of_any_size(spark):
     items = spark.range(5000).select((F.col("id") % 3 == 0).alias("g"), "id", F.lit(2).alias("n"))
     kept = places.admitted(items, ("n",), (1000,), ("id",), ("g",))
     assert {(r["g"], r["k"], r["o"]) for r in kept.groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.max("n_offset").alias("o")).collect()} == {(True, 500, 998), (False, 500, 998)}
+
+
+def test_inner_edges_of_faces_with_the_same_corners(spark, tmp_path):
+    """Two faces that lie on each other share their sides, but each has inner edges of its own."""
+    line = "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double, l_partkey long, l_suppkey long, l_returnflag string, l_linestatus string"
+    twice = [(1, n, 43.0, 0.04, 0.04, 12345 + 140 * n, 499 + 3 * n, "A", "F") for n in (1, 2)]
+    spark.createDataFrame(twice, line).write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = mesh_queries.refine_index(spark, str(tmp_path)).first()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    ((*wanted,),) = con.execute(mesh_queries.ORACLES["refine_index"]).fetchall()
+    assert list(found) == wanted
+    assert found["n_edges"] == 6 + 2 * 3
