@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ Ring = list[tuple[float, float]]
 Shape = list[Ring]
 Trapezoid = tuple[float, float, float, float, float, float]  # y below and above, left x below and above, right x below and above
 SAME = 1e-9
+#: Sides up to this length may end in one corner of a sweep's result.
+SHORT = 1e-5
 POINTS = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
 SHAPE = pa.list_(POINTS)
 SHAPE_DDL = "array<array<struct<x:double,y:double>>>"
@@ -183,11 +186,12 @@ def boxes_meet(a: Ring, b: Ring) -> bool:
     return all(min(p[k] for p in a) <= max(p[k] for p in b) and min(p[k] for p in b) <= max(p[k] for p in a) for k in (0, 1))
 
 
-def against(ring: Ring, study: Shape | None) -> dict:
+def against(ring: Ring, study: Shape | None, study_area: float | None = None) -> dict:
     """Status of an obstacle against the study polygon, the overlap and the parts that stay.
 
     degenerate: no area; kept: no study polygon or no overlap (walls may touch);
     self: overlap over union above 0.3, or no part of 1 m2 is left; else clipped.
+    ``study_area`` is the study polygon's, where it is known.
     """
     whole = area_of(sweep([[ring]], all)) if len(ring) >= 3 else 0.0
     if whole < SAME:
@@ -195,7 +199,7 @@ def against(ring: Ring, study: Shape | None) -> dict:
     overlap = area_of(sweep([[ring], study], all)) if study and boxes_meet(ring, [p for r in study for p in r]) else 0.0
     if overlap <= SAME:
         return {"status": "kept", "area": whole, "overlap": 0.0, "parts": combined([[ring]], all)}
-    union = whole + area_of(sweep([study], all)) - overlap
+    union = whole + (area_of(sweep([study], all)) if study_area is None else study_area) - overlap
     left = [p for p in combined([[ring], study], lambda i: i[0] and not i[1]) if part_area(p) >= SLIVER]
     own = overlap / union > SELF_OVERLAP or not left
     return {"status": "self" if own else "clipped", "area": whole, "overlap": overlap, "parts": [] if own else left}
@@ -211,22 +215,74 @@ def as_column(shape: Shape) -> list[list[dict]]:
     return [[{"x": x, "y": y} for x, y in ring] for ring in shape]
 
 
+def convex_apart(rings: pa.Array, box: tuple[float, float, float, float] | None) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """(rows, areas, parts) of the convex rings that lie outside a box (west, south, east, north), many at a time: what a sweep gives for each.
+
+    Rings with a flat or doubled corner, or with corners on almost one level, are left to the sweep.
+    """
+    sizes = pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    x, y = (c.to_numpy(zero_copy_only=False).astype(float) for c in rings.flatten().flatten())
+    first = np.cumsum(sizes) - sizes
+    filled = np.flatnonzero(sizes > 1)
+    last = first[filled] + sizes[filled] - 1
+    sizes[filled] -= (x[first[filled]] == x[last]) & (y[first[filled]] == y[last])
+    for n in np.unique(sizes[sizes > 2]):
+        rows = np.flatnonzero(sizes == n)
+        at = first[rows, None] + np.arange(n)
+        px, py = x[at], y[at]
+        dx, dy = np.roll(px, -1, 1) - px, np.roll(py, -1, 1) - py
+        turn = np.roll(dx, 1, 1) * dy - np.roll(dy, 1, 1) * dx
+        left = (turn > SAME).all(1)
+        up = (dy > 0) | ((dy == 0) & (dx > 0))
+        once = (up != np.roll(up, 1, 1)).sum(1) == 2  # a ring that turns one way may still go round twice
+        steps = np.diff(np.sort(py, 1), axis=1)
+        good = (left | (turn < -SAME).all(1)) & once & ((steps == 0) | (steps > SAME)).all(1) & (np.hypot(dx, dy) > SHORT).all(1)
+        if box is not None:
+            west, south, east, north = box
+            good &= (px.max(1) < west) | (px.min(1) > east) | (py.max(1) < south) | (py.min(1) > north)
+        ox, oy = px - px[:, :1], py - py[:, :1]
+        area = np.abs((ox * np.roll(oy, -1, 1) - np.roll(ox, -1, 1) * oy).sum(1)) / 2
+        good &= area >= SAME
+        px, py = (np.where(left[:, None], c, c[:, ::-1])[good] for c in (px, py))
+        start = np.where(py == py.min(1)[:, None], px, -np.inf).argmax(1)[:, None]  # the lowest corner, the right one of two
+        turned = (start + np.arange(n)) % n
+        corners = pa.StructArray.from_arrays([pa.array(np.take_along_axis(c, turned, 1).ravel()) for c in (px, py)], ["x", "y"])
+        one = pa.array(np.arange(good.sum() + 1), pa.int32())
+        ring = pa.ListArray.from_arrays(pa.array(np.arange(good.sum() + 1) * n, pa.int32()), corners)
+        yield rows[good], area[good], pa.ListArray.from_arrays(one, pa.ListArray.from_arrays(one, ring))
+
+
 def resolved(candidates: DataFrame, study: Shape | None = None) -> DataFrame:
     """Candidates (with ``ring``) with status, area, overlap and parts; of any form, turning either way.
 
     The study polygon is the given one, or each row's own in a column ``study``
-    (null or empty: everything is kept).
+    (null or empty: everything is kept).  Convex rings off its box are resolved a batch
+    at a time, all others by a sweep each.
     """
     own = "study" in candidates.columns
+    study = None if own else study
+    xs, ys = zip(*(p for r in study for p in r)) if study else ((), ())
+    box = (min(xs), min(ys), max(xs), max(ys)) if study else None
     spare = [c for c in candidates.columns if c not in ("status", "area", "overlap", "parts")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = area_of(sweep([study], all)) if study else None
+        names = [*spare, "status", "area", "overlap", "parts"]
         for batch in batches:
+            swept = np.ones(batch.num_rows, bool)
+            free = pc.fill_null(pc.list_value_length(batch.column("study")), 0).to_numpy(zero_copy_only=False) == 0 if own else swept
+            for at, areas, parts in convex_apart(batch.column("ring"), box):
+                alone = free[at]
+                at, areas, parts = at[alone], areas[alone], parts.filter(pa.array(alone))
+                swept[at] = False
+                columns = [pa.array(["kept"] * len(at), pa.string()), pa.array(areas), pa.array(np.zeros(len(at))), parts.cast(pa.list_(SHAPE))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in spare), *columns], names)
+            batch = batch.filter(pa.array(swept))
             rings = batch.column("ring").to_pylist()
             studies = [[points(r) for r in s or []] for s in batch.column("study").to_pylist()] if own else [study] * len(rings)
-            found = [against(points(r), s) for r, s in zip(rings, studies)]
+            found = [against(points(r), s, whole) for r, s in zip(rings, studies)]
             columns = [pa.array([f["status"] for f in found], pa.string()), *(pa.array([f[c] for f in found], pa.float64()) for c in ("area", "overlap")), pa.array([[as_column(p) for p in f["parts"]] for f in found], pa.list_(SHAPE))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in spare), *columns], [*spare, "status", "area", "overlap", "parts"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in spare), *columns], names)
 
     rows = candidates.select(*spare)
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema)
