@@ -35,7 +35,10 @@ def study_overlap(spark, sf_dir):
 def obstacle_admission(spark, sf_dir):
     """Boxes around a strip: those that stay, extruded, by distance until 20 000 vertices, with the offsets of their meshes."""
     found = polygons.resolved(boxes(Warehouse(spark, sf_dir)), STRIP).where("status in ('kept', 'clipped')").withColumn("base", F.lit(0.0))
-    solid = polygons.extruded_parts(found).select("item", "dist", polygons.corner_count(F.col("parts")).alias("n_vertices"), F.size("faces").alias("n_triangles"))
+    sized = found.withColumn("n_vertices", polygons.corner_count(F.col("parts")))
+    # Every box has vertices, so no more boxes than vertices come in; only those that the vertices let in are extruded.
+    near = places.admitted(places.nearest(sized, 20_000, ("dist", "item")), ("n_vertices",), (20_000,), ("dist", "item"))
+    solid = polygons.extruded_parts(near.drop("n_vertices_offset")).select("item", "dist", "n_vertices", F.size("faces").alias("n_triangles"))
     return places.admitted(solid, ("n_vertices", "n_triangles"), (20_000, 20_000), ("dist", "item")).select("item", "n_vertices", "n_triangles", "n_vertices_offset", "n_triangles_offset")
 
 
