@@ -1,6 +1,7 @@
 """Transient heat flow: implicit steps for walls and whole buildings.
 
-Small recurrences are folds over a series' ordered hours and stay in the JVM.
+Small recurrences are folds over a series' ordered hours in the JVM, or, for many rows
+over one series, steps of a whole batch of rows at a time.
 Walls and buildings run as maps over rows that hold one building each; the hours
 of the series, a year at most, are broadcast.  Inside a task all walls of some
 buildings advance together: walls meet only at their air node, so every wall is
@@ -10,7 +11,7 @@ the air is one scalar equation per building and hour.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ MAX_HOURS = 8784
 #: Caps of one run: unknowns of a building, nodes of a wall.
 MAX_UNKNOWNS, MAX_NODES = 60_000, 300
 #: Buildings and walls that advance together in a task.
-BUILDINGS_AT_ONCE, WALLS_AT_ONCE, RUNS_AT_ONCE = 64, 4096, 256
+BUILDINGS_AT_ONCE, WALLS_AT_ONCE, RUNS_AT_ONCE, LAST_AT_ONCE = 64, 4096, 256, 2048
 # Added resistance and shares of direct and diffuse sun behind closed shading.
 SHADING = {"volet-roulant": (0.20, 0.0, 0.0), "store-exterieur": (0.08, 0.15, 0.40)}
 GRID_AZ, GRID_EL, GRID_STEP = 24, 7, 15.0
@@ -85,6 +86,67 @@ def air_start(t: Column) -> Column:
     return F.struct(t.alias("t"), *[F.lit(0.0).alias(n) for n in ("t_sum", "heat", "cool", "vent", "envelope", "gain")])
 
 
+def series_arrays(hours: DataFrame, order: str, fields: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """The hours of one series as arrays (null: NaN); more than a leap year's are an error."""
+    rows = hours.select(order, *[F.col(c).cast("double") for c in fields]).limit(MAX_HOURS + 1).toArrow().sort_by(order)
+    if rows.num_rows > MAX_HOURS:
+        raise ValueError("more hours than a leap year")
+    return {c: rows[c].to_numpy() for c in fields}
+
+
+def advanced(rows: DataFrame, key: str, hours: dict[str, np.ndarray], fields: tuple[str, ...], run: Callable[..., dict[str, np.ndarray]], ends: tuple[str, ...]) -> DataFrame:
+    """key and the end states of rows (key and parameter ``fields``) over the hours of one series, a batch of rows at a time.
+
+    ``run(parameters, hours)`` takes and gives arrays by name, a value for each row.
+    """
+    spread = rows.sparkSession.sparkContext.broadcast(hours)  # at most MAX_HOURS rows
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in fields}
+            end = run(given, spread.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(end[c], from_pandas=True) for c in ends)], [key, *ends])
+
+    kind = rows.schema[key].dataType.simpleString()
+    return spread_out(rows.select(key, *[F.col(c).cast("double") for c in fields]), key).mapInArrow(steps, f"{key} {kind}, " + ", ".join(f"{c} double" for c in ends))
+
+
+def two_node_run(p: dict[str, np.ndarray], hours: dict[str, np.ndarray], t_init: float = 15.0) -> dict[str, np.ndarray]:
+    """Node temperatures t0 and t1 of many walls after all hours (t_ext, sun), each as ``two_node_step`` has it."""
+    a11, a22, a12 = p["c"] + p["g"] + p["h_e"], p["c"] + p["g"] + p["h_i"], -p["g"]
+    det, held = a11 * a22 - a12 * a12, p["h_i"] * p["t_int"]
+    t0 = t1 = np.full(len(det), t_init)
+    for t_ext, sun in zip(hours["t_ext"], hours["sun"]):
+        b1, b2 = p["c"] * t0 + p["h_e"] * t_ext + sun, p["c"] * t1 + held
+        t0, t1 = (b1 * a22 - a12 * b2) / det, (a11 * b2 - a12 * b1) / det
+    return {"t0": t0, "t1": t1}
+
+
+AIR_STATE = ("t", "t_sum", "heat", "cool", "vent", "envelope", "gain")
+
+
+def air_run(p: dict[str, np.ndarray], hours: dict[str, np.ndarray], thermostat: bool, t_init: float = 18.0) -> dict[str, np.ndarray]:
+    """States of many air nodes after all hours (t_ext, g_vent, gains), each as ``air_step`` has it."""
+    per_step = p["c"] / STEP_S
+    s = {c: np.zeros(len(per_step)) for c in AIR_STATE}
+    t = s["t"] + t_init
+    for t_ext, g_vent, gains in zip(hours["t_ext"], hours["g_vent"], hours["gains"]):
+        g = p["ua"] + g_vent
+        a = per_step + g
+        b = per_step * t + g * t_ext + gains
+        t = free = b / a
+        if thermostat:
+            t = np.where(free < p["t_min"], p["t_min"], np.where(free > p["t_max"], p["t_max"], free))
+        hvac = a * t - b if thermostat else np.zeros(len(a))
+        s["t_sum"] += t
+        s["heat"] += np.where(hvac > 0, hvac, 0.0) * STEP_S
+        s["cool"] += np.where(hvac > 0, 0.0, -hvac) * STEP_S
+        s["vent"] += g_vent * (t_ext - t) * STEP_S
+        s["envelope"] += p["ua"] * (t_ext - t) * STEP_S
+        s["gain"] += gains * STEP_S
+    return s | {"t": t}
+
+
 class WallClass:
     """A meshed wall per square metre: conductances between nodes, capacities, solar shares."""
 
@@ -124,36 +186,46 @@ class Walls:
     def __init__(self, walls: list[WallClass]):
         self.walls, n = walls, max(w.n for w in walls)
         rows = len(walls)
-        self.caps, self.sun, self.links = np.zeros((rows, n)), np.zeros((rows, n)), np.zeros((rows, n - 1))
+        self.caps, self.sun, self.links = (np.zeros((rows, k), order="F") for k in (n, n, n - 1))  # sweeps go by columns
         for i, w in enumerate(walls):
             self.caps[i, n - w.n :], self.sun[i, n - w.n :], self.links[i, n - w.n :] = w.caps, w.sun, w.links
         self.outer = np.array([n - w.n for w in walls])
         self.inside = np.array([w.inside for w in walls])
         self.n, self.rows = n, np.arange(rows)
         self.per_step = self.caps / STEP_S
-        base = self.per_step.copy()
+        base = self.per_step.copy(order="K")
         base[:, :-1] += self.links
         base[:, 1:] += self.links
         base[self.caps == 0] = 1.0  # columns before a wall's outer node
         self.diagonal = base
 
-    def eliminate(self, t: np.ndarray, load: np.ndarray, h_e: np.ndarray, h_i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """u and w of T = u + w * T_air after one step: a tridiagonal sweep over all walls at once."""
-        d = self.diagonal.copy()
+    def factored(self, h_e: np.ndarray, h_i: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Multipliers, pivots and w of a step with these films; they hold for all steps that have the same."""
+        d, m, w = self.diagonal.copy(order="K"), np.zeros_like(self.links), np.zeros_like(self.caps)
         d[self.rows, self.outer] += h_e
         d[:, -1] += h_i
-        b, w = self.per_step * t + load, np.zeros_like(t)
-        w[:, -1] = h_i
-        for k in range(1, self.n):  # only the last entry of w is not zero before the sweep back
-            m = self.links[:, k - 1] / d[:, k - 1]
-            d[:, k] -= m * self.links[:, k - 1]
-            b[:, k] += m * b[:, k - 1]
+        for k in range(1, self.n):
+            m[:, k - 1] = self.links[:, k - 1] / d[:, k - 1]
+            d[:, k] -= m[:, k - 1] * self.links[:, k - 1]
+        w[:, -1] = h_i / d[:, -1]  # only the last entry of w is not zero before the sweep back
+        for k in range(self.n - 2, -1, -1):
+            w[:, k] = self.links[:, k] * w[:, k + 1] / d[:, k]
+        return m, d, w
+
+    def solved(self, t: np.ndarray, load: np.ndarray, m: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """u of T = u + w * T_air after one step: a tridiagonal sweep over all walls at once."""
+        b = self.per_step * t + load
+        for k in range(1, self.n):
+            b[:, k] += m[:, k - 1] * b[:, k - 1]
         b[:, -1] /= d[:, -1]
-        w[:, -1] /= d[:, -1]
         for k in range(self.n - 2, -1, -1):
             b[:, k] = (b[:, k] + self.links[:, k] * b[:, k + 1]) / d[:, k]
-            w[:, k] = self.links[:, k] * w[:, k + 1] / d[:, k]
-        return b, w
+        return b
+
+    def eliminate(self, t: np.ndarray, load: np.ndarray, h_e: np.ndarray, h_i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """u and w of T = u + w * T_air after one step."""
+        m, d, w = self.factored(h_e, h_i)
+        return self.solved(t, load, m, d), w
 
 
 def sun_of(lat: np.ndarray, lon: np.ndarray, offset: np.ndarray, declination: np.ndarray, solar_minutes: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -209,7 +281,7 @@ def run_buildings(buildings: list[dict], hours: dict[str, np.ndarray], dx: float
     sky = field("f_sky")[:, None]
     sun = hours["e_dir"] * cosine * np.where(closed, shade[:, 1:2], 1.0) + hours["e_dif"] * sky * np.where(closed, shade[:, 2:3], 1.0)
     del cosine
-    t, t_air = np.repeat(t_init[of, None], walls.n, 1), np.where(imposed, t_int, t_init).astype(float)
+    t, t_air = np.asfortranarray(np.repeat(t_init[of, None], walls.n, 1)), np.where(imposed, t_int, t_init).astype(float)
     to_air, cap = area * h_i, c_air / STEP_S
     total = lambda v: np.bincount(of, v, n_b)
     frames_g = total(g_frame)
@@ -321,8 +393,8 @@ def simulate(surfaces: DataFrame, buildings: DataFrame, hours: DataFrame, dx: fl
     return spread_out(rows, "building_id").mapInArrow(run, RESULT_DDL)
 
 
-def wall_run(walls: DataFrame, hours: DataFrame, mode: str = "imposed", dx: float = 0.02, settings: dict[str, float] | None = None) -> DataFrame:
-    """Temperatures of walls of any layers over one series: wall_id, t_air and nodes (at layer borders) after every hour, the start first.
+def wall_run(walls: DataFrame, hours: DataFrame, mode: str = "imposed", dx: float = 0.02, settings: dict[str, float] | None = None, last: bool = False) -> DataFrame:
+    """Temperatures of walls of any layers over one series: wall_id, t_air and nodes (at layer borders) after every hour, the start first; ``last`` leaves out all but the last.
 
     walls: (wall_id, layers); hours: seq, t_ext, incident and, if the air floats,
     g_vent; modes: imposed (the air at t_int) and free (an air node of c_air joules
@@ -341,24 +413,29 @@ def wall_run(walls: DataFrame, hours: DataFrame, mode: str = "imposed", dx: floa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = spread.value
         for batch in batches:
-            for start in range(0, batch.num_rows, RUNS_AT_ONCE):
-                some = batch.slice(start, RUNS_AT_ONCE).to_pylist()
+            at_once = LAST_AT_ONCE if last else RUNS_AT_ONCE
+            for start in range(0, batch.num_rows, at_once):
+                some = batch.slice(start, at_once).to_pylist()
                 made = [WallClass([tuple(x.values()) for x in r["layers"]], dx) for r in some]
                 own, n = Walls(made), len(some)
-                t, t_air = np.full((n, own.n), p["t_init"]), np.full(n, p["t_int"] if mode == "imposed" else p["t_init"])
+                t, t_air = np.full((n, own.n), p["t_init"], order="F"), np.full(n, p["t_int"] if mode == "imposed" else p["t_init"])
                 h_e, h_i = np.full(n, p["h_e"]), np.full(n, p["h_i"])
                 # Only nodes at layer borders are kept of every hour.
                 wall = np.repeat(own.rows, [len(w.borders) for w in made])
                 node = np.concatenate([own.outer[i] + np.array(w.borders) for i, w in enumerate(made)])
+                m, d, w = own.factored(h_e, h_i)
+                outside = np.zeros_like(own.sun)
+                outside[own.rows, own.outer] = h_e
                 states, airs = [t[wall, node]], [t_air]
                 for k in range(len(s["t_ext"])):
-                    load = own.sun * s["incident"][k]
-                    load[own.rows, own.outer] += h_e * s["t_ext"][k]
-                    u, w = own.eliminate(t, load, h_e, h_i)
+                    u = own.solved(t, own.sun * s["incident"][k] + outside * s["t_ext"][k], m, d)
                     if mode == "free":
                         cap, g = p["c_air"] / STEP_S, s["g_vent"][k]
                         t_air = (cap * t_air + g * s["t_ext"][k] + own.inside * s["incident"][k] + h_i * u[:, -1]) / (cap + g + h_i * (1 - w[:, -1]))
                     t = u + w * t_air[:, None]
+                    if last:
+                        states.clear()
+                        airs.clear()
                     states.append(t[wall, node])
                     airs.append(t_air)
                 states, airs, steps = np.array(states), np.array(airs), len(airs)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import functions as F
@@ -56,30 +57,31 @@ def slotted(w: Warehouse):
     return weather.with_schedule(hours, w.schedule()).withColumn("g_vent", physics.ventilation_conductance(F.col("debit"), F.col("eta")))
 
 
+SERIES_FIELDS = ("t_ext", "sun", "g_vent", "gains")
+
+
 def series_of(w: Warehouse):
-    """The series as one row: its ordered hours; ``weather.year`` has checked that they are a year at most."""
-    joined = slotted(w).select(F.lit(1).alias("series"), "hour_index", "t_ext", (F.col("e_dir") * 0.3 + F.col("e_dif") * 0.5).alias("sun"), "g_vent", "gains")
-    return simulate.ordered_hours(joined, "hour_index", ("t_ext", "sun", "g_vent", "gains"), ("series",))
+    """The hours of the series; ``weather.year`` has checked that they are a year at most."""
+    hours = slotted(w).select("hour_index", "t_ext", (F.col("e_dir") * 0.3 + F.col("e_dif") * 0.5).alias("sun"), "g_vent", "gains")
+    return simulate.series_arrays(hours, "hour_index", SERIES_FIELDS)
 
 
 def wall_1d_two_node(spark, sf_dir):
     """Node temperatures of every single outer layer after all hours at 20 degrees inside."""
     w = Warehouse(spark, sf_dir)
-    one = w.layers().where("layer_idx = 0")
-    p = F.struct((F.col("lam") / F.col("e")).alias("g"), (F.col("rho") * F.col("c") * F.col("e") / 2.0 / 3600.0).alias("c"), F.lit(25.0).alias("h_e"), F.lit(7.7).alias("h_i"), F.lit(20.0).alias("t_int"))
-    # The series is one row: a year of hours.
-    joined = one.select("wall_id", p.alias("p")).crossJoin(F.broadcast(series_of(w)))
-    start = F.struct(F.lit(15.0).alias("t0"), F.lit(15.0).alias("t1"))
-    end = simulate.fold_hours(start, F.col("hours"), lambda t, h: simulate.two_node_step(t, h, F.col("p")))
-    return joined.select("wall_id", end.alias("s")).select("wall_id", tidy("s.t0", 5).alias("t0"), tidy("s.t1", 5).alias("t1"))
+    p = {"g": F.col("lam") / F.col("e"), "c": F.col("rho") * F.col("c") * F.col("e") / 2.0 / 3600.0, "h_e": F.lit(25.0), "h_i": F.lit(7.7), "t_int": F.lit(20.0)}
+    one = w.layers().where("layer_idx = 0").select("wall_id", *[c.alias(n) for n, c in p.items()])
+    end = simulate.advanced(one, "wall_id", series_of(w), tuple(p), simulate.two_node_run, ("t0", "t1"))
+    return end.select("wall_id", tidy("t0", 5).alias("t0"), tidy("t1", 5).alias("t1"))
 
 
 def air_nodes(w: Warehouse, thermostat: bool):
     """End states of one air node per site."""
-    p = F.struct((50.0 + F.col("site_id") % 40).alias("ua"), (1200.0 * (200.0 + F.col("site_id") % 90)).alias("c"), F.lit(19.0).alias("t_min"), F.lit(26.0).alias("t_max"))
-    joined = w.sites().select("site_id", p.alias("p")).crossJoin(F.broadcast(series_of(w)))
-    step = lambda s, h: simulate.air_step(s, h, F.col("p"), thermostat)
-    return joined.select("site_id", "p", F.size("hours").alias("n"), simulate.fold_hours(simulate.air_start(F.lit(18.0)), F.col("hours"), step).alias("s"))
+    p = {"ua": 50.0 + F.col("site_id") % 40, "c": 1200.0 * (200.0 + F.col("site_id") % 90), "t_min": F.lit(19.0), "t_max": F.lit(26.0)}
+    nodes, hours = w.sites().select("site_id", *[c.alias(n) for n, c in p.items()]), series_of(w)
+    end = simulate.advanced(nodes, "site_id", hours, tuple(p), functools.partial(simulate.air_run, thermostat=thermostat), simulate.AIR_STATE)
+    n = F.lit(len(hours["t_ext"]))
+    return end.select("site_id", F.struct(p["c"].alias("c")).alias("p"), n.alias("n"), F.struct(*simulate.AIR_STATE).alias("s"))
 
 
 def air_node_free(spark, sf_dir):
@@ -184,7 +186,7 @@ def wall_layers_run(spark, sf_dir):
     hours = slotted(w).select(F.col("hour_index").alias("seq"), "t_ext", (F.col("e_dir") * 0.3 + F.col("e_dif") * 0.5).alias("incident"), (F.col("g_vent") / 50.0).alias("g_vent"))
     out = None
     for mode in ("imposed", "free"):
-        run = simulate.wall_run(stacks, hours, mode).select("wall_id", F.lit(mode).alias("mode"), tidy(F.element_at("t_air", -1), 4).alias("t_air"), F.transform(F.element_at("nodes", -1), lambda t: tidy(t, 4)).cast("string").alias("borders"))
+        run = simulate.wall_run(stacks, hours, mode, last=True).select("wall_id", F.lit(mode).alias("mode"), tidy(F.element_at("t_air", -1), 4).alias("t_air"), F.transform(F.element_at("nodes", -1), lambda t: tidy(t, 4)).cast("string").alias("borders"))
         out = run if out is None else out.union(run)
     return out
 

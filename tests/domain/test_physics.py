@@ -1,5 +1,6 @@
 """Closed forms, conservation and equivalences of the simulation, independent of its code."""
 
+import functools
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -254,3 +255,27 @@ def test_refinement_cuts_whole_pieces(spark):
 def test_nearest_cell_wraps_and_ties_go_down(spark):
     r = spark.sql("select 359D a, 7.5D e").select(*visibility.nearest_cell(F.col("a"), F.col("e"))).first()
     assert (r[0], r[1]) == (0, 0)
+
+
+def test_batches_of_recurrences_equal_folds(spark):
+    """Many rows advanced together have the states that a fold over each row's hours has, null hours included; parameters are dealt to several tasks."""
+    hours = [(k, float(10.0 * np.sin(k)), 50.0 * (k % 3), 20.0 + k % 5, None if k == 39 else 100.0 * (k % 4)) for k in range(40)]
+    series = spark.createDataFrame(hours, "seq int, t_ext double, sun double, g_vent double, gains double")
+    known = simulate.series_arrays(series, "seq", ("t_ext", "sun", "g_vent", "gains"))
+    nodes = spark.range(30).select("id", (50.0 + F.col("id")).alias("ua"), (2e5 + 1e4 * F.col("id")).alias("c"), F.lit(19.0).alias("t_min"), F.lit(26.0).alias("t_max"))
+    folded = nodes.crossJoin(simulate.ordered_hours(series.withColumn("s", F.lit(1)), "seq", ("t_ext", "sun", "g_vent", "gains"), ("s",)))
+    for thermostat in (True, False):
+        step = lambda s, h, on=thermostat: simulate.air_step(s, h, F.struct("ua", "c", "t_min", "t_max"), on)
+        wanted = {r["id"]: tuple(r["s"]) for r in folded.select("id", simulate.fold_hours(simulate.air_start(F.lit(18.0)), F.col("hours"), step).alias("s")).collect()}
+        found = simulate.advanced(nodes, "id", known, ("ua", "c", "t_min", "t_max"), functools.partial(simulate.air_run, thermostat=thermostat), simulate.AIR_STATE)
+        assert {r[0]: tuple(r)[1:] for r in found.collect()} == wanted
+    walls_ = spark.range(30).select("id", (0.5 + F.col("id")).alias("g"), (20.0 + F.col("id")).alias("c"), F.lit(25.0).alias("h_e"), F.lit(7.7).alias("h_i"), F.lit(20.0).alias("t_int"))
+    start = F.struct(F.lit(15.0).alias("t0"), F.lit(15.0).alias("t1"))
+    both = walls_.crossJoin(folded.select("hours").limit(1)).select("id", simulate.fold_hours(start, F.col("hours"), lambda t, h: simulate.two_node_step(t, h, F.struct("g", "c", "h_e", "h_i", "t_int"))).alias("s"))
+    found = simulate.advanced(walls_, "id", known, ("g", "c", "h_e", "h_i", "t_int"), simulate.two_node_run, ("t0", "t1"))
+    assert {r[0]: tuple(r)[1:] for r in found.collect()} == {r["id"]: tuple(r["s"]) for r in both.collect()}
+    one = spark.createDataFrame([(1, [(0.1, 1.0, 1000.0, 900.0, 0.0, 0.1, 0.9)]), (2, [(0.02, 0.5, 800.0, 900.0, 0.8, 0.1, 0.1)] * 2)], "wall_id long, layers array<struct<e:double,lam:double,rho:double,c:double,tau:double,r:double,alpha:double>>")
+    run = series.select("seq", "t_ext", F.col("sun").alias("incident"), "g_vent")
+    for mode in ("imposed", "free"):
+        every, last = (sorted(simulate.wall_run(one, run, mode, last=x).collect()) for x in (False, True))
+        assert [(r["wall_id"], r["t_air"][-1:], r["nodes"][-1:]) for r in every] == [tuple(r) for r in last]
