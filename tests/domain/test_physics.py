@@ -265,7 +265,7 @@ def test_batches_of_recurrences_equal_folds(spark):
     nodes = spark.range(30).select("id", (50.0 + F.col("id")).alias("ua"), (2e5 + 1e4 * F.col("id")).alias("c"), F.lit(19.0).alias("t_min"), F.lit(26.0).alias("t_max"))
     folded = nodes.crossJoin(simulate.ordered_hours(series.withColumn("s", F.lit(1)), "seq", ("t_ext", "sun", "g_vent", "gains"), ("s",)))
     for thermostat in (True, False):
-        step = lambda s, h, on=thermostat: simulate.air_step(s, h, F.struct("ua", "c", "t_min", "t_max"), on)
+        step = lambda s, h: simulate.air_step(s, h, F.struct("ua", "c", "t_min", "t_max"), thermostat)  # noqa: B023, E731
         wanted = {r["id"]: tuple(r["s"]) for r in folded.select("id", simulate.fold_hours(simulate.air_start(F.lit(18.0)), F.col("hours"), step).alias("s")).collect()}
         found = simulate.advanced(nodes, "id", known, ("ua", "c", "t_min", "t_max"), functools.partial(simulate.air_run, thermostat=thermostat), simulate.AIR_STATE)
         assert {r[0]: tuple(r)[1:] for r in found.collect()} == wanted
