@@ -40,6 +40,21 @@ def with_inside(points: DataFrame, rings: DataFrame, by: tuple[str, ...], ring:
     return numbered.join(odd, "__p", "left").withColumn("inside", F.coalesce("inside", F.lit(False))).drop("__p")
 
 
+def inside_own(x: Column, y: Column, ring: Column) -> Column:
+    """Whether a point is inside a ring of some corners in its own row, by the rule of ``with_inside``; nothing is shuffled."""
+    n = F.size(ring)
+    at = lambda k: F.element_at(ring, k)
+
+    def crossed(k: Column) -> Column:
+        a, b = at(k), at(k % n + 1)
+        within = (y >= F.least(a["y"], b["y"])) & (y < F.greatest(a["y"], b["y"]))
+        right = x < a["x"] + (y - a["y"]) * ((b["x"] - a["x"]) / F.when(b["y"] != a["y"], b["y"] - a["y"]))
+        return F.when(within & right, 1).otherwise(0)
+
+    crossings = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda s, k: s + crossed(k))
+    return F.coalesce(F.when(n > 2, crossings % 2 == 1), F.lit(False))
+
+
 def grid(sites: DataFrame, radius: float, step: float) -> DataFrame:
     """Sites with the points of a square grid around each (j outer, i inner): vid, x, y."""
     n = int(2 * radius / step) + 1
@@ -50,6 +65,16 @@ def grid(sites: DataFrame, radius: float, step: float) -> DataFrame:
     return points.withColumns({"x": F.lit(-radius) + (vid % n) * step, "y": F.lit(-radius) + F.floor(vid / n) * step})
 
 
+def grid_heights(sites: DataFrame, radius: float, step: float, altitude: Column, ground: Column, ring: str = "ring") -> DataFrame:
+    """The grids around sites that have a footprint of some corners in their row: ``terrain_heights`` of their points, by each row alone.
+
+    altitude may use the sites' columns, x and y.  Sites are few and small beside their grids, so they are dealt to all tasks first.
+    """
+    dealt = sites.repartition(int(sites.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = grid(dealt, radius, step).withColumn("inside", inside_own(F.col("x"), F.col("y"), F.col(ring)))
+    return found.withColumn("z", F.when(F.col("inside"), 0.0).otherwise(F.coalesce(altitude - ground, F.lit(0.0)))).drop(ring)
+
+
 def terrain_heights(points: DataFrame, rings: DataFrame, by: tuple[str, ...], altitude: Column, ground: Column, ring: str = "ring") -> DataFrame:
     """Points with z: the altitude over the ground of their site, 0 under its footprint; without an altitude 0."""
     relative = F.coalesce(altitude - ground, F.lit(0.0))

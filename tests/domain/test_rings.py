@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from calorix.operators import rings
 
 
@@ -28,3 +30,18 @@ def test_inside_equals_a_loop(spark):
         assert r["inside"] == want, r
     assert any(r["inside"] for r in found if r["g"] == 7) and not any(r["inside"] for r in found if r["g"] in (8, 9))
     assert rings.with_inside(spark.createDataFrame(points[:5], "g long, x double, y double"), df.where("g > 99"), ("g",)).where("inside").count() == 0
+
+
+def test_rings_in_the_row_equal_a_loop(spark):
+    """Each row's own ring, by the same rule, without a shuffle of the points."""
+    rng = random.Random(5)
+    plans = [[(rng.uniform(-9, 9), rng.uniform(-9, 9)) for _ in range(rng.randint(3, 9))] for _ in range(6)] + [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)], [(0.0, 0.0), (1.0, 1.0)], [], None]
+    sites = spark.createDataFrame([(g, r and [{"x": x, "y": y} for x, y in r]) for g, r in enumerate(plans)], "g long, ring array<struct<x double, y double>>")
+    found = rings.grid_heights(sites, 9.0, 3.0, F.col("x") + 7.0, F.lit(5.0))
+    rows = found.collect()
+    assert len(rows) == 49 * len(plans)
+    for r in rows:
+        ring = plans[r["g"]] or []
+        want = len(ring) > 2 and crossings(r["x"], r["y"], ring)
+        assert (r["inside"], r["z"]) == (want, 0.0 if want else r["x"] + 2.0), r
+    assert any(r["inside"] for r in rows) and "Join" not in found._jdf.queryExecution().executedPlan().toString()
