@@ -8,9 +8,11 @@ worth nothing; where both fail there are no values, and why.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,19 +28,29 @@ BATCHES = (60, 100)
 def called(points: DataFrame, service: Service, by: tuple[str, ...], most: int) -> DataFrame:
     """(by, place, value, failed): one call a batch of ``most`` points; ``failed`` says why a batch has no values."""
 
-    def call(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("place")
-        try:
-            values, failed = [float(v) for v in service(batch["lat"].tolist(), batch["lon"].tolist())], None
-            if len(values) != len(batch):
-                values, failed = None, f"{len(values)} values for {len(batch)} points"
-        except Exception as wrong:  # whatever a service raises is an answer that can't be used
-            values, failed = None, f"{type(wrong).__name__}: {wrong}"
-        return pd.DataFrame({**{c: batch[c] for c in (*by, "place")}, "value": values if values is not None else None, "failed": failed})
+    def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given, kept, values, failed = batch.column("points"), [], [], []
+            for i in range(batch.num_rows):
+                place, lat, lon = (c.to_numpy(zero_copy_only=False).tolist() for c in given[i].values.flatten())
+                try:
+                    got, why = [float(v) for v in service(lat, lon)], None
+                    if len(got) != len(place):
+                        got, why = None, f"{len(got)} values for {len(place)} points"
+                except Exception as wrong:  # whatever a service raises is an answer that can't be used
+                    got, why = None, f"{type(wrong).__name__}: {wrong}"
+                kept += place
+                values += got if got is not None else [None] * len(place)
+                failed += [why] * len(place)
+            sizes = pc.list_value_length(given).to_numpy(zero_copy_only=False)
+            own = pa.array(np.repeat(np.arange(batch.num_rows), sizes))
+            found = [pa.array(kept, pa.int64()), pa.array(values, pa.float64(), from_pandas=True), pa.array(failed, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(own) for c in by), *found], [*by, "place", "value", "failed"])
 
     keys = points.select(*by).schema
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), "place long", "value double", "failed string"])
-    return points.select(*by, "place", "lat", "lon").groupBy(*by, F.floor(F.col("place") / most).alias("batch")).applyInPandas(call, schema)  # groups of one call
+    calls = points.groupBy(*by, F.floor(F.col("place") / most).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("place", "lat", "lon"))).alias("points"))  # the points of one call
+    return calls.select(*by, "points").mapInArrow(call, schema)
 
 
 def looked_up(points: DataFrame, first: Service, second: Service, by: tuple[str, ...], order: tuple[str, ...], suited: str | None = None, batches: tuple[int, int] = BATCHES) -> DataFrame:

@@ -32,3 +32,12 @@ def test_batches_and_fallbacks(spark):
     assert {by[3, i] for i in range(101)} == {(None, None, "OSError: down; 1 values for 100 points")}
     assert by[5, 2] == (-2.0, "second", None), "not suited to the first"
     assert lookups.looked_up(asked.where("r > 9"), first, second, ("r",), ("i",)).count() == 0
+
+
+def test_calls_take_no_group_map(spark):
+    """Calls run over rows of one call each; a null place reaches the service as no number, and no number comes back as none."""
+    asked = points(spark, {1: 61, 2: 3}).withColumns({"place": F.col("i"), "lat": F.when(F.col("i") != 60, F.col("lat"))})
+    made = lookups.called(asked, lambda lats, lons: lats, ("r",), 60)
+    assert "InPandas" not in made._jdf.queryExecution().executedPlan().toString()
+    rows = made.collect()
+    assert len(rows) == 64 and all(r["failed"] is None and r["value"] == (None if r["place"] == 60 else float(r["place"])) for r in rows)
