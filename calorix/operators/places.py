@@ -38,6 +38,20 @@ def nearest_accepted(pairs: DataFrame, accepted, k: int, by: tuple[str, ...], or
     return seen.where((F.col("__ok") == 1) & (F.col("__upto") <= k)).withColumnsRenamed({"__upto": "rank", "__skipped": "skipped"}).drop("__ok")
 
 
+def nearest_in_boxes(sites: DataFrame, points: DataFrame, radius_m: float, accepted, k: int, order: str, cell_deg: float = 1.0) -> DataFrame:
+    """Every site with the k nearest accepted points of its box by (dist, ``order``), with rank and skipped as ``nearest_accepted`` has them.
+
+    Sites in one place have one search.  Of points in one place only those up to the
+    k-th accepted one by ``order`` can be found or count as skipped, so that the
+    pairs grow with the places of both sides, not with their rows.
+    """
+    ahead = F.sum(accepted.cast("int")).over(Window.partitionBy("lat", "lon").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    first = points.withColumn("__ahead", F.coalesce(ahead, F.lit(0))).where(F.col("__ahead") < k).drop("__ahead")
+    pairs = in_boxes(sites.select("lat", "lon").distinct(), first, radius_m, cell_deg)
+    found = nearest_accepted(pairs, accepted, k, ("site_lat", "site_lon"), ("dist", order))
+    return sites.withColumnsRenamed({"lat": "site_lat", "lon": "site_lon"}).join(found, ["site_lat", "site_lon"])
+
+
 def admitted(items: DataFrame, sizes: tuple[str, ...], caps: tuple[int, ...], order: tuple[str, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """Items in order until a running total would pass its cap, with each one's offset: the totals before it.
 

@@ -107,8 +107,7 @@ def nearby(sites: DataFrame, buildings: DataFrame, radius_m: float, most_walls:
     """
     solid = polygons.extruded_parts(polygons.resolved(buildings).withColumn("base", F.lit(0.0)))
     walled = solid.withColumn("n_walls", wall_groups(F.col("faces")))
-    pairs = places.in_boxes(sites.select("site_id", "lat", "lon"), walled.select("cand_id", "lat", "lon", "n_walls"), radius_m)
-    found = places.nearest_accepted(pairs, F.col("n_walls") <= most_walls, k, ("site_id",), ("dist", "cand_id"))
+    found = places.nearest_in_boxes(sites.select("site_id", "lat", "lon"), walled.select("cand_id", "lat", "lon", "n_walls"), radius_m, F.col("n_walls") <= most_walls, k, "cand_id")
     return found.join(walled.select("cand_id", "faces"), "cand_id")
 
 

@@ -114,8 +114,7 @@ def country_filter(spark, sf_dir):
 def bbox_search_topk(spark, sf_dir):
     """Per site the five nearest buildings of at most 30 walls in its box, and how many nearer ones were too complex."""
     w = Warehouse(spark, sf_dir)
-    pairs = places.in_boxes(w.sites().select("site_id", "lat", "lon"), w.candidates(), 110_000.0)
-    found = places.nearest_accepted(pairs, F.col("n_walls") <= 30, 5, ("site_id",), ("dist", "cand_id"))
+    found = places.nearest_in_boxes(w.sites().select("site_id", "lat", "lon"), w.candidates(), 110_000.0, F.col("n_walls") <= 30, 5, "cand_id")
     return found.select("site_id", "cand_id", F.col("rank").cast("long").alias("rank"), F.col("skipped").cast("long").alias("skipped"), tidy("dist", 3).alias("dist"))
 
 

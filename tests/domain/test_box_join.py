@@ -34,3 +34,17 @@ def test_leaves_split_what_is_dense(spark):
     per_leaf = box_join.placed(points.where("lat is not null"), box_join.leaves(points, 500)).groupBy("__level", "__cell").agg(F.count(F.lit(1)).alias("n"))
     assert sorted(r["n"] for r in per_leaf.collect()) == sorted(r["n"] for r in rows)
     assert box_join.leaves(points.where("p < 0")).count() == 0
+
+
+def test_nearest_where_places_repeat(spark):
+    """One search for sites in one place, and of points in one place only the first ones: the same rows as over all pairs."""
+    sites = spark.range(40).select(F.col("id").alias("site_id"), (F.col("id") % 4).cast("double").alias("lat"), (F.col("id") % 3).cast("double").alias("lon"))
+    points = spark.range(3000).select(F.col("id").alias("cand_id"), (F.col("id") % 20 / 10.0).alias("lat"), (F.col("id") % 7 / 3.0).alias("lon"), F.when(F.col("id") % 11 > 0, F.col("id") % 6).alias("n_walls"))
+    ok = F.col("n_walls") <= 1
+    found = places.nearest_in_boxes(sites, points, 110_000.0, ok, 5, "cand_id")
+    every = places.nearest_accepted(places.in_boxes(sites, points, 110_000.0), ok, 5, ("site_id",), ("dist", "cand_id"))
+    columns = sorted(every.columns)
+    assert sorted(found.columns) == columns
+    rows = sorted(map(tuple, found.select(columns).collect()))
+    assert rows == sorted(map(tuple, every.select(columns).collect())) and len(rows) > 100
+    assert any(r["skipped"] > 5 for r in found.collect())
