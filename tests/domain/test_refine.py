@@ -3,7 +3,6 @@
 import itertools
 
 import duckdb
-
 from pyspark.sql import functions as F
 
 from calorix.operators import meshes, places
