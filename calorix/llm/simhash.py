@@ -19,15 +19,16 @@ union) of 0.8 or more.  Candidates share a half-ball variant of one of several
 short SimHashes of independent bits; the number and length of these follow from
 the number of texts and the share of pairs to be found (``tables_for``).  Variants
 travel as messages: a block of texts sends each owner (a range of buckets) its
-sorted, Golomb-coded variants.  Pairs whose long SimHashes are near are verified on
-both texts, in two passes.  In the first a text meets the first of each of its
-buckets; links that hold make groups.  In the second it meets its neighbours in the
-order of their bits and the bucket's first, but only those of other groups, and a
-group has at most GROUP_IN_BUCKET members in a bucket.  So the pairs grow with the
-rows, not with the square of a bucket or group.  Then, until nothing new is found,
-each text that is nearly like a linked one of another group is verified against
-that one's hub: the linked text with the most links.  So copies of one text that
-are edited apart are found though they aren't like each other.
+sorted, Golomb-coded variants.  Of the pairs that meet there
+and whose first bits are very near an owner keeps a spanning forest; of pairs that are
+less near it keeps those of two trees, which are then compared by their long SimHashes.
+Both make clusters, in which all near pairs that meet somewhere lie; so no pairs of a
+large group are written out.  Each text is verified with the nearest and
+the least it is kept with, which makes groups.
+In a cluster of more than one group all pairs of other groups with near long SimHashes
+are then tested, by blocks: a task holds two blocks of a cluster (about BLOCK texts and
+BLOCK_BYTES bytes each), skips what it knows to be linked, and returns links alone.
+Blocks of one large group do not meet each other.
 """
 
 from __future__ import annotations
@@ -58,10 +59,12 @@ STAGE_SHINGLE, SIMILARITY = 5, 0.8
 MISSED = 0.03
 #: Texts whose variants are sent together.
 NODES_AT_ONCE = 8192
-#: Members of a group that take part in a bucket once the group is found.
-GROUP_IN_BUCKET = 8
-#: Neighbours in a bucket with which a text is compared, besides the bucket's first.
-NEIGHBOURS = 6
+#: Texts and bytes of text of a block that meets the other blocks of its cluster.
+BLOCK, BLOCK_BYTES = 1024, 8 << 20
+#: Differing bits, of the first 32, up to which a pair is in one cluster without a look at its long SimHashes (one unrelated pair in 100 000).
+SURE = 4
+#: Members of a bucket up to which all its pairs are compared at once.
+SMALL_BUCKET = 8
 #: Standard deviations above the expected differing bits at which a pair is no candidate.
 SLACK = 3.5
 
@@ -195,8 +198,13 @@ def sketches(docs: DataFrame, size: int, tables: int, bits: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), text_digest(), F.col("text").cast("string")).mapInArrow(sketch, "doc_id long, digest long, node long, tables array<long>, print binary")
 
 
+def matrix(prints: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The prints' bits, a row of unsigned longs each."""
+    return np.frombuffer(b"".join(prints.to_pylist()), np.uint64).reshape(len(prints), -1)
+
+
 def bucket_messages(nodes: DataFrame, tables: int, bits: int, owner_bits: int) -> DataFrame:
-    """Each block's variants to the owners of their buckets: coded buckets, numbers of the texts, and the bits, ids and groups of the texts that occur.
+    """Each block's variants to the owners of their buckets: coded buckets, numbers of the texts, and the bits and ids (``groups``) of the texts that occur.
 
     A text's variants that differ in low bits share an owner, so that it occurs in
     about 1 + owner_bits messages a table, not in those of all owners.
@@ -207,7 +215,7 @@ def bucket_messages(nodes: DataFrame, tables: int, bits: int, owner_bits: int) -
     @trimmed
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, groups = batch.column("id").to_numpy(), batch.column("group").to_numpy()
+            ids = batch.column("id").to_numpy()
             sketch = (batch.column("node").to_numpy().view(np.uint64) >> np.uint64(32)).astype("<u4")
             short = batch.column("tables").flatten().to_numpy().reshape(-1, tables)
             edges = sorted({*range(0, len(ids), NODES_AT_ONCE), len(ids)})
@@ -222,7 +230,7 @@ def bucket_messages(nodes: DataFrame, tables: int, bits: int, owner_bits: int) -
                 for x, y in zip(low, np.append(low[1:], len(keys))):
                     # The texts of this message alone, numbered anew.
                     own, place = np.unique(places[x:y], return_inverse=True)
-                    known = zlib.compress(np.stack([np.diff(ids[a:b][own], prepend=0), groups[a:b][own] - ids[a:b][own]]).tobytes(), 1)
+                    known = zlib.compress(np.diff(ids[a:b][own], prepend=0).tobytes(), 1)
                     start = int(owner[x]) << max(width - owner_bits, 0)
                     k = max(1, (2 ** max(width - owner_bits, 0) // int(y - x)).bit_length())
                     rows.append((int(owner[x]), start, int(y - x), k, *golomb_encode(keys[x:y] - np.uint64(start), k), place.astype("<u2").tobytes(), sketch[a:b][own].tobytes(), known))
@@ -230,45 +238,101 @@ def bucket_messages(nodes: DataFrame, tables: int, bits: int, owner_bits: int) -
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["owner", "start", "n", "k", "quotients", "remainders", "places", "sketches", "groups"])
 
     schema = "owner int, start long, n int, k int, quotients binary, remainders binary, places binary, sketches binary, groups binary"
-    return nodes.select("id", "node", "tables", "group").mapInArrow(send, schema)
+    return nodes.select("id", "node", "tables").mapInArrow(send, schema)
+
+
+class Forest:
+    """Trees of numbered texts: an edge is taken if it joins two of them."""
+
+    def __init__(self, n: int):
+        self.above = list(range(n))
+
+    def root(self, i: int) -> int:
+        above = self.above
+        while above[i] != i:
+            above[i] = i = above[above[i]]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.root(i), self.root(j)
+        self.above[max(i, j)] = min(i, j)
+        return i != j
 
 
-def candidates(nodes: DataFrame, tables: int, bits: int, similarity: float, neighbours: int) -> DataFrame:
-    """Distinct (u, v) of ids of other groups that meet in a bucket and whose first bits differ in no more places than similar texts' do."""
+def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b)
+
+
+def spanning(sketches: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Edges (of members) that span the pairs of one bucket with at most so many differing bits, found outward from its first member."""
+    left, edges = np.arange(len(sketches)), []
+    while len(left):
+        found, left = [left[0]], left[1:]
+        while found and len(left):
+            here = found.pop()
+            near = apart(sketches[left], sketches[here]) <= most
+            edges += [(int(i), int(here)) for i in left[near]]
+            found += left[near].tolist()
+            left = left[~near]
+    return edges
+
+
+def candidates(nodes: DataFrame, tables: int, bits: int, similarity: float) -> DataFrame:
+    """Distinct (u, v, apart: their differing first bits, sure) of ids that meet in a bucket: those that span the pairs of at most SURE differing first bits, and of others that similar texts may have those of two trees."""
     most = most_bits(32, similarity)
     owner_bits = min((tables - 1).bit_length() + bits, (2 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
     def meet(table: pa.Table) -> pa.Table:
-        buckets, ids, sketches, groups = [], [], [], []
+        buckets, ids, sketches, at, known = [], [], [], [], 0
         for r in table.to_pylist():
-            places = np.frombuffer(r["places"], "<u2").astype(np.int64)
             buckets.append(golomb_decode(r["n"], r["k"], r["quotients"], r["remainders"]) + np.uint64(r["start"]))
-            known = np.frombuffer(zlib.decompress(r["groups"]), np.int64).reshape(2, -1)
-            own = np.cumsum(known[0])
-            ids.append(own[places])
-            sketches.append(np.frombuffer(r["sketches"], "<u4")[places])
-            groups.append((own + known[1])[places])
-        buckets, ids, sketches, groups = map(np.concatenate, (buckets, ids, sketches, groups))
-        if neighbours:  # the first members of each group in each bucket
-            order = np.lexsort((ids, groups, buckets))
-            b, g = buckets[order], groups[order]
-            runs = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (g[1:] != g[:-1])))
-            few = order[np.arange(len(b)) - np.repeat(runs, np.diff(np.append(runs, len(b)))) < GROUP_IN_BUCKET]
-            buckets, ids, sketches, groups = buckets[few], ids[few], sketches[few], groups[few]
-        order = np.lexsort((ids, sketches, buckets)) if neighbours else np.lexsort((ids, buckets))
-        buckets, ids, sketches, groups = buckets[order], ids[order], sketches[order], groups[order]
+            ids.append(np.cumsum(np.frombuffer(zlib.decompress(r["groups"]), np.int64)))
+            sketches.append(np.frombuffer(r["sketches"], "<u4"))
+            at.append(np.frombuffer(r["places"], "<u2").astype(np.int64) + known)
+            known += len(ids[-1])
+        # Numbers in the order of ids: a text of several messages has one.
+        ids, number = np.unique(np.concatenate(ids), return_inverse=True)
+        kept = np.zeros(len(ids), np.uint32)
+        kept[number] = np.concatenate(sketches)
+        buckets, sketches, at = np.concatenate(buckets), kept, number[np.concatenate(at)]
+        order = np.lexsort((at, buckets))
+        buckets, at = buckets[order], at[order]
         firsts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
-        first = np.repeat(firsts, np.diff(np.append(firsts, len(ids))))
-        here, found = np.arange(len(ids)), []
-        for other in (first, *(np.maximum(here - k, first) for k in range(1, neighbours + 1))):
-            near = (other < here) & (groups != groups[other]) & (np.bitwise_count(sketches ^ sketches[other]) <= most)
-            a, b = ids[near], ids[other[near]]
-            found.append(np.stack([np.maximum(a, b), np.minimum(a, b)], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"u": pairs[:, 0], "v": pairs[:, 1]})
+        sizes = np.diff(np.append(firsts, len(at)))
+        first, small = np.repeat(firsts, sizes), np.repeat(sizes <= SMALL_BUCKET, sizes)
+        large = [at[f : f + n] for f, n in zip(firsts[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET])]
+
+        def beside_each_other() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for k in range(1, SMALL_BUCKET):
+                here = np.flatnonzero(small[k:] & (first[k:] <= np.arange(len(at) - k))) + k
+                yield at[here], at[here - k]
+
+        sure = [np.zeros((0, 2), np.int64)]
+        for a, b in beside_each_other():
+            near = apart(sketches[a], sketches[b]) <= SURE
+            sure.append(np.stack([a[near], b[near]], axis=1))
+        sure += [m[np.array(edges)] for m in large if (edges := spanning(sketches[m], SURE))]
+        sure = np.unique(np.sort(np.concatenate(sure), axis=1), axis=0)
+        # The nearest first: those are the likeliest to be similar, and owners mostly choose the same.
+        sure = sure[np.lexsort((sure[:, 1], sure[:, 0], apart(sketches[sure[:, 0]], sketches[sure[:, 1]])))]
+        trees = Forest(len(ids))
+        sure = np.array([(a, b) for a, b in sure.tolist() if trees.join(a, b)], np.int64).reshape(-1, 2)
+        tree = np.array([trees.root(i) for i in range(len(ids))])
+        weak = [np.zeros((0, 2), np.int64)]
+        for a, b in beside_each_other():
+            near = (tree[a] != tree[b]) & (apart(sketches[a], sketches[b]) <= most)
+            weak.append(np.stack([a[near], b[near]], axis=1))
+        for m in large:
+            for i in range(1, len(m)) if (tree[m] != tree[m[0]]).any() else ():
+                near = m[:i][(tree[m[:i]] != tree[m[i]]) & (apart(sketches[m[:i]], sketches[m[i]]) <= most)]
+                weak.append(np.stack([near, np.full(len(near), m[i])], axis=1))
+        weak = np.unique(np.sort(np.concatenate(weak), axis=1), axis=0)
+        pairs = np.concatenate([sure, weak])
+        differ, pairs = apart(sketches[pairs[:, 0]], sketches[pairs[:, 1]]), ids[pairs]
+        return pa.table({"u": pairs[:, 1], "v": pairs[:, 0], "apart": differ.astype(np.int32), "sure": np.arange(len(pairs)) < len(sure)})
 
     sent = bucket_messages(nodes, tables, bits, owner_bits)
-    return sent.groupBy("owner").applyInArrow(meet, "u long, v long").distinct()
+    return sent.groupBy("owner").applyInArrow(meet, "u long, v long, apart int, sure boolean").groupBy("u", "v").agg(F.first("apart").alias("apart"), F.max("sure").alias("sure"))
 
 
 def beside(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
@@ -280,20 +344,27 @@ def beside(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(u, v, apart): the pairs whose prints differ in no more bits (apart) than those of similar texts do."""
+    """The pairs (u, v, apart) whose prints differ in no more bits than those of similar texts do."""
 
     @trimmed
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-                apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int32)
-                rows = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(apart)], ["u", "v", "apart"])
-                yield rows.filter(pa.array(apart <= most_bits(8 * a.shape[1], similarity)))
+                a, b = (matrix(batch.column(i)) for i in (3, 4))
+                stays = apart(a, b).sum(1, dtype=np.int32) <= most_bits(64 * a.shape[1], similarity)
+                yield pa.RecordBatch.from_arrays(batch.columns[:3], ["u", "v", "apart"]).filter(pa.array(stays))
 
     return beside(pairs, nodes, "print").mapInArrow(compare, "u long, v long, apart int")
 
 
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted sets have that much in common: intersection over union."""
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
 def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
     """The pairs whose texts' sets of shingles are that similar."""
 
@@ -303,8 +374,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, similarity: float) -
             stays = []
             for i in range(batch.num_rows):
                 x, y = (shingles(folded(batch.column(c).slice(i, 1))[0].as_buffer().to_pybytes(), size) for c in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                stays.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+                stays.append(similar(x, y, similarity))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(stays, pa.bool_()))
 
     return materialise(beside(pairs.select("u", "v"), texts, "text").mapInArrow(exact, "u long, v long"), "near-links")
@@ -320,25 +390,68 @@ def texts_of(nodes: DataFrame, pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return materialise(met.select("id", "text").dropDuplicates(["id"]), "near-texts")  # rows that repeat id and text
 
 
-def through_hubs(near: DataFrame, links: DataFrame, groups: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs (u, v) of other groups yet to be tested: a text and the hub of one that it is nearly like.
+def in_blocks(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (id, group, cluster, bytes; clusters of several groups) with their pack, part and slot, and the pairs of such blocks that are to meet.
 
-    Copies of one text that are edited apart are like that text but not each other; they
-    meet each other in buckets, and one whose link is known leads the others to it.
-    A text's hub is its linked text with the most links.
+    A pack is a large cluster, or small ones together; a group of BLOCK or more texts
+    is a part of its own, whose blocks meet those of the other parts only.
     """
-    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    degrees = both.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-    hubs = both.join(degrees, "v").groupBy("u").agg(F.max_by("v", F.struct("n", "v")).alias("hub"))
-    # Only pairs whose texts were not similar and that no other links brought together.
-    failed = near.select("u", "v").join(links.select("u", "v"), ["u", "v"], "left_anti")
-    for c in "uv":
-        failed = failed.join(groups.select(F.col("node").alias(c), F.col("component").alias(f"group_{c}")), c, "left")
-    apart = failed.where(~F.coalesce("group_u", "u").eqNullSafe(F.coalesce("group_v", "v"))).select("u", "v")
-    crossed = apart.union(apart.select(F.col("v").alias("u"), F.col("u").alias("v"))).join(hubs, "u")
-    # A hub is in the group of the text that leads to it, so that v is in another.
-    pairs = crossed.select(F.greatest("v", "hub").alias("u"), F.least("v", "hub").alias("v")).distinct()
-    return pairs.join(tested, ["u", "v"], "left_anti")
+    n, size = (x or 0 for x in members.agg(F.count(F.lit(1)), F.sum("bytes")).first())
+    packs = 1 + max(n // BLOCK, size // BLOCK_BYTES)
+    of_cluster = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    small = -1 - F.pmod(F.xxhash64("cluster"), F.lit(packs))  # ids are never negative
+    packed = members.join(of_cluster, "cluster").withColumn("pack", F.when(F.col("n") < BLOCK // 8, small).otherwise(F.col("cluster"))).drop("n")
+    large = packed.groupBy("group").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BLOCK).select("group", F.col("group").alias("part"))
+    parted = packed.join(large, "group", "left").withColumn("part", F.coalesce("part", F.lit(-1)))
+    slots = parted.groupBy("pack", "part").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES), F.lit(1)).alias("slots"))
+    placed = materialise(parted.join(slots, ["pack", "part"]).select("id", "group", "pack", "part", F.pmod(F.xxhash64("id"), "slots").alias("slot")), "blocks")
+    blocks = placed.select("pack", F.struct("part", "slot").alias("a")).distinct()
+    meet = blocks.join(blocks.withColumnRenamed("a", "b"), "pack").where("a <= b and not (a.part = b.part and a.part >= 0)")
+    return placed, meet
+
+
+def across_groups(near: DataFrame, links: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (u, v) that join the groups of ``links`` within the clusters of ``near``: every near pair of other groups is tested, save those that found links join already."""
+    of = lambda pairs, name: components(pairs.select("u", "v")).select(F.col("node").alias("id"), F.col("component").alias(name))
+    members = of(near, "cluster").join(of(links, "group"), "id", "left").withColumn("group", F.coalesce("group", "id"))
+    several = members.groupBy("cluster").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("cluster")
+    members = materialise(members.join(several, "cluster").join(texts.select("id", F.octet_length("text").alias("bytes")), "id"), "cluster-members")
+    placed, meet = in_blocks(members)
+    side = lambda c, second: F.struct(F.col(f"{c}.part").alias("part"), F.col(f"{c}.slot").alias("slot"), F.lit(second).alias("second"))
+    sides = meet.select("pack", "a", "b", F.inline(F.when(F.col("a") == F.col("b"), F.array(side("a", False))).otherwise(F.array(side("a", False), side("b", True)))))
+    whole = materialise(placed.join(nodes.select("id", "print"), "id").join(texts, "id"), "block-texts")
+    shared = sides.join(whole, ["pack", "part", "slot"]).select("pack", "a", "b", "second", "id", "group", "print", "text")
+
+    def test(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("second", "ascending"), ("id", "ascending")])
+        n, ids, prints, texts = table.num_rows, table.column("id").to_numpy(), matrix(table.column("print")), table.column("text")
+        _, first, group = np.unique(table.column("group").to_numpy(), return_index=True, return_inverse=True)
+        trees, found, most = Forest(n), [], most_bits(64 * prints.shape[1], similarity)
+        for i, f in enumerate(first[group].tolist()):
+            trees.join(i, f)
+        sets = [shingles(t.as_buffer().to_pybytes(), size) for chunk in texts.chunks for t in folded(chunk)]
+        sizes = np.array([len(x) for x in sets])
+        ends, of = np.append(0, np.cumsum(sizes)), np.repeat(np.arange(n), sizes)
+        values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        here = np.zeros(len(values), bool)
+        second = np.flatnonzero(table.column("second").to_numpy())
+        for i in range(second[0] if len(second) else n):
+            start = second[0] if len(second) else i + 1
+            near = start + np.flatnonzero(apart(prints[start:], prints[i]).sum(1, dtype=np.int32) <= most)
+            root = trees.root(i)
+            near = np.array([j for j in near.tolist() if trees.root(j) != root], np.int64)
+            if len(near):
+                mine = codes[ends[i] : ends[i + 1]]
+                here[mine] = True
+                both = np.bincount(of[ends[start] :][here[codes[ends[start] :]]], minlength=n)[near]
+                here[mine] = False
+                for j in near[both >= similarity * (sizes[i] + sizes[near] - both) - 1e-9].tolist():
+                    if trees.join(i, j):
+                        found.append((ids[i], ids[j]))
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.table({"u": pairs.max(1), "v": pairs.min(1)})
+
+    return materialise(shared.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pack", "a", "b").groupBy("pack", "a", "b").applyInArrow(test, "u long, v long"), "near-links")
 
 
 def similar_groups(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -348,30 +461,13 @@ def similar_groups(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float
     # Of rows with equal sets of shingles any will do: they are one node.
     nodes = known.groupBy("node").agg(F.min(F.struct("digest", "doc_id")).alias("row"), F.min("tables").alias("tables"), F.min("print").alias("print"))
     nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "sketch-nodes")
-
-    def linked_by(met: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Of the pairs those with near prints, and of these those with similar texts."""
-        near = materialise(alike(met, nodes, similarity), "near-pairs")
-        return near.select("u", "v"), verified(near, texts_of(nodes, near, docs), size, similarity)
-
-    def met_by(nodes: DataFrame, neighbours: int) -> DataFrame:
-        return materialise(candidates(nodes, tables, bits, similarity, neighbours), "candidates", NODES_AT_ONCE)
-
-    near, links = linked_by(met_by(nodes.withColumn("group", F.col("id")), 0))
-    groups = components(links).select(F.col("node").alias("id"), F.col("component").alias("group"))
-    grouped = materialise(nodes.join(groups, "id", "left").withColumn("group", F.coalesce("group", "id")).repartitionByRange("id").sortWithinPartitions("id"), "grouped-nodes")
-    more, second = linked_by(met_by(grouped, NEIGHBOURS))
-    near, links = near.union(more), links.union(second)
-    tested = near
-    while True:
-        found = components(links)
-        met = materialise(through_hubs(near, links, found, tested), "hub-pairs")
-        if met.isEmpty():
-            break
-        more, new = linked_by(met)
-        near, links, tested = near.union(more), links.union(new), tested.union(met)
-        if new.isEmpty():
-            break
+    met = materialise(candidates(nodes, tables, bits, similarity), "candidates", NODES_AT_ONCE)
+    near = materialise(met.where("sure").drop("sure").union(alike(met.where("not sure").drop("sure"), nodes, similarity)), "near-pairs")
+    texts = texts_of(nodes, near, docs)
+    # Of each text the pair with the nearest and with the least, so that groups are found by pairs as few as the texts.
+    first = near.groupBy("u").agg(F.min("v").alias("least"), F.min_by("v", F.struct("apart", "v")).alias("nearest"))
+    links = verified(first.select("u", F.explode(F.array_distinct(F.array("least", "nearest"))).alias("v")), texts, size, similarity)
+    found = components(links.union(across_groups(near, links, nodes, texts, size, similarity)))
     of_node = nodes.select("node", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("node", F.coalesce("component", "id").alias("component"))
     return known.select("doc_id", "digest", "node").join(of_node, "node").select("doc_id", "digest", "component")
 

@@ -239,6 +239,29 @@ def test_the_stage_finds_copies_that_are_alike_through_one_text_only(spark):
     assert left == {5, 10_005, *(r[0] for r in rows)}
 
 
+@pytest.mark.parametrize("block", [16, 1024])
+def test_the_stage_finds_the_one_pair_that_joins_two_large_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    texts, joined = [], []
+    for family in range(6):
+        words = [f"f{family}w{x}" for x in rng.integers(0, 3000, 200)]
+        for half in range(2):
+            core = list(words)
+            for at in (20, 60) if half else (100, 140):
+                core[at] = f"half{half}"
+            joined.append((len(texts), " ".join(core)))
+            texts.append(joined[-1])
+            for _ in range(60):
+                copy = list(core)
+                copy[rng.integers(150, 190)] = f"edited{rng.integers(0, 10**9)}"
+                texts.append((len(texts), " ".join(copy)))
+    assert similarity_by_hand(texts[0][1], texts[61][1]) >= 0.8 > max(similarity_by_hand(texts[0][1], texts[62][1]), similarity_by_hand(texts[1][1], texts[61][1]), similarity_by_hand(texts[1][1], texts[62][1]))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    left = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert left == {0, 122, 244, 366, 488, 610}
+
+
 def test_messages_carry_their_own_texts_only(spark):
     """What a text costs hardly grows with the number of owners."""
     rng = np.random.default_rng(7)
