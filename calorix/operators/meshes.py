@@ -12,6 +12,8 @@ from calorix.operators.prefix import running
 from calorix.sources.stage import written
 
 CAP = 20_000
+#: Corners up to which a mesh is welded in one task, and meshes above that whose keys may be broadcast.
+LARGE, BROADCAST_MESHES = 1_000_000, 100_000
 
 
 def with_geometry(triangles: DataFrame) -> DataFrame:
@@ -58,11 +60,24 @@ def _place(columns: tuple[str, str, str], digits: int) -> Column:
 
 
 def welded(corners: DataFrame, mesh: str, order: str, digits: int = 5) -> DataFrame:
-    """Corners with ``vertex``: equal rounded places share an id, in order of first appearance within the mesh, however large it is."""
-    placed = corners.withColumn("__at", _place(("x", "y", "z"), digits))
+    """Corners with ``vertex``: equal rounded places share an id, in order of first appearance within the mesh, however large it is.
+
+    Corners are dealt by mesh once; only meshes of more than LARGE corners are spread over tasks.
+    """
+    at = lambda rows: rows.withColumn("__at", _place(("x", "y", "z"), digits))
+    large = written(corners.groupBy(mesh).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE).select(mesh), "large-meshes")
+    n_large = large.count()
+    keys = F.broadcast(large) if n_large <= BROADCAST_MESHES else large
+    small = corners.join(keys, mesh, "left_anti") if n_large else corners
+    first = at(small.repartition(mesh)).withColumn("__first", F.min(order).over(Window.partitionBy(mesh, "__at")))
+    whole = first.withColumn("vertex", F.dense_rank().over(Window.partitionBy(mesh).orderBy("__first")) - 1).drop("__at", "__first")
+    if not n_large:
+        return whole
+    placed = at(corners.join(keys, mesh, "left_semi"))
     first = placed.groupBy(mesh, "__at").agg(F.min(order).alias("__first"))
     ids = running(first.select(mesh, "__first").distinct(), ("__first",), by=(mesh,)).select(mesh, "__first", F.col("place").cast("int").alias("vertex"))
-    return placed.join(first.join(ids, [mesh, "__first"]).drop("__first"), [mesh, "__at"]).drop("__at")
+    spread = placed.join(first.join(ids, [mesh, "__first"]).drop("__first"), [mesh, "__at"]).drop("__at")
+    return whole.unionByName(spread)
 
 
 def terrain(spark: SparkSession, radius: float, step: float) -> tuple[DataFrame, DataFrame]:

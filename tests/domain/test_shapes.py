@@ -92,3 +92,19 @@ def test_convex_rings_are_resolved_together():
         assert area == pytest.approx(wanted["area"], abs=1e-9)
         ((got,),), ((ring,),) = ([[polygons.points(r) for r in p] for p in parts], wanted["parts"])
         assert np.allclose(got, ring, atol=1e-6), "the same corners from the same start"
+
+
+def test_only_large_meshes_are_welded_over_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(m, s, *map(float, rng.integers(0, 2, 3))) for m, n in ((1, 12), (2, 3), (3, 30), (4, 1)) for s in range(n)]
+    corners = spark.createDataFrame(rows, "mesh_id long, seq int, x double, y double, z double").repartition(3)
+    want, seen = {}, {}
+    for m, s, *at in rows:
+        of = seen.setdefault(m, {})
+        want[m, s] = of.setdefault(tuple(at), len(of))
+    found = lambda: {(r["mesh_id"], r["seq"]): r["vertex"] for r in meshes.welded(corners, "mesh_id", "seq").collect()}
+    calls, running = [], meshes.running
+    monkeypatch.setattr(meshes, "running", lambda *a, **k: calls.append(1) or running(*a, **k))
+    assert found() == want and not calls, "small meshes are dealt by mesh alone"
+    monkeypatch.setattr(meshes, "LARGE", 10)
+    assert found() == want and calls
