@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 from calorix.sources.stage import written
 
 BUCKETS = 64
+#: Changed keys up to which they are broadcast (8 bytes each); more are joined by shuffle.
+BROADCAST_KEYS = 500_000
 
 
 def versions(items: DataFrame, key: str) -> DataFrame:
     """key and version: number of rows and two sums over their hashes, so that repeated rows count."""
     row = F.struct(*sorted(items.columns))
-    low, high = (F.sum(F.xxhash64(row, F.lit(seed)).cast("decimal(38,0)")) for seed in (1, 2))
-    return items.groupBy(key).agg(F.sha2(F.concat_ws(":", F.count(F.lit(1)), low, high), 256).alias("version"))
+    # Halves of hashes, whose sums stay far from a long's end.
+    halves = [F.sum(h) for seed in (1, 2) for h in (F.shiftright(F.xxhash64(row, F.lit(seed)), 32), F.xxhash64(row, F.lit(seed)).bitwiseAND(F.lit(0xFFFFFFFF)))]
+    return items.groupBy(key).agg(F.md5(F.concat_ws(":", F.count(F.lit(1)), *halves)).alias("version"))
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -38,28 +41,31 @@ def refresh(items: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame
     without results is kept as a key that is up to date.
     """
     spark = items.sparkSession
-    now = written(versions(items, key).withColumn("bucket", F.pmod(F.hash(key), F.lit(buckets))), "versions")
-    before = stored(spark, path)
+    bucket = F.pmod(F.hash(key), F.lit(buckets)).alias("bucket")
+    before, now = stored(spark, path), versions(items, key)
+    replace = lambda rows: rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
     if before is None:
-        stale, gone, kept = now.select(key), None, None
+        # All are stale: nothing is looked up, and the store is written at once.
+        now = written(now, "versions")
+        known = now.where(F.col(key).isNotNull())
+        if not known.isEmpty():
+            replace(known.join(compute(items), key, "left").withColumn("bucket", bucket))
+        stale = now.select(key)
     else:
-        old = before.select(F.col(key).alias("__key"), F.col("version").alias("__version"), F.col("bucket").alias("__bucket")).distinct()
-        both = written(now.join(old, now[key].eqNullSafe(F.col("__key")), "full"), "compared")
-        gone = both.where("version is null").select(F.col("__bucket").alias("bucket")).distinct()
-        stale = both.where("version is not null and not (version <=> __version)").select(key)
-    stale = written(stale, "stale")
-    touched = now.join(stale, key, "left_semi").select("bucket").distinct()
-    touched = written(touched.unionByName(gone).distinct() if gone is not None else touched, "touched")
-    if not touched.isEmpty():
-        fresh = compute(items.join(stale, key, "left_semi"))
-        rows = now.join(stale, key, "left_semi").join(fresh, key, "left")
-        if before is not None:
+        old = before.select(F.col(key).alias("__key"), F.col("version").alias("__version")).distinct()
+        both = now.withColumn("__here", F.lit(True)).join(old, now[key].eqNullSafe(F.col("__key")), "full")
+        differ = both.where("__here is null or not (version <=> __version)").select(F.coalesce(key, "__key").alias(key), "version", F.col("__here").isNotNull().alias("__here"))
+        changed = written(differ.withColumn("bucket", bucket), "changed")
+        few = F.broadcast if changed.count() <= BROADCAST_KEYS else lambda rows: rows
+        stale = changed.where("__here").select(key)
+        touched = changed.where(F.col(key).isNotNull()).select("bucket").distinct()
+        if not touched.isEmpty():
+            fresh = compute(items.join(few(stale), key, "left_semi"))
+            rows = changed.where(F.col("__here") & F.col(key).isNotNull()).drop("__here").join(fresh, key, "left")
             # The other groups of these buckets go with them, unless they vanished.
-            kept = before.join(touched, "bucket", "left_semi").join(now.select(key, "version"), [key, "version"], "left_semi")
-            rows = rows.unionByName(kept)
-        rows = written(rows, "refreshed")
-        rows.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-        if gone is not None:
+            kept = before.join(F.broadcast(touched), "bucket", "left_semi").join(few(changed.select(key)), key, "left_anti")
+            rows = written(rows.unionByName(kept), "refreshed")
+            replace(rows)
             emptied = [r["bucket"] for r in touched.join(rows.select("bucket").distinct(), "bucket", "left_anti").collect()]  # of BUCKETS at most
             for b in emptied:
                 root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")

@@ -32,3 +32,15 @@ def test_only_stale_groups_are_computed(spark, tmp_path):
     assert now & set(files), "buckets without a change are not written"
     result, _ = refresh.refresh(changed.where("m = 3"), "m", compute, path, 8)
     assert [r["m"] for r in result.collect()] == [3] and len(seen) == 2 or seen[2:] == [[]]
+
+
+def test_a_first_run_looks_no_keys_up_and_keys_may_be_null(spark, tmp_path, monkeypatch):
+    names, written = [], refresh.written
+    monkeypatch.setattr(refresh, "written", lambda df, name="step": names.append(name) or written(df, name))
+    base = spark.range(30).selectExpr("if(id % 5 = 4, null, id % 5) as m", "id as v")
+    compute = lambda items: items.groupBy("m").agg(F.sum("v").alias("total"))
+    result, _ = refresh.refresh(base, "m", compute, f"file://{tmp_path}/store", 4)
+    assert names == ["versions"] and {r["m"] for r in result.collect()} == {0, 1, 2, 3}
+    result, stale = refresh.refresh(base.withColumn("v", F.when(F.col("m") == 2, F.col("v") * 2).otherwise(F.col("v"))), "m", compute, f"file://{tmp_path}/store", 4)
+    assert {r["m"]: r["total"] for r in result.collect()} == {0: 75, 1: 81, 2: 174, 3: 93}
+    assert 2 in {r["m"] for r in stale.collect()}
