@@ -158,9 +158,11 @@ def with_pieces(triangles: DataFrame, digits: int = 5) -> DataFrame:
     """
     place = lambda i: F.struct(*[F.floor(F.col(f"{c}{i}") * 10**digits + 0.5).alias(c) for c in "xyz"])
     sides = F.array(*[F.struct(F.least(place(i), place(j)).alias("a"), F.greatest(place(i), place(j)).alias("b")) for i, j in ((0, 1), (1, 2), (2, 0))])
-    edges = triangles.select("mesh_id", "tri_id", F.explode(sides).alias("edge")).where("edge.a <> edge.b")
-    first = edges.groupBy("mesh_id", "edge").agg(F.min("tri_id").alias("v"), F.max("tri_id").alias("last")).where("v < last").drop("last")
-    links = written(edges.join(first, ["mesh_id", "edge"]).where("tri_id > v").select("mesh_id", F.col("tri_id").alias("u"), "v").distinct())
+    # Triangles are dealt by mesh once, so that neither their edges nor equal edges are dealt again.
+    dealt = triangles.select("mesh_id", "tri_id", *[f"{c}{i}" for i in range(3) for c in "xyz"]).repartition("mesh_id")
+    edges = dealt.select("mesh_id", "tri_id", F.explode(sides).alias("edge")).where("edge.a <> edge.b")
+    least = edges.withColumn("v", F.min("tri_id").over(Window.partitionBy("mesh_id", "edge")))
+    links = written(least.where("tri_id > v").select("mesh_id", F.col("tri_id").alias("u"), "v").distinct())
 
     def to_least(pairs: DataFrame) -> DataFrame:
         least = pairs.groupBy("mesh_id", "u").agg(F.min("v").alias("m")).select("mesh_id", "u", F.least("u", "m").alias("m"))
@@ -173,6 +175,8 @@ def with_pieces(triangles: DataFrame, digits: int = 5) -> DataFrame:
         links = written(met.where("v <> m").select("mesh_id", F.col("v").alias("u"), F.col("m").alias("v")).union(met.select("mesh_id", "u", F.col("m").alias("v"))).distinct())
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("mesh_id", "u", "v").cast("decimal(38,0)"))).first()
     found = links.select("mesh_id", F.col("u").alias("tri_id"), F.col("v").alias("__piece"))
+    if not state[0]:  # no edge is shared
+        return triangles.withColumn("piece", F.col("tri_id"))
     return triangles.join(found, ["mesh_id", "tri_id"], "left").withColumn("piece", F.coalesce("__piece", "tri_id")).drop("__piece")
 
 
@@ -195,14 +199,14 @@ def with_rounds(triangles: DataFrame, longest: float, max_rounds: int = 20) -> t
     """
     a, b, c = (geometry.corner(i) for i in range(3))
     edge = F.greatest(*[geometry.norm(geometry.minus(p, q)) for p, q in ((a, b), (b, c), (c, a))])
-    pieces = triangles.groupBy("mesh_id", "piece").agg(F.max(edge).alias("__edge"))
-    pieces = pieces.select("mesh_id", "piece", F.greatest(F.lit(0), F.ceil(F.log2(F.col("__edge") / longest))).cast("int").alias("rounds"))
-    out = triangles.join(pieces, ["mesh_id", "piece"])
+    rounds = F.greatest(F.lit(0), F.ceil(F.log2(F.max("__edge").over(Window.partitionBy("mesh_id", "piece")) / longest))).cast("int")
+    long = lambda rows: rows.repartition("mesh_id").withColumn("rounds", rounds).drop("__edge")
+    out = long(triangles.withColumn("__edge", edge))
     # A round needs four times all triangles to be under the cap, cut or not.
-    last = out.groupBy("mesh_id").agg(F.max("rounds").alias("last"))
+    light = long(triangles.select("mesh_id", "piece", edge.alias("__edge"))).withColumn("last", F.max("rounds").over(Window.partitionBy("mesh_id")))
     ahead = F.when(F.col("last") > 0, 4 * F.pow(F.lit(4.0), F.least("rounds", F.col("last") - 1))).otherwise(0.0)
     alone = F.when(F.col("last") > 0, (F.pow(F.lit(2.0), "rounds") + 1) * (F.pow(F.lit(2.0), "rounds") + 2) / 2).otherwise(0.0)
-    sums = out.select("mesh_id", "rounds").join(last, "mesh_id").groupBy("mesh_id").agg(F.max("rounds").alias("rounds"), F.sum(ahead).alias("n"), F.sum(alone).alias("v"))
+    sums = light.groupBy("mesh_id").agg(F.max("rounds").alias("rounds"), F.sum(ahead).alias("n"), F.sum(alone).alias("v"))
     most, largest, corners = (x or 0 for x in sums.agg(F.max("rounds"), F.max("n"), F.max("v")).first())
     if most >= max_rounds:
         raise ValueError(f"edges are too long after {max_rounds} rounds")

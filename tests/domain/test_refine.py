@@ -66,3 +66,11 @@ def test_inner_edges_of_faces_with_the_same_corners(spark, tmp_path):
     ((*wanted,),) = con.execute(mesh_queries.ORACLES["refine_index"]).fetchall()
     assert list(found) == wanted
     assert found["n_edges"] == 6 + 2 * 3
+
+
+def test_loose_triangles_are_dealt_by_mesh_once(spark):
+    rows = [(m, t, *[float(10 * t + v) for v in (0, 0, 0, 3, 0, 0, 0, 6, 0)]) for m in range(3) for t in range(4)]
+    loose = spark.createDataFrame(rows, "mesh_id long, tri_id int, " + ", ".join(f"{c}{i} double" for i in range(3) for c in "xyz"))
+    out = meshes.with_geometry(meshes.refined(meshes.with_pieces(loose), 4.0)).groupBy("mesh_id", "piece").agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"))
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted((r["mesh_id"], r["piece"], r["n"], round(r["area"], 6)) for r in out.collect()) == [(m, t, 4, 9.0) for m in range(3) for t in range(4)]
