@@ -20,10 +20,12 @@ short SimHashes of independent bits; the number and length of these follow from
 the number of texts and the share of pairs to be found (``tables_for``).  Variants
 travel as messages: a block of texts sends each owner (a range of buckets) its
 sorted, Golomb-coded variants.  Of the pairs that meet there
-and whose first bits are very near an owner keeps a spanning forest; of pairs that are
-less near it keeps those of two trees, which are then compared by their long SimHashes.
-Both make clusters, in which all near pairs that meet somewhere lie; so no pairs of a
-large group are written out.  Each text is verified with the nearest and
+and whose sketches (SKETCH bits) are very near an owner keeps a spanning forest.  Texts
+with less near ones of other trees it names with the buckets where they meet those;
+once more dealt by owner, with their long SimHashes, they give a forest of the pairs whose
+long ones are near as well.  Both forests make clusters, in which all near pairs that
+meet somewhere lie; an owner writes each of its texts once or twice and no pairs of a
+group.  Each text is verified with the nearest and
 the least it is kept with, which makes groups.
 In a cluster of more than one group all pairs of other groups with near long SimHashes
 are then tested, by blocks: a task holds two blocks of a cluster (about BLOCK texts and
@@ -35,7 +37,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -61,8 +63,8 @@ MISSED = 0.03
 NODES_AT_ONCE = 8192
 #: Texts and bytes of text of a block that meets the other blocks of its cluster.
 BLOCK, BLOCK_BYTES = 1024, 8 << 20
-#: Differing bits, of the first 32, up to which a pair is in one cluster without a look at its long SimHashes (one unrelated pair in 100 000).
-SURE = 4
+#: Bits of the long SimHash that messages carry (its first 32 and its last), and differing ones up to which a pair is in one cluster without a look at the rest (one unrelated pair in 100 000).
+SKETCH, SURE = 48, 9
 #: Members of a bucket up to which all its pairs are compared at once.
 SMALL_BUCKET = 8
 #: Standard deviations above the expected differing bits at which a pair is no candidate.
@@ -178,7 +180,7 @@ def wide_print(hashes: np.ndarray, longs: int) -> np.ndarray:
 
 def sketches(docs: DataFrame, size: int, tables: int, bits: int) -> DataFrame:
     """doc_id, digest, node (32 SimHash bits before 32 of the set's hash), tables (the short SimHashes) and print (all bits) of every row."""
-    longs = -(-(32 + tables * bits) // 64)
+    longs = -(-(SKETCH + tables * bits) // 64)
     weights = 1 << np.arange(bits, dtype=np.int64)
 
     @trimmed
@@ -203,6 +205,25 @@ def matrix(prints: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(prints.to_pylist()), np.uint64).reshape(len(prints), -1)
 
 
+def short_sketches(prints: pa.Array) -> np.ndarray:
+    """SKETCH bits of each print, a row of bytes: its first 32 bits and its last, none of which are a table's."""
+    rows = matrix(prints).view(np.uint8)
+    return np.concatenate([rows[:, :4], rows[:, 4 - SKETCH // 8 :]], axis=1)
+
+
+def as_longs(sketches: np.ndarray) -> np.ndarray:
+    return np.pad(sketches, ((0, 0), (0, 8 - SKETCH // 8))).view(np.uint64)[:, 0]
+
+
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Sorted ids: their gaps, all low bytes first, compressed."""
+    return zlib.compress(np.diff(ids, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def unpacked_ids(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view(np.int64)[:, 0])
+
+
 def bucket_messages(nodes: DataFrame, tables: int, bits: int, owner_bits: int) -> DataFrame:
     """Each block's variants to the owners of their buckets: coded buckets, numbers of the texts, and the bits and ids (``groups``) of the texts that occur.
 
@@ -216,7 +237,7 @@ def bucket_messages(nodes: DataFrame, tables: int, bits: int, owner_bits: int) -
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy()
-            sketch = (batch.column("node").to_numpy().view(np.uint64) >> np.uint64(32)).astype("<u4")
+            sketch = short_sketches(batch.column("print"))
             short = batch.column("tables").flatten().to_numpy().reshape(-1, tables)
             edges = sorted({*range(0, len(ids), NODES_AT_ONCE), len(ids)})
             for a, b in zip(edges, edges[1:]):
@@ -230,7 +251,7 @@ def bucket_messages(nodes: DataFrame, tables: int, bits: int, owner_bits: int) -
                 for x, y in zip(low, np.append(low[1:], len(keys))):
                     # The texts of this message alone, numbered anew.
                     own, place = np.unique(places[x:y], return_inverse=True)
-                    known = zlib.compress(np.diff(ids[a:b][own], prepend=0).tobytes(), 1)
+                    known = packed_ids(ids[a:b][own])
                     start = int(owner[x]) << max(width - owner_bits, 0)
                     k = max(1, (2 ** max(width - owner_bits, 0) // int(y - x)).bit_length())
                     rows.append((int(owner[x]), start, int(y - x), k, *golomb_encode(keys[x:y] - np.uint64(start), k), place.astype("<u2").tobytes(), sketch[a:b][own].tobytes(), known))
@@ -238,7 +259,7 @@ def bucket_messages(nodes: DataFrame, tables: int, bits: int, owner_bits: int) -
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["owner", "start", "n", "k", "quotients", "remainders", "places", "sketches", "groups"])
 
     schema = "owner int, start long, n int, k int, quotients binary, remainders binary, places binary, sketches binary, groups binary"
-    return nodes.select("id", "node", "tables").mapInArrow(send, schema)
+    return nodes.select("id", "tables", "print").mapInArrow(send, schema)
 
 
 class Forest:
@@ -263,36 +284,48 @@ def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def spanning(sketches: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Edges (of members) that span the pairs of one bucket with at most so many differing bits, found outward from its first member."""
-    left, edges = np.arange(len(sketches)), []
+def spanning(members: np.ndarray, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """Edges that span the near pairs of one bucket, found outward from its first member."""
+    left, edges = members, []
     while len(left):
         found, left = [left[0]], left[1:]
         while found and len(left):
             here = found.pop()
-            near = apart(sketches[left], sketches[here]) <= most
-            edges += [(int(i), int(here)) for i in left[near]]
-            found += left[near].tolist()
-            left = left[~near]
+            close = near(left, np.full(1, here))
+            edges.append(np.stack([left[close], np.full(close.sum(), here)], axis=1))
+            found += left[close].tolist()
+            left = left[~close]
     return edges
 
 
+def forest_of(edges: list[np.ndarray], differ: Callable[[np.ndarray, np.ndarray], np.ndarray], trees: Forest) -> np.ndarray:
+    """The edges that join trees, the nearest first: those are the likeliest to be similar, and owners mostly choose the same."""
+    edges = np.unique(np.sort(np.concatenate([np.zeros((0, 2), np.int64), *edges]), axis=1), axis=0)
+    edges = edges[np.lexsort((edges[:, 1], edges[:, 0], differ(edges[:, 0], edges[:, 1])))]
+    return np.array([(a, b) for a, b in edges.tolist() if trees.join(a, b)], np.int64).reshape(-1, 2)
+
+
 def candidates(nodes: DataFrame, tables: int, bits: int, similarity: float) -> DataFrame:
-    """Distinct (u, v, apart: their differing first bits, sure) of ids that meet in a bucket: those that span the pairs of at most SURE differing first bits, and of others that similar texts may have those of two trees."""
-    most = most_bits(32, similarity)
+    """What owners find of the ids that meet in a bucket, in rows of two kinds.
+
+    (u, v, apart: their differing sketch bits) without members are the edges of a forest
+    of the pairs of at most SURE such bits.  A row with members is a tree v: its texts (u)
+    that may be similar to texts of other trees, and the buckets where they meet those.
+    """
+    most = most_bits(SKETCH, similarity)
     owner_bits = min((tables - 1).bit_length() + bits, (2 * int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
-    def meet(table: pa.Table) -> pa.Table:
+    def meet(key: tuple, table: pa.Table) -> pa.Table:
         buckets, ids, sketches, at, known = [], [], [], [], 0
         for r in table.to_pylist():
             buckets.append(golomb_decode(r["n"], r["k"], r["quotients"], r["remainders"]) + np.uint64(r["start"]))
-            ids.append(np.cumsum(np.frombuffer(zlib.decompress(r["groups"]), np.int64)))
-            sketches.append(np.frombuffer(r["sketches"], "<u4"))
+            ids.append(unpacked_ids(r["groups"]))
+            sketches.append(as_longs(np.frombuffer(r["sketches"], np.uint8).reshape(-1, SKETCH // 8)))
             at.append(np.frombuffer(r["places"], "<u2").astype(np.int64) + known)
             known += len(ids[-1])
         # Numbers in the order of ids: a text of several messages has one.
         ids, number = np.unique(np.concatenate(ids), return_inverse=True)
-        kept = np.zeros(len(ids), np.uint32)
+        kept = np.zeros(len(ids), np.uint64)
         kept[number] = np.concatenate(sketches)
         buckets, sketches, at = np.concatenate(buckets), kept, number[np.concatenate(at)]
         order = np.lexsort((at, buckets))
@@ -300,39 +333,90 @@ def candidates(nodes: DataFrame, tables: int, bits: int, similarity: float) -> D
         firsts = np.flatnonzero(np.append(True, buckets[1:] != buckets[:-1]))
         sizes = np.diff(np.append(firsts, len(at)))
         first, small = np.repeat(firsts, sizes), np.repeat(sizes <= SMALL_BUCKET, sizes)
-        large = [at[f : f + n] for f, n in zip(firsts[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET])]
+        large = [slice(f, f + n) for f, n in zip(firsts[sizes > SMALL_BUCKET], sizes[sizes > SMALL_BUCKET])]
+        differ = lambda a, b: apart(sketches[a], sketches[b])
 
         def beside_each_other() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Places of the two of each pair of the small buckets."""
             for k in range(1, SMALL_BUCKET):
                 here = np.flatnonzero(small[k:] & (first[k:] <= np.arange(len(at) - k))) + k
-                yield at[here], at[here - k]
-
-        sure = [np.zeros((0, 2), np.int64)]
-        for a, b in beside_each_other():
-            near = apart(sketches[a], sketches[b]) <= SURE
-            sure.append(np.stack([a[near], b[near]], axis=1))
-        sure += [m[np.array(edges)] for m in large if (edges := spanning(sketches[m], SURE))]
-        sure = np.unique(np.sort(np.concatenate(sure), axis=1), axis=0)
-        # The nearest first: those are the likeliest to be similar, and owners mostly choose the same.
-        sure = sure[np.lexsort((sure[:, 1], sure[:, 0], apart(sketches[sure[:, 0]], sketches[sure[:, 1]])))]
+                yield here, here - k
+
+        edges = []
+        for x, y in beside_each_other():
+            near = differ(at[x], at[y]) <= SURE
+            edges.append(np.stack([at[x[near]], at[y[near]]], axis=1))
+        for m in large:
+            edges += spanning(at[m], lambda a, b: differ(a, b) <= SURE)
         trees = Forest(len(ids))
-        sure = np.array([(a, b) for a, b in sure.tolist() if trees.join(a, b)], np.int64).reshape(-1, 2)
+        sure = forest_of(edges, differ, trees)
         tree = np.array([trees.root(i) for i in range(len(ids))])
-        weak = [np.zeros((0, 2), np.int64)]
-        for a, b in beside_each_other():
-            near = (tree[a] != tree[b]) & (apart(sketches[a], sketches[b]) <= most)
-            weak.append(np.stack([a[near], b[near]], axis=1))
+        unsettled = np.zeros(len(at), bool)  # places where a text meets one that may be similar, of another tree
+        may_be = lambda a, b: (tree[a] != tree[b]) & (differ(a, b) <= most)
+        for x, y in beside_each_other():
+            near = may_be(at[x], at[y])
+            unsettled[x[near]] = unsettled[y[near]] = True
         for m in large:
-            for i in range(1, len(m)) if (tree[m] != tree[m[0]]).any() else ():
-                near = m[:i][(tree[m[:i]] != tree[m[i]]) & (apart(sketches[m[:i]], sketches[m[i]]) <= most)]
-                weak.append(np.stack([near, np.full(len(near), m[i])], axis=1))
-        weak = np.unique(np.sort(np.concatenate(weak), axis=1), axis=0)
-        pairs = np.concatenate([sure, weak])
-        differ, pairs = apart(sketches[pairs[:, 0]], sketches[pairs[:, 1]]), ids[pairs]
-        return pa.table({"u": pairs[:, 1], "v": pairs[:, 0], "apart": differ.astype(np.int32), "sure": np.arange(len(pairs)) < len(sure)})
+            members, marks = at[m], unsettled[m]
+            for i in range(1, len(members)) if (tree[members] != tree[members[0]]).any() else ():
+                near = may_be(members[:i], members[i])
+                marks[:i] |= near
+                marks[i] |= near.any()
+        open_at, open_buckets = at[unsettled], buckets[unsettled]
+        order = np.lexsort((open_at, tree[open_at]))
+        open_at, open_buckets = open_at[order], open_buckets[order].astype(np.int64)
+        text_starts = np.flatnonzero(np.diff(open_at, prepend=-1))
+        texts = open_at[text_starts]
+        starts = np.flatnonzero(np.diff(tree[texts], prepend=-1))
+        roots = tree[texts[starts]]
+        grouped = lambda starts, values: pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)), pa.int32()), values)
+        members = grouped(starts, pa.StructArray.from_arrays([pa.array(ids[texts]), grouped(text_starts, pa.array(open_buckets))], ["u", "buckets"]))
+        return pa.table(
+            {
+                "owner": pa.array(np.full(len(sure) + len(roots), key[0].as_py()), pa.int32()),
+                "u": np.concatenate([ids[sure[:, 1]], ids[roots]]),
+                "v": np.concatenate([ids[sure[:, 0]], ids[roots]]),
+                "apart": np.concatenate([differ(sure[:, 0], sure[:, 1]).astype(np.int32), np.zeros(len(roots), np.int32)]),
+                "members": pa.chunked_array([pa.nulls(len(sure), members.type), members]),
+            }
+        )
 
     sent = bucket_messages(nodes, tables, bits, owner_bits)
-    return sent.groupBy("owner").applyInArrow(meet, "u long, v long, apart int, sure boolean").groupBy("u", "v").agg(F.first("apart").alias("apart"), F.max("sure").alias("sure"))
+    return sent.groupBy("owner").applyInArrow(meet, "owner int, u long, v long, apart int, members array<struct<u:long,buckets:array<long>>>")
+
+
+def settled(unsettled: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(u, v, apart) of ids that join an owner's trees: a forest of the pairs of its unsettled texts (owner, v: its tree, u, buckets) that share a bucket and whose sketches and prints differ in no more bits than those of similar texts do."""
+
+    def settle(table: pa.Table) -> pa.Table:
+        table = table.sort_by("u").combine_chunks()
+        ids, prints = table.column("u").to_numpy(), matrix(table.column("print"))
+        sketches = as_longs(short_sketches(table.column("print")))
+        differ = lambda a, b: apart(sketches[a], sketches[b])
+        most, most_all = most_bits(SKETCH, similarity), most_bits(64 * prints.shape[1], similarity)
+
+        def near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            a, b = np.broadcast_arrays(a, b)
+            close = differ(a, b) <= most
+            close[close] = apart(prints[a[close]], prints[b[close]]).sum(1, dtype=np.int32) <= most_all
+            return close
+
+        trees = Forest(len(ids))
+        _, first, tree = np.unique(table.column("v").to_numpy(), return_index=True, return_inverse=True)
+        for i, f in enumerate(first[tree].tolist()):
+            trees.join(i, f)
+        lists = table.column("buckets").combine_chunks()
+        at, buckets = np.repeat(np.arange(len(ids)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()
+        order = np.lexsort((at, buckets))
+        at, buckets = at[order], buckets[order]
+        edges = []
+        for members in np.split(at, np.flatnonzero(buckets[1:] != buckets[:-1]) + 1):
+            edges += spanning(members, near)
+        pairs = forest_of(edges, differ, trees)
+        return pa.table({"u": ids[pairs[:, 1]], "v": ids[pairs[:, 0]], "apart": differ(pairs[:, 0], pairs[:, 1]).astype(np.int32)})
+
+    whole = unsettled.join(nodes.select(F.col("id").alias("u"), "print"), "u")
+    return whole.groupBy("owner").applyInArrow(settle, "u long, v long, apart int")
 
 
 def beside(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
@@ -343,20 +427,6 @@ def beside(pairs: DataFrame, values: DataFrame, value: str) -> DataFrame:
     return pairs.select("u", "v", *rest, f"{value}_u", f"{value}_v")
 
 
-def alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v, apart) whose prints differ in no more bits than those of similar texts do."""
-
-    @trimmed
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                a, b = (matrix(batch.column(i)) for i in (3, 4))
-                stays = apart(a, b).sum(1, dtype=np.int32) <= most_bits(64 * a.shape[1], similarity)
-                yield pa.RecordBatch.from_arrays(batch.columns[:3], ["u", "v", "apart"]).filter(pa.array(stays))
-
-    return beside(pairs, nodes, "print").mapInArrow(compare, "u long, v long, apart int")
-
-
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
     """Whether two sorted sets have that much in common: intersection over union."""
     if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
@@ -462,7 +532,8 @@ def similar_groups(docs: DataFrame, size: int = STAGE_SHINGLE, similarity: float
     nodes = known.groupBy("node").agg(F.min(F.struct("digest", "doc_id")).alias("row"), F.min("tables").alias("tables"), F.min("print").alias("print"))
     nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "sketch-nodes")
     met = materialise(candidates(nodes, tables, bits, similarity), "candidates", NODES_AT_ONCE)
-    near = materialise(met.where("sure").drop("sure").union(alike(met.where("not sure").drop("sure"), nodes, similarity)), "near-pairs")
+    found = met.where("members is null").select("u", "v", "apart").union(settled(met.where("members is not null").select("owner", "v", F.inline("members")), nodes, similarity))
+    near = materialise(found.groupBy("u", "v").agg(F.first("apart").alias("apart")), "near-pairs")
     texts = texts_of(nodes, near, docs)
     # Of each text the pair with the nearest and with the least, so that groups are found by pairs as few as the texts.
     first = near.groupBy("u").agg(F.min("v").alias("least"), F.min_by("v", F.struct("apart", "v")).alias("nearest"))

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 import corpus_pipeline
 from calorix.llm import cover, golomb_dedup, simhash
 from calorix.llm.components import components
-from calorix.llm.shared import text_digest
+from calorix.llm.shared import materialise, text_digest
 from tests.llm.fixtures import awkward, empty
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -273,6 +273,19 @@ def test_messages_carry_their_own_texts_only(spark):
     assert many < 2 * few, (few, many)
 
 
+def test_owners_write_a_group_s_texts_not_its_pairs(spark):
+    """Of texts that are half alike, five times as many make about five times the rows."""
+    rng = np.random.default_rng(9)
+    words = [f"w{x}" for x in rng.integers(0, 3000, 200)]
+    texts = [" ".join(f"edited{rng.integers(0, 10**9)}" if k in at else w for k, w in enumerate(words)) for at in (set(rng.choice(200, 8, replace=False).tolist()) for _ in range(1000))]
+    tables, bits = simhash.tables_for(50_000, 0.8)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    nodes = materialise(simhash.sketches(docs, 5, tables, bits).coalesce(1).withColumn("id", F.col("doc_id")), "nodes")
+    found = [simhash.candidates(nodes.where(F.col("id") < n), tables, bits, 0.8) for n in (200, 1000)]
+    few, many = (df.agg(F.sum(F.greatest(F.size("members"), F.lit(1)) if "members" in df.columns else F.lit(1))).first()[0] for df in found)
+    assert 0 < many < 8 * few, (few, many)
+
+
 @pytest.mark.parametrize("drop", [golomb_dedup.drop_exact, simhash.drop_near, simhash.drop_similar])
 def test_rows_drop_by_id_and_text(spark, drop):
     texts = [" ".join(f"t{i}w{k}" for k in range(40)) for i in range(4)]
