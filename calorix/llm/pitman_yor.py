@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calorix.llm.golomb_dedup import golomb_decode, golomb_encode
-from calorix.llm.shared import TEXTS_AT_ONCE, cut, few_rows_a_batch, folded, materialise, shared_dir, trimmed
+from calorix.llm.shared import TEXTS_AT_ONCE, cut, few_rows_a_batch, folded, materialise, shared_dir, shuffles_dropped, trimmed
 
 #: Bytes of the context: the last one exactly, classes of those before.
 CLASSES_2, CLASSES_3 = 32, 8
@@ -304,7 +304,7 @@ def bucketed(df: DataFrame, name: str, rows: int = BLOCKS_AT_ONCE) -> DataFrame:
     """A step that is joined by block: an external table in the shared folder, bucketed by block, so that joins don't shuffle it; rows: of an Arrow batch."""
     spark, key = df.sparkSession, uuid.uuid4().hex
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with few_rows_a_batch(spark, rows):
+    with few_rows_a_batch(spark, rows), shuffles_dropped(spark):
         df.write.format("parquet").bucketBy(buckets, "block").sortBy("block").option("path", f"{shared_dir(spark)}/{name}-{key}").saveAsTable(f"{name}_{key}")
     return spark.table(f"{name}_{key}")
 

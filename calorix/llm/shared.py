@@ -40,7 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str, rows: int = TEXTS_AT_ONCE) -> DataFrame:
     """Write a step to the shared folder and read it back: cuts lineage and survives lost executors; rows: of an Arrow batch."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    with few_rows_a_batch(df.sparkSession, rows):
+    with few_rows_a_batch(df.sparkSession, rows), shuffles_dropped(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -57,6 +57,18 @@ def few_rows_a_batch(spark: SparkSession, rows: int = TEXTS_AT_ONCE) -> Iterator
         spark.conf.set(key, before)
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled for a written step leaves the disks when the step is there, not when the driver next collects garbage; the session's setting comes back after."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def fold(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -4,8 +4,10 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -17,6 +19,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from calorix.llm import bpe, langid, mixing, pitman_yor, quality, registry, simhash
+from calorix.llm.shared import materialise
 from tests.llm.fixtures import awkward, empty
 
 SF = "/root/testdata/sf0.001"
@@ -471,3 +474,18 @@ def test_pipeline_on_awkward_and_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, f"{tmp_path}/a").count() > 0
     empty(spark).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/b/documents.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_a_written_step_leaves_no_shuffle_files(spark, tmp_path):
+    jvm = spark.sparkContext._jvm
+    files = lambda: {f for d in jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs() for f in Path(d.getPath()).rglob("shuffle_*")}
+    before = files()
+    rows = spark.range(100_000).groupBy((F.col("id") % 5000).alias("block")).agg(F.sum("id").alias("s"))
+    assert materialise(rows, "sums").count() == 5000
+    assert pitman_yor.bucketed(rows, "sums").agg(F.sum("s")).first()[0] == sum(range(100_000))
+    for _ in range(50):
+        left = {f for f in files() - before if f.exists() and f.stat().st_size > 1000}
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left
