@@ -51,7 +51,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calorix.llm.golomb_dedup import golomb_decode, golomb_encode
-from calorix.llm.shared import TEXTS_AT_ONCE, cut, few_rows_a_batch, folded, materialise, shared_dir, shuffles_dropped, trimmed
+from calorix.llm.shared import TEXTS_AT_ONCE, cut, drop_step, few_rows_a_batch, folded, materialise, shared_dir, shuffles_dropped, trimmed
 
 #: Bytes of the context: the last one exactly, classes of those before.
 CLASSES_2, CLASSES_3 = 32, 8
@@ -577,6 +577,7 @@ def seated_words(lexicon: DataFrame, root: np.ndarray, pair_discount: float, see
     words = materialise(spelled(lexicon, spread), "spelled-words", WORDS_AT_ONCE)
     spread.unpersist()
     seated = materialise(seat_words(words, discount, float(types), pair_discount, seed), "lexicon", WORDS_AT_ONCE)
+    drop_step(words)
     total, mass = seated.agg(F.sum("tables"), F.sum(F.pow(F.lit(10.0), "spelling"))).first()
     back = WORD_STRENGTH + discount * total
     prediction = F.log10((F.col("n") - discount * F.col("tables") + back * F.pow(F.lit(10.0), "spelling")) / (WORD_STRENGTH + n))
@@ -602,11 +603,14 @@ def fit(docs: DataFrame, learns: Column) -> Fit:
         lexicon = lexicon.selectExpr("word", "h", "c", "double(t) t", "double(0) logp", "double(1) x")
         return Fit(blocks, questions, pairs, word_answers(questions, lexicon, {"x": "<f4", "logp": "<f4"}, owner_bits), lexicon, n, types, discount, unknown, bits, owner_bits)
     for r in range(ROUNDS):
-        lexicon, unknown, root = seated_words(lexicon, root, discount, r)
+        sums = lexicon
+        lexicon, unknown, root = seated_words(sums, root, discount, r)
+        drop_step(sums)
         if r + 1 < ROUNDS:
             values = word_answers(questions, lexicon, {"x": "<f4", "logp": "<f4"}, owner_bits)
             sums = next_sums(blocks, pairs, values, bits, discount, r)
-            lexicon = materialise(lexicon.select("word", "h", "c").join(sums, "h", "left").select("word", "h", "c", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("t", F.lit(0.0)).alias("t")), "lexicon-sums")
+            seated, lexicon = lexicon, materialise(lexicon.select("word", "h", "c").join(sums, "h", "left").select("word", "h", "c", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("t", F.lit(0.0)).alias("t")), "lexicon-sums")
+            drop_step(seated)
     return Fit(blocks, questions, pairs, values, lexicon, n, types, discount, unknown, bits, owner_bits)
 
 

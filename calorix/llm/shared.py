@@ -57,6 +57,15 @@ def few_rows_a_batch(spark: SparkSession, rows: int = TEXTS_AT_ONCE) -> Iterator
         spark.conf.set(key, before)
 
 
+def drop_step(step: DataFrame) -> None:
+    """Take a written step off the shared folder; nothing that is still read may come from it."""
+    jvm, there = step.sparkSession.sparkContext._jvm, shared_dir(step.sparkSession).rstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in step.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getParent().toUri().getPath() == jvm.org.apache.hadoop.fs.Path(there).toUri().getPath():
+            path.getFileSystem(step.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextlib.contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """What is shuffled for a written step leaves the disks when the step is there, not when the driver next collects garbage; the session's setting comes back after."""

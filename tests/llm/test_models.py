@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from calorix.llm import bpe, langid, mixing, pitman_yor, quality, registry, simhash
-from calorix.llm.shared import materialise
+from calorix.llm.shared import drop_step, materialise
 from tests.llm.fixtures import awkward, empty
 
 SF = "/root/testdata/sf0.001"
@@ -489,3 +489,11 @@ def test_a_written_step_leaves_no_shuffle_files(spark, tmp_path):
             break
         time.sleep(0.1)
     assert not left
+
+
+def test_a_superseded_step_is_taken_off_alone(spark):
+    kept, gone = materialise(spark.range(10), "kept"), materialise(spark.range(10), "gone")
+    folder = lambda step: Path(step.inputFiles()[0].removeprefix("file://")).parent
+    there, dropped = folder(kept), folder(gone)
+    drop_step(gone)
+    assert there.is_dir() and not dropped.exists() and kept.count() == 10
