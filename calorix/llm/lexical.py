@@ -5,10 +5,12 @@ row: its terms with, for each, the documents that hold it, the most occurrences
 in one and the least length per occurrence; and a forward index of its documents.
 ``search`` bounds every query in every block by the terms' maxima and scores
 forward-index blocks in the order of a query's bounds, in growing rounds, until
-the next bound is below the query's k-th best score; it is exact.  The first
-round's blocks come from every task's few highest bounds, so that bounds are written
-only for blocks that reach the first threshold.  Queries are asked some megabytes at a time, so that what goes to every task is
-bounded; only a query's best scores come back.
+no bound reaches the query's k-th best score; it is exact.  A round's blocks come
+from every task's highest bounds and go to all tasks as pairs of numbers; once
+they are more than PAIRS, every task scores what is left by bounds of its own.  So
+the index stays where it is.  A task reads BLOCKS_AT_ONCE blocks at once and holds
+ROOM pairs of an occurrence and a query.  Queries are asked some megabytes at a
+time, so that what goes to every task is bounded; only a query's best scores come back.
 
 Defined results: documents without terms are no documents (they don't count and
 are never found); null and repeated doc_ids are documents apiece, null after
@@ -27,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from calorix.llm.shared import materialise, trimmed
+from calorix.llm.shared import few_rows_a_batch, materialise, trimmed
 from calorix.llm.words import slices, words_of
 from calorix.operators.prefix import running
 
@@ -36,6 +38,8 @@ B, UNIT = 90, 1_000_000_000
 BEST = 10
 #: Bytes of the texts in a block; bytes of the queries asked at once; blocks that a query scores in the first round.
 BLOCK_BYTES, QUERY_BYTES, FIRST_BLOCKS = 1 << 18, 1 << 22, 4
+#: Blocks that a task reads at once; pairs of a block and a query that go to every task; pairs of an occurrence and a query that a task holds (one document's at least).
+BLOCKS_AT_ONCE, PAIRS, ROOM = 16, 1 << 17, 1 << 20
 BLOCK = "block long, n_docs long, n_terms long, terms array<string>, df array<int>, most array<int>, thin array<double>, ids array<bigint>, sizes array<int>, ends array<int>, codes array<int>, tfs array<int>"
 INT = pa.int32()
 
@@ -68,7 +72,7 @@ def blocks_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Da
 
 def build(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The written index of all documents."""
-    return materialise(blocks_of(docs, text, doc_id), "index")
+    return materialise(blocks_of(docs, text, doc_id), "index", row_group=BLOCKS_AT_ONCE)
 
 
 class Weights:
@@ -110,20 +114,64 @@ class Weights:
         np.add.at(out, query, (self.weight[number[hit]] * part)[index])
         return out
 
-    def scores(self, terms: pa.Array, sizes: np.ndarray, ends: np.ndarray, codes: np.ndarray, tfs: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, document's place in the block, score) of all documents of a block that hold a term of these queries."""
-        number = self.known(terms)[codes]
-        hit = np.flatnonzero(number >= 0)
-        doc = np.searchsorted(ends, hit, "right")
-        gain = self.weight[number[hit]] * self.part(tfs[hit].astype(np.int64), sizes[doc].astype(np.int64))
-        index, query = self.spread(number[hit])
+    def scores(self, terms: pa.Array, sizes: np.ndarray, ends: np.ndarray, codes: np.ndarray, tfs: np.ndarray, queries: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, document's place in the block, score) of all documents of a block that hold a term of these queries, some documents at a time."""
         asked = np.zeros(self.n_queries, bool)
         asked[queries] = True
-        index, query = index[asked[query]], query[asked[query]]
-        keys, inverse = np.unique(query * len(sizes) + doc[index], return_inverse=True)
-        total = np.zeros(len(keys), np.int64)
-        np.add.at(total, inverse, gain[index])
-        return keys // len(sizes), keys % len(sizes), total
+        here = asked[self.query]
+        query, at = self.query[here], np.concatenate([[0], np.cumsum(here)])[self.at]
+        number = self.known(terms)
+        times = np.where(number >= 0, np.diff(at)[number], 0) if len(self.terms) else np.zeros(len(number), np.int64)  # queries that ask for each term
+        hit = np.flatnonzero(times[codes])
+        doc, number, times = np.searchsorted(ends, hit, "right"), number[codes[hit]], times[codes[hit]]
+        gain = self.weight[number] * self.part(tfs[hit].astype(np.int64), sizes[doc].astype(np.int64))
+        ahead = np.cumsum(times) - times
+        part = ahead[np.searchsorted(doc, doc)] // ROOM  # by the document's first occurrence, so that documents stay whole
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(hit)] if len(hit) else []
+        for a, b in zip(edges, edges[1:]):
+            n = times[a:b]
+            asking = query[np.repeat(at[number[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            keys, inverse = np.unique(asking * len(sizes) + np.repeat(doc[a:b], n), return_inverse=True)
+            total = np.zeros(len(keys), np.int64)
+            np.add.at(total, inverse, np.repeat(gain[a:b], n))
+            yield keys // len(sizes), keys % len(sizes), total
+
+
+class Pairs:
+    """Pairs of a block and a query, by block."""
+
+    def __init__(self, block: np.ndarray, query: np.ndarray):
+        order = np.argsort(block, kind="stable")
+        self.query = query[order].astype(np.int32)
+        self.block, self.at = np.unique(block[order], return_index=True)
+        self.at = np.append(self.at, len(order))
+
+    def of(self, block: int) -> np.ndarray:
+        """The queries of a block."""
+        i = np.searchsorted(self.block, block)
+        return self.query[self.at[i] : self.at[i + 1]] if i < len(self.block) and self.block[i] == block else self.query[:0]
+
+
+class Found:
+    """The best documents of each query that a task has seen, and for each query the score that others must reach."""
+
+    def __init__(self, best: int, least: np.ndarray):
+        self.best, self.least = best, least.copy()
+        self.query, self.key, self.score, self.none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def add(self, query: np.ndarray, ids: pa.Array, score: np.ndarray) -> None:
+        some = np.flatnonzero((score > 0) & (score >= self.least[query]))
+        ids = ids.take(pa.array(some))
+        query, score = np.concatenate([self.query, query[some]]), np.concatenate([self.score, score[some]])
+        key, none = np.concatenate([self.key, ids.fill_null(0).to_numpy()]), np.concatenate([self.none, ids.is_null().to_numpy(zero_copy_only=False)])
+        order = np.lexsort((key, none, -score, query))
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        order, last = order[place < self.best], order[place == self.best - 1]
+        self.query, self.key, self.score, self.none = query[order], key[order], score[order], none[order]
+        self.least[query[last]] = np.maximum(self.least[query[last]], score[last])
+
+    def batch(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(self.query, INT), pa.array(self.key, mask=self.none), pa.array(self.score)], ["query", "doc_id", "score"])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array | int]]:
@@ -133,25 +181,26 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, pa.Array | in
             yield {c: batch.column(c)[i].values if pa.types.is_list(batch.schema.field(c).type) else batch.column(c)[i].as_py() for c in batch.schema.names}
 
 
-def _bounds(index: DataFrame, weights: Weights, least: np.ndarray | None = None) -> DataFrame:
-    """block, query and bound where the bound is above 0 and at least ``least`` of the query; without it each task's FIRST_BLOCKS highest of each query."""
+def _open(b: dict[str, pa.Array | int], weights: Weights, done: Pairs, least: np.ndarray) -> np.ndarray:
+    """Every query's bound in a block, 0 where the pair is done or can't reach the query's least score."""
+    found = weights.bound(b["terms"], b["most"].to_numpy(), b["thin"].to_numpy())
+    found[done.of(b["block"])] = 0
+    return np.where(found >= least, found, 0)
+
+
+def _bounds(index: DataFrame, weights: Weights, most: int, done: Pairs, least: np.ndarray) -> DataFrame:
+    """block, query and bound of each task's ``most`` highest bounds of each query, of pairs that aren't done and reach ``least``."""
 
     @trimmed
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "query", "bound"]
-        top, at = (np.zeros((FIRST_BLOCKS, weights.n_queries), np.int64) for _ in range(2))
+        top, at = (np.zeros((most, weights.n_queries), np.int64) for _ in range(2))
         for b in _rows(batches):
-            found = weights.bound(b["terms"], b["most"].to_numpy(), b["thin"].to_numpy())
-            if least is not None:
-                some = np.flatnonzero((found > 0) & (found >= least))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), b["block"])), pa.array(some, INT), pa.array(found[some])], names)
-                continue
-            low = top.argmin(axis=0)
+            found = _open(b, weights, done, least)
             some = np.flatnonzero(found > top.min(axis=0))
-            top[low[some], some], at[low[some], some] = found[some], b["block"]
-        if least is None:
-            row, query = np.nonzero(top)
-            yield pa.RecordBatch.from_arrays([pa.array(at[row, query]), pa.array(query, INT), pa.array(top[row, query])], names)
+            low = top[:, some].argmin(axis=0)
+            top[low, some], at[low, some] = found[some], b["block"]
+        row, query = np.nonzero(top)
+        yield pa.RecordBatch.from_arrays([pa.array(at[row, query]), pa.array(query, INT), pa.array(top[row, query])], ["block", "query", "bound"])
 
     return index.select("block", "terms", "most", "thin").mapInArrow(bound, "block long, query int, bound long")
 
@@ -170,26 +219,48 @@ def _frequencies(index: DataFrame, terms: list[str]) -> dict[str, int]:
         yield pa.RecordBatch.from_arrays([pa.array(some, INT), pa.array(total[some])], ["term", "n"])
 
     counts = index.select("terms", "df").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return {terms[r["term"]]: r["n"] for r in counts.collect()}  # of the terms of QUERY_BYTES
+    with few_rows_a_batch(index.sparkSession, BLOCKS_AT_ONCE):
+        return {terms[r["term"]]: r["n"] for r in counts.collect()}  # of the terms of QUERY_BYTES
+
+
+def _pairs(asked: DataFrame) -> Pairs:
+    """Pairs (block, query) on the driver: PAIRS at most."""
+    table = asked.select("block", "query").toArrow()
+    return Pairs(table["block"].to_numpy(), table["query"].to_numpy())
+
+
+FORWARD = ("sizes", "ends", "codes", "tfs")
 
 
 def _scored(index: DataFrame, asked: DataFrame, weights: Weights, best: int) -> DataFrame:
-    """query, doc_id, score of the best documents of every asked block, by block."""
-    queries = asked.groupBy("block").agg(F.collect_list("query").alias("queries"))  # of one block: as many as queries asked at once
-    met = index.select("block", "terms", "ids", "sizes", "ends", "codes", "tfs").join(queries, "block")
+    """query, doc_id, score of each task's best documents of the asked pairs of a block and a query."""
+    pairs = _pairs(asked)
 
     @trimmed
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Found(best, np.zeros(weights.n_queries, np.int64))
         for b in _rows(batches):
-            query, doc, total = weights.scores(b["terms"], *(b[c].to_numpy() for c in ("sizes", "ends", "codes", "tfs", "queries")))
-            ids = b["ids"].take(pa.array(doc))
-            key = ids.fill_null(np.iinfo(np.int64).max).to_numpy()
-            order = np.lexsort((key, -total, query))
-            place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
-            kept = order[(place < best) & (total[order] > 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(query[kept], INT), ids.take(pa.array(kept)), pa.array(total[kept])], ["query", "doc_id", "score"])
+            queries = pairs.of(b["block"])
+            for query, doc, total in weights.scores(b["terms"], *(b[c].to_numpy() for c in FORWARD), queries) if len(queries) else ():
+                found.add(query, b["ids"].take(pa.array(doc)), total)
+        yield found.batch()
 
-    return met.mapInArrow(score, "query int, doc_id long, score long")
+    return index.select("block", "terms", "ids", *FORWARD).mapInArrow(score, "query int, doc_id long, score long")
+
+
+def _rest(index: DataFrame, weights: Weights, best: int, done: Pairs, least: np.ndarray) -> DataFrame:
+    """query, doc_id, score of each task's best documents of all pairs that aren't done and may reach ``least``, or what the task itself has found."""
+
+    @trimmed
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Found(best, least)
+        for b in _rows(batches):
+            queries = np.flatnonzero(_open(b, weights, done, found.least))
+            for query, doc, total in weights.scores(b["terms"], *(b[c].to_numpy() for c in FORWARD), queries) if len(queries) else ():
+                found.add(query, b["ids"].take(pa.array(doc)), total)
+        yield found.batch()
+
+    return index.select("block", "terms", "most", "thin", "ids", *FORWARD).mapInArrow(score, "query int, doc_id long, score long")
 
 
 def _best(rows: DataFrame, best: int) -> DataFrame:
@@ -204,25 +275,23 @@ def _search(index: DataFrame, queries: list[tuple[int, list[str]]], n_docs: int,
     if not df:
         return None
     weights = Weights(queries, df, n_docs, n_terms)
-    found, left, most = None, _bounds(index, weights), FIRST_BLOCKS
-    while True:
-        w = Window.partitionBy("query").orderBy(F.col("bound").desc(), "block")
-        ahead = left.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)  # cut to `most` a query before the shuffle
-        new = materialise(ahead.select("block", "query"), "asked")
-        rows = _scored(index, new, weights, best)
-        first, found = found is None, materialise(_best(rows if found is None else found.drop("rank").unionByName(rows), best), "found")
-        # A query's k-th best score, 0 while it has found fewer: blocks below it can't add to the result.
-        reached = {r["query"]: r["score"] for r in found.where(F.col("rank") == best).select("query", "score").collect()}  # one row a query asked at once
-        least = np.array([reached.get(q, 0) for q in range(len(queries))], np.int64)
-        if first:
-            left = _bounds(index, weights, least)
-        else:
-            limits = index.sparkSession.createDataFrame(list(enumerate(least.tolist())), "query int, least long")
-            left = left.join(F.broadcast(limits), "query").where("bound >= least").drop("least")
-        left = materialise(left.join(new, ["block", "query"], "left_anti"), "bounds")
-        if left.isEmpty():
+    done, least, most = Pairs(*np.zeros((2, 0), np.int64)), np.zeros(len(queries), np.int64), FIRST_BLOCKS
+    found = index.sparkSession.createDataFrame([], "query int, doc_id long, score long, rank int")
+    merged = lambda rows: materialise(_best(found.drop("rank").unionByName(rows), best), "found", BLOCKS_AT_ONCE)
+    w = Window.partitionBy("query").orderBy(F.col("bound").desc(), "block")
+    while most * len(queries) <= PAIRS or most == FIRST_BLOCKS:
+        ahead = _bounds(index, weights, most, done, least).withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
+        new = materialise(ahead.select("block", "query"), "asked", BLOCKS_AT_ONCE)
+        if new.isEmpty():
             return found
+        found = merged(_scored(index, new, weights, best))
+        # A query's k-th best score, 0 while it has found fewer: blocks below it can't add to the result.
+        for r in found.where(F.col("rank") == best).select("query", "score").collect():  # one row a query asked at once
+            least[r["query"]] = r["score"]
+        asked = _pairs(new)
+        done = Pairs(np.concatenate([np.repeat(done.block, np.diff(done.at)), np.repeat(asked.block, np.diff(asked.at))]), np.concatenate([done.query, asked.query]))
         most *= 4
+    return merged(_rest(index, weights, best, done, least))
 
 
 def search(index: DataFrame, queries: DataFrame, item: str = "item_id", text: str = "text", best: int = BEST) -> DataFrame:

@@ -37,11 +37,11 @@ def shared_dir(spark: SparkSession) -> str:
     return there
 
 
-def materialise(df: DataFrame, name: str, rows: int = TEXTS_AT_ONCE) -> DataFrame:
-    """Write a step to the shared folder and read it back: cuts lineage and survives lost executors; rows: of an Arrow batch."""
+def materialise(df: DataFrame, name: str, rows: int = TEXTS_AT_ONCE, row_group: int | None = None) -> DataFrame:
+    """Write a step to the shared folder and read it back: cuts lineage and survives lost executors; rows: of an Arrow batch; row_group: rows that are written, and later read, at once."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     with few_rows_a_batch(df.sparkSession, rows), shuffles_dropped(df.sparkSession):
-        df.write.parquet(path)
+        df.write.options(**({"parquet.block.row.count.limit": row_group} if row_group else {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -7,6 +7,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -158,3 +160,44 @@ def test_search_scores_few_blocks(spark, monkeypatch):
     assert sorted(map(tuple, found.select("item_id", "rank", "doc_id", "score").collect())) == sorted(plain_search(rows, [(1, "needle pin common")]))
     assert sum(asked) < index.count() / 2
     assert lexical.search(lexical.build(empty(spark)), spark.createDataFrame([(1, "a")], "item_id long, text string")).collect() == []
+
+
+@pytest.mark.parametrize("pairs", [1 << 17, 1])
+def test_tasks_hold_few_blocks(spark, monkeypatch, pairs):
+    """Blocks are written, read and sent to Python some at a time and are not dealt again, however many pairs are asked."""
+    for name, value in (("BLOCK_BYTES", 1000), ("BLOCKS_AT_ONCE", 4), ("PAIRS", pairs)):
+        monkeypatch.setattr(lexical, name, value, raising=False)
+    rows = [(i if i % 50 else None, f"common word{i % 7} " * 10 + "needle pin " * (i % 5)) for i in range(600)]
+    index = lexical.build(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in index.inputFiles()]
+    assert max(g.row_group(i).num_rows for g in groups for i in range(g.num_row_groups)) <= 4 < index.count()
+    rows_of, plans = lexical._rows, []
+    monkeypatch.setattr(lexical, "_rows", lambda batches: rows_of(checked(batches)))
+
+    def checked(batches):
+        for batch in batches:
+            if batch.num_rows > 4:
+                raise ValueError(f"{batch.num_rows} blocks at once")
+            yield batch
+
+    for name in ("_scored", "_rest"):
+        monkeypatch.setattr(lexical, name, lambda *a, of=getattr(lexical, name): plans.append(of(*a)) or plans[-1])
+    items = [(1, "needle pin common"), (2, "word3 pin"), (3, "common")]
+    found = lexical.search(index, spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, found.select("item_id", "rank", "doc_id", "score").collect()), key=repr) == sorted(plain_search(rows, items), key=repr)
+    assert len(plans) > 1 and not any(word in p._jdf.queryExecution().executedPlan().toString() for p in plans for word in ("Exchange", "Join"))
+
+
+def test_occurrences_are_scored_some_at_a_time(monkeypatch):
+    """Parts of whole documents give the scores that all of a block's occurrences give at once."""
+    rng = np.random.default_rng(3)
+    docs = [sorted(set(rng.integers(0, 30, 12).tolist())) for _ in range(40)]
+    codes, tfs = np.concatenate(docs), rng.integers(1, 5, sum(map(len, docs)))
+    sizes, ends, terms = np.array([3 * len(d) for d in docs]), np.cumsum([len(d) for d in docs]), [f"t{i}" for i in range(30)]
+    weights = lexical.Weights([(q, terms[q % 7 : q % 7 + 9]) for q in range(20)], {t: 5 + i for i, t in enumerate(terms)}, 40, int(sizes.sum()))
+    parts = lambda: list(weights.scores(pa.array(terms), sizes, ends, codes, tfs, np.arange(0, 20, 2)))
+    (whole,) = parts()
+    monkeypatch.setattr(lexical, "ROOM", 50, raising=False)
+    some = parts()
+    assert len(some) > 10 and max(len(q) for q, _, _ in some) < len(whole[0]) / 5
+    assert sorted(zip(*map(np.concatenate, zip(*some)))) == sorted(zip(*whole)) and set(whole[0]) <= set(range(0, 20, 2))
