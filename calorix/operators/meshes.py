@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calorix.functions import geometry
 from calorix.functions.rounding import half_up
 from calorix.functions.solar import degrees_of
+from calorix.operators import refinement
 from calorix.operators.prefix import running
+from calorix.operators.refinement import CAP
 from calorix.sources.stage import written
 
-CAP = 20_000
 #: Corners up to which a mesh is welded in one task, and meshes above that whose keys may be broadcast.
 LARGE, BROADCAST_MESHES = 1_000_000, 100_000
+#: Triangles up to which a mesh is refined to an indexed one in one task.
+LARGE_MESH = 100_000
 
 
 def with_geometry(triangles: DataFrame) -> DataFrame:
@@ -235,9 +242,97 @@ def indexed(triangles: DataFrame, digits: int = 5) -> tuple[DataFrame, DataFrame
     return vertices, whole
 
 
+def _large_meshes(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """Meshes of more rows than given, and their number; to be broadcast unless they are many."""
+    large = written(rows.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("mesh_id"), "large-meshes")
+    n = large.count()
+    return F.broadcast(large) if n <= BROADCAST_MESHES else large, n
+
+
+def _by_mesh(triangles: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What a function makes of whole meshes in the order of their triangles, which are dealt once."""
+    dealt = triangles.repartition("mesh_id").sortWithinPartitions("mesh_id", "tri_id")
+    return dealt.mapInArrow(lambda batches: run(refinement.whole_meshes(batches)), schema)
+
+
+def refined_figures(triangles: DataFrame, longest: float, max_rounds: int = 20) -> DataFrame:
+    """mesh_id, n_vertices, n_faces, n_edges, n_borders (edges of one face) and area of every mesh after refinement to an indexed mesh, as ``refined_index`` makes it.
+
+    Pieces are found on the way unless ``piece`` is there.  Nothing but the figures leaves the task that a mesh is dealt to.
+    """
+    names = ["n_vertices", "n_faces", "n_edges", "n_borders"]
+    kept = triangles.select("mesh_id", "tri_id", *[c for c in triangles.columns if c == "piece"], *refinement.CORNERS)
+    keys, n_large = _large_meshes(kept, LARGE_MESH)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in parts:
+            for at, mesh, found in refinement.refined(rows, longest, max_rounds):
+                of = refinement.figures(mesh, found)
+                some = np.flatnonzero(of["n_faces"])
+                ids = rows.column("mesh_id").take(pa.array(at + np.searchsorted(mesh, some)))
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(of[n][some]) for n in (*names, "area")]], ["mesh_id", *names, "area"])
+
+    schema = f"mesh_id {kept.schema['mesh_id'].dataType.simpleString()}, {', '.join(f'{n} long' for n in names)}, area double"
+    out = _by_mesh(kept.join(keys, "mesh_id", "left_anti") if n_large else kept, run, schema)
+    if not n_large:
+        return out
+    large = kept.join(keys, "mesh_id", "left_semi")
+    vertices, faces = _spread_index(large if "piece" in kept.columns else with_pieces(large), longest, max_rounds)
+    return out.unionByName(index_figures(vertices, faces))
+
+
+def index_figures(vertices: DataFrame, faces: DataFrame) -> DataFrame:
+    """The figures of ``refined_figures`` of indexed meshes of any size."""
+    at = lambda i: vertices.select("mesh_id", F.col("vertex").alias(f"v{i}"), *[F.col(c).alias(f"{c}{i}") for c in "xyz"])
+    placed = faces.select("mesh_id", "v0", "v1", "v2")
+    for i in range(3):
+        placed = placed.join(at(i), ["mesh_id", f"v{i}"])
+    areas = with_geometry(placed).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_faces"), F.sum("area").alias("area"))
+    # An edge inside a face lies in two of its parts and belongs to it alone, also where another face has the same corners; one on a side lies in one part.
+    sides = faces.select("mesh_id", "face", F.explode(F.array(*[F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")) for a, b in (("v0", "v1"), ("v1", "v2"), ("v0", "v2"))])).alias("edge"))
+    parts = sides.groupBy("mesh_id", "face", "edge").agg(F.count(F.lit(1)).alias("n"))
+    edges = parts.groupBy("mesh_id", "edge", F.when(F.col("n") > 1, F.col("face")).alias("within")).agg(F.sum("n").alias("n")).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("n") == 1).alias("n_borders"))
+    return vertices.groupBy("mesh_id").agg(F.count_distinct("vertex").alias("n_vertices")).join(areas, "mesh_id").join(edges, "mesh_id")
+
+
 def refined_index(triangles: DataFrame, longest: float, max_rounds: int = 20) -> tuple[DataFrame, DataFrame]:
     """Refinement to an indexed mesh: vertices (mesh_id, vertex, x, y, z) and faces (mesh_id, face: the one they are part of, v0, v1, v2, the other columns).
 
+    Needs (mesh_id, tri_id, corners); pieces are found on the way unless ``piece`` is there.  Meshes
+    are cut in the task that they are dealt to (see ``refinement``), where a mesh
+    that breaks a limit is an error; only those of more than LARGE_MESH triangles are spread.
+    """
+    spare = [f for f in triangles.schema if f.name not in (*refinement.CORNERS, "mesh_id")]
+    keys, n_large = _large_meshes(triangles, LARGE_MESH)
+    small = triangles.join(keys, "mesh_id", "left_anti") if n_large else triangles
+    kind = triangles.schema["mesh_id"].dataType.simpleString()
+
+    def corners(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in parts:
+            for at, mesh, found in refinement.refined(rows, longest, max_rounds):
+                ids = rows.column("mesh_id").take(pa.array(at + np.searchsorted(mesh, found.mesh)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(found.number), *map(pa.array, found.xyz.T.copy())], ["mesh_id", "vertex", *"xyz"])
+
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in parts:
+            for at, mesh, found in refinement.refined(rows, longest, max_rounds):
+                source = rows.take(pa.array(at + found.row))
+                ids = found.number[found.corners]
+                face = found.row - np.searchsorted(mesh, mesh[found.row])
+                yield pa.RecordBatch.from_arrays([source.column("mesh_id"), pa.array(face), *(source.column(f.name) for f in spare), *map(pa.array, ids.T.copy())], ["mesh_id", "face", *(f.name for f in spare), "v0", "v1", "v2"])
+
+    vertices = _by_mesh(small, corners, f"mesh_id {kind}, vertex long, x double, y double, z double")
+    faces = _by_mesh(small, cut, ", ".join([f"mesh_id {kind}", "face long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in spare), "v0 long", "v1 long", "v2 long"]))
+    if not n_large:
+        return vertices, faces
+    large = triangles.join(keys, "mesh_id", "left_semi")
+    more, cuts = _spread_index(large if "piece" in triangles.columns else with_pieces(large), longest, max_rounds)
+    return vertices.unionByName(more), faces.unionByName(cuts.select(*faces.columns))
+
+
+def _spread_index(triangles: DataFrame, longest: float, max_rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+    """``refined_index`` of meshes of any size: vertices (mesh_id, vertex, x, y, z) and faces (mesh_id, face: the one they are part of, v0, v1, v2, the other columns).
+
     Needs (mesh_id, piece, tri_id, corners).  Halving all edges of a triangle r times
     makes a grid of 2^r steps on each side, so nothing is done round by round: each
     edge has 2^r - 1 vertices of its own and each face those strictly inside.  An

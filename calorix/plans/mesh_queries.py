@@ -130,17 +130,7 @@ def refine_mesh(spark, sf_dir):
 def refine_index(spark, sf_dir):
     """Vertices, faces, distinct edges, borders (edges of one face) and area of every mesh that is refined to 4 m as an indexed mesh."""
     whole = shapes(spark, sf_dir).where("not degenerate").drop("area", "tilt", "azimuth", "degenerate", "nx", "ny", "nz")
-    vertices, faces = meshes.refined_index(meshes.with_pieces(whole), 4.0)
-    at = lambda i: vertices.select("mesh_id", F.col("vertex").alias(f"v{i}"), *[F.col(c).alias(f"{c}{i}") for c in "xyz"])
-    placed = faces.select("mesh_id", "v0", "v1", "v2")
-    for i in range(3):
-        placed = placed.join(at(i), ["mesh_id", f"v{i}"])
-    areas = meshes.with_geometry(placed).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_faces"), tidy(F.sum("area"), 4).alias("area"))
-    # An edge inside a face lies in two of its parts and belongs to it alone, also where another face has the same corners; one on a side lies in one part.
-    sides = faces.select("mesh_id", "face", F.explode(F.array(*[F.struct(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")) for a, b in (("v0", "v1"), ("v1", "v2"), ("v0", "v2"))])).alias("edge"))
-    parts = sides.groupBy("mesh_id", "face", "edge").agg(F.count(F.lit(1)).alias("n"))
-    edges = parts.groupBy("mesh_id", "edge", F.when(F.col("n") > 1, F.col("face")).alias("within")).agg(F.sum("n").alias("n")).groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("n") == 1).alias("n_borders"))
-    return vertices.groupBy("mesh_id").agg(F.count_distinct("vertex").alias("n_vertices")).join(areas, "mesh_id").join(edges, "mesh_id").select("mesh_id", "n_vertices", "n_faces", "n_edges", "n_borders", "area")
+    return meshes.refined_figures(whole, 4.0).withColumn("area", tidy("area", 4))
 
 
 def refreshed_areas(spark, sf_dir):
