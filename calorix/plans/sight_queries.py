@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from calorix.functions.rounding import tidy
 from calorix.functions.solar import direction
-from calorix.operators import meshes, packed_scene, visibility
+from calorix.operators import meshes, shadow_tiles, visibility
 from calorix.plans import weather_queries
 from calorix.sources.stage import written
 from calorix.sources.tables import Warehouse, with_views
@@ -105,14 +105,10 @@ def city(w: Warehouse):
 
 def city_occlusion(spark, sf_dir):
     """Of a scene of all triangles: each mesh's rays towards three suns, how many meet a triangle, and the mean distance to the first."""
-    faces = written(city(Warehouse(spark, sf_dir)), "city")
     suns = spark.createDataFrame([(i, *map(float, a)) for i, a in enumerate(SUNS)], "sun int, az double, el double")
-    suns = suns.select("sun", *[c.alias(n) for c, n in zip(direction(F.col("az"), F.col("el")), ("sx", "sy", "sz"))])
-    surfaces = visibility.with_origins(faces).withColumn("src", F.monotonically_increasing_id()).select("src", "mesh_id", "ox", "oy", "oz", "nx", "ny", "nz")
-    rays = written(visibility.facing(surfaces, suns, 1e-3), "rays")
-    first = packed_scene.PackedScene(faces).hits(rays, ("src", "sun")).groupBy("src", "sun").agg(F.min("distance").alias("first"))
-    seen = rays.join(first, ["src", "sun"], "left")
-    return seen.groupBy("mesh_id").agg(F.count(F.lit(1)).alias("n_rays"), F.count("first").alias("n_blocked"), tidy(F.avg("first"), 4).alias("mean_distance"))
+    towards = [tuple(r) for r in suns.select("sun", *direction(F.col("az"), F.col("el"))).orderBy("sun").drop("sun").collect()]  # of SUNS
+    found = shadow_tiles.occlusion(city(Warehouse(spark, sf_dir)), towards, 1e-3)
+    return found.select("mesh_id", "n_rays", "n_blocked", tidy("mean_distance", 4).alias("mean_distance"))
 
 
 QUERIES = {f.__name__: f for f in (sun_grid_cull, ray_occlusion, vegetation_transmittance, sky_view_factor, visibility_lookup, obstacle_union, city_occlusion)}
